@@ -10,6 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from citeweave.llm.bpe import encoding_digests
 from citeweave.llm.common import documents
 from citeweave.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from citeweave.llm.language_id import language_predictions
+from citeweave.llm.quality import quality_scores
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +35,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_bpe_codec, op7_exact_dedup]
+    found = [op1_language_id, op4_quality, op5_bpe_codec, op7_exact_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -11,6 +11,7 @@ from citeweave.llm.bpe import encoding_digests
 from citeweave.llm.common import documents
 from citeweave.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from citeweave.llm.language_id import language_predictions
+from citeweave.llm.packing import packed_documents
 from citeweave.llm.quality import quality_scores
 
 
@@ -34,8 +35,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op4_quality, op5_bpe_codec, op7_exact_dedup]
+    found = [op1_language_id, op4_quality, op5_bpe_codec, op7_exact_dedup, op9_packing]
     return {f.__name__: f for f in found}
 
 

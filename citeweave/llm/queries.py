@@ -13,6 +13,7 @@ from citeweave.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from citeweave.llm.language_id import language_predictions
 from citeweave.llm.packing import packed_documents
 from citeweave.llm.quality import quality_scores
+from citeweave.llm.toxicity import toxicity_scores
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +36,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op4_quality, op5_bpe_codec, op7_exact_dedup, op9_packing]
+    found = [op1_language_id, op4_quality, op5_bpe_codec, op7_exact_dedup, op8_toxicity, op9_packing]
     return {f.__name__: f for f in found}
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.common import staged
 from citeweave.llm.language_id import in_fold
 from citeweave.llm.samples import labelled_sample
 
@@ -27,8 +28,8 @@ LABELLED = 20_000
 SHORTEST, LONGEST_STEM, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, MOST_TERMS = 4, 9, 4, 0.01, 3.5, 400
 #: A stem must be shared by so many words, and be at least so long.
 STEM_WORDS, SHORTEST_STEM = 4, 4
-#: Terms from these lengths and from these log odds on allow one and two edits.
-ONE_EDIT, TWO_EDITS, STRONG_ODDS = 5, 10, 4.5
+#: Terms from these lengths on allow one and two edits, if so large a share of abusive documents holds them.
+ONE_EDIT, TWO_EDITS, EDITED_SHARE = 5, 10, 0.08
 WINDOW = 48
 FLAGGED = 0.3
 MEMO_ENTRIES = 800_000
@@ -59,32 +60,21 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(stems, pa.bool_()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], ["term", "stem", "clean", "toxic"])
 
 
-def build_lexicon(counts: pd.DataFrame, n_clean: int, n_toxic: int) -> list[tuple[str, bool, float]]:
-    """(term, is_stem, log odds) from document counts of words and stems.
+def build_lexicon(telling: pd.DataFrame) -> list[tuple[str, bool, int]]:
+    """(term, is_stem, edits allowed) from the telling words and stems: term, stem, odds, share, kinds.
 
-    A stem is a term if several words in abusive documents share it and the stem itself is telling; a word that a
-    chosen stem covers is left out.
+    A stem is a term if several words in abusive documents share it; a word that a chosen stem covers is left out.
+    Words that few abusive documents hold, and short ones, must be spelled exactly.
     """
-    least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    odds = np.log((counts["toxic"] + 0.5) / (n_toxic + 1)) - np.log((counts["clean"] + 0.5) / (n_clean + 1))
-    telling = counts.assign(odds=odds)[(odds >= LEAST_ODDS) & (counts["toxic"] >= least)].sort_values(["term"])
-    words = counts.loc[~counts["stem"], "term"]
-    kinds = defaultdict(int)
-    for word in words:
-        for k in range(SHORTEST_STEM, min(LONGEST_STEM, len(word)) + 1):
-            kinds[word[:k]] += 1
-    terms: list[tuple[str, bool, float]] = []
-    for stem, odds in telling.loc[telling["stem"], ["term", "odds"]].sort_values("term", key=lambda t: t.str.len(), kind="stable").itertuples(index=False):
-        if kinds[stem] >= STEM_WORDS and not any(stem.startswith(t) for t, _, _ in terms):
-            terms.append((stem, True, odds))
-    covered = tuple(t for t, _, _ in terms)
-    terms += [(w, False, o) for w, o in telling.loc[~telling["stem"], ["term", "odds"]].itertuples(index=False) if not w.startswith(covered)]
-    return sorted(terms, key=lambda t: (-t[2], t[0]))[:MOST_TERMS]
-
-
-def edits_allowed(term: str, odds: float) -> int:
-    """Edits that a word may differ by: none for short terms and for those that ordinary words resemble."""
-    return 0 if len(term) < ONE_EDIT or odds < STRONG_ODDS else 1 if len(term) < TWO_EDITS else 2
+    telling = telling.sort_values("term")
+    terms: list[tuple[str, bool, float, float]] = []
+    for stem in telling[telling["stem"] & (telling["kinds"] >= STEM_WORDS)].sort_values("term", key=lambda t: t.str.len(), kind="stable").itertuples():
+        if not any(stem.term.startswith(t) for t, *_ in terms):
+            terms.append((stem.term, True, stem.odds, 0.0))
+    covered = tuple(t for t, *_ in terms)
+    terms += [(w.term, False, w.odds, w.share) for w in telling[~telling["stem"]].itertuples() if not w.term.startswith(covered)]
+    chosen = sorted(terms, key=lambda t: (-t[2], t[0]))[:MOST_TERMS]
+    return [(t, stem, 0 if stem or share < EDITED_SHARE or len(t) < ONE_EDIT else 1 if len(t) < TWO_EDITS else 2) for t, stem, _, share in chosen]
 
 
 class LexiconAutomaton:
@@ -97,13 +87,13 @@ class LexiconAutomaton:
 
     STEM = -1
 
-    def __init__(self, lexicon: list[tuple[str, bool, float]]):
+    def __init__(self, lexicon: list[tuple[str, bool, int]]):
         self.children: list[dict[str, int]] = [{}]
         self.word_edits: dict[int, int] = {}  # node where a word ends: the edits it allows
         self.stems: set[int] = set()
         self.budget = [0]  # most edits of any word below a node
-        for term, stem, odds in lexicon:
-            at, allowed = 0, 0 if stem else edits_allowed(term, odds)
+        for term, stem, allowed in lexicon:
+            at = 0
             self.budget[0] = max(self.budget[0], allowed)
             for c in term:
                 at = self.children[at].setdefault(c, len(self.children))
@@ -170,7 +160,7 @@ def _quoted(text: str, start: int, end: int) -> bool:
 class Scanner:
     """Counts a text's hits: as spelled and misspelled, in abuse and in quotation."""
 
-    def __init__(self, lexicon: list[tuple[str, bool, float]]):
+    def __init__(self, lexicon: list[tuple[str, bool, int]]):
         self.automaton = LexiconAutomaton(lexicon)
         self.memo: dict[str, tuple[tuple[int, int, int], ...]] = {}
 
@@ -219,12 +209,18 @@ def fit_weights(x: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[list[tuple[str, bool, float]], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[list[tuple[str, bool, int]], np.ndarray]:
     """The lexicon and the weights, from labels outside the held-out fold (crc32 of the id mod 4 is 2)."""
     sample = labelled_sample(docs, labels, "toxic", 4, 2, bound)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     counted = sample.mapInArrow(_count_terms, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    lexicon = build_lexicon(counted.where(F.col("toxic") > 0).toPandas(), sizes.get(0, 0), sizes.get(1, 0))
+    counted = staged(counted.where("toxic > 0"), "terms")
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    telling = counted.withColumns({"odds": odds, "share": F.col("toxic") / max(n_toxic, 1)}).where((F.col("odds") >= LEAST_ODDS) & (F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)))
+    stems = F.explode(F.transform(F.sequence(F.lit(SHORTEST_STEM), F.least(F.length("term"), F.lit(LONGEST_STEM))), lambda k: F.substring(F.col("term"), F.lit(1), k)))
+    kinds = counted.where("not stem").select(stems.alias("term"), F.lit(True).alias("stem")).groupBy("term", "stem").agg(F.count("*").alias("kinds"))
+    lexicon = build_lexicon(telling.join(kinds, ["term", "stem"], "left").select("term", "stem", "odds", "share", F.coalesce("kinds", F.lit(0)).alias("kinds")).toPandas())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)

@@ -12,6 +12,7 @@ from citeweave.llm.common import documents
 from citeweave.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from citeweave.llm.language_id import language_predictions
 from citeweave.llm.packing import packed_documents
+from citeweave.llm.pii import personal_data
 from citeweave.llm.quality import quality_scores
 from citeweave.llm.toxicity import toxicity_scores
 
@@ -44,8 +45,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op4_quality, op5_bpe_codec, op7_exact_dedup, op8_toxicity, op9_packing]
+    found = [op1_language_id, op4_quality, op5_bpe_codec, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii]
     return {f.__name__: f for f in found}
 
 

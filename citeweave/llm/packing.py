@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
+from citeweave.llm.bpe import byte_letters
 from citeweave.llm.common import staged
 
 SEQUENCE, END_ID = 4096, 2
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_000_000
 TEXTS_AT_ONCE = 200
 RANK_BUCKETS = 1024
 
@@ -31,29 +32,64 @@ RANK_BUCKETS = 1024
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes, by words between white space, which are remembered.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words. A word of
+    letters, and marks after it, are pre-tokens of their own; the letters go to the merges without the library's
+    bookkeeping. All other words take the library's whole way.
     """
 
+    #: Up to here lower-casing is letter by letter, and every letter is its own normal form.
+    LATIN_END = "\u024f"
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = dict(enumerate(byte_letters()))
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         #: Characters that str.split() treats as white space and the tokenizer may not.
         self.odd = regex.compile("[\x1c-\x1f\x85]")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        if word.isascii():
+            mapped = word
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped)])
+
+    def _part(self, part: str) -> bytes:
+        """A lower-case word of letters, or a run of marks."""
+        if part not in self.parts:
+            self.parts[part] = self._letters(part) if part[0] not in self.MARKS else self.encode(part)
+        return self.parts[part]
+
+    def encode_word(self, word: str) -> bytes:
+        core = word.rstrip(self.MARKS)
+        low = core.lower()
+        if low.isalpha() and max(low) <= self.LATIN_END and core.isalpha():
+            return self._part(low) + (self._part(word[len(core) :]) if len(core) < len(word) else b"")
+        return self.encode(word)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd.search(t) else t.split() for t in texts]
-        new = {w for words in split if words for w in words}.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-            new = {w for words in split if words for w in words}
-        ordered = list(new)
-        self.memo.update(zip(ordered, self.encode(ordered), strict=True))
-        return [self.encode([t])[0] if words is None else b"".join(map(self.memo.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+            self.parts.clear()
+        out = []
+        for text in texts:
+            if self.odd.search(text):
+                out.append(self.encode(text))
+                continue
+            words = text.split()
+            found = list(map(self.memo.get, words))
+            if None in found:
+                for word in {w for w, f in zip(words, found, strict=True) if f is None}:
+                    self.memo[word] = self.encode_word(word)
+                found = list(map(self.memo.__getitem__, words))
+            out.append(b"".join(found))
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -24,7 +24,7 @@ from citeweave.llm.bpe import byte_letters
 from citeweave.llm.common import staged
 
 SEQUENCE, END_ID = 4096, 2
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 TEXTS_AT_ONCE = 200
 RANK_BUCKETS = 1024
 
@@ -76,6 +76,7 @@ class WordTokenizer:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
+        if len(self.parts) > MEMO_ENTRIES:
             self.parts.clear()
         out = []
         for text in texts:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citeweave.llm.bpe import encoding_digests
 from citeweave.llm.common import documents
+from citeweave.llm.embedding_dedup import near_duplicates
 from citeweave.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from citeweave.llm.language_id import language_predictions
 from citeweave.llm.packing import packed_documents
@@ -33,6 +34,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op4_quality, op5_bpe_codec, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii]
+    found = [op1_language_id, op4_quality, op5_bpe_codec, op6_embedding_dedup, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii]
     return {f.__name__: f for f in found}
 
 

@@ -11,6 +11,7 @@ from citeweave.llm.bpe import encoding_digests
 from citeweave.llm.common import documents
 from citeweave.llm.embedding_dedup import near_duplicates
 from citeweave.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from citeweave.llm.jaccard_join import similar_components
 from citeweave.llm.language_id import language_predictions
 from citeweave.llm.packing import packed_documents
 from citeweave.llm.pii import personal_data
@@ -26,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(documents(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op4_quality, op5_bpe_codec, op6_embedding_dedup, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii]
+    found = [op1_language_id, op2_jaccard_join, op4_quality, op5_bpe_codec, op6_embedding_dedup, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii]
     return {f.__name__: f for f in found}
 
 

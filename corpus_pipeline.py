@@ -1,8 +1,71 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, exact copies, near copies, personal data, packing.
 
+Each stage reads what the one before it wrote and takes effect on the documents; the last returns the packed
+pieces of what is left.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citeweave.llm.common import staged
+from citeweave.llm.exact_dedup import exact_dedup
+from citeweave.llm.jaccard_join import similar_components
+from citeweave.llm.packing import packed_documents
+from citeweave.llm.pii import masked
+from citeweave.llm.quality import ACCEPT, learn, score_documents
+
+#: Near copies in the pipeline: five-word shingles, a similarity of 0.8 or more.
+NEAR_WORDS, NEAR_SHARE = 5, (80, 100)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranking, learned from the labels of these documents, accepts."""
+    ranking = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, ranking, score_col="_quality").where(F.col("_quality") >= ACCEPT).drop("_quality")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal but for white space."""
+    kept = exact_dedup(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    kept = similar_components(docs, NEAR_WORDS, NEAR_SHARE).where("component_id <=> doc_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; n_chars counts the new text."""
+    return masked(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", drop_low_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: No SQL: the quality ranking, the random field and the tokenizer are learned or compiled. The stages are tested
+#: one by one against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

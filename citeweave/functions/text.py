@@ -53,12 +53,11 @@ def indel_ratio(a: Column, b: Column) -> Column:
     row0 = F.transform(F.sequence(F.lit(0), F.size(right)), lambda i: F.lit(0))
 
     def next_row(row: Column, letter: Column) -> Column:
-        grow = F.transform(F.arrays_zip(row, F.concat(F.array(F.lit("")), right)), lambda z, i: F.struct(i.alias("i"), z["0"].alias("up"), z["1"].alias("c")))
-        return F.aggregate(
-            F.slice(grow, 2, F.greatest(F.size(right), F.lit(1))),
-            F.array(F.lit(0)),
-            lambda acc, z: F.concat(acc, F.array(F.when(z["c"] == letter, F.get(row, z["i"] - 1) + 1).otherwise(F.greatest(z["up"], F.element_at(acc, -1))))),
-        )
+        """The row of longest common subsequences with one more letter of the left text."""
+        above = F.zip_with(F.slice(row, 2, F.size(right)), right, lambda up, c: F.struct(up.alias("up"), c.alias("c")))
+        cells = F.transform(above, lambda z, i: F.struct(z["up"].alias("up"), z["c"].alias("c"), F.get(row, i).alias("diagonal")))
+        grow = lambda acc, z: F.concat(acc, F.array(F.when(z["c"] == letter, z["diagonal"] + 1).otherwise(F.greatest(z["up"], F.element_at(acc, -1)))))
+        return F.aggregate(cells, F.array(F.lit(0)), grow)
 
     common = F.element_at(F.aggregate(left, row0, next_row), -1)
     total = F.length(a) + F.length(b)

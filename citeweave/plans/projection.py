@@ -16,7 +16,7 @@ _DIGIT = "substr(o_orderpriority, 1, 1)"
 VIEWS = {
     "ra": "SELECT concat('ra/', p_partkey) AS uri, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN concat('Given', p_partkey % 10) END AS given_name, CASE WHEN p_partkey % 2 = 0 THEN concat('Family', p_partkey % 7) END AS family_name FROM {part}",
     "ra_id": f"SELECT concat('ra/', p_partkey) AS owner, concat('id/1', p_partkey) AS id, '{V.ORCID}' AS scheme, concat(p_partkey - p_partkey % 8, '-', p_size % 4) AS literal FROM {{part}} UNION ALL SELECT concat('ra/', p_partkey), concat('id/2', p_partkey), CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE '{V.VIAF}' END, concat(p_partkey - p_partkey % 8, '-', p_type) FROM {{part}}",
-    "article": f"SELECT concat('br/1', o_orderkey) AS uri, '{V.ARTICLE}' AS type1, CASE WHEN o_orderkey % 4 = 0 THEN '{V.FABIO}ReviewArticle' END AS type2, CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 1 THEN lower(concat('The Study of ', o_orderpriority, ' ', o_custkey)) ELSE concat('The Study of ', o_orderpriority, ' ', o_custkey) END AS title, CASE WHEN o_orderkey % 9 = 0 THEN 'a subtitle' END AS subtitle, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS pub_date, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 10 AS STRING) END AS number, CAST(NULL AS STRING) AS edition, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat('br/i', {_DIGIT}, '-', {_MONTH}, '-', o_orderstatus) END AS part_of FROM {{orders}}",
+    "article": f"SELECT concat('br/1', o_orderkey) AS uri, '{V.ARTICLE}' AS type1, CASE WHEN o_orderkey % 4 = 0 THEN '{V.FABIO}ReviewArticle' END AS type2, CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 1 THEN lower(concat('The Study of ', replace(o_orderpriority, ' ', '_'), ' ', o_custkey)) ELSE concat('The Study of ', replace(o_orderpriority, ' ', '_'), ' ', o_custkey) END AS title, CASE WHEN o_orderkey % 9 = 0 THEN 'a subtitle' END AS subtitle, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS pub_date, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 10 AS STRING) END AS number, CAST(NULL AS STRING) AS edition, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat('br/i', {_DIGIT}, '-', {_MONTH}, '-', o_orderstatus) END AS part_of FROM {{orders}}",
     "container": f"SELECT DISTINCT concat('br/i', {_DIGIT}, '-', {_MONTH}, '-', o_orderstatus) AS uri, '{V.ISSUE}' AS type1, CAST(NULL AS STRING) AS type2, CAST(NULL AS STRING) AS title, CAST(NULL AS STRING) AS subtitle, {_MONTH} AS pub_date, substr({_MONTH}, 6, 2) AS number, CAST(NULL AS STRING) AS edition, concat('br/v', {_DIGIT}, '-', substr({_MONTH}, 1, 4), '-', o_orderstatus) AS part_of FROM {{orders}} UNION SELECT DISTINCT concat('br/v', {_DIGIT}, '-', substr({_MONTH}, 1, 4), '-', o_orderstatus), '{V.VOLUME}', CAST(NULL AS STRING), CASE WHEN o_orderstatus = 'F' THEN concat('Volume ', substr({_MONTH}, 1, 4)) ELSE concat('VOLUME  ', substr({_MONTH}, 1, 4)) END, CAST(NULL AS STRING), substr({_MONTH}, 1, 4), CASE WHEN {_DIGIT} = '2' THEN NULL ELSE substr({_MONTH}, 3, 2) END, CAST(NULL AS STRING), concat('br/j', {_DIGIT}, '-', o_orderstatus) FROM {{orders}} UNION SELECT DISTINCT concat('br/j', {_DIGIT}, '-', o_orderstatus), '{V.JOURNAL}', CAST(NULL AS STRING), CASE WHEN o_orderstatus = 'F' THEN concat('Journal of ', {_DIGIT}) ELSE concat('JOURNAL OF ', {_DIGIT}) END, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {{orders}}",
     "br_id": f"SELECT concat('br/1', o_orderkey) AS owner, concat('id/3', o_orderkey) AS id, '{V.DOI}' AS scheme, concat('10.', o_custkey, '/Ab', {_MONTH}) AS literal FROM {{orders}} UNION ALL SELECT DISTINCT concat('br/j', {_DIGIT}, '-', o_orderstatus), concat('id/j', {_DIGIT}, o_orderstatus), '{V.ISSN}', concat('000', {_DIGIT}, '-', CASE WHEN o_orderstatus = 'P' THEN '9' ELSE '1' END) FROM {{orders}} WHERE {_DIGIT} <> '3'",
     "role": f"SELECT concat('ar/', l_orderkey, '-', l_linenumber, '-', n) AS ar, concat('br/1', l_orderkey) AS br, l_linenumber, n, CASE WHEN l_linenumber = 6 THEN NULL WHEN l_returnflag = 'A' THEN '{V.AUTHOR}' WHEN l_returnflag = 'N' THEN '{V.EDITOR}' ELSE '{V.PUBLISHER}' END AS role_type, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE concat('ra/', CASE WHEN l_linenumber < 5 THEN l_partkey - l_partkey % 40 ELSE l_partkey END) END AS held_by FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM {{lineitem}}) AS numbered",

@@ -16,6 +16,7 @@ from citeweave.llm.language_id import language_predictions
 from citeweave.llm.packing import packed_documents
 from citeweave.llm.pii import personal_data
 from citeweave.llm.quality import quality_scores
+from citeweave.llm.substring_dedup import repeated_passages
 from citeweave.llm.toxicity import toxicity_scores
 
 
@@ -31,6 +32,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -60,7 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_jaccard_join, op4_quality, op5_bpe_codec, op6_embedding_dedup, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii]
+    found = [op1_language_id, op2_jaccard_join, op3_substring_dedup, op4_quality, op5_bpe_codec, op6_embedding_dedup, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii]
     return {f.__name__: f for f in found}
 
 

@@ -47,21 +47,23 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
+def _common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table at a time in the bits of an integer."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
+    for c in a:
+        met = row & at.get(c, 0)
+        row = (row + met | row - met) & whole
+    return len(b) - row.bit_count()
+
+
+@F.pandas_udf("double")
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence's share of both lengths (insertions and deletions only); 1 for two empty texts."""
-    left, right = F.filter(F.split(a, ""), lambda c: c != ""), F.filter(F.split(b, ""), lambda c: c != "")
-    row0 = F.transform(F.sequence(F.lit(0), F.size(right)), lambda i: F.lit(0))
-
-    def next_row(row: Column, letter: Column) -> Column:
-        """The row of longest common subsequences with one more letter of the left text."""
-        above = F.zip_with(F.slice(row, 2, F.size(right)), right, lambda up, c: F.struct(up.alias("up"), c.alias("c")))
-        cells = F.transform(above, lambda z, i: F.struct(z["up"].alias("up"), z["c"].alias("c"), F.get(row, i).alias("diagonal")))
-        grow = lambda acc, z: F.concat(acc, F.array(F.when(z["c"] == letter, z["diagonal"] + 1).otherwise(F.greatest(z["up"], F.element_at(acc, -1)))))
-        return F.aggregate(cells, F.array(F.lit(0)), grow)
-
-    common = F.element_at(F.aggregate(left, row0, next_row), -1)
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(2.0 * common / total)
+    return pd.Series([None if x is None or y is None else 2 * _common_subsequence(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b, strict=True)], dtype=object)
 
 
 def agent_name(given: Column, family: Column) -> Column:

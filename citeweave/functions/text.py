@@ -8,19 +8,20 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else " ".join(v.casefold().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _quoted(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else quote(v))
 
@@ -60,7 +61,7 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the longest common subsequence's share of both lengths (insertions and deletions only); 1 for two empty texts."""
     return pd.Series([None if x is None or y is None else 2 * _common_subsequence(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b, strict=True)], dtype=object)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from citeweave.functions import vocabulary as V
 from citeweave.graph import Graph
@@ -12,7 +13,7 @@ LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)
 _ESCAPES = {"t": "\t", "n": "\n", "r": "\r", '"': '"', "\\": "\\", "b": "\b", "f": "\f"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(values):
     import re
 

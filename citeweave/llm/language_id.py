@@ -126,8 +126,9 @@ class ContextTrees:
         for (step, base), first in zip(self.steps, self.first_ids, strict=True):
             ids = np.zeros(len(data), np.int32)
             older = before[:-1]
-            held = (older >= base) & ((older > 0) | (base == 0))
-            ids[1:] = np.where(held, step[np.where(held, older - base, 0), symbol[:-1]], 0)
+            held = (older >= base) & ((older > 0) | (base == 0)) & (len(step) > 0)
+            if held.any():
+                ids[1:] = np.where(held, step[np.where(held, older - base, 0), symbol[:-1]], 0)
             ids[starts] = first
             rows = np.where(ids > 0, ids, rows)
             before = ids

@@ -246,10 +246,10 @@ ADDRESS = re.compile(r"@|\bat\b.*\bdot\b|[\[(]at[\])]", re.IGNORECASE)
 
 
 def _plausible(kind: str, text: str, start: int, end: int) -> bool:
-    """What any span of the kind must hold; a span is never part of a longer word."""
-    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
-        return False
+    """What any span of the kind must hold; a span is never part of a longer word, and only addresses hold letters."""
     span = text[start:end]
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum() or (kind != "email" and any(map(str.isalpha, span))):
+        return False
     digits = sum(c.isdigit() for c in span)
     return {"email": bool(ADDRESS.search(span)), "ip": 4 <= digits <= 12, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
 

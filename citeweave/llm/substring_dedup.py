@@ -1,17 +1,19 @@
 """Removal of repeated passages by suffix arrays over the passages' surroundings.
 
 1. Anchors: of the byte strings of GRAM bytes inside every window of WINDOW bytes, the one with the least hash marks
-   the window. Equal windows have equal anchors, so a window that occurs in several documents has an anchor that does.
-2. The windows of every anchor that occurs in several documents are cut out as fragments, and equal anchors meet.
-3. A suffix array over an anchor's distinct fragments, built by linear grouping, brings equal windows together; the
-   smallest document that holds a window decides in which documents its bytes are removed.
-
-Anchors and fragments are dealt out by ranges of anchor hashes, in numbers that grow with the text.
+   the window. Equal windows have equal anchors. An anchor and the windows it marks are a fragment, which is described
+   by its anchor, a 64-bit mark of its bytes, its document and its place.
+2. Of equal fragments of one anchor, all but those of the smallest document are removed whole: first inside each batch,
+   so that what many documents share is thinned out before it is dealt out, then by ranges of anchor hashes.
+3. What is left to settle are different fragments of one anchor. Only the smallest holders of each send its bytes, and a
+   suffix array over them, built by linear grouping, brings equal windows together; the smallest document that holds a
+   window decides in which documents its bytes are removed.
+
+Ranges grow in number with the text.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -42,11 +44,11 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def _scan(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts that lie one after another: hash, position, first and last start of the windows they mark."""
+    """Fragments of texts that lie one after another: anchor hash, mark, start and length."""
     global _POWERS
     n, grams = len(data), window - gram + 1
     if n < window:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return (*(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(2)))
     if n > len(_POWERS[0]):
         _POWERS = _powers(2 * n)
     with np.errstate(over="ignore"):
@@ -66,11 +68,14 @@ def _scan(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[n
         marks = inside & (least[np.where(inside, start, 0)] == hashes[at])
         first[marks] = np.minimum(first[marks], start[marks])
         last[marks] = np.maximum(last[marks], start[marks])
-    return hashes[at], at, first, last
+    stop = last + window
+    with np.errstate(over="ignore"):
+        marks = mix64((sums[stop] - sums[first]) * _POWERS[1][first] + (stop - first).astype(np.uint64))
+    return hashes[at], marks, first, stop - first
 
 
-def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """For a few texts at a time: the number of each anchor's text, its hash, position and window starts in that text."""
+def fragments_of(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """For a few texts at a time: the number of each fragment's text, anchor hash, mark, start in that text and length."""
     at = 0
     while at < len(texts):
         stop, size = at, 0
@@ -79,80 +84,123 @@ def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Itera
             stop += 1
         part = texts[at:stop]
         ends = np.cumsum([len(t) for t in part])
-        hashes, pos, first, last = _scan(np.frombuffer(b"".join(part), np.uint8), ends, window, gram)
-        owner = np.searchsorted(ends, pos, "right")
-        offset = np.concatenate([[0], ends])[owner]
-        yield owner + at, hashes, pos - offset, first - offset, last - offset
+        hashes, marks, start, length = _scan(np.frombuffer(b"".join(part), np.uint8), ends, window, gram)
+        owner = np.searchsorted(ends, start, "right")
+        yield owner + at, hashes, marks, start - np.concatenate([[0], ends])[owner], length
         at = stop
 
 
-def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, all lowest bytes first: the many zero bytes lie together and compress."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _anchor_rows(n_ranges: int, window: int, gram: int):
-    """Rows (range, ids, counts, hashes): the distinct anchors of every document, by range."""
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            found = [np.zeros((2, 0), np.uint64)] + [np.stack([o.astype(np.uint64), h]) for o, h, *_ in anchors(texts, window, gram)]
-            owner, hashes = np.concatenate(found, axis=1)
-            place = _ranges(hashes, n_ranges)
-            order = np.lexsort((hashes, owner, place))
-            owner, hashes, place = owner[order].astype(np.int64), hashes[order], place[order]
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])]) if len(owner) else np.zeros(0, bool)
-            owner, hashes, place = owner[new], hashes[new], place[new]
-            cuts = np.flatnonzero(np.diff(place)) + 1
-            rows = []
-            for o, h, p in zip(np.split(owner, cuts), np.split(hashes, cuts), np.split(place, cuts), strict=True):
-                if len(o):
-                    docs, counts = np.unique(o, return_counts=True)
-                    rows.append((int(p[0]), ids[docs].tolist(), counts.tolist(), h.tobytes()))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["range", "ids", "counts", "hashes"])
 
-    return run
+def _holders(anchor: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fragment: the smallest document that holds an equal one, and whether its anchor's fragments differ in that."""
+    if not len(doc):
+        return doc, np.zeros(0, bool)
+    order = np.lexsort((doc, mark, anchor))
+    a, m, d = anchor[order], mark[order], doc[order]
+    new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
+    starts = np.flatnonzero(new_anchor | np.concatenate([[True], m[1:] != m[:-1]]))
+    least = d[starts]
+    groups = np.flatnonzero(new_anchor[starts])
+    differ = np.repeat(np.minimum.reduceat(least, groups) != np.maximum.reduceat(least, groups), np.diff(np.append(groups, len(starts))))
+    sizes = np.diff(np.append(starts, len(order)))
+    first, open_ = np.empty_like(doc), np.empty(len(doc), bool)
+    first[order], open_[order] = np.repeat(least, sizes), np.repeat(differ, sizes)
+    return first, open_
+
+
+_FOUND = ["range", "ids", "keys", "counts", "anchors", "marks", "starts", "lengths"]
+_FOUND_KINDS = "range long, ids array<long>, keys array<long>, counts array<int>, anchors binary, marks binary, starts binary, lengths binary"
 
 
-def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: the anchors that several documents hold, by document."""
-    hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in frame["hashes"]])
-    ids = np.concatenate([np.repeat(np.asarray(i), np.asarray(c)) for i, c in zip(frame["ids"], frame["counts"], strict=True)])
-    order = np.argsort(hashes, kind="stable")
-    sorted_hashes, sorted_ids = hashes[order], ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]]))
-    several = np.minimum.reduceat(sorted_ids, starts) != np.maximum.reduceat(sorted_ids, starts)
-    keep = np.repeat(several, np.diff(np.append(starts, len(order))))
-    kept_ids, kept_hashes = sorted_ids[keep], sorted_hashes[keep]
-    order = np.argsort(kept_ids, kind="stable")
-    docs, first = np.unique(kept_ids[order], return_index=True)
-    return pd.DataFrame({"doc_id": docs, "hashes": [h.tobytes() for h in np.split(kept_hashes[order], first[1:])] if len(docs) else []})
+def _found_row(place: int, ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, anchor: np.ndarray, mark: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple:
+    """One row of fragments, which are in order of their owners."""
+    docs, counts = np.unique(owner, return_counts=True)
+    return (place, ids[docs].tolist(), keys[docs].tolist(), counts.tolist(), anchor.astype("<u4").tobytes(), mark.astype("<u8").tobytes(), _planes(start), _planes(length))
 
 
 def _fragment_rows(n_ranges: int, window: int, gram: int):
-    """Rows (range, ids, keys, starts, hashes, fragments) of the repeated anchors of candidate documents."""
+    """The fragments of every document by range, and spans that go already inside a batch, in ranges from n_ranges on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            known = np.unique(np.frombuffer(b"".join(b"".join(h) for h in batch.column(3).to_pylist()), np.uint64))
-            rows = defaultdict(lambda: ([], [], [], [], []))
-            for owner, hashes, _, first, last in anchors(texts, window, gram):
-                at = np.flatnonzero(np.isin(hashes, known))
-                for o, h, f, e, r in zip(owner[at].tolist(), hashes[at].astype(np.int64).tolist(), first[at].tolist(), last[at].tolist(), _ranges(hashes[at], n_ranges).tolist(), strict=True):
-                    row = rows[r]
-                    for column, value in zip(row, (ids[o], keys[o], f, h, texts[o][f : e + window]), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            columns = [pa.array([r[k] for r in rows.values()], pa.list_(kind)) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), *columns], ["range", "ids", "keys", "starts", "hashes", "fragments"])
+            found = list(zip(*fragments_of([t.encode() for t in batch.column(2).to_pylist()], window, gram), strict=True))
+            if not found:
+                continue
+            owner, hashes, mark, start, length = map(np.concatenate, found)
+            first, _ = _holders(hashes, mark, ids[owner])
+            gone = first < ids[owner]
+            rows = []
+            if gone.any():
+                o, s, n = owner[gone], start[gone], length[gone]  # in order of text and start, and so of end
+                breaks = np.concatenate([[True], (o[1:] != o[:-1]) | (s[1:] > (s + n)[:-1])])
+                begin = np.flatnonzero(breaks)
+                end = (s + n)[np.append(begin[1:], len(o)) - 1]
+                none = np.zeros(0, np.uint64)
+                rows.append(_found_row(n_ranges + int(ids[o[0]]) % n_ranges, ids, keys, o[begin], none, none, s[begin], end - s[begin]))
+            stay = ~gone
+            owner, hashes, mark, start, length = (x[stay] for x in (owner, hashes, mark, start, length))
+            place = ((hashes >> np.uint64(33)) % np.uint64(n_ranges)).astype(np.int64)
+            order = np.lexsort((owner, place))
+            for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                if len(part):
+                    rows.append(_found_row(int(place[part[0]]), ids, keys, *(x[part] for x in (owner, hashes & np.uint64(0xFFFFFFFF), mark, start, length))))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], _FOUND)
 
     return run
 
 
+def _judged(n_ranges: int):
+    """Of one range, by document: spans to remove, and the fragments to settle (anchor code, start, length)."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ids, keys, counts = (np.concatenate([np.asarray(v, np.int64) for v in frame[c]]) for c in ("ids", "keys", "counts"))
+        start, length = (np.concatenate([_numbers(v) for v in frame[c]]) for c in ("starts", "lengths"))
+        owner = np.repeat(np.arange(len(ids)), counts)
+        if key[0] >= n_ranges:
+            code, gone, asked = np.zeros(len(owner), np.int64), np.ones(len(owner), bool), np.zeros(len(owner), bool)
+        else:
+            anchor, mark = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("anchors", "<u4"), ("marks", "<u8")))
+            code = key[0] << 32 | anchor.astype(np.int64)
+            first, differ = _holders(anchor, mark, ids[owner])
+            gone = first < ids[owner]
+            asked = ~gone & differ
+        rows = defaultdict(lambda: [b"", b""])
+        for kind, chosen, columns in ((0, gone, (start, start + length)), (1, asked, (code, start, length))):
+            at = np.flatnonzero(chosen)
+            at = at[np.argsort(owner[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(owner[at])) + 1):
+                if len(part):
+                    rows[int(owner[part[0]])][kind] = np.stack([c[part] for c in columns], 1).astype("<i8" if kind else "<i4").tobytes()
+        docs = list(rows)
+        return pd.DataFrame({"doc_id": ids[docs], "text_key": keys[docs], "gone": [r[0] for r in rows.values()], "asked": [r[1] for r in rows.values()]})
+
+    return run
+
+
+def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (range, ids, keys, starts, codes, fragments) of the fragments to settle."""
+    for batch in batches:
+        rows = defaultdict(lambda: ([], [], [], [], []))
+        for doc, key, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            data = text.encode()
+            for code, start, length in np.frombuffer(b"".join(asked), "<i8").reshape(-1, 3).tolist():
+                for column, value in zip(rows[code >> 32], (doc, key, start, code, data[start : start + length]), strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        columns = [pa.array([r[k] for r in rows.values()], pa.list_(kind)) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), *columns], ["range", "ids", "keys", "starts", "codes", "fragments"])
+
+
 def first_holders(fragments: list[bytes], holders: list[int], window: int = WINDOW) -> list[np.ndarray]:
     """For every window of every fragment, the smallest holder of an equal window in any of the fragments."""
     symbols: list[int] = []
@@ -186,32 +234,29 @@ def _settle(out: list[np.ndarray], run: list[tuple[int, int]]) -> None:
             out[k][at] = least
 
 
-def _spans(window: int):
-    """Of one range: the stretches to remove, by document."""
+def _settled(window: int):
+    """Of one range: the spans to remove, by document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, starts, hashes = (np.concatenate([np.asarray(v) for v in frame[c]]) for c in ("ids", "keys", "starts", "hashes"))
+        ids, keys, starts, codes = (np.concatenate([np.asarray(v) for v in frame[c]]) for c in ("ids", "keys", "starts", "codes"))
         fragments = [f for row in frame["fragments"] for f in row]
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(codes, kind="stable")
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for group in np.split(order, np.flatnonzero(np.diff(hashes[order])) + 1):
+        for group in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
             held: dict[bytes, list[int]] = defaultdict(list)
             for k in group.tolist():
                 held[fragments[k]].append(k)
             distinct = list(held)
             holders = [min(ids[k] for k in held[f]) for f in distinct]
-            if min(ids[group]) == max(ids[group]):
-                continue
-            firsts = first_holders(distinct, holders, window) if len(distinct) > 1 else [np.full(max(0, len(distinct[0]) - window + 1), holders[0])]
-            for fragment, first in zip(distinct, firsts, strict=True):
+            for fragment, first in zip(distinct, first_holders(distinct, holders, window), strict=True):
                 for k in held[fragment]:
                     hit = np.flatnonzero(first < ids[k])
                     if len(hit):
                         cuts = np.flatnonzero(np.diff(hit) > 1)
                         for a, b in zip(hit[np.append(0, cuts + 1)], hit[np.append(cuts, len(hit) - 1)], strict=True):
                             found[ids[k], keys[k]].append((int(starts[k] + a), int(starts[k] + b + window)))
-        merged = {doc: _merged(spans) for doc, spans in found.items()}
-        return pd.DataFrame({"doc_id": [d[0] for d in merged], "text_key": [d[1] for d in merged], "spans": [np.array(s, np.int64).ravel().tolist() for s in merged.values()]})
+        spans = [np.array(_merged(s), "<i4").tobytes() for s in found.values()]
+        return pd.DataFrame({"doc_id": [d[0] for d in found], "text_key": [d[1] for d in found], "gone": spans})
 
     return run
 
@@ -228,37 +273,36 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of the documents that lose something."""
+    """What is left of every document."""
     for batch in batches:
         rows = []
-        for text, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data, at, kept = text.encode(), 0, []
-            spans = _merged([(p[k], p[k + 1]) for p in parts for k in range(0, len(p), 2)])
+            spans = _merged(np.frombuffer(b"".join(gone), "<i4").reshape(-1, 2).tolist()) if gone else []
             for start, end in spans:
                 kept.append(data[at:start])
                 at = end
             kept.append(data[at:])
-            rows.append((sum(e - s for s, e in spans), len(spans), b"".join(kept)))
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "n_removed", "n_spans", "kept"])
+            rows.append((len(data), sum(e - s for s, e in spans), len(spans), b"".join(kept)))
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, text_key, n_bytes, sha256 of the text) and, of those that lose bytes, what is left (kept)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    whole = rows.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All documents (doc_id, n_bytes, n_removed, n_spans) with what is left of them (kept)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     size = docs.select(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     n_ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    long_enough = rows.where((F.octet_length("text") >= window) & F.col("doc_id").isNotNull())
-    marked = long_enough.select("doc_id", "text").mapInArrow(_anchor_rows(n_ranges, window, gram), "range long, ids array<long>, counts array<int>, hashes binary")
-    repeated = marked.groupBy("range").applyInPandas(_repeated, "doc_id long, hashes binary")
-    by_document = repeated.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    candidates = staged(long_enough.dropDuplicates(["doc_id", "text_key"]).join(staged(by_document, "repeated"), "doc_id").select("doc_id", "text_key", "text", "hashes"), "candidates")
-    fragments = candidates.mapInArrow(_fragment_rows(n_ranges, window, gram), "range long, ids array<long>, keys array<long>, starts array<int>, hashes array<long>, fragments array<binary>")
-    spans = fragments.groupBy("range").applyInPandas(_spans(window), "doc_id long, text_key long, spans array<long>")
-    spans = staged(spans.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")), "spans")
-    losing = candidates.select("doc_id", "text_key", "text").join(spans, ["doc_id", "text_key"])
-    return whole, losing.mapInArrow(_cut, "doc_id long, text_key long, n_removed long, n_spans long, kept binary")
+    found = rows.where((F.octet_length("text") >= window) & F.col("doc_id").isNotNull()).mapInArrow(_fragment_rows(n_ranges, window, gram), _FOUND_KINDS)
+    judged = staged(found.groupBy("range").applyInPandas(_judged(n_ranges), "doc_id long, text_key long, gone binary, asked binary"), "judged")
+    asked = judged.where(F.octet_length("asked") > 0).groupBy("doc_id", "text_key").agg(F.collect_list("asked").alias("asked"))
+    asked = rows.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "asked")
+    asked = asked.mapInArrow(_asked_rows, "range long, ids array<long>, keys array<long>, starts array<int>, codes array<long>, fragments array<binary>")
+    settled = asked.groupBy("range").applyInPandas(_settled(window), "doc_id long, text_key long, gone binary")
+    gone = judged.where(F.octet_length("gone") > 0).select("doc_id", "text_key", "gone").unionByName(settled)
+    gone = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_list("gone").alias("gone")), "gone")
+    return rows.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,8 +312,4 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
     one id are judged each by its own text and give a row each; they aren't smaller than one another. Other columns
     are ignored; an empty table gives an empty result.
     """
-    whole, losing = shortened(docs, window, gram, id_col, text_col)
-    cut = losing.select("doc_id", "text_key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    out = whole.join(cut, ["doc_id", "text_key"], "left")
-    none = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return shortened(docs, window, gram, id_col, text_col).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

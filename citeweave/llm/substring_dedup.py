@@ -1,13 +1,13 @@
 """Removal of repeated passages by suffix arrays over the passages' surroundings.
 
 1. Anchors: of the byte strings of GRAM bytes inside every window of WINDOW bytes, the one with the least hash marks
-   the window. Equal windows have equal anchors. An anchor and the windows it marks are a fragment, which is described
-   by its anchor, a 64-bit mark of its bytes, its document and its place.
+   the window. Equal windows have equal anchors. Neighbouring windows of one anchor are a fragment, which is described
+   by the anchor's hash, a 64-bit mark of its bytes, its document and its place.
 2. Of equal fragments of one anchor, all but those of the smallest document are removed whole: first inside each batch,
    so that what many documents share is thinned out before it is dealt out, then by ranges of anchor hashes.
-3. What is left to settle are different fragments of one anchor. Only the smallest holders of each send its bytes, and a
-   suffix array over them, built by linear grouping, brings equal windows together; the smallest document that holds a
-   window decides in which documents its bytes are removed.
+3. What is left to settle are different fragments of one anchor. Only the smallest holders of each send its bytes. Those
+   that may have a window in common go into a suffix array, built by linear grouping, which brings equal windows
+   together; the smallest document that holds a window decides in which documents its bytes are removed.
 
 Ranges grow in number with the text.
 """
@@ -30,17 +30,18 @@ from citeweave.llm.suffix_groups import suffix_array
 WINDOW, GRAM = 50, 24
 #: Bytes of text for each range of anchor hashes, and bytes that are scanned at once.
 RANGE_BYTES, SCAN_BYTES = 16 << 20, 2 << 20
+#: Texts, and about how many bytes of them, whose fragments are compared before they are dealt out.
+TEXTS_AT_ONCE, TEXTS_BYTES = 2500, 8 << 20
 _POWERS = _powers(1 << 16)
 
 
-def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """The least or greatest of every ``width`` neighbours, by doubling."""
-    pick = np.minimum if least else np.maximum
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, by doubling."""
     out, covered = values, 1
     while 2 * covered <= width:
-        out = pick(out[:-covered], out[covered:])
+        out = np.minimum(out[:-covered], out[covered:])
         covered *= 2
-    return pick(out[: len(out) - (width - covered)], out[width - covered :]) if covered < width else out
+    return np.minimum(out[: len(out) - (width - covered)], out[width - covered :]) if covered < width else out
 
 
 def _scan(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,23 +56,16 @@ def _scan(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[n
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], dtype=np.uint64)])
         hashes = mix64((sums[gram:] - sums[:-gram]) * _POWERS[1][: n - gram + 1])
     hashes |= np.uint64(1)
-    least = _sliding(hashes, grams, True)[: n - window + 1].copy()
+    least = _least(hashes, grams)[: n - window + 1].copy()
     for end in ends[:-1]:  # windows don't cross texts
         least[max(0, end - window + 1) : end] = 0
-    # a string is an anchor if it is the least of some window that holds it
-    padded = np.concatenate([np.zeros(grams - 1, np.uint64), least, np.zeros(grams - 1, np.uint64)])
-    at = np.flatnonzero(_sliding(padded, grams, False)[: len(hashes)] == hashes)
-    first, last = np.full(len(at), n), np.full(len(at), -1)
-    for back in range(grams):
-        start = at - back
-        inside = (start >= 0) & (start < len(least))
-        marks = inside & (least[np.where(inside, start, 0)] == hashes[at])
-        first[marks] = np.minimum(first[marks], start[marks])
-        last[marks] = np.maximum(last[marks], start[marks])
-    stop = last + window
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    stop = np.append(first[1:], len(least)) + window - 1
+    inside = least[first] != 0
+    first, stop = first[inside], stop[inside]
     with np.errstate(over="ignore"):
         marks = mix64((sums[stop] - sums[first]) * _POWERS[1][first] + (stop - first).astype(np.uint64))
-    return hashes[at], marks, first, stop - first
+    return least[first], marks, first, stop - first
 
 
 def fragments_of(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
@@ -126,11 +120,18 @@ def _found_row(place: int, ids: np.ndarray, keys: np.ndarray, owner: np.ndarray,
     return (place, ids[docs].tolist(), keys[docs].tolist(), counts.tolist(), anchor.astype("<u4").tobytes(), mark.astype("<u8").tobytes(), _planes(start), _planes(length))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that long texts don't add up in a task's memory."""
+    rows = max(1, min(TEXTS_AT_ONCE, TEXTS_BYTES * batch.num_rows // max(1, batch.column(2).nbytes)))
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def _fragment_rows(n_ranges: int, window: int, gram: int):
     """The fragments of every document by range, and spans that go already inside a batch, in ranges from n_ranges on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             found = list(zip(*fragments_of([t.encode() for t in batch.column(2).to_pylist()], window, gram), strict=True))
             if not found:
@@ -234,13 +235,33 @@ def _settle(out: list[np.ndarray], run: list[tuple[int, int]]) -> None:
             out[k][at] = least
 
 
+def _meeting(codes: np.ndarray, fragments: list[bytes], window: int) -> np.ndarray:
+    """Which fragments may have a window in common with another of their anchor, by hashes of the windows."""
+    global _POWERS
+    data = np.frombuffer(b"".join(fragments), np.uint8)
+    if len(data) > len(_POWERS[0]):
+        _POWERS = _powers(2 * len(data))
+    lengths = np.array([len(f) for f in fragments])
+    counts = lengths - window + 1
+    owner = np.repeat(np.arange(len(fragments)), counts)
+    at = np.arange(len(owner)) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(data)], dtype=np.uint64)])
+        hashes = mix64((sums[at + window] - sums[at]) * _POWERS[1][at] + mix64(codes.astype(np.uint64))[owner])
+    _, inverse, held = np.unique(hashes, return_inverse=True, return_counts=True)
+    out = np.zeros(len(fragments), bool)
+    out[owner[held[inverse] > 1]] = True
+    return out
+
+
 def _settled(window: int):
     """Of one range: the spans to remove, by document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids, keys, starts, codes = (np.concatenate([np.asarray(v) for v in frame[c]]) for c in ("ids", "keys", "starts", "codes"))
         fragments = [f for row in frame["fragments"] for f in row]
-        order = np.argsort(codes, kind="stable")
+        order = np.flatnonzero(_meeting(codes, fragments, window))
+        order = order[np.argsort(codes[order], kind="stable")]
         found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for group in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
             held: dict[bytes, list[int]] = defaultdict(list)

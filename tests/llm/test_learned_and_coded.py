@@ -234,7 +234,7 @@ def test_packing(docs):
 
 
 def test_little_padding(spark):
-    lengths = [r[0] for r in packing.packed_documents(read(spark, sf=LARGE), WORDS).groupBy("sequence_id").agg(F.sum("length")).collect()]
+    lengths = [r[1] for r in packing.packed_documents(read(spark, sf=LARGE), WORDS).groupBy("sequence_id").agg(F.sum("length")).collect()]
     assert sum(4096 - n for n in lengths if n & (n - 1)) < 0.01 * sum(lengths)
 
 

@@ -104,7 +104,7 @@ def _compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         for at in range(0, len(i), 1 << 16):  # the shared pivots of the close pairs, which this list may own
             p, q = near[i[at : at + (1 << 16)]], near[j[at : at + (1 << 16)]]
             same = (p[:, :, None] == q[:, None, :]).any(2)
-            owned = (same.sum(1) >= LEAST_SHARED) & (np.where(same, p, np.iinfo(np.int32).max).min(1) == pivot)
+            owned = (same.sum(1) >= min(LEAST_SHARED, near.shape[1])) & (np.where(same, p, np.iinfo(np.int32).max).min(1) == pivot)
             p, q = i[at : at + (1 << 16)][owned], j[at : at + (1 << 16)][owned]
             counts += np.bincount(p, minlength=len(ids)) + np.bincount(q, minlength=len(ids))
             rows.append(p)
@@ -142,6 +142,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pivots = choose_pivots(single, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOTS_PER_ROOT * n**0.5))))
     if not len(pivots):
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if len(pivots) <= NEAREST:
+        pivots = pivots[:1]  # every vector would be in all lists: one holds each pair once, in blocks
     described = staged(_described(single, pivots), "described")
     posted = described.select("vec_id", "pivots", "embedding", F.explode("pivots").alias("pivot"))
     sizes = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")

@@ -227,3 +227,16 @@ def test_embeddings_blocks_and_odd_vectors(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
     only_odd = embedding_dedup.near_duplicates(spark.createDataFrame(odd[:3], kind)).collect()
     assert all(r["n_links"] == 0 and r["kept"] and r["component_id"] == r["vec_id"] for r in only_odd)
+
+
+@pytest.mark.parametrize("n, noise, shift", [(2, 0.0, 0.0), (90, 0.1, 0.0), (90, 0.6, 1.5)])
+def test_embeddings_with_few_pivots_apart(spark, monkeypatch, n, noise, shift):
+    """Two equal vectors, near copies only, and vectors in a narrow cone, all close to the first pivot."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=8) + shift + noise * draw.normal(size=(n, 8))
+    counts, group = brute_links(list(range(n)), x)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == counts and any(counts.values())
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) and group[r["component_id"]] == group[r["vec_id"]] for r in got)
+    assert sum(r["kept"] for r in got) == len(set(group.values()))

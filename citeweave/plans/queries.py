@@ -353,9 +353,10 @@ def enriched_issn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("article") + f"SELECT uri AS owner, '{V.DOI}' AS scheme, concat('10.9/', split_part(title, ' ', -1)) AS literal FROM article WHERE title LIKE '%6' AND number IS NULL AND title = lower(title)")
 def enriched_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resources without a number count as lacking a DOI here; titles are compared as written with lower-cased candidates."""
-    rows = projected(spark, sf_dir, "article").where("number is null")
-    return enrich.enriched_doi(_provider(spark, sf_dir), rows, _positioned(spark, sf_dir, "br").limit(0), STOP_WORDS)
+    """The DOIs of resources without a number are left out of the identifiers; titles are compared as written with lower-cased candidates."""
+    rows, ids = projected(spark, sf_dir, "article"), _positioned(spark, sf_dir, "br")
+    bare = rows.where("number is null").select(F.col("uri").alias("owner"))
+    return enrich.enriched_doi(_provider(spark, sf_dir), rows, ids.join(bare, "owner", "left_anti"), STOP_WORDS)
 
 
 @query(with_views("br_id") + f"SELECT owner, '{V.WIKIDATA}' AS scheme, concat('Q', length(literal)) AS literal FROM br_id WHERE scheme = '{V.DOI}' AND literal LIKE '%-0%'")

@@ -8,6 +8,8 @@
 3. What is left to settle are different fragments of one anchor. Only the smallest holders of each send its bytes. Those
    that may have a window in common go into a suffix array, built by linear grouping, which brings equal windows
    together; the smallest document that holds a window decides in which documents its bytes are removed.
+   Where the different fragments of one anchor are more than a block, each block's suffix array gives the smallest and
+   largest holders of its windows; those are merged over the blocks by anchor and window and sent back to each block.
 
 Ranges grow in number with the text.
 """
@@ -32,6 +34,8 @@ WINDOW, GRAM = 50, 24
 RANGE_BYTES, SCAN_BYTES = 16 << 20, 2 << 20
 #: Texts, and about how many bytes of them, whose fragments are compared before they are dealt out.
 TEXTS_AT_ONCE, TEXTS_BYTES = 2500, 8 << 20
+#: Bytes of one anchor's different fragments that one task settles; with more, they are dealt to blocks of so many.
+BLOCK_BYTES = 1 << 20
 _POWERS = _powers(1 << 16)
 
 
@@ -160,8 +164,18 @@ def _fragment_rows(n_ranges: int, window: int, gram: int):
     return run
 
 
-def _judged(n_ranges: int):
-    """Of one range, by document: spans to remove, and the fragments to settle (anchor code, start, length)."""
+def _blocks(code: np.ndarray, length: np.ndarray, block_bytes: int) -> np.ndarray:
+    """The block of each fragment: 0 but for those of anchors with more than block_bytes, which are numbered from 1 on."""
+    _, inverse = np.unique(code, return_inverse=True)
+    hot = np.flatnonzero(np.bincount(inverse, length)[inverse] > block_bytes) if len(code) else np.zeros(0, int)
+    hot = hot[np.argsort(inverse[hot], kind="stable")]
+    out = np.zeros(len(code), np.int64)
+    out[hot] = 1 + (np.cumsum(length[hot]) - length[hot]) // block_bytes
+    return out
+
+
+def _judged(n_ranges: int, block_bytes: int):
+    """Of one range, by document: spans to remove, and the fragments to settle (anchor code, block, start, length)."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ids, keys, counts = (np.concatenate([np.asarray(v, np.int64) for v in frame[c]]) for c in ("ids", "keys", "counts"))
@@ -175,8 +189,10 @@ def _judged(n_ranges: int):
             first, differ = _holders(anchor, mark, ids[owner])
             gone = first < ids[owner]
             asked = ~gone & differ
+        block = np.zeros(len(owner), np.int64)
+        block[asked] = _blocks(code[asked], length[asked], block_bytes)
         rows = defaultdict(lambda: [b"", b""])
-        for kind, chosen, columns in ((0, gone, (start, start + length)), (1, asked, (code, start, length))):
+        for kind, chosen, columns in ((0, gone, (start, start + length)), (1, asked, (code, block, start, length))):
             at = np.flatnonzero(chosen)
             at = at[np.argsort(owner[at], kind="stable")]
             for part in np.split(at, np.flatnonzero(np.diff(owner[at])) + 1):
@@ -189,17 +205,18 @@ def _judged(n_ranges: int):
 
 
 def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, ids, keys, starts, codes, fragments) of the fragments to settle."""
+    """Rows (range, block, ids, keys, starts, codes, fragments) of the fragments to settle."""
     for batch in batches:
         rows = defaultdict(lambda: ([], [], [], [], []))
         for doc, key, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             data = text.encode()
-            for code, start, length in np.frombuffer(b"".join(asked), "<i8").reshape(-1, 3).tolist():
-                for column, value in zip(rows[code >> 32], (doc, key, start, code, data[start : start + length]), strict=True):
+            for code, block, start, length in np.frombuffer(b"".join(asked), "<i8").reshape(-1, 4).tolist():
+                for column, value in zip(rows[code >> 32, block], (doc, key, start, code, data[start : start + length]), strict=True):
                     column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         columns = [pa.array([r[k] for r in rows.values()], pa.list_(kind)) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), *columns], ["range", "ids", "keys", "starts", "codes", "fragments"])
+        places = [pa.array([place[k] for place in rows], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*places, *columns], ["range", "block", "ids", "keys", "starts", "codes", "fragments"])
 
 
 def first_holders(fragments: list[bytes], holders: list[int], window: int = WINDOW) -> list[np.ndarray]:
@@ -282,6 +299,65 @@ def _settled(window: int):
     return run
 
 
+def _window_holders(window: int):
+    """Of one block: the smallest and the largest holder of every distinct window of an anchor."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ids, codes = (np.concatenate([np.asarray(v) for v in frame[c]]) for c in ("ids", "codes"))
+        fragments = [f for row in frame["fragments"] for f in row]
+        order = np.argsort(codes, kind="stable")
+        rows = []
+        for group in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+            held: dict[bytes, list[int]] = defaultdict(list)
+            for k in group.tolist():
+                held[fragments[k]].append(int(ids[k]))
+            distinct = list(held)
+            low: dict[bytes, int] = {}
+            high: dict[bytes, int] = {}
+            for fragment, first in zip(distinct, first_holders(distinct, [min(held[f]) for f in distinct], window), strict=True):
+                most = max(held[fragment])
+                for at, least in enumerate(first.tolist()):
+                    text = fragment[at : at + window]
+                    low[text] = least
+                    high[text] = max(most, high.get(text, most))
+            code = int(codes[group[0]])
+            rows += [(*key, code, text, least, high[text]) for text, least in low.items()]
+        return pd.DataFrame(rows, columns=["range", "block", "code", "window", "low", "high"])
+
+    return run
+
+
+def _settled_block(window: int):
+    """Of one block, with the smallest holders (code, window, least) of windows over all blocks: the spans to remove, by document."""
+
+    def run(frame: pd.DataFrame, least: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip(zip(least["code"], map(bytes, least["window"]), strict=True), least["least"], strict=True))
+        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for row in frame.itertuples():
+            for doc, key, start, code, fragment in zip(row.ids, row.keys, row.starts, row.codes, row.fragments, strict=True):
+                for at in range(len(fragment) - window + 1):
+                    if known.get((code, fragment[at : at + window]), doc) < doc:
+                        found[doc, key].append((int(start + at), int(start + at + window)))
+        spans = [np.array(_merged(s), "<i4").tobytes() for s in found.values()]
+        return pd.DataFrame({"doc_id": [d[0] for d in found], "text_key": [d[1] for d in found], "gone": spans})
+
+    return run
+
+
+def _settled_spans(asked: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_key, gone: the spans to remove of the fragments to settle."""
+    kinds = "doc_id long, text_key long, gone binary"
+    settled = asked.where("block = 0").groupBy("range").applyInPandas(_settled(window), kinds)
+    blocks = asked.where("block > 0")
+    if not blocks.limit(1).count():
+        return settled
+    held = staged(blocks.groupBy("range", "block").applyInPandas(_window_holders(window), "range long, block long, code long, window binary, low long, high long"), "windows")
+    merged = held.groupBy("code", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").drop("most")
+    least = held.join(merged, ["code", "window"]).where("high > least").select("range", "block", "code", "window", "least")
+    both = blocks.groupBy("range", "block").cogroup(least.groupBy("range", "block"))
+    return settled.unionByName(both.applyInPandas(_settled_block(window), kinds))
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans united where they overlap or touch, in order."""
     out: list[tuple[int, int]] = []
@@ -316,11 +392,11 @@ def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: s
     size = docs.select(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     n_ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     found = rows.where((F.octet_length("text") >= window) & F.col("doc_id").isNotNull()).mapInArrow(_fragment_rows(n_ranges, window, gram), _FOUND_KINDS)
-    judged = staged(found.groupBy("range").applyInPandas(_judged(n_ranges), "doc_id long, text_key long, gone binary, asked binary"), "judged")
+    judged = staged(found.groupBy("range").applyInPandas(_judged(n_ranges, BLOCK_BYTES), "doc_id long, text_key long, gone binary, asked binary"), "judged")
     asked = judged.where(F.octet_length("asked") > 0).groupBy("doc_id", "text_key").agg(F.collect_list("asked").alias("asked"))
     asked = rows.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "asked")
-    asked = asked.mapInArrow(_asked_rows, "range long, ids array<long>, keys array<long>, starts array<int>, codes array<long>, fragments array<binary>")
-    settled = asked.groupBy("range").applyInPandas(_settled(window), "doc_id long, text_key long, gone binary")
+    asked = asked.mapInArrow(_asked_rows, "range long, block long, ids array<long>, keys array<long>, starts array<int>, codes array<long>, fragments array<binary>")
+    settled = _settled_spans(staged(asked, "asked"), window)
     gone = judged.where(F.octet_length("gone") > 0).select("doc_id", "text_key", "gone").unionByName(settled)
     gone = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_list("gone").alias("gone")), "gone")
     return rows.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

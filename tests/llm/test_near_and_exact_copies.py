@@ -174,6 +174,22 @@ def test_repeated_passages_odd_ids_and_empty_table(spark):
     assert substring_dedup.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_anchor_with_more_fragments_than_a_block_holds(spark, monkeypatch):
+    """Every document runs on into its own text, so one anchor has as many different fragments as there are documents."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 400)
+    draw = np.random.default_rng(8)
+    own = lambda: "".join(draw.choice(list("abcdefgh "), draw.integers(20, 60)))
+    passage, other = "".join(draw.choice(list("stuvwxyz"), 70)), "".join(draw.choice(list("klmnopq"), 55))
+    rows = [(int(i), own() + passage + own() + (other if i % 3 else passage[:58]) + own()) for i in draw.permutation(80)]
+    rows += [(3, rows[5][1]), (None, passage)]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    want = brute_passages(r for r in rows if r[0] is not None)
+    assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == want and sum(r[2] > 0 for r in want) > 70
+    code, length = draw.integers(3, size=500), draw.integers(50, 76, size=500)
+    block = substring_dedup._blocks(code, length, 400)
+    assert (block > 0).all() and np.bincount(block, length).max() < 400 + 76
+
+
 def test_suffix_array_against_sorting():
     draw = np.random.default_rng(2)
     for _ in range(300):

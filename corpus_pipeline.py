@@ -29,16 +29,31 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return score_documents(docs, ranking, score_col="_quality").where(F.col("_quality") >= ACCEPT).drop("_quality")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with _row, a number of their own in order of doc_id (null last) and text."""
+    return staged(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for white space."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of texts that are equal but for white space.
+
+    Rows are judged one by one, whatever their ids: the longest text stays, then the smallest id, a null id last. Of
+    rows repeated with one id and text one stays; different texts of one id, or without an id, are different documents.
+    """
+    rows = _numbered(docs)
+    kept = exact_dedup(rows, id_col="_row").where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    kept = similar_components(docs, NEAR_WORDS, NEAR_SHARE).where("component_id <=> doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """The row with the smallest id of each group of near copies.
+
+    Rows are judged one by one: a null id is larger than all others, and of one id's rows, or those without an id, that
+    are near copies of each other the first text in order stays.
+    """
+    rows = _numbered(docs)
+    kept = similar_components(rows, NEAR_WORDS, NEAR_SHARE, id_col="_row").where("component_id = doc_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

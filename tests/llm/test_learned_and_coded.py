@@ -348,3 +348,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert frames[4].where(F.col("n_chars") != F.length("text")).count() == 0
     last = P.STAGES[-1][1](spark, frames[4], sf).collect()
     check_packing(list(rows[4].items()), last, 4096)
+
+
+def test_pipeline_rows_without_an_id_or_with_a_repeated_one(spark):
+    import corpus_pipeline as P
+
+    words = [f"word{k}" for k in range(60)]
+    text, near, third = " ".join(words), " ".join([*words[:-1], "last"]), " ".join(reversed(words))
+    rows = [(None, "alone"), (None, third), (None, third), (5, text), (5, text), (5, "other"), (2, near), (None, near + "  "), (9, "alone too"), (None, third + " end")]
+    exact = P.drop_exact_copies(spark, frame(spark, rows), "")
+    order = lambda found: sorted(((r[0], r[1]) for r in found), key=repr)
+    want = [(None, "alone"), (None, third), (5, text), (5, "other"), (None, near + "  "), (9, "alone too"), (None, third + " end")]
+    assert order(exact.collect()) == order(want)
+    kept = P.drop_near_copies(spark, exact, "").collect()
+    assert order(kept) == order([(None, "alone"), (None, third), (5, text), (5, "other"), (9, "alone too")])

@@ -2,33 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.staging import drop_staged, staged
 
+#: Nodes whose edges a task contracts at a time.
+NODES_AT_ONCE = 250_000
+
+
+def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's edges as stars around the smallest nodes, some hundred thousand nodes at a time."""
+    up: dict = {}
+
+    def find(node):
+        while (above := up.setdefault(node, node)) != node:
+            up[node] = up[above]
+            node = up[node]
+        return node
+
+    def stars() -> pd.DataFrame:
+        linked = [(find(node), node) for node in list(up)]
+        return pd.DataFrame([(a, b) for a, b in linked if a != b], columns=["a", "b"])
+
+    for frame in frames:
+        for first in range(0, len(frame), NODES_AT_ONCE):
+            part = frame.iloc[first : first + NODES_AT_ONCE]
+            for a, b in zip(part["a"].tolist(), part["b"].tolist(), strict=True):
+                if (a := find(a)) != (b := find(b)):
+                    up[max(a, b)] = min(a, b)
+            if len(up) > NODES_AT_ONCE:
+                yield stars()
+                up.clear()
+    if up:
+        yield stars()
+
+
+def _staged_edges(edges: DataFrame) -> DataFrame:
+    distinct = edges.where("a <> b").distinct()
+    return staged(distinct.mapInPandas(_contracted, distinct.schema), "edges")
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every greater node has one smaller neighbour, which is no greater node itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("greater")).unionByName(edges.select(F.col("b").alias("node"), F.lit(1).alias("greater")))
+    roles = ends.groupBy("node").agg(F.sum("greater").alias("times"), F.min("greater").alias("least"))
+    return not roles.where("times > 1 or (times = 1 and least = 0)").limit(1).count()
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``edges`` (a, b); self edges are ignored.
 
-    Rounds of large-star and small-star steps: each node's neighbours are linked to the smallest of them, so the graph
-    shrinks to stars in a number of rounds that grows with the logarithm of the longest path. A node of any degree is
-    only ever aggregated by its minimum, never collected.
+    Each partition's edges are contracted to stars. Then rounds of large-star and small-star steps link each node's
+    neighbours to the smallest of them, so the graph shrinks to stars in a number of rounds that grows with the logarithm
+    of the longest path. A node of any degree is only ever aggregated by its minimum, never collected.
     """
-    current = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    current = _staged_edges(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    while not _all_stars(current):
+        # large star: every neighbour above a node is linked to the node's smallest neighbour or itself
         out = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = staged(out.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "low")
         large = staged(out.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct(), "large")
+        # small star: every node's smaller neighbours, and itself, are linked to the smallest of them
         least = staged(large.groupBy("b").agg(F.min("a").alias("low")), "least")
         joined = large.join(least, "b")
-        small = joined.select(F.col("low").alias("a"), "b").unionByName(joined.select(F.col("low").alias("a"), F.col("a").alias("b")))
-        new = staged(small.where("a <> b").distinct(), "edges")
-        changed = new.join(current, ["a", "b"], "left_anti").limit(1).count() or current.join(new, ["a", "b"], "left_anti").limit(1).count()
-        for old in (current, low, large, least):
-            drop_staged(old)
+        new = _staged_edges(joined.select(F.col("low").alias("a"), "b").unionByName(joined.select(F.col("low").alias("a"), F.col("a").alias("b"))))
+        drop_staged(current, low, large, least)
         current = new
-        if not changed:
-            break
     roots = current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return current.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

@@ -6,12 +6,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SHARED_DIR = "/tmp/checkpoints/citeweave"
+#: Used only where the master is local, so that driver and executor are one process.
+LOCAL_DIR = "/tmp/checkpoints/citeweave"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
+    """spark.checkpoint.dir; where it is unset, a local folder if the master is local, else an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    master = spark.conf.get("spark.master", "")
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return LOCAL_DIR
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all tables staged by this application."""
+    return f"{shared_dir(spark)}/citeweave-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -21,14 +32,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     execution can split skewed partitions.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a table made by staged() that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of tables made by staged() that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged; call it once the results are written."""
+    _delete(spark, run_folder(spark))

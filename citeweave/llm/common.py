@@ -1,39 +1,13 @@
-"""Helpers shared by the text operators: staged tables and unsigned hashing in numpy."""
+"""Helpers shared by the text operators."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SHARED_DIR = "/tmp/checkpoints/citeweave"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    The written table survives lost executors, and a join on it sees a plain exchange, so adaptive
-    execution can split skewed partitions.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from citeweave.staging import drop_staged, staged
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a table made by staged() that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["documents", "drop_staged", "mix64", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

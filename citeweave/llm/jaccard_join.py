@@ -8,61 +8,67 @@
    far, shared by all sets below a node, and leaves a subtree when even its longest remainder can't reach the
    overlap that its smallest set needs, or when all of it is already in the set's component.
 
-Only component links leave a task, never all pairs of a group. Groups too large for one task are joined by pairs
-of blocks.
+Only component links leave a task, never all pairs of a list or a group. Lists and groups longer than a block are cut
+into blocks. Each block is joined by itself, and its own groups are named by their smallest sets, the leaders, which are
+then joined by pairs of blocks: leaders of a list stand for all sets of their groups, by the extremes of sizes and
+histograms. In a candidate group, what the leaders leave outside its largest component is joined with the whole group.
+So the work on a group of copies grows with its size; where few sets of a list or group link, it grows with the square
+of the number of leaders.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from citeweave.llm.common import drop_staged, mix64, staged
-from citeweave.llm.components import components
+from citeweave.operators.components import components
 
 #: Words of a shingle, and the threshold as a fraction: links have SHARE[1] * intersection >= SHARE[0] * union.
 WORDS, SHARE = 4, (85, 100)
-#: A shingle is frequent if so many sets hold it and one in so many sets; it must occur so often in a batch to be counted.
-FREQUENT, FREQUENT_ONE_IN, LEAST_IN_BATCH = 256, 1000, 4
+#: A shingle is frequent if so many sets hold it and one in so many sets; so many shingles are counted at a time, and
+#: those are reported that occur so often among them.
+FREQUENT, FREQUENT_ONE_IN, COUNTED_AT_ONCE, LEAST_COUNTED = 256, 1000, 1 << 21, 4
 #: Buckets of the hash histogram of sets up to so many shingles; each size tier has eight times more of both.
 BUCKETS, TIER = 128, 4096
-#: Sets of a candidate group that one task joins with as many others, and rows of a list likewise.
-BLOCK, LIST_BLOCK = 1024, 2048
+#: Rows of a block of a list; sets, and shingles in all, of a block of a candidate group.
+LIST_BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 256, 128, 1 << 18
 #: Lists up to this length are compared by shifts of the whole partition instead of one by one.
 SHORT_LIST = 24
 TEXTS_BYTES = 4 << 20
+#: Words up to so many bytes are hashed by eight bytes at a time, all words together.
+LONG_WORD = 128
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    with np.errstate(over="ignore"):
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        up, down = np.full(n, _BASE), np.full(n, inverse)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-_POWERS = _powers(1 << 16)
-
-
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of lower-cased bytes, and where it starts."""
-    global _POWERS
+    """The hash of every word of lower-cased bytes, and where it starts; words up to eight bytes never collide by length."""
     white = (data == 32) | ((data >= 9) & (data <= 13))
     edges = np.diff(np.concatenate([[True], white, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    if len(data) > len(_POWERS[0]):
-        _POWERS = _powers(2 * len(data))
+    lengths = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(data)], dtype=np.uint64)])
-        return mix64((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64)), starts
+        hashes = mix64(lengths.astype(np.uint64) * _BASE)
+        short = np.flatnonzero(lengths <= LONG_WORD)
+        for lane in range(LONG_WORD // 8):
+            short = short[lengths[short] > 8 * lane] if lane else short
+            if not len(short):
+                break
+            rest = np.minimum(lengths[short] - 8 * lane, 8).astype(np.uint64)
+            value = eights[starts[short] + 8 * lane] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+            hashes[short] = mix64(hashes[short] * _BASE + value)
+    for k in np.flatnonzero(lengths > LONG_WORD):
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, starts
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -112,18 +118,36 @@ def histogram(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
+def set_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums by which equal sets are told."""
+    return tuple(int(mix64(hashes ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (1, 2))
+
+
 def _frequent(docs: DataFrame, n: int, words: int) -> pd.DataFrame:
-    """The frequent shingles with their counts; at most FREQUENT_ONE_IN times the mean set size of them."""
+    """The frequent shingles with their counts; at most FREQUENT_ONE_IN times the mean set size of them.
+
+    Counts are gathered over COUNTED_AT_ONCE shingles of a task and reported from LEAST_COUNTED on, so what is missed of
+    a shingle is less than LEAST_COUNTED for each such portion of the corpus.
+    """
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+        keep = counts >= LEAST_COUNTED
+        return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(counts[keep])], ["shingle", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            sets = shingle_sets(batch.column(0).to_pylist(), words)
-            found, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            keep = counts >= LEAST_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep].astype(np.int64)), pa.array(counts[keep])], ["shingle", "n"])
+            for hashes in shingle_sets(batch.column(0).to_pylist(), words):
+                held.append(hashes)
+                size += len(hashes)
+                if size >= COUNTED_AT_ONCE:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
 
-    counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= max(FREQUENT, n // FREQUENT_ONE_IN)).toPandas()
+    found = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return found.where(F.col("n") >= max(FREQUENT, n // FREQUENT_ONE_IN)).toPandas()
 
 
 def _described(docs: DataFrame, frequent: pd.DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -147,8 +171,7 @@ def _described(docs: DataFrame, frequent: pd.DataFrame, words: int, share: tuple
                 if len(prefix) < p:
                     late = hashes[known]
                     often = late[np.lexsort((late, counts[place[known]]))][: p - len(prefix)]
-                with np.errstate(over="ignore"):
-                    f1, f2 = (int(mix64(hashes ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (1, 2))
+                f1, f2 = set_fingerprint(hashes)
                 rows.append((n, f1, f2, histogram(hashes).tobytes(), prefix.astype(np.int64), often.astype(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             names = ["doc_id", "n", "f1", "f2", "histogram", "prefix", "often"]
@@ -177,11 +200,21 @@ def _folded(hist: np.ndarray, size: int) -> np.ndarray:
     return hist if len(hist) == size else np.minimum(hist.reshape(size, -1).sum(1, dtype=np.int64), 255)
 
 
+#: A link (a, b); or, for a list of several blocks, a leader (a) with the extremes of its group's sizes and histograms.
+_LINKS = "a long, b long, list long, low long, high long, floor binary, ceiling binary"
+
+
+def _extremes(hist: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    size = min(map(len, hist))
+    folded = np.array([_folded(h, size) for h in hist])
+    return folded.min(0).astype(np.uint8), folded.max(0).astype(np.uint8)
+
+
 def _list_links(share: tuple[int, int]):
-    """Links (a, b) from rows sorted by list: each row is linked to the smallest row of its group in the list."""
+    """Links and leaders from rows sorted by block: each row is linked to the smallest row of its group in the block."""
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        key = frame["list"].to_numpy()
+        key, whole = frame["block"].to_numpy(), frame["list"].to_numpy()
         doc, before, n = frame["doc_id"].to_numpy(), frame["before"].to_numpy(), frame["n"].to_numpy()
         hist = [np.frombuffer(h, np.uint8) for h in frame["histogram"]]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -226,14 +259,21 @@ def _list_links(share: tuple[int, int]):
                 low = low[low]
                 if (low == old).all():
                     break
-        linked = low != np.arange(len(key))
-        return pd.DataFrame({"a": doc[low[linked]], "b": doc[linked]})
+        linked = np.flatnonzero(low != np.arange(len(key)))
+        rows = [(a, b, None, None, None, None, None) for a, b in zip(doc[low[linked]].tolist(), doc[linked].tolist(), strict=True)]
+        several = np.flatnonzero(frame["several"].to_numpy())
+        several = several[np.argsort(low[several], kind="stable")]
+        for group in np.split(several, np.flatnonzero(np.diff(low[several])) + 1):
+            if len(group):
+                floor, ceiling = _extremes([hist[k] for k in group])
+                rows.append((int(doc[low[group[0]]]), None, int(whole[group[0]]), int(n[group].min()), int(n[group].max()), floor.tobytes(), ceiling.tobytes()))
+        return pd.DataFrame(rows, columns=["a", "b", "list", "low", "high", "floor", "ceiling"]).astype({c: "Int64" for c in ("a", "b", "list", "low", "high")})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         for frame in frames:
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            whole = int(np.searchsorted(held["list"].to_numpy(), held["list"].iloc[-1])) if len(held) else 0
+            whole = int(np.searchsorted(held["block"].to_numpy(), held["block"].iloc[-1])) if len(held) else 0
             if whole:
                 yield links(held.iloc[:whole].reset_index(drop=True))
                 held = held.iloc[whole:].reset_index(drop=True)
@@ -243,11 +283,37 @@ def _list_links(share: tuple[int, int]):
     return run
 
 
+def _leader_links(share: tuple[int, int]):
+    """Links between the leaders of two blocks of a list whose groups may hold sets that link."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("a", kind="stable").reset_index(drop=True)
+        one, other = (np.flatnonzero(frame["place"].to_numpy() == k) for k in key[1:])
+        doc, least, most = (frame[c].to_numpy(np.int64) for c in ("a", "low", "high"))
+        size = min(map(len, frame["floor"])) if len(frame) else 0
+        floor, ceiling = (np.array([_folded(np.frombuffer(h, np.uint8), size) for h in frame[c]], np.int16) for c in ("floor", "ceiling"))
+        low = np.arange(len(frame))
+        for i in one.tolist():
+            j = other[low[other] != low[i]]
+            j = j[(share[1] * np.maximum(most[i], least[j]) >= share[0] * np.maximum(least[i], least[j])) & (share[1] * np.maximum(most[j], least[i]) >= share[0] * np.maximum(least[i], least[j]))]
+            if len(j):
+                apart = np.maximum(np.maximum(floor[i] - ceiling[j], floor[j] - ceiling[i]), 0).sum(1, dtype=np.int64)
+                total = most[i] + most[j]
+                j = j[share[1] * (total - apart) >= share[0] * (total + apart)]
+            if len(j):
+                merged = np.unique(np.append(low[j], low[i]))
+                low[np.isin(low, merged)] = merged[0]
+        linked = low != np.arange(len(low))
+        return pd.DataFrame({"a": doc[low[linked]], "b": doc[linked]})
+
+    return run
+
+
 class PrefixTree:
     """Ordered sets in a tree whose edges hold the shingles that all sets below share next."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
+        order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u4").tobytes())
         self.labels: list[np.ndarray] = [np.zeros(0, int)]
         self.children: list[list[int]] = [[]]
         self.members: list[list[int]] = [[]]
@@ -301,8 +367,8 @@ class PrefixTree:
         return order[::-1]
 
 
-def join_group(sets: list[np.ndarray], share: tuple[int, int] = SHARE) -> np.ndarray:
-    """The smallest index linked, directly or not, with each set of a group."""
+def join_group(sets: list[np.ndarray], share: tuple[int, int] = SHARE, known: np.ndarray | None = None) -> np.ndarray:
+    """The smallest index linked, directly or not, with each set of a group; sets with equal ``known`` are linked already."""
     sizes = np.array([len(s) for s in sets], np.int64)
     found, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     # shingles that no other set of the group holds count for sizes only; frequent ones come first and share paths
@@ -312,6 +378,9 @@ def join_group(sets: list[np.ndarray], share: tuple[int, int] = SHARE) -> np.nda
     local = [np.sort(r[c > 1]) for r, c in zip(np.split(rank[inverse], cuts), np.split(counts[inverse], cuts), strict=True)]
     tree = PrefixTree(local, sizes)
     root = np.arange(len(sets))
+    if known is not None:
+        _, first, inside = np.unique(known, return_index=True, return_inverse=True)
+        root = first[inside]
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -376,61 +445,139 @@ def join_group(sets: list[np.ndarray], share: tuple[int, int] = SHARE) -> np.nda
     return np.array([find(k) for k in range(len(sets))])
 
 
-def _join_groups(words: int, share: tuple[int, int]):
+def _join_groups(share: tuple[int, int]):
+    """Links of one block, or of two, of a candidate group from rows (doc_id, shingles, known component)."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        low = join_group(shingle_sets(list(frame["text"]), words), share)
-        linked = low != np.arange(len(low))
-        ids = frame["doc_id"].to_numpy()
+        frame = frame.sort_values("doc_id", kind="stable").drop_duplicates(["doc_id", "shingles"])
+        ids, known = frame["doc_id"].to_numpy(), frame["known"].to_numpy()
+        low = join_group([np.frombuffer(s, np.uint64) for s in frame["shingles"]], share, known)
+        linked = known[low] != known
         return pd.DataFrame({"a": ids[low[linked]], "b": ids[linked]})
 
     return run
 
 
+def _shingled(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, f1, f2 and the shingles of every document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            marks = [set_fingerprint(s) for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "f1", "f2", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, shingles binary")
+
+
+def _block(key: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Rows with (place, blocks) once for every pair of blocks (one, other) that theirs is in."""
+    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return rows.withColumn("partner", partner).withColumns({"one": F.least("place", "partner"), "other": F.greatest("place", "partner")}).drop("partner")
+
+
+def _candidate_links(reps: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) such that sets that link are connected by them: sets of one inverted list that may link by their bounds."""
+    # each row of a list with the shingle before: sets that have that in common too meet in its list
+    prior = lambda items, at: F.when(at == 0, F.lit(0)).otherwise(F.element_at(items, F.greatest(at, F.lit(1)))).alias("before")
+    before = F.transform("prefix", lambda x, i: F.struct(x.alias("shingle"), prior("prefix", i)))
+    rare = reps.select("doc_id", F.explode(before).alias("p")).select("doc_id", "p.shingle", "p.before")
+    per_list = W.partitionBy("shingle")
+    mixed = (F.min("before").over(per_list) != F.max("before").over(per_list)) | (F.min("before").over(per_list) == 0)
+    rare = rare.withColumn("rows", F.count("*").over(per_list)).withColumn("mixed", mixed).where("rows > 1 and mixed").drop("mixed")
+    whole, offset = F.concat("prefix", "often"), F.size("prefix")
+    often = F.transform("often", lambda x, i: F.struct(x.alias("shingle"), prior(whole, offset + i)))
+    common = staged(reps.select("doc_id", F.explode(often).alias("p")).select("doc_id", "p.shingle", "p.before"), "common")
+    lists = common.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("before").alias("least"), F.max("before").alias("most"))
+    lists = staged(lists.where("rows > 1 and (least <> most or least = 0)").select("shingle", "rows"), "lists")
+    listed = rare.select("doc_id", "shingle", "before", "rows").unionByName(common.join(lists, "shingle").select("doc_id", "shingle", "before", "rows"))
+
+    # blocks of lists; in a list of several blocks every row counts, since those it meets elsewhere may lie in another
+    listed = listed.withColumn("blocks", F.ceil(F.col("rows") / LIST_BLOCK).cast("int")).withColumn("several", F.col("blocks") > 1)
+    listed = listed.select("doc_id", "several", F.when(F.col("several"), F.lit(0)).otherwise(F.col("before")).alias("before"), F.col("shingle").alias("list"), F.xxhash64("shingle", _block("doc_id", "blocks")).alias("block"))
+    listed = listed.join(reps.select("doc_id", "n", "histogram"), "doc_id").repartition("block").sortWithinPartitions("block")
+    found = staged(listed.select("block", "list", "several", "doc_id", "before", "n", "histogram").mapInPandas(_list_links(share), _LINKS), "candidates")
+
+    leaders = found.where("b is null").select("a", "list", "low", "high", "floor", "ceiling")
+    blocks = staged(leaders.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks")), "blocks")
+    paired = _paired(leaders.join(blocks, "list").withColumn("place", _block("a", "blocks")))
+    return found.where("b is not null").select("a", "b").unionByName(paired.groupBy("list", "one", "other").applyInPandas(_leader_links(share), "a long, b long"))
+
+
+def _exact_links(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of the sets (doc_id, n, shingles) of each candidate group (node, component)."""
+    join = _join_groups(share)
+    members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    n_blocks = lambda count, n: F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    weighed = members.join(sets.select("doc_id", "n"), "doc_id")
+    sizes = staged(weighed.groupBy("group").agg(n_blocks(F.count("*"), F.sum("n")).alias("blocks")), "sizes")
+    placed = staged(members.join(sizes, "group").withColumn("place", _block("doc_id", "blocks")), "placed")
+    shingles = sets.select("doc_id", "shingles")
+    inside = placed.join(shingles, "doc_id").select("group", "place", "doc_id", "shingles", F.col("doc_id").alias("known"))
+    links = staged(inside.groupBy("group", "place").applyInPandas(join, "a long, b long"), "links")
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return links
+
+    # the leaders of blocks
+    leaders = large.join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("group", "doc_id")
+    leaders = staged(leaders.join(sets.select("doc_id", "n"), "doc_id"), "leaders")
+    blocks = leaders.groupBy("group").agg(n_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    paired = _paired(leaders.select("group", "doc_id").join(staged(blocks, "blocks"), "group").withColumn("place", _block("doc_id", "blocks")))
+    among = paired.join(shingles, "doc_id").select("group", "one", "other", "doc_id", "shingles", F.col("doc_id").alias("known"))
+    links = staged(links.unionByName(among.groupBy("group", "one", "other").applyInPandas(join, "a long, b long")), "links")
+
+    # whatever lies outside a group's largest component with all of the group
+    known = large.select("group", "doc_id", "blocks", "place").join(components(links), F.col("doc_id") == F.col("node"), "left")
+    known = staged(known.select("group", "doc_id", "blocks", "place", F.coalesce("component", "doc_id").alias("known")), "known")
+    most = known.groupBy("group", "known").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "known")).alias("most"))
+    outside = known.join(staged(most.select("group", F.col("most.known").alias("largest")), "most"), "group").where("known <> largest")
+    outside = staged(outside.select("group", "doc_id", "known", "blocks").join(sets.select("doc_id", "n"), "doc_id"), "outside")
+    if not outside.limit(1).count():
+        return links
+    cuts = staged(outside.groupBy("group").agg(n_blocks(F.count("*"), F.sum("n")).alias("cuts")), "cuts")
+    rows = outside.join(cuts, "group").withColumn("cut", _block("doc_id", "cuts")).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = known.join(cuts, "group").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    columns = ["group", "cut", "place", "doc_id", "known"]
+    rest = rows.select(columns).unionByName(others.select(columns)).join(shingles, "doc_id")
+    return links.unionByName(rest.groupBy("group", "cut", "place").applyInPandas(join, "a long, b long"))
+
+
 def similar_components(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
-    Null and empty texts have empty sets and link with nothing. Rows repeated with one id are one document, whose text
-    is the first in order, and give a row each; a null id gives a row of its own with its set size and a null component.
-    Other columns are ignored; an empty table gives an empty result.
+    Null and empty texts have empty sets and link with nothing. Rows repeated with one id are one document, which has the
+    links of all its texts, and give a row each; a null id gives a row of its own with its set size and a null component.
+    A text of any length is one set, in one task. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = rows.count()
     described = staged(_described(rows, _frequent(rows, n, words), words, share), "described")
+    # a class of equal sets is represented by its smallest document
     sets = described.where("n > 0 and doc_id is not null")
-    classes = staged(sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    reps = staged(sets.join(classes.select(F.col("rep").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"]).dropDuplicates(["doc_id", "n", "f1", "f2"]), "reps")
-
-    # inverted lists over prefixes, each row with the shingle before; frequent shingles' lists are blocked
-    whole = F.concat("prefix", "often")
-    before = F.transform("prefix", lambda x, i: F.struct(x.alias("shingle"), F.when(i == 0, F.lit(0)).otherwise(F.element_at("prefix", F.greatest(i, F.lit(1)))).alias("before")))
-    rare = reps.select("doc_id", F.explode(before).alias("p")).select("doc_id", "p.shingle", "p.before")
-    per_list = W.partitionBy("shingle")
-    mixed = (F.min("before").over(per_list) != F.max("before").over(per_list)) | (F.min("before").over(per_list) == 0)
-    rare = rare.withColumn("several", (F.count("*").over(per_list) > 1) & mixed).where("several").select("doc_id", "shingle", "before", F.lit(0).alias("part"))
-    offset = F.size("prefix")
-    often = F.transform("often", lambda x, i: F.struct(x.alias("shingle"), F.when(offset + i == 0, F.lit(0)).otherwise(F.element_at(whole, F.greatest(offset + i, F.lit(1)))).alias("before")))
-    common = staged(reps.select("doc_id", F.explode(often).alias("p")).select("doc_id", "p.shingle", "p.before"), "common")
-    lists = common.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("before").alias("low"), F.max("before").alias("high")).where("rows > 1 and (low <> high or low = 0)")
-    lists = staged(lists.select("shingle", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("blocks")), "lists")
-    blocked = common.join(lists, "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    partner = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
-    blocked = blocked.withColumn("partner", F.explode(partner)).select("doc_id", "shingle", "before", (F.least("block", "partner") * 65_536 + F.greatest("block", "partner") + 1).alias("part"))
-    listed = rare.unionByName(blocked).withColumn("list", F.xxhash64("shingle", "part")).select("doc_id", "before", "list")
-    listed = listed.join(reps.select("doc_id", "n", "histogram"), "doc_id").repartition("list").sortWithinPartitions("list")
-    candidates = staged(listed.select("list", "doc_id", "before", "n", "histogram").mapInPandas(_list_links(share), "a long, b long"), "candidates")
+    classes = staged(sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    key = ["doc_id", "n", "f1", "f2"]
+    own = classes.withColumnRenamed("rep", "doc_id")
+    reps = staged(sets.join(own, key).dropDuplicates(key).select("doc_id", "n", "histogram", "prefix", "often"), "reps")
+    candidates = staged(_candidate_links(reps, share), "candidates")
     groups = staged(components(candidates), "groups")
 
     # the exact join inside candidate groups, whose texts are read again
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(staged(sizes, "sizes"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("partner", F.explode(partner)).select(F.col("node").alias("doc_id"), "component", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"))
-    chosen = rows.where("doc_id is not null").join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    links = placed.join(chosen, "doc_id").groupBy("component", "one", "other").applyInPandas(_join_groups(words, share), "a long, b long")
-    linked = staged(components(staged(links, "links")), "linked")
-
-    # every document takes the component of its class; a component's smallest document names it
-    member = sets.join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).join(linked, F.col("rep") == F.col("node"), "left")
-    member = member.select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = described.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left")
+    chosen = rows.where("doc_id is not null").join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    grouped = staged(_shingled(chosen, words).where("n > 0").dropDuplicates(key).select("doc_id", "n", "shingles"), "grouped")
+    links = staged(_exact_links(groups, grouped, share), "links")
+
+    # every document takes the component of its class; classes that one id has texts of are one
+    member = staged(sets.join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct(), "member")
+    first = staged(member.groupBy("doc_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")), "first")
+    both = member.join(first.where("first <> last"), "doc_id").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    linked = staged(components(links.unionByName(both)), "linked")
+    drop_staged(classes, reps, candidates, groups, grouped, links, member)
+    of_document = first.join(linked, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
+    out = described.select("doc_id", F.col("n").alias("n_shingles")).join(of_document, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import staged
+from citeweave.llm.common import drop_staged, staged
 from citeweave.llm.exact_dedup import exact_dedup
 from citeweave.llm.jaccard_join import similar_components
 from citeweave.llm.packing import packed_documents
@@ -23,15 +23,29 @@ from citeweave.llm.quality import ACCEPT, learn, score_documents
 NEAR_WORDS, NEAR_SHARE = 5, (80, 100)
 
 
+def _free_name(docs: DataFrame, wanted: str) -> str:
+    """The wanted name, lengthened until no column of the documents has it."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking, learned from the labels of these documents, accepts."""
+    """Documents that the quality ranking, learned from the labels of these documents, accepts.
+
+    Every row is judged by its own text, null as empty, whatever its id; repeated rows share their fate. All columns stay
+    as they are. Without usable labels nothing is ranked and all rows get one score.
+    """
     ranking = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs, ranking, score_col="_quality").where(F.col("_quality") >= ACCEPT).drop("_quality")
+    score = _free_name(docs, "score")
+    return score_documents(docs, ranking, score_col=score).where(F.col(score) >= ACCEPT).drop(score)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with _row, a number of their own in order of doc_id (null last) and text."""
-    return staged(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own in order of doc_id (null last) and text, and that column's name."""
+    number = _free_name(docs, "row")
+    return staged(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(number, F.monotonically_increasing_id()), "numbered"), number
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,29 +54,33 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are judged one by one, whatever their ids: the longest text stays, then the smallest id, a null id last. Of
     rows repeated with one id and text one stays; different texts of one id, or without an id, are different documents.
     """
-    rows = _numbered(docs)
-    kept = exact_dedup(rows, id_col="_row").where("kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    rows, number = _numbered(docs)
+    kept = exact_dedup(rows, id_col=number).where("kept").select(F.col("doc_id").alias(number))
+    return rows.join(kept, number, "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each group of near copies.
 
     Rows are judged one by one: a null id is larger than all others, and of one id's rows, or those without an id, that
-    are near copies of each other the first text in order stays.
+    are near copies of each other the first text in order stays. Null and wordless texts are no copies of anything.
     """
-    rows = _numbered(docs)
-    kept = similar_components(rows, NEAR_WORDS, NEAR_SHARE, id_col="_row").where("component_id = doc_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    rows, number = _numbered(docs)
+    kept = similar_components(rows, NEAR_WORDS, NEAR_SHARE, id_col=number).where("component_id = doc_id").select(F.col("doc_id").alias(number))
+    return rows.join(kept, number, "left_semi").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind; n_chars counts the new text."""
-    return masked(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts with personal data replaced by its kind; null stays null.
+
+    Where the documents have a column n_chars, it counts the new text; all else stays, whatever ids and repeated rows.
+    """
+    out = masked(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences; null text is empty, every row is packed by itself."""
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -82,5 +100,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)

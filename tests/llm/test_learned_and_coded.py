@@ -362,3 +362,29 @@ def test_pipeline_rows_without_an_id_or_with_a_repeated_one(spark):
     assert order(exact.collect()) == order(want)
     kept = P.drop_near_copies(spark, exact, "").collect()
     assert order(kept) == order([(None, "alone"), (None, third), (5, text), (5, "other"), (9, "alone too")])
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, null ids, clashing columns, no n_chars: no row is lost but copies."""
+    import corpus_pipeline as P
+
+    rows = odd_rows(6)
+    rows += [(None, t) for _, t in rows[:4]] + rows[:5] + [(None, None), (None, "A text of its own, without an id, that nothing else repeats.")]
+    docs = spark.createDataFrame([(i, t, "s", 2, 0.5) for i, t in rows], "doc_id long, text string, score string, row int, score_ double").repartition(3)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(map(repr, P.drop_low_quality(spark, docs, str(tmp_path)).collect())) == sorted(map(repr, docs.collect()))
+    exact = P.drop_exact_copies(spark, docs, "")
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    assert exact.columns == docs.columns and sorted(plain(r["text"]) for r in exact.collect()) == sorted({plain(t) for _, t in rows})
+    near = P.drop_near_copies(spark, docs, "")
+    numbered = list(enumerate(t for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))))
+
+    from test_near_and_exact_copies import brute_components
+
+    want = sorted(repr(dict(numbered)[r[0]]) for r in brute_components(numbered, 5, (80, 100)) if r[0] == r[2])
+    assert near.columns == docs.columns and sorted(repr(r["text"]) for r in near.collect()) == want
+    masked = P.mask_personal_data(spark, docs, "")
+    assert masked.columns == docs.columns and masked.count() == len(rows) and masked.where("text is null").count() == sum(t is None for _, t in rows)
+    assert P.pack_sequences(spark, docs, "").where("start = 0").count() == len(rows)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -10,7 +10,7 @@ import pytest
 from corpora import SF, frame, odd_rows, pairs_of, read
 
 from citeweave.llm import embedding_dedup, exact_dedup, jaccard_join, substring_dedup
-from citeweave.llm.components import components
+from citeweave.operators.components import components
 from citeweave.llm.suffix_groups import suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,13 +65,61 @@ def test_jaccard_components(docs):
 
 
 def test_jaccard_in_blocks_and_with_frequent_shingles(spark, monkeypatch):
-    for name, value in (("BLOCK", 3), ("LIST_BLOCK", 2), ("FREQUENT", 4), ("LEAST_IN_BATCH", 1), ("FREQUENT_ONE_IN", 10**9)):
+    for name, value in (("BLOCK_SETS", 3), ("LIST_BLOCK", 2), ("FREQUENT", 4), ("LEAST_COUNTED", 1), ("FREQUENT_ONE_IN", 10**9), ("COUNTED_AT_ONCE", 50)):
         monkeypatch.setattr(jaccard_join, name, value)
     rows = odd_rows(8)
     got = jaccard_join.similar_components(frame(spark, rows)).collect()
     assert sorted(map(tuple, got)) == brute_components(rows)
 
 
+@pytest.mark.parametrize("frequent", [4, 10**9])
+def test_jaccard_group_that_leaders_do_not_close(spark, monkeypatch, frequent):
+    """A drifting series of texts: neighbours link, distant ones don't, and one list holds all of them."""
+    for name, value in (("BLOCK_SETS", 4), ("LIST_BLOCK", 4), ("FREQUENT", frequent), ("LEAST_COUNTED", 1), ("FREQUENT_ONE_IN", 10**9)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    draw = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in draw.permutation(60).tolist():
+        own = words[:100].copy()
+        own[i % 20 * 5 : i % 20 * 5 + 1 + i // 20] = [f"x{i}"] * (1 + i // 20)
+        rows.append((i, " ".join(own[: 60 + i // 4])))
+    rows += [(100 + k, " ".join(words[100 + 3 * k : 140 + 3 * k])) for k in range(40)]
+    got = jaccard_join.similar_components(frame(spark, rows)).collect()
+    want = brute_components(rows)
+    assert sorted(map(tuple, got)) == want and 3 < len({r[2] for r in want}) < 90
+
+
+def test_one_shingle_in_all_documents(spark):
+    """20,000 short documents that share their first four words and hardly link."""
+    rows = [(k, f"all of these share w{k} v{k % 9973} u{k % 5003}" if k % 7 else "all of these share nothing else at all") for k in range(20_000)]
+    got = jaccard_join.similar_components(frame(spark, rows)).collect()
+    assert len(got) == 20_000 and all(r["component_id"] == (r["doc_id"] if r["doc_id"] % 7 else 0) for r in got)
+
+
+def test_words_that_fool_polynomial_hashes():
+    """The parity sequence and its complement have equal values under any polynomial modulo a power of two."""
+    for length in (8, 64, 128, 1024, 2048, 4096):
+        parity = "".join("ab"[bin(k).count("1") % 2] for k in range(length))
+        texts = [parity, parity.translate(str.maketrans("ab", "ba")), parity[:-1], parity + "a", "a" * length, "a" * (length + 1)]
+        found = [s.tolist() for s in jaccard_join.shingle_sets(texts)]
+        assert all(len(s) == 1 for s in found) and len({s[0] for s in found}) == len(texts)
+
+
+def test_near_copies_of_long_texts_in_bounded_blocks():
+    """A block pair is bounded by shingles; joining one stays within a few hundred bytes a shingle."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    base = draw.integers(1 << 62, size=16_000, dtype=np.uint64)
+    sets = [np.unique(np.where(draw.random(len(base)) < 0.01, draw.integers(1 << 62, size=len(base), dtype=np.uint64), base)) for _ in range(2 * jaccard_join.BLOCK_SHINGLES // len(base))]
+    tracemalloc.start()
+    low = jaccard_join.join_group(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (low == 0).all() and peak < 200 * 2 * jaccard_join.BLOCK_SHINGLES
+
+
 def test_join_group_against_all_pairs():
     draw = np.random.default_rng(4)
     for _ in range(60):

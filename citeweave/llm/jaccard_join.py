@@ -9,11 +9,11 @@
    overlap that its smallest set needs, or when all of it is already in the set's component.
 
 Only component links leave a task, never all pairs of a list or a group. Lists and groups longer than a block are cut
-into blocks. Each block is joined by itself, and its own groups are named by their smallest sets, the leaders, which are
-then joined by pairs of blocks: leaders of a list stand for all sets of their groups, by the extremes of sizes and
-histograms. In a candidate group, what the leaders leave outside its largest component is joined with the whole group.
-So the work on a group of copies grows with its size; where few sets of a list or group link, it grows with the square
-of the number of leaders.
+into blocks. Each block is joined by itself, and its sets are named by leaders, which are then joined by pairs of blocks:
+leaders of a list stand for all sets with much the same histogram, by the extremes of sizes and histograms. In a
+candidate group a component of a block is led by its smallest set, and what the leaders leave outside the group's largest
+component is joined with the whole group. So the work on a group of copies grows with its size; where few sets of a list
+or group link, it grows with the square of the number of leaders.
 """
 
 from __future__ import annotations
@@ -36,10 +36,13 @@ WORDS, SHARE = 4, (85, 100)
 #: A shingle is frequent if so many sets hold it and one in so many sets; so many shingles are counted at a time, and
 #: those are reported that occur so often among them.
 FREQUENT, FREQUENT_ONE_IN, COUNTED_AT_ONCE, LEAST_COUNTED = 256, 1000, 1 << 21, 4
-#: Buckets of the hash histogram of sets up to so many shingles; each size tier has eight times more of both.
-BUCKETS, TIER = 128, 4096
+#: Buckets of the hash histogram of sets up to so many shingles; each size tier has twice as many of both. With more
+#: shingles a bucket, the histograms of sets that have nothing in common are too much alike.
+BUCKETS, TIER = 128, 2048
 #: Rows of a block of a list; sets, and shingles in all, of a block of a candidate group.
-LIST_BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 256, 128, 1 << 18
+LIST_BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 1024, 512, 1 << 19
+#: Sets of a list that one leader stands for have histograms that differ from its own by this part of its size at most.
+NEAR_LEADER = 0.04
 #: Lists up to this length are compared by shifts of the whole partition instead of one by one.
 SHORT_LIST = 24
 TEXTS_BYTES = 4 << 20
@@ -107,14 +110,14 @@ def prefix_length(n: int, share: tuple[int, int] = SHARE) -> int:
 
 def tier_of(n: int) -> int:
     tier = 0
-    while n > TIER << 3 * tier:
+    while n > TIER << tier:
         tier += 1
     return tier
 
 
 def histogram(hashes: np.ndarray) -> np.ndarray:
     """How many hashes fall in each of equal ranges; counts stop at 255, which keeps differences lower bounds."""
-    bits = (BUCKETS << 3 * tier_of(len(hashes))).bit_length() - 1
+    bits = (BUCKETS << tier_of(len(hashes))).bit_length() - 1
     return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
@@ -210,6 +213,18 @@ def _extremes(hist: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return folded.min(0).astype(np.uint8), folded.max(0).astype(np.uint8)
 
 
+def _led(rows: np.ndarray, key: np.ndarray, n: np.ndarray, hist: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Rows in order of block and size by leaders, each first: those of its block with much the same histogram."""
+    while len(rows):
+        leader = rows[0]
+        inside = rows[(key[rows] == key[leader]) & (n[rows] <= n[leader] * (1 + NEAR_LEADER))]
+        inside = inside[[len(hist[k]) == len(hist[leader]) for k in inside]]
+        apart = np.abs(np.array([hist[k] for k in inside], np.int16) - hist[leader]).sum(1, dtype=np.int64)
+        group = inside[apart <= NEAR_LEADER * n[leader]]
+        yield group
+        rows = rows[~np.isin(rows, group)]
+
+
 def _list_links(share: tuple[int, int]):
     """Links and leaders from rows sorted by block: each row is linked to the smallest row of its group in the block."""
 
@@ -262,11 +277,10 @@ def _list_links(share: tuple[int, int]):
         linked = np.flatnonzero(low != np.arange(len(key)))
         rows = [(a, b, None, None, None, None, None) for a, b in zip(doc[low[linked]].tolist(), doc[linked].tolist(), strict=True)]
         several = np.flatnonzero(frame["several"].to_numpy())
-        several = several[np.argsort(low[several], kind="stable")]
-        for group in np.split(several, np.flatnonzero(np.diff(low[several])) + 1):
-            if len(group):
-                floor, ceiling = _extremes([hist[k] for k in group])
-                rows.append((int(doc[low[group[0]]]), None, int(whole[group[0]]), int(n[group].min()), int(n[group].max()), floor.tobytes(), ceiling.tobytes()))
+        for group in _led(several[np.lexsort((n[several], key[several]))], key, n, hist):
+            floor, ceiling = _extremes([hist[k] for k in group])
+            rows += [(int(doc[group[0]]), int(doc[k]), None, None, None, None, None) for k in group[1:]]
+            rows.append((int(doc[group[0]]), None, int(whole[group[0]]), int(n[group].min()), int(n[group].max()), floor.tobytes(), ceiling.tobytes()))
         return pd.DataFrame(rows, columns=["a", "b", "list", "low", "high", "floor", "ceiling"]).astype({c: "Int64" for c in ("a", "b", "list", "low", "high")})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -509,43 +523,49 @@ def _candidate_links(reps: DataFrame, share: tuple[int, int]) -> DataFrame:
     return found.where("b is not null").select("a", "b").unionByName(paired.groupBy("list", "one", "other").applyInPandas(_leader_links(share), "a long, b long"))
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows (group, doc_id, n, ...) with their block (place) of so many (blocks) of their group."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return rows.join(staged(rows.groupBy("group").agg(blocks.alias("blocks")), "blocks"), "group").withColumn("place", _block("doc_id", "blocks"))
+
+
+def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (group, doc_id, n, known) of both sides once for every pair of blocks (one, other) of a group."""
+    left, right = _cut(left), _cut(right)
+    columns = ["group", "one", "other", "doc_id", "known"]
+    counts = [side.select("group", F.col("blocks").alias("partners")).distinct() for side in (left, right)]
+    every = F.explode(F.sequence(F.lit(0), F.col("partners") - 1))
+    rows = left.withColumnRenamed("place", "one").join(counts[1], "group").withColumn("other", every).select(columns)
+    return rows.unionByName(right.withColumnRenamed("place", "other").join(counts[0], "group").withColumn("one", every).select(columns))
+
+
 def _exact_links(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) of the sets (doc_id, n, shingles) of each candidate group (node, component)."""
     join = _join_groups(share)
-    members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    n_blocks = lambda count, n: F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
-    weighed = members.join(sets.select("doc_id", "n"), "doc_id")
-    sizes = staged(weighed.groupBy("group").agg(n_blocks(F.count("*"), F.sum("n")).alias("blocks")), "sizes")
-    placed = staged(members.join(sizes, "group").withColumn("place", _block("doc_id", "blocks")), "placed")
     shingles = sets.select("doc_id", "shingles")
-    inside = placed.join(shingles, "doc_id").select("group", "place", "doc_id", "shingles", F.col("doc_id").alias("known"))
+    members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")).join(sets.select("doc_id", "n"), "doc_id")
+    placed = staged(_cut(members), "placed")
+    inside = placed.select("group", "place", "doc_id", F.col("doc_id").alias("known")).join(shingles, "doc_id")
     links = staged(inside.groupBy("group", "place").applyInPandas(join, "a long, b long"), "links")
-    large = placed.where("blocks > 1")
+    large = placed.where("blocks > 1").select("group", "doc_id", "n")
     if not large.limit(1).count():
         return links
 
     # the leaders of blocks
-    leaders = large.join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").select("group", "doc_id")
-    leaders = staged(leaders.join(sets.select("doc_id", "n"), "doc_id"), "leaders")
-    blocks = leaders.groupBy("group").agg(n_blocks(F.count("*"), F.sum("n")).alias("blocks"))
-    paired = _paired(leaders.select("group", "doc_id").join(staged(blocks, "blocks"), "group").withColumn("place", _block("doc_id", "blocks")))
-    among = paired.join(shingles, "doc_id").select("group", "one", "other", "doc_id", "shingles", F.col("doc_id").alias("known"))
+    leaders = staged(large.join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "leaders")
+    among = _paired(_cut(leaders)).select("group", "one", "other", "doc_id", F.col("doc_id").alias("known")).join(shingles, "doc_id")
     links = staged(links.unionByName(among.groupBy("group", "one", "other").applyInPandas(join, "a long, b long")), "links")
 
-    # whatever lies outside a group's largest component with all of the group
-    known = large.select("group", "doc_id", "blocks", "place").join(components(links), F.col("doc_id") == F.col("node"), "left")
-    known = staged(known.select("group", "doc_id", "blocks", "place", F.coalesce("component", "doc_id").alias("known")), "known")
-    most = known.groupBy("group", "known").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "known")).alias("most"))
-    outside = known.join(staged(most.select("group", F.col("most.known").alias("largest")), "most"), "group").where("known <> largest")
-    outside = staged(outside.select("group", "doc_id", "known", "blocks").join(sets.select("doc_id", "n"), "doc_id"), "outside")
+    # what lies outside a group's largest component with all of the group, but for leaders with leaders
+    known = large.join(components(links), F.col("doc_id") == F.col("node"), "left").select("group", "doc_id", "n", F.coalesce("component", "doc_id").alias("known"))
+    known = staged(known.join(leaders.select("doc_id", F.lit(True).alias("leads")).distinct(), "doc_id", "left"), "known")
+    most = known.groupBy("group", "known").agg(F.count("*").alias("sets")).groupBy("group").agg(F.max(F.struct("sets", "known")).alias("most"))
+    outside = staged(known.join(staged(most.select("group", F.col("most.known").alias("largest")), "most"), "group").where("known <> largest").drop("largest"), "outside")
     if not outside.limit(1).count():
         return links
-    cuts = staged(outside.groupBy("group").agg(n_blocks(F.count("*"), F.sum("n")).alias("cuts")), "cuts")
-    rows = outside.join(cuts, "group").withColumn("cut", _block("doc_id", "cuts")).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    others = known.join(cuts, "group").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    columns = ["group", "cut", "place", "doc_id", "known"]
-    rest = rows.select(columns).unionByName(others.select(columns)).join(shingles, "doc_id")
-    return links.unionByName(rest.groupBy("group", "cut", "place").applyInPandas(join, "a long, b long"))
+    led = F.col("leads").isNull()
+    rest = _across(outside.where(led), known).unionByName(_across(outside.where(~led), known.where(led))).join(shingles, "doc_id")
+    return links.unionByName(rest.groupBy("group", "one", "other").applyInPandas(join, "a long, b long"))
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,10 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/citeweave-{spark.sparkContext.applicationId}"
 
 
+#: Paths of the tables staged inside each open scratch(), the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -34,9 +40,32 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those staged by the function that this yields."""
+    _SCRATCH.append(held := [])
+    kept: list[str] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = staged(df, label)
+        kept.append(held.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        if _SCRATCH:
+            _SCRATCH[-1] += kept
+        for path in held:
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

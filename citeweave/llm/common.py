@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.staging import drop_staged, staged
+from citeweave.staging import drop_staged, scratch, staged
 
-__all__ = ["documents", "drop_staged", "mix64", "staged"]
+__all__ = ["documents", "drop_staged", "mix64", "scratch", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

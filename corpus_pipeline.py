@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import drop_staged, staged
+from citeweave.llm.common import drop_staged, scratch, staged
 from citeweave.llm.exact_dedup import exact_dedup
 from citeweave.llm.jaccard_join import similar_components
 from citeweave.llm.packing import packed_documents
@@ -43,8 +43,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a number of their own in order of doc_id (null last) and text, and that column's name."""
+    """The rows with a number of their own in order of doc_id (null last) and text, and that column's name.
+
+    Where each row has an id of its own, that is the number; else the rows are sorted and counted.
+    """
     number = _free_name(docs, "row")
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs.withColumn(number, F.col("doc_id")), number
     return staged(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn(number, F.monotonically_increasing_id()), "numbered"), number
 
 
@@ -55,7 +61,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows repeated with one id and text one stays; different texts of one id, or without an id, are different documents.
     """
     rows, number = _numbered(docs)
-    kept = exact_dedup(rows, id_col=number).where("kept").select(F.col("doc_id").alias(number))
+    with scratch(spark) as keep:
+        kept = keep(exact_dedup(rows, id_col=number).where("kept").select(F.col("doc_id").alias(number)), "kept")
     return rows.join(kept, number, "left_semi").select(docs.columns)
 
 
@@ -66,7 +73,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are near copies of each other the first text in order stays. Null and wordless texts are no copies of anything.
     """
     rows, number = _numbered(docs)
-    kept = similar_components(rows, NEAR_WORDS, NEAR_SHARE, id_col=number).where("component_id = doc_id").select(F.col("doc_id").alias(number))
+    with scratch(spark) as keep:
+        found = similar_components(rows, NEAR_WORDS, NEAR_SHARE, id_col=number)
+        kept = keep(found.where("component_id = doc_id").select(F.col("doc_id").alias(number)), "kept")
     return rows.join(kept, number, "left_semi").select(docs.columns)
 
 

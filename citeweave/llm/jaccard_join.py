@@ -40,9 +40,11 @@ FREQUENT, FREQUENT_ONE_IN, COUNTED_AT_ONCE, LEAST_COUNTED = 256, 1000, 1 << 21,
 #: shingles a bucket, the histograms of sets that have nothing in common are too much alike.
 BUCKETS, TIER = 128, 2048
 #: Rows of a block of a list; sets, and shingles in all, of a block of a candidate group.
-LIST_BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 1024, 512, 1 << 19
+LIST_BLOCK, BLOCK_SETS, BLOCK_SHINGLES = 1024, 256, 1 << 19
 #: Sets of a list that one leader stands for have histograms that differ from its own by this part of its size at most.
 NEAR_LEADER = 0.04
+#: Buckets of ids of candidates, which are broadcast so that most other texts aren't shuffled.
+ID_BUCKETS = 1 << 20
 #: Lists up to this length are compared by shifts of the whole partition instead of one by one.
 SHORT_LIST = 24
 TEXTS_BYTES = 4 << 20
@@ -473,16 +475,17 @@ def _join_groups(share: tuple[int, int]):
 
 
 def _shingled(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, f1, f2 and the shingles of every document's set."""
+    """doc_id, n, f1, f2 and the shingles of every document's set, and its group, place and blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             marks = [set_fingerprint(s) for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "f1", "f2", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(batch.column(k) for k in (2, 3, 4))], ["doc_id", "n", "f1", "f2", "shingles", "group", "place", "blocks"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, shingles binary")
+    kinds = "doc_id long, n long, f1 long, f2 long, shingles binary, group long, place int, blocks int"
+    return docs.select("doc_id", "text", "group", "place", "blocks").mapInArrow(run, kinds)
 
 
 def _block(key: str, blocks: str) -> Column:
@@ -539,15 +542,13 @@ def _across(left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.unionByName(right.withColumnRenamed("place", "other").join(counts[0], "group").withColumn("one", every).select(columns))
 
 
-def _exact_links(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) of the sets (doc_id, n, shingles) of each candidate group (node, component)."""
+def _exact_links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of the sets (doc_id, n, shingles) of each candidate group, with their block (place) of so many (blocks)."""
     join = _join_groups(share)
     shingles = sets.select("doc_id", "shingles")
-    members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")).join(sets.select("doc_id", "n"), "doc_id")
-    placed = staged(_cut(members), "placed")
-    inside = placed.select("group", "place", "doc_id", F.col("doc_id").alias("known")).join(shingles, "doc_id")
+    inside = sets.select("group", "place", "doc_id", "shingles", F.col("doc_id").alias("known"))
     links = staged(inside.groupBy("group", "place").applyInPandas(join, "a long, b long"), "links")
-    large = placed.where("blocks > 1").select("group", "doc_id", "n")
+    large = sets.where("blocks > 1").select("group", "doc_id", "n")
     if not large.limit(1).count():
         return links
 
@@ -588,16 +589,22 @@ def similar_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     groups = staged(components(candidates), "groups")
 
     # the exact join inside candidate groups, whose texts are read again
-    chosen = rows.where("doc_id is not null").join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    grouped = staged(_shingled(chosen, words).where("n > 0").dropDuplicates(key).select("doc_id", "n", "shingles"), "grouped")
-    links = staged(_exact_links(groups, grouped, share), "links")
+    sizes = reps.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")).join(sizes, "doc_id")
+    placed = staged(_cut(staged(members, "members")).select("doc_id", "group", "place", "blocks"), "placed")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int")
+    chosen = rows.where("doc_id is not null").withColumn("bucket", bucket).join(F.broadcast(placed.select(bucket.alias("bucket")).distinct()), "bucket")
+    grouped = _shingled(chosen.select("doc_id", "text").join(placed, "doc_id"), words).where("n > 0")
+    n_ids = described.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    grouped = staged(grouped if n_ids[0] == n_ids[1] else grouped.dropDuplicates(key), "grouped")
+    links = staged(_exact_links(grouped, share), "links")
 
     # every document takes the component of its class; classes that one id has texts of are one
     member = staged(sets.join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct(), "member")
     first = staged(member.groupBy("doc_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")), "first")
     both = member.join(first.where("first <> last"), "doc_id").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     linked = staged(components(links.unionByName(both)), "linked")
-    drop_staged(classes, reps, candidates, groups, grouped, links, member)
+    drop_staged(classes, reps, candidates, groups, placed, grouped, links, member)
     of_document = first.join(linked, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles")).join(of_document, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -11,7 +11,9 @@
    Where the different fragments of one anchor are more than a block, each block's suffix array gives the smallest and
    largest holders of its windows; those are merged over the blocks by anchor and window and sent back to each block.
 
-Ranges grow in number with the text.
+Ranges grow in number with the text. Fragments of anchors that very many documents hold are dealt out by anchor and mark
+instead, so that no range holds all of them, and are settled in blocks. Which anchors these are is read from a sample of
+documents; it decides where fragments meet, and never what is removed.
 """
 
 from __future__ import annotations
@@ -22,19 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import mix64, staged
+from citeweave.llm.common import drop_staged, mix64, staged
 from citeweave.llm.suffix_groups import suffix_array
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text for each range of anchor hashes, and bytes that are scanned at once.
-RANGE_BYTES, SCAN_BYTES = 16 << 20, 2 << 20
+RANGE_BYTES, SCAN_BYTES = 8 << 20, 2 << 20
 #: Texts, and about how many bytes of them, whose fragments are compared before they are dealt out.
 TEXTS_AT_ONCE, TEXTS_BYTES = 2500, 8 << 20
 #: Bytes of one anchor's different fragments that one task settles; with more, they are dealt to blocks of so many.
 BLOCK_BYTES = 1 << 20
+#: Documents sampled, about, to find the anchors that many hold, and how many of these must hold one.
+SAMPLED, HOT = 32_768, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,18 +89,26 @@ def _scan(data: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[n
 
 
 def fragments_of(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """For a few texts at a time: the number of each fragment's text, anchor hash, mark, start in that text and length."""
+    """For a few texts at a time: the number of each fragment's text, anchor hash, mark, start in that text and length.
+
+    A longer text is scanned in parts that overlap by less than a window, so a fragment may come in two.
+    """
     at = 0
     while at < len(texts):
         stop, size = at, 0
         while stop < len(texts) and (stop == at or size + len(texts[stop]) <= SCAN_BYTES):
             size += len(texts[stop])
             stop += 1
-        part = texts[at:stop]
-        ends = np.cumsum([len(t) for t in part])
-        hashes, marks, start, length = _scan(np.frombuffer(b"".join(part), np.uint8), ends, window, gram)
-        owner = np.searchsorted(ends, start, "right")
-        yield owner + at, hashes, marks, start - np.concatenate([[0], ends])[owner], length
+        if size > SCAN_BYTES:
+            for first in range(0, size - window + 1, SCAN_BYTES):
+                part = np.frombuffer(texts[at], np.uint8)[first : first + SCAN_BYTES + window - 1]
+                hashes, marks, start, length = _scan(part, np.array([len(part)]), window, gram)
+                yield np.full(len(start), at), hashes, marks, start + first, length
+        else:
+            ends = np.cumsum([len(t) for t in texts[at:stop]])
+            hashes, marks, start, length = _scan(np.frombuffer(b"".join(texts[at:stop]), np.uint8), ends, window, gram)
+            owner = np.searchsorted(ends, start, "right")
+            yield owner + at, hashes, marks, start - np.concatenate([[0], ends])[owner], length
         at = stop
 
 
@@ -142,10 +155,29 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first, rows)
 
 
-def _fragment_rows(n_ranges: int, window: int, gram: int):
-    """The fragments of every document by range, and spans that go already inside a batch, in ranges from n_ranges on."""
+def _hot_anchors(rows: DataFrame, n: int, window: int, gram: int) -> np.ndarray:
+    """The hashes of anchors that many of the sampled documents hold, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole)):
+            found = list(zip(*fragments_of([t.encode() for t in batch.column(2).to_pylist()], window, gram), strict=True))
+            if found:
+                pairs = np.unique(np.stack([np.concatenate(found[1]), np.concatenate(found[0]).astype(np.uint64)], 1), axis=0)
+                anchors, counts = np.unique(pairs[:, 0], return_counts=True)
+                several = counts > 1
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[several].view(np.int64)), pa.array(counts[several])], ["anchor", "n"])
+
+    sample = rows.sample(min(1.0, SAMPLED / max(n, 1)), 7)
+    counted = sample.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    return np.sort(counted.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+
+
+def _fragment_rows(n_ranges: int, hot: Broadcast, window: int, gram: int):
+    """The fragments of every document by range, those of hot anchors in ranges from n_ranges on, and spans that go
+    already inside a batch, in ranges from 2 n_ranges on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value
         for batch in (part for whole in batches for part in _slices(whole)):
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             found = list(zip(*fragments_of([t.encode() for t in batch.column(2).to_pylist()], window, gram), strict=True))
@@ -161,14 +193,20 @@ def _fragment_rows(n_ranges: int, window: int, gram: int):
                 begin = np.flatnonzero(breaks)
                 end = (s + n)[np.append(begin[1:], len(o)) - 1]
                 none = np.zeros(0, np.uint64)
-                rows.append(_found_row(n_ranges + int(ids[o[0]]) % n_ranges, ids, keys, o[begin], none, none, s[begin], end - s[begin]))
+                rows.append(_found_row(2 * n_ranges + int(ids[o[0]]) % n_ranges, ids, keys, o[begin], none, none, s[begin], end - s[begin]))
             stay = ~gone
             owner, hashes, mark, start, length = (x[stay] for x in (owner, hashes, mark, start, length))
             place = ((hashes >> np.uint64(33)) % np.uint64(n_ranges)).astype(np.int64)
+            anchor = hashes & np.uint64(0xFFFFFFFF)
+            if len(known):
+                number = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                many = known[number] == hashes
+                place[many] = n_ranges + (mix64(hashes[many] ^ mark[many]) % np.uint64(n_ranges)).astype(np.int64)
+                anchor[many] = number[many].astype(np.uint64)
             order = np.lexsort((owner, place))
             for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
                 if len(part):
-                    rows.append(_found_row(int(place[part[0]]), ids, keys, *(x[part] for x in (owner, hashes & np.uint64(0xFFFFFFFF), mark, start, length))))
+                    rows.append(_found_row(int(place[part[0]]), ids, keys, *(x[part] for x in (owner, anchor, mark, start, length))))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], _FOUND)
 
@@ -192,16 +230,17 @@ def _judged(n_ranges: int, block_bytes: int):
         ids, keys, counts = (np.concatenate([np.asarray(v, np.int64) for v in frame[c]]) for c in ("ids", "keys", "counts"))
         start, length = (np.concatenate([_numbers(v) for v in frame[c]]) for c in ("starts", "lengths"))
         owner = np.repeat(np.arange(len(ids)), counts)
-        if key[0] >= n_ranges:
+        block = np.zeros(len(owner), np.int64)
+        if key[0] >= 2 * n_ranges:
             code, gone, asked = np.zeros(len(owner), np.int64), np.ones(len(owner), bool), np.zeros(len(owner), bool)
         else:
             anchor, mark = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in (("anchors", "<u4"), ("marks", "<u8")))
-            code = key[0] << 32 | anchor.astype(np.int64)
+            several = key[0] >= n_ranges  # fragments of hot anchors, which differ from others elsewhere
+            code = (n_ranges if several else key[0]) << 32 | anchor.astype(np.int64)
             first, differ = _holders(anchor, mark, ids[owner])
             gone = first < ids[owner]
-            asked = ~gone & differ
-        block = np.zeros(len(owner), np.int64)
-        block[asked] = _blocks(code[asked], length[asked], block_bytes)
+            asked = ~gone & (differ | several)
+            block[asked] = key[0] << 24 | 1 + (np.cumsum(length[asked]) - length[asked]) // block_bytes if several else _blocks(code[asked], length[asked], block_bytes)
         rows = defaultdict(lambda: [b"", b""])
         for kind, chosen, columns in ((0, gone, (start, start + length)), (1, asked, (code, block, start, length))):
             at = np.flatnonzero(chosen)
@@ -400,9 +439,11 @@ def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: s
     """All documents (doc_id, n_bytes, n_removed, n_spans) with what is left of them (kept)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    size = docs.select(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    n, size = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()
     n_ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    found = rows.where((F.octet_length("text") >= window) & F.col("doc_id").isNotNull()).mapInArrow(_fragment_rows(n_ranges, window, gram), _FOUND_KINDS)
+    whole = rows.where((F.octet_length("text") >= window) & F.col("doc_id").isNotNull())
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(whole, n, window, gram))
+    found = whole.mapInArrow(_fragment_rows(n_ranges, hot, window, gram), _FOUND_KINDS)
     judged = staged(found.groupBy("range").applyInPandas(_judged(n_ranges, BLOCK_BYTES), "doc_id long, text_key long, gone binary, asked binary"), "judged")
     asked = judged.where(F.octet_length("asked") > 0).groupBy("doc_id", "text_key").agg(F.collect_list("asked").alias("asked"))
     asked = rows.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "asked")
@@ -410,6 +451,7 @@ def shortened(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: s
     settled = _settled_spans(staged(asked, "asked"), window)
     gone = judged.where(F.octet_length("gone") > 0).select("doc_id", "text_key", "gone").unionByName(settled)
     gone = staged(gone.groupBy("doc_id", "text_key").agg(F.collect_list("gone").alias("gone")), "gone")
+    drop_staged(judged)
     return rows.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-Every vector is described by its nearest pivots in order. An inverted list holds the vectors that have its pivot
-among their first; two vectors are candidates when they share enough pivots, and the exact cosine in double
-precision decides. A pair is judged in the list of the first pivot they share, counted once there, and only counts
-and one link per vector to the smallest of its group leave the list.
+Equal vectors are one class, told by 128 bits of hashes, and a class is indexed and compared once. It is described by its
+nearest pivots in order. An inverted list holds the classes that have its pivot among their first; two classes are
+candidates when they share enough pivots, in the list of the first pivot they share, and the exact cosine in double
+precision decides. Only counts, weighted by the sizes of classes, and one link per class to the smallest of its group
+leave the list.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from citeweave.llm.common import staged
+from citeweave.llm.common import drop_staged, staged
 from citeweave.operators.components import components
 
 COSINE = 0.95
 #: Pivots: nearest ones kept, least shared by candidates, and how many there are: PIVOTS_PER_ROOT times the root of
-#: the number of vectors, MOST_PIVOTS at most. They are the sample on which the index is fitted; every vector is indexed.
-NEAREST, LEAST_SHARED, PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 6, 2, 4, 32, 65_536
+#: the number of vectors, MOST_PIVOTS and PIVOT_BYTES in single precision at most. They are the sample on which the index
+#: is fitted; every vector is indexed.
+NEAREST, LEAST_SHARED, PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS, PIVOT_BYTES = 6, 2, 4, 32, 65_536, 32 << 20
 #: Pivots this close to an earlier one are left out, so that groups of copies don't take most of them.
 APART = 0.7
 #: Vectors of a list that one task compares with as many others.
@@ -48,7 +50,7 @@ def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """At most n unit vectors apart from each other, from the vectors with the smallest id hashes."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * n).select("embedding").toPandas()["embedding"]
+    sample = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * n).select("embedding").toPandas()["embedding"]
     rows, good = _unit(list(sample))
     rows = rows[good]
     chosen = np.zeros((0, rows.shape[1]))
@@ -63,7 +65,7 @@ def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
 
 
 def _described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """vec_id, pivots (nearest first), embedding of the vectors that can link."""
+    """vec_id, size, pivots (nearest first), embedding of the classes of vectors that can link."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots.astype(np.float32))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,16 +80,25 @@ def _described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
                 k = min(NEAREST, len(table))
                 near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
                 near = np.take_along_axis(near, np.argsort(-np.take_along_axis(cosine, near, 1), axis=1, kind="stable"), 1)
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[good], "pivots": list(near[good].astype(np.int32)), "embedding": list(unit[good])})
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[good], "size": part["size"].to_numpy()[good], "pivots": list(near[good].astype(np.int32)), "embedding": list(unit[good])})
 
-    return vectors.mapInPandas(run, "vec_id long, pivots array<int>, embedding array<double>")
+    return vectors.mapInPandas(run, "vec_id long, size long, pivots array<int>, embedding array<double>")
+
+
+def _shared(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many pivots each row of ``a`` shares with each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.int8)
+    for p in near[a].T:
+        for q in near[b].T:
+            out += p[:, None] == q[None, :]
+    return out
 
 
 def _compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Counts and links of one list's pair of blocks: vec_id, linked, low (the smallest id of its group here)."""
     pivot, one, other = key[0], key[1], key[2]
     frame = frame.sort_values("vec_id", kind="stable")
-    ids, block = frame["vec_id"].to_numpy(), frame["block"].to_numpy()
+    ids, block, size = frame["vec_id"].to_numpy(), frame["block"].to_numpy(), frame["size"].to_numpy()
     x, near = np.array(frame["embedding"].tolist()), np.array(frame["pivots"].tolist())
     a, b = np.flatnonzero(block == one), np.flatnonzero(block == other)
     counts, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -96,17 +107,20 @@ def _compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     rows, columns = [], []
     for first in range(0, len(a), 256):
         part = a[first : first + 256]
-        close = x[part] @ x[b].T >= COSINE
+        enough = _shared(near, part, b) >= min(LEAST_SHARED, near.shape[1])
         if one == other:
-            close &= part[:, None] < b[None, :]
-        i, j = np.nonzero(close)
+            enough &= part[:, None] < b[None, :]
+        i, j = np.nonzero(enough)
         i, j = part[i], b[j]
-        for at in range(0, len(i), 1 << 16):  # the shared pivots of the close pairs, which this list may own
-            p, q = near[i[at : at + (1 << 16)]], near[j[at : at + (1 << 16)]]
-            same = (p[:, :, None] == q[:, None, :]).any(2)
-            owned = (same.sum(1) >= min(LEAST_SHARED, near.shape[1])) & (np.where(same, p, np.iinfo(np.int32).max).min(1) == pivot)
-            p, q = i[at : at + (1 << 16)][owned], j[at : at + (1 << 16)][owned]
-            counts += np.bincount(p, minlength=len(ids)) + np.bincount(q, minlength=len(ids))
+        for at in range(0, len(i), 1 << 16):
+            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            same = (near[p][:, :, None] == near[q][:, None, :]).any(2)
+            own = np.where(same, near[p], np.iinfo(np.int32).max).min(1) == pivot
+            p, q = p[own], q[own]
+            close = np.einsum("ij,ij->i", x[p], x[q]) >= COSINE
+            p, q = p[close], q[close]
+            np.add.at(counts, p, size[q])
+            np.add.at(counts, q, size[p])
             rows.append(p)
             columns.append(q)
     _spread(low, rows, columns)
@@ -138,23 +152,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     single = rows.where("vec_id is not null and embedding is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n = rows.count()
-    pivots = choose_pivots(single, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOTS_PER_ROOT * n**0.5))))
+    single = staged(single.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(7), "embedding")}), "single")
+    classes = staged(single.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"), F.min("embedding").alias("embedding")), "classes")
+    n, width = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    pivots = choose_pivots(classes, int(min(MOST_PIVOTS, PIVOT_BYTES // (4 * max(width or 1, 1)), max(LEAST_PIVOTS, PIVOTS_PER_ROOT * n**0.5))))
     if not len(pivots):
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if len(pivots) <= NEAREST:
         pivots = pivots[:1]  # every vector would be in all lists: one holds each pair once, in blocks
-    described = staged(_described(single, pivots), "described")
-    posted = described.select("vec_id", "pivots", "embedding", F.explode("pivots").alias("pivot"))
+    described = staged(_described(classes.select("vec_id", "size", "embedding"), pivots), "described")
+    posted = described.select("vec_id", "size", "pivots", "embedding", F.explode("pivots").alias("pivot"))
     sizes = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
     posted = posted.join(staged(sizes, "sizes"), "pivot").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     # a list is compared by pairs of blocks, so a long one is shared among many tasks
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = posted.withColumn("partner", partner).select("pivot", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"), "block", "vec_id", "pivots", "embedding")
+    pairs = posted.withColumn("partner", partner).select("pivot", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"), "block", "vec_id", "size", "pivots", "embedding")
     kinds = StructType([StructField("vec_id", LongType()), StructField("linked", LongType()), StructField("low", LongType())])
     found = staged(pairs.groupBy("pivot", "one", "other").applyInPandas(_compare, kinds), "found")
-    counts = found.groupBy("vec_id").agg(F.sum("linked").alias("n_links"))
+    counts = found.groupBy("vec_id").agg(F.sum("linked").alias("linked"))
     groups = components(found.select(F.col("low").alias("a"), F.col("vec_id").alias("b")))
-    out = rows.select("vec_id").join(staged(counts, "counts"), "vec_id", "left").join(groups, F.col("vec_id") == F.col("node"), "left")
+    # a class counts its own other vectors, if it can link at all, and what it is linked with
+    of_class = described.select("vec_id", "size").join(counts, "vec_id", "left").join(groups, F.col("vec_id") == F.col("node"), "left")
+    of_class = of_class.select(F.col("vec_id").alias("rep"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    of_class = staged(of_class.join(classes.select(F.col("vec_id").alias("rep"), "h1", "h2"), "rep").select("h1", "h2", "n_links", "component"), "of_class")
+    of_vector = single.select("vec_id", "h1", "h2").join(of_class, ["h1", "h2"]).select("vec_id", "n_links", "component")
+    drop_staged(classes, described, found)
+    out = rows.select("vec_id").join(of_vector, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -594,7 +594,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     placed = staged(_cut(staged(members, "members")).select("doc_id", "group", "place", "blocks"), "placed")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int")
     chosen = rows.where("doc_id is not null").withColumn("bucket", bucket).join(F.broadcast(placed.select(bucket.alias("bucket")).distinct()), "bucket")
-    grouped = _shingled(chosen.select("doc_id", "text").join(placed, "doc_id"), words).where("n > 0")
+    grouped = _shingled(chosen.select("doc_id", "text").join(placed.hint("merge"), "doc_id"), words).where("n > 0")
     n_ids = described.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     grouped = staged(grouped if n_ids[0] == n_ids[1] else grouped.dropDuplicates(key), "grouped")
     links = staged(_exact_links(grouped, share), "links")

@@ -63,7 +63,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows, number = _numbered(docs)
     with scratch(spark) as keep:
         kept = keep(exact_dedup(rows, id_col=number).where("kept").select(F.col("doc_id").alias(number)), "kept")
-    return rows.join(kept, number, "left_semi").select(docs.columns)
+    return rows.join(kept.hint("merge"), number, "left_semi").select(docs.columns)  # ids grow with the data: never broadcast
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with scratch(spark) as keep:
         found = similar_components(rows, NEAR_WORDS, NEAR_SHARE, id_col=number)
         kept = keep(found.where("component_id = doc_id").select(F.col("doc_id").alias(number)), "kept")
-    return rows.join(kept, number, "left_semi").select(docs.columns)
+    return rows.join(kept.hint("merge"), number, "left_semi").select(docs.columns)  # ids grow with the data: never broadcast
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity scores from a lexicon trie searched by Levenshtein automata, with context windows.
 
 The lexicon is learned from labelled documents: words, and stems shared by several words, that abusive documents
-hold far more often than others. Every word of a text runs through the automaton of its edits against the trie, so
-misspelled terms are found too. A hit's window tells a quotation (quote marks around it, a reporting or
-describing word beside it) from abuse, and the counts of both are turned into a probability.
+hold far more often than others, by more than chance allows for so many words. Every word of a text runs through the
+automaton of its edits against the trie, so misspelled terms are found too; a term allows edits unless words that near
+it are common in clean documents. A hit's window tells a quotation (between an opening and a closing mark, or right beside
+a reporting word) from abuse, and the counts of both are turned into a probability with learned weights.
 """
 
 from __future__ import annotations
@@ -18,28 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import staged
+from citeweave.llm.common import drop_staged, staged
 from citeweave.llm.language_id import in_fold
 from citeweave.llm.samples import labelled_sample
 
 #: Labelled documents that are fitted at most.
 LABELLED = 20_000
-#: Terms: shortest, longest stem, least abusive documents and share of them, least log odds, most terms kept.
-SHORTEST, LONGEST_STEM, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, MOST_TERMS = 4, 9, 4, 0.01, 3.5, 400
+#: Terms: shortest, longest stem, least abusive documents, least log odds.
+SHORTEST, LONGEST_STEM, LEAST_DOCS, LEAST_ODDS = 4, 9, 4, 3.5
 #: A stem must be shared by so many words, and be at least so long.
 STEM_WORDS, SHORTEST_STEM = 4, 4
-#: Terms from these lengths on allow one and two edits, if so large a share of abusive documents holds them.
-ONE_EDIT, TWO_EDITS, EDITED_SHARE = 5, 10, 0.08
+#: Words from these lengths on allow one and two edits, unless words that near them are in over such a share of clean documents.
+ONE_EDIT, TWO_EDITS, NEAR_CLEAN = 5, 10, 0.001
+#: Characters on both sides of a hit in which quote marks are paired.
 WINDOW = 48
 FLAGGED = 0.3
-MEMO_ENTRIES = 800_000
+#: Bytes that remembered tokens take at most, about, and bytes of an entry besides its characters.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 160
 #: Characters read for the letters they resemble.
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
-#: Marks that open or close a quotation, and words that report speech.
-QUOTES = "\"“”„«»‘’"
-REPORTING = re.compile(r"\b(said|says|wrote|writes|called|quote[sd]?|quoting|word|words|term|slur|insult|dit|disait|mot|sagte|schrieb|wort|dijo|palabra)\b", re.IGNORECASE)
+#: Marks that may open and close a quotation, and words that report speech right before or after a term.
+OPENING, CLOSING = "\"“„«‘'›‚", "\"”“»’'‹‘"
+BEFORE = re.compile(r"\b(said|says|wrote|writes|call(s|ed)?|quote[sd]?|quoting|word|words|term|slur|insult|dit|disait|mot|sagte|schrieb|wort|dijo|palabra)\b\W*(\w{1,4}\W+)?$", re.IGNORECASE)
+AFTER = re.compile(r"^\W*((is|was|as)\s+)?((a|an|the)\s+)?(word|term|slur|insult|mot|wort|palabra)\b", re.IGNORECASE)
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD, TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
 
 
 def _terms(text: str) -> set[tuple[str, bool]]:
@@ -61,20 +65,17 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_lexicon(telling: pd.DataFrame) -> list[tuple[str, bool, int]]:
-    """(term, is_stem, edits allowed) from the telling words and stems: term, stem, odds, share, kinds.
+    """(term, is_stem, edits allowed) from the telling words and stems: term, stem, kinds.
 
-    A stem is a term if several words in abusive documents share it; a word that a chosen stem covers is left out.
-    Words that few abusive documents hold, and short ones, must be spelled exactly.
+    A stem is a term if several words in abusive documents share it; stems, and short words, must be spelled exactly.
     """
     telling = telling.sort_values("term")
-    terms: list[tuple[str, bool, float, float]] = []
-    for stem in telling[telling["stem"] & (telling["kinds"] >= STEM_WORDS)].sort_values("term", key=lambda t: t.str.len(), kind="stable").itertuples():
-        if not any(stem.term.startswith(t) for t, *_ in terms):
-            terms.append((stem.term, True, stem.odds, 0.0))
-    covered = tuple(t for t, *_ in terms)
-    terms += [(w.term, False, w.odds, w.share) for w in telling[~telling["stem"]].itertuples() if not w.term.startswith(covered)]
-    chosen = sorted(terms, key=lambda t: (-t[2], t[0]))[:MOST_TERMS]
-    return [(t, stem, 0 if stem or share < EDITED_SHARE or len(t) < ONE_EDIT else 1 if len(t) < TWO_EDITS else 2) for t, stem, _, share in chosen]
+    stems: list[str] = []
+    for stem in telling[telling["stem"] & (telling["kinds"] >= STEM_WORDS)].sort_values("term", key=lambda t: t.str.len(), kind="stable")["term"]:
+        if not stem.startswith(tuple(stems)):
+            stems.append(stem)
+    words = telling[~telling["stem"]]["term"]
+    return [(t, True, 0) for t in stems] + [(w, False, 0 if len(w) < ONE_EDIT else 1 if len(w) < TWO_EDITS else 2) for w in words]
 
 
 class LexiconAutomaton:
@@ -90,6 +91,7 @@ class LexiconAutomaton:
     def __init__(self, lexicon: list[tuple[str, bool, int]]):
         self.children: list[dict[str, int]] = [{}]
         self.word_edits: dict[int, int] = {}  # node where a word ends: the edits it allows
+        self.words: dict[int, str] = {}
         self.stems: set[int] = set()
         self.budget = [0]  # most edits of any word below a node
         for term, stem, allowed in lexicon:
@@ -105,9 +107,10 @@ class LexiconAutomaton:
                 self.stems.add(at)
             else:
                 self.word_edits[at] = allowed
+                self.words[at] = term
         self.start = self._closed({0: 0})
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
-        self.accepts: dict[frozenset, int | None] = {}
+        self.accepts: dict[frozenset, tuple[int, int] | None] = {}
 
     def _closed(self, spent: dict[int, int]) -> frozenset:
         """Add the states reached by skipping letters of terms; of two ways to a node the cheaper stays."""
@@ -134,8 +137,8 @@ class LexiconAutomaton:
                     spent[target] = min(cost, spent.get(target, 99))
         return self._closed(spent)
 
-    def match(self, word: str) -> int | None:
-        """The fewest edits between the word and a term, 0 for a word that begins with a stem; None without one."""
+    def _end(self, word: str) -> tuple[int, int] | None:
+        """The fewest edits between the word and a term, and the node where that term ends."""
         state = self.start
         for letter in word:
             if (key := (state, letter)) in self.moves:
@@ -145,16 +148,36 @@ class LexiconAutomaton:
             if not state:
                 return None
         if state not in self.accepts:
-            ends = [edits for node, edits in state if node == self.STEM or edits <= self.word_edits.get(node, -1)]
+            ends = [(edits, node) for node, edits in state if node == self.STEM or edits <= self.word_edits.get(node, -1)]
             self.accepts[state] = min(ends, default=None)
         return self.accepts[state]
 
+    def match(self, word: str) -> int | None:
+        """The fewest edits between the word and a term, 0 for a word that begins with a stem; None without one."""
+        end = self._end(word)
+        return None if end is None else end[0]
+
+    def misspelled(self, word: str) -> str | None:
+        """The term of which the word is a misspelling."""
+        end = self._end(word)
+        return self.words[end[1]] if end and end[0] else None
+
+
+def _side(text: str, at: int) -> int:
+    """1 for a mark that opens a quotation there, -1 for one that closes it, 0 for an apostrophe inside a word or none."""
+    before, after = text[at - 1 : at], text[at + 1 : at + 2]
+    if text[at] in OPENING and not before.isalnum() and after.strip():
+        return 1
+    return -1 if text[at] in CLOSING and before.strip() and not after.isalnum() else 0
+
 
 def _quoted(text: str, start: int, end: int) -> bool:
-    """Whether the term stands between quote marks within its window, or a reporting word is beside it."""
+    """Whether the last mark before the term in its window opens and the next one after it closes, or a reporting word is right beside it."""
     before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    inside = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-    return inside or bool(REPORTING.search(before)) or bool(REPORTING.search(after))
+    if BEFORE.search(before) or AFTER.search(after):
+        return True
+    opened = next((side for at in range(start - 1, start - len(before) - 1, -1) if text[at] in OPENING + CLOSING and (side := _side(text, at))), 0)
+    return opened == 1 and next((side for at in range(end, end + len(after)) if text[at] in OPENING + CLOSING and (side := _side(text, at))), 0) == -1
 
 
 class Scanner:
@@ -163,6 +186,7 @@ class Scanner:
     def __init__(self, lexicon: list[tuple[str, bool, int]]):
         self.automaton = LexiconAutomaton(lexicon)
         self.memo: dict[str, tuple[tuple[int, int, int], ...]] = {}
+        self.held = 0
 
     def hits(self, token: str) -> tuple[tuple[int, int, int], ...]:
         """(start, end, edits) of the terms in a stretch of text without white space."""
@@ -177,22 +201,22 @@ class Scanner:
     def features(self, text: str) -> list[float]:
         tokens = text.split()
         memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
+        if self.held > MEMO_BYTES:
             memo.clear()
+            self.held = 0
         for token in set(tokens).difference(memo):
             memo[token] = self.hits(token)
+            self.held += ENTRY_BYTES + len(token)
         plain = near = quoted = 0
-        for token in {t for t in tokens if memo[t]}:
-            for start, end, edits in memo[token]:
-                at = text.find(token)
-                while at >= 0:
-                    if _quoted(text, at + start, at + end):
+        if any(memo[t] for t in tokens):
+            for m in TOKEN.finditer(text):
+                for start, end, edits in memo[m.group()]:
+                    if _quoted(text, m.start() + start, m.start() + end):
                         quoted += 1
                     elif edits:
                         near += 1
                     else:
                         plain += 1
-                    at = text.find(token, at + len(token))
         n = max(len(tokens), 1)
         return [float(plain + near > 0), np.log1p(plain + near), np.log1p(near), np.log1p(quoted), min(1.0, 20 * (plain + near) / n)]
 
@@ -215,12 +239,27 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[li
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     counted = sample.mapInArrow(_count_terms, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counted = staged(counted.where("toxic > 0"), "terms")
+    counted = staged(counted, "terms")
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    telling = counted.withColumns({"odds": odds, "share": F.col("toxic") / max(n_toxic, 1)}).where((F.col("odds") >= LEAST_ODDS) & (F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n_toxic)))
+    # twice the log likelihood ratio against one rate for both kinds; chance alone takes it past 2 log n once in n words
+    share = max(n_toxic, 1) / max(n_toxic + n_clean, 1)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (F.col("toxic") + F.col("clean")) / p)).otherwise(0.0)
+    likelihood = 2 * (part(F.col("toxic"), share) + part(F.col("clean"), max(1 - share, 1e-9)))
+    telling = counted.where((odds >= LEAST_ODDS) & (F.col("toxic") >= LEAST_DOCS) & (likelihood >= 2 * float(np.log(max(counted.count(), 2)))))
     stems = F.explode(F.transform(F.sequence(F.lit(SHORTEST_STEM), F.least(F.length("term"), F.lit(LONGEST_STEM))), lambda k: F.substring(F.col("term"), F.lit(1), k)))
-    kinds = counted.where("not stem").select(stems.alias("term"), F.lit(True).alias("stem")).groupBy("term", "stem").agg(F.count("*").alias("kinds"))
-    lexicon = build_lexicon(telling.join(kinds, ["term", "stem"], "left").select("term", "stem", "odds", "share", F.coalesce("kinds", F.lit(0)).alias("kinds")).toPandas())
+    kinds = counted.where("not stem and toxic > 0").select(stems.alias("term"), F.lit(True).alias("stem")).groupBy("term", "stem").agg(F.count("*").alias("kinds"))
+    lexicon = build_lexicon(telling.join(kinds, ["term", "stem"], "left").select("term", "stem", F.coalesce("kinds", F.lit(0)).alias("kinds")).toPandas())
+
+    def misspelled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = LexiconAutomaton([t for t in lexicon if not t[1]])
+        for frame in frames:
+            frame = frame.assign(term=[automaton.misspelled(w) for w in frame["term"]])
+            yield frame[frame["term"].notna()]
+
+    near = counted.where("not stem and clean > 0").select("term", "clean").mapInPandas(misspelled, "term string, clean long")
+    refused = {r["term"] for r in near.groupBy("term").agg(F.sum("clean").alias("n")).where(F.col("n") > NEAR_CLEAN * n_clean).collect()}
+    lexicon = [(t, stem, 0 if t in refused else edits) for t, stem, edits in lexicon]
+    drop_staged(counted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from citeweave.functions import vocabulary as V
+
 
 @F.pandas_udf(StringType())
 def _folded(values: pd.Series) -> pd.Series:
@@ -129,8 +131,22 @@ def bucket(number: Column, items: int) -> Column:
     return (F.ceil(number / items) * items).cast("long")
 
 
-def orcid_search(authors: Column, dois: Column) -> Column:
-    """A search for any of the names together with any of the identifiers, in every case variant."""
-    names = F.array_join(F.transform(authors, lambda a: F.concat(F.lit("family-name:"), a)), " OR ")
-    ids = F.array_join(F.flatten(F.transform(dois, lambda d: F.transform(doi_case_variants(d), lambda v: F.concat(F.lit("doi-self:"), v)))), " OR ")
-    return F.concat(F.lit("("), names, F.lit(") AND ("), ids, F.lit(")"))
+def orcid_search(given: Column, family: Column, identifiers: Column) -> Column:
+    """A search for a name together with any of a resource's identifiers, or for one of both where the other is missing.
+
+    identifiers: array of (scheme, literal); DOIs in every case variant, ISBNs and PMIDs are asked for, others not.
+    Names are folded to ASCII. Null where there is nothing to search for.
+    """
+    term = lambda field, value: F.concat(F.lit(f'{field}:"'), value, F.lit('"'))
+    terms = lambda i: (
+        F.when(i["literal"].isNull(), F.array().cast("array<string>"))
+        .when(i["scheme"] == V.DOI, F.transform(doi_case_variants(i["literal"]), lambda v: term("doi-self", v)))
+        .when(i["scheme"] == V.ISBN, F.array(term("isbn", i["literal"])))
+        .when(i["scheme"] == V.PMID, F.array(term("pmid-self", i["literal"])))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    ids = F.flatten(F.transform(identifiers, terms))
+    found = F.when(F.size(ids) > 0, F.concat(F.lit("("), F.array_join(ids, " OR "), F.lit(")")))
+    of_given = F.when(F.coalesce(given, F.lit("")) != "", F.concat(F.lit(" AND "), term("given-names", ascii_fold(given)))).otherwise("")
+    name = F.concat(term("family-name", ascii_fold(family)), of_given)
+    return F.coalesce(F.concat(found, F.lit(" AND ("), name, F.lit(")")), found, name)

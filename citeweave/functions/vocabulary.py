@@ -15,6 +15,6 @@ SCHEME, LITERAL = DATACITE + "usesIdentifierScheme", "http://www.essepuntato.it/
 ROLE, HELD_BY, NEXT = PRO + "withRole", PRO + "isHeldBy", "https://w3id.org/oc/ontology/hasNext"
 NAME, GIVEN, FAMILY = (f"http://xmlns.com/foaf/0.1/{x}" for x in ("name", "givenName", "familyName"))
 
-DOI, ISSN, PMID, PMCID, ORCID, VIAF, WIKIDATA, CROSSREF, OPENALEX = (DATACITE + x for x in ("doi", "issn", "pmid", "pmcid", "orcid", "viaf", "wikidata", "crossref", "openalex"))
+DOI, ISSN, ISBN, PMID, PMCID, ORCID, VIAF, WIKIDATA, CROSSREF, OPENALEX = (DATACITE + x for x in ("doi", "issn", "isbn", "pmid", "pmcid", "orcid", "viaf", "wikidata", "crossref", "openalex"))
 #: Identifier schemes that the catalogues take for a resource.
 RESOURCE_SCHEMES = {DOI: "doi", ISSN: "issn", PMID: "pmid", PMCID: "pmcid"}

@@ -13,22 +13,16 @@ from citeweave.operators.contributors import first_publishers
 from citeweave.operators.filters import specific_types
 from citeweave.staging import staged
 
-#: Longest chain that is followed; containers nest a few levels deep, and a cycle must end.
-DEEPEST = 32
 
-
-def part_of_chain(resources: DataFrame, starts: DataFrame | None = None, deepest: int = DEEPEST) -> DataFrame:
-    """br, ancestor, depth (1 is the container itself); an ancestor met before ends the walk."""
+def part_of_chain(resources: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """br, ancestor, depth (1 is the container itself); an ancestor met before ends the walk, which else goes to the root."""
     links = staged(resources.where("part_of is not null").select(F.col("uri").alias("at"), "part_of"), "links")
     level = links.select(F.col("at").alias("br"), F.col("part_of").alias("ancestor"), F.array("at", "part_of").alias("seen")).where("br <> ancestor")
     if starts is not None:
         level = level.join(starts.select(F.col("uri").alias("br")).distinct(), "br", "left_semi")
     levels = []
-    for depth in range(1, deepest + 1):
-        level = staged(level, "chain")
-        if not level.limit(1).count():
-            break
-        levels.append(level.select("br", "ancestor", F.lit(depth).alias("depth")))
+    while (level := staged(level, "chain")).limit(1).count():
+        levels.append(level.select("br", "ancestor", F.lit(len(levels) + 1).alias("depth")))
         further = level.join(links, F.col("ancestor") == F.col("at")).where(~F.array_contains("seen", F.col("part_of")))
         level = further.select("br", F.col("part_of").alias("ancestor"), F.concat("seen", F.array("part_of")).alias("seen"))
     if not levels:

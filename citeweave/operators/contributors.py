@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions import vocabulary as V
-from citeweave.functions.text import agent_full_name
+from citeweave.functions.text import agent_name
 from citeweave.graph import Graph
 from citeweave.operators.filters import is_publisher
 from citeweave.operators.redirects import resolved, rewritten
@@ -35,13 +35,13 @@ def same_agent_redirects(roles: DataFrame) -> DataFrame:
 
 
 def similar_name_redirects(roles: DataFrame, agents: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
-    """br, from_uri, to_uri of roles whose holders have nearly the same name, by a greedy pass in uri order.
+    """br, from_uri, to_uri of roles whose holders have nearly the same given and family name, by a greedy pass in uri order.
 
-    Which roles merge depends on the order, so each resource's roles of one type are compared in sequence; a
+    Names are compared as they are written, and a full name doesn't count. Which roles merge depends on the order, so each resource's roles of one type are compared in sequence; a
     resource's contributor list bounds the group.
     """
-    named = agents.select(F.col("uri").alias("held_by"), agent_full_name(F.col("name"), F.col("given_name"), F.col("family_name")).alias("full_name"))
-    compared = roles.where(~is_publisher(F.col("role_type")) & F.col("role_type").isNotNull()).join(named, "held_by").where("full_name is not null")
+    named = agents.select(F.col("uri").alias("held_by"), agent_name(F.col("given_name"), F.col("family_name")).alias("full_name"))
+    compared = roles.where(~is_publisher(F.col("role_type")) & F.col("role_type").isNotNull()).join(named, "held_by").where("full_name <> ''")
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ar")
@@ -85,11 +85,13 @@ def unlinked_order(roles: DataFrame, redirects: DataFrame) -> DataFrame:
     return moved.select("uri", F.when(~F.coalesce(gone, F.lit(False)), F.col("next")).alias("next"))
 
 
-def author_order(links: DataFrame, most: int = 100_000) -> DataFrame:
+def author_order(links: DataFrame) -> DataFrame:
     """br, ar, position (from 0) along the chains of ``next``; links: br, ar, next.
 
-    Pointer doubling: every role learns the distance to its chain's end; a cycle is cut after ``most`` roles.
+    Pointer doubling: every role learns the distance to its chain's end, which no chain has beyond the number of its
+    resource's roles; a role that leads into a cycle has no position.
     """
+    most = links.groupBy("br").count().agg(F.max("count")).first()[0] or 0
     current = staged(links.select("br", "ar", F.col("next").alias("ahead"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("steps")), "order")
     covered = 1
     while covered < most and current.where("ahead is not null").limit(1).count():
@@ -98,8 +100,9 @@ def author_order(links: DataFrame, most: int = 100_000) -> DataFrame:
         steps = F.col("steps") + F.when(F.col("ahead").isNotNull() & F.col("more").isNotNull(), F.col("more")).otherwise(0)
         current = staged(joined.select("br", "ar", F.col("further").alias("ahead"), steps.alias("steps")), "order")
         covered *= 2
-    longest = current.groupBy("br").agg(F.max("steps").alias("longest"))
-    return current.join(longest, "br").select("br", "ar", (F.col("longest") - F.col("steps")).cast("int").alias("position"))
+    ended = F.when(F.col("ahead").isNull(), F.col("steps"))
+    longest = current.groupBy("br").agg(F.max(ended).alias("longest"))
+    return current.join(longest, "br").select("br", "ar", (F.col("longest") - ended).cast("int").alias("position"))
 
 
 def drop_unheld(graph: Graph, resources: DataFrame | None = None) -> Graph:
@@ -135,7 +138,3 @@ def first_publishers(graph: Graph) -> DataFrame:
     """br, publisher (the smallest publisher role), agent."""
     roles = contributions(graph).where(F.col("role_type") == V.PUBLISHER)
     return roles.groupBy("br").agg(F.min(F.struct("ar", "held_by")).alias("p")).select("br", F.col("p.ar").alias("publisher"), F.col("p.held_by").alias("agent"))
-
-
-def role_counts(roles: DataFrame, role_type: str) -> DataFrame:
-    return roles.groupBy("br").agg(F.count_if(F.col("role_type") == role_type).alias("n_roles"))

@@ -15,6 +15,17 @@ from citeweave.operators.filters import specific_types
 from citeweave.operators.survivors import richest_donors
 
 CLUSTERS = "survivor string, merged string, pos int"
+#: What is wrong where a rule is broken.
+BROKEN = {
+    "empty": "has nothing to merge with",
+    "self_merge": "cannot be merged into itself",
+    "survivor_is_merged": "cannot be both survivor and merged entity",
+    "merged_twice": "is already assigned to another cluster",
+    "missing": "is no resource, agent or identifier here: Entity not found",
+    "mixed_kinds": "mixes entity types",
+    "container_types": "has incompatible types where one of both contains others",
+    "identifier_values": "has a different scheme/literal, or none",
+}
 RANK = {"ident": 0, "ra": 1, "br": 2}
 
 

@@ -21,6 +21,11 @@ def entity_states(graph: Graph) -> DataFrame:
     return facts.groupBy("uri").agg(F.sum(hashed).alias("digest"), F.count("*").alias("n_facts"))
 
 
+def snapshots(changes: DataFrame, number: int, agent: str) -> DataFrame:
+    """Changes with the number of the step that made them, who is responsible, and when."""
+    return changes.withColumns({"number": F.lit(number), "agent": F.lit(agent), "time": F.current_timestamp()})
+
+
 def provenance_diff(before: DataFrame, after: DataFrame, redirects: DataFrame) -> DataFrame:
     """entity, kind (creation, modification, merge, deletion), derived_from, absorbed_by.
 

@@ -55,7 +55,7 @@ def surviving_entities(clusters: DataFrame, entities: DataFrame, kind: str, pref
     first = F.lit(1)
     if preferred is not None:
         if bad := conflicting_preferences(clusters, preferred).orderBy("cluster").take(3):
-            raise ValueError("Conflicting preferred survivors for merge clusters " + ", ".join(r.cluster for r in bad))
+            raise ValueError("Conflicting preferred survivors, several in the cluster of " + ", ".join(r.cluster for r in bad))
         ranked = ranked.join(preferred.select("uri", F.lit(0).alias("_first")).distinct(), "uri", "left")
         first = F.coalesce("_first", F.lit(1))
     order = F.struct(first.alias("first"), *[(-F.col(c)).alias(c) for c in QUALITY[kind]()], F.col("uri"))

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from citeweave.graph import Graph
 from citeweave.operators.clusters import duplicate_clusters
 from citeweave.operators.containers import container_pairs, publisher_pairs
-from citeweave.operators.contributors import merge_contributors, merge_roles
-from citeweave.operators.manual import cluster_violations, clusters_frame, discarded_roles
-from citeweave.operators.provenance import entity_states, provenance_diff
-from citeweave.operators.redirects import merge_entities, merge_owned_identifiers, resolved
+from citeweave.operators.contributors import merge_contributors, merge_roles, unlinked_order
+from citeweave.operators.manual import BROKEN, cluster_order, cluster_violations, clusters_frame, discarded_roles
+from citeweave.operators.provenance import entity_states, provenance_diff, snapshots
+from citeweave.operators.redirects import merge_entities, merge_owned_identifiers, resolved, rewritten
 from citeweave.operators.survivors import cluster_redirects, surviving_entities
 from citeweave.staging import staged
 
-#: Rounds of container merging; identifiers that containers gain may make further ones equivalent.
-ROUNDS = 8
+#: Who is responsible for what a step changes.
+AGENT = "citeweave"
 
 
 def merge_agents(graph: Graph, redirects: DataFrame, similar_names: bool = False) -> Graph:
@@ -47,12 +47,15 @@ def container_redirects(graph: Graph, redirects: DataFrame) -> DataFrame:
 
 
 def merge_resources(graph: Graph, redirects: DataFrame, similar_names: bool = False) -> tuple[Graph, DataFrame]:
-    """Merged resources with the containers and publishers that merge with them; also returns all redirects."""
-    everything = redirects
-    for _ in range(ROUNDS):
-        if not redirects.limit(1).count():
-            break
-        more = container_redirects(graph, redirects)
+    """Merged resources with the containers and publishers that merge with them; also returns all redirects.
+
+    Identifiers that containers gain may make further ones equivalent, so the containers that merged resources had are
+    compared again until nothing more merges; every round merges at least one.
+    """
+    everything = asked = redirects
+    merged_rows = staged(graph.br.join(redirects.select(F.col("from_uri").alias("uri")), "uri", "left_semi"), "merged")
+    more = container_redirects(graph, asked)
+    while redirects.limit(1).count() or more.limit(1).count():
         joint = resolved(redirects.unionByName(more))
         pairs = joint.select(F.col("to_uri").alias("first_br"), F.col("from_uri").alias("second_br"))
         publishers = publisher_pairs(graph, pairs).where("equivalent").select(F.col("second").alias("from_uri"), F.col("first").alias("to_uri"))
@@ -61,11 +64,21 @@ def merge_resources(graph: Graph, redirects: DataFrame, similar_names: bool = Fa
         survivors = staged(joint.select(F.col("to_uri").alias("uri")).distinct(), "survivors")
         graph = merge_contributors(merge_owned_identifiers(merged, survivors).staged(), survivors, similar_names).staged()
         everything = everything.unionByName(more)
-        # containers that have become alike through this round: those of the survivors' containers
-        redirects = more.join(graph.br.select(F.col("uri").alias("from_uri")), "from_uri", "left_semi")
+        merged_rows = staged(rewritten(merged_rows, "part_of", joint), "merged")
+        redirects = redirects.limit(0)
+        more = container_redirects(graph.with_(br=graph.br.unionByName(merged_rows)), asked)
     return graph, resolved(everything)
 
 
+def _without_roles(graph: Graph, losing: DataFrame) -> Graph:
+    """The graph without roles (br, ar); one that no resource holds any more is deleted and taken out of the order."""
+    edges = staged(graph.br_ar.join(losing, ["br", "ar"], "left_anti").select("br", "ar"), "edges")
+    gone = staged(losing.select("ar").distinct().join(edges, "ar", "left_anti").select(F.col("ar").alias("from_uri")), "gone")
+    order = unlinked_order(graph.ar.select("uri", "next"), gone).withColumnRenamed("next", "_next")
+    roles = graph.ar.join(gone.select(F.col("from_uri").alias("uri")), "uri", "left_anti").join(order, "uri")
+    return graph.with_(br_ar=edges, ar=roles.select("uri", "role_type", "held_by", F.col("_next").alias("next")))
+
+
 class GraphDeduplicator:
     """Merges entities that share identifiers. Every method returns nothing; ``graph`` holds the result.
 
@@ -79,6 +92,7 @@ class GraphDeduplicator:
         spark = graph.br.sparkSession
         self.preferred = spark.createDataFrame([(u,) for u in sorted(set(preferred_survivors or ()))], "uri string")
         self.provenance: DataFrame | None = None
+        self.steps = 0
 
     def deduplicate(self) -> None:
         self.deduplicate_responsible_agents()
@@ -97,7 +111,11 @@ class GraphDeduplicator:
     def _record(self, redirects: DataFrame, change: Callable[[], Graph]) -> None:
         before = staged(entity_states(self.graph), "before")
         self.graph = change().staged()
-        found = staged(provenance_diff(before, entity_states(self.graph), redirects), "provenance")
+        self._noted(provenance_diff(before, entity_states(self.graph), redirects))
+
+    def _noted(self, changes: DataFrame) -> None:
+        self.steps += 1
+        found = staged(snapshots(changes, self.steps, AGENT), "provenance")
         self.provenance = found if self.provenance is None else self.provenance.unionByName(found)
 
     def deduplicate_responsible_agents(self) -> None:
@@ -111,8 +129,7 @@ class GraphDeduplicator:
         before = staged(entity_states(self.graph), "before")
         graph, everything = merge_resources(self.graph, redirects, self.similar_names)
         self.graph = graph.staged()
-        found = staged(provenance_diff(before, entity_states(self.graph), everything), "provenance")
-        self.provenance = found if self.provenance is None else self.provenance.unionByName(found)
+        self._noted(provenance_diff(before, entity_states(self.graph), everything))
 
     def deduplicate_identifiers(self) -> None:
         """Attached identifiers of one scheme and literal become one, on every predicate that points at them."""
@@ -127,7 +144,7 @@ class GraphDeduplicator:
         spark = self.graph.br.sparkSession
         clusters = staged(clusters_frame(spark, mapping), "asked")
         if bad := cluster_violations(clusters, self.graph).orderBy("rule", "cluster", "offender").take(5):
-            raise ValueError("; ".join(f"{r.rule}: {r.offender} in the cluster of {r.cluster}" for r in bad))
+            raise ValueError("; ".join(f"{r.rule}: {r.offender} {BROKEN[r.rule]} (cluster of {r.cluster})" for r in bad))
         asked = clusters.where("merged is not null").join(self.graph.entities(), F.col("survivor") == F.col("uri")).select("survivor", "merged", "kind")
         of = lambda kind: staged(asked.where(F.col("kind") == kind).select(F.col("merged").alias("from_uri"), F.col("survivor").alias("to_uri")), kind)
         identifiers, agents, resources = of("ident"), of("ra"), of("br")
@@ -135,11 +152,16 @@ class GraphDeduplicator:
             self._record(identifiers, lambda: merge_entities(self.graph, "ident", identifiers))
         if agents.limit(1).count():
             self._record(agents, lambda: merge_agents(self.graph, agents, self.similar_names))
-        if resources.limit(1).count():
+        depths = cluster_order(resources.select(F.col("to_uri").alias("survivor")), self.graph).select(F.col("cluster").alias("to_uri"), "depth")
+        ordered = staged(resources.join(depths, "to_uri"), "ordered")
+        for depth in [r.depth for r in ordered.select("depth").distinct().orderBy("depth").collect()]:  # as many as containers nest
+            resources = ordered.where(F.col("depth") == depth).select("from_uri", "to_uri")
+            named = resources.select(F.col("from_uri").alias("uri")).unionByName(resources.select(F.col("to_uri").alias("uri")))
+            if gone := named.join(self.graph.br, "uri", "left_anti").select("uri").distinct().orderBy("uri").take(5):
+                raise ValueError("; ".join(f"{r.uri} is deleted by the merge of an earlier cluster" for r in gone))
             pairs = resources.unionByName(container_redirects(self.graph, resources)).select(F.col("to_uri").alias("survivor"), F.col("from_uri").alias("merged"))
             losing = staged(discarded_roles(self.graph, pairs), "losing")
-            gone = losing.select(F.col("ar").alias("uri")).distinct()
-            self.graph = self.graph.with_(br_ar=self.graph.br_ar.join(losing, ["br", "ar"], "left_anti"), ar=self.graph.ar.join(gone, "uri", "left_anti")).staged()
+            self.graph = _without_roles(self.graph, losing).staged()
             self._merge_resources(resources)
 
     def merge_clusters_and_save(self, mapping: Mapping[str, Iterable[str]]) -> None:
@@ -149,7 +171,7 @@ class GraphDeduplicator:
 
     def _storage(self):
         if self.storage is None:
-            raise ValueError("storage is required to save the deduplicated graph and its provenance")
+            raise ValueError("storage is required: give the deduplicator one before saving")
         return self.storage
 
     def save(self) -> None:

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from citeweave.functions import vocabulary as V
-from citeweave.functions.text import ascii_fold, orcid_search, url_quote, usable_title
+from citeweave.functions.text import orcid_search, usable_title
 from citeweave.graph import Graph
 from citeweave.operators import filters
 from citeweave.operators.contributors import contributions
-from citeweave.operators.provenance import entity_states, provenance_diff
+from citeweave.operators.provenance import entity_states, provenance_diff, snapshots
 from citeweave.sources import lookups as L
 from citeweave.staging import staged
 
@@ -54,9 +54,9 @@ def first_answers(provider: L.LookupProvider, requests: DataFrame, source: str,
 
 
 def ordered_identifiers(graph: Graph, owner_kind: str) -> DataFrame:
-    """owner, pos, scheme, literal: an owner's identifiers in the order of their uris."""
+    """owner, pos, scheme, literal: an owner's identifiers in the order of the numbers at their uris, so that new ones come last."""
     rows = graph.signatures(owner_kind).select(F.col("uri").alias("owner"), "id", "scheme", "literal")
-    return rows.withColumn("pos", F.row_number().over(W.partitionBy("owner").orderBy("id"))).select("owner", "pos", "scheme", "literal")
+    return rows.withColumn("pos", F.row_number().over(W.partitionBy("owner").orderBy(F.regexp_extract("id", r"(\d+)$", 1).try_cast("long"), "id"))).select("owner", "pos", "scheme", "literal")
 
 
 def enriched_issn(provider: L.LookupProvider, identifiers: DataFrame) -> DataFrame:
@@ -105,6 +105,45 @@ def enriched_publishers(provider: L.LookupProvider, roles: DataFrame, identifier
     return rows.groupBy("owner").agg(F.min_by("literal", "key").alias("literal")).select("owner", F.lit(V.CROSSREF).alias("scheme"), "literal")
 
 
+def _first_by_resource(found: DataFrame, scheme: str) -> DataFrame:
+    """owner, scheme, literal: of an agent's answers (owner, br, literal) the one of the first resource."""
+    return found.groupBy("owner").agg(F.min_by("literal", "br").alias("literal")).select("owner", F.lit(scheme).alias("scheme"), "literal")
+
+
+def enriched_orcid(provider: L.LookupProvider, authors: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """owner (agent), scheme, literal: the first hit of a search whose details match the author's names.
+
+    authors: br, agent, given, family; identifiers: of resources (owner, pos, scheme, literal). Resources without any
+    identifier aren't searched for. Every distinct search, and every hit's details, are asked once.
+    """
+    of_br = identifiers.groupBy(F.col("owner").alias("br")).agg(F.array_sort(F.collect_list(F.struct("pos", "scheme", "literal"))).alias("ids"))
+    asked = authors.join(of_br, "br").select("br", "agent", "given", "family", orcid_search(F.col("given"), F.col("family"), F.col("ids")).alias("key"))
+    asked = staged(asked.where("key is not null"), "asked")
+    hits = L.lookup(provider, asked.select("key").distinct(), "orcid", "search")
+    listed = F.from_json("body", "result array<struct<`orcid-identifier`:struct<path:string>>>")["result"]
+    hits = staged(hits.select(F.col("key").alias("search"), F.posexplode(listed).alias("pos", "hit")).select("search", "pos", F.upper(F.col("hit.orcid-identifier.path")).alias("key")), "hits")
+    name = F.from_json("body", "name struct<`given-names`:struct<value:string>,`family-name`:struct<value:string>>")["name"]
+    details = L.lookup(provider, hits, "orcid", "details").select(F.col("search").alias("query"), "pos", F.col("key").alias("orcid"), name["given-names"]["value"].alias("given"), name["family-name"]["value"].alias("family"))
+    found = L.orcid_matches(details, asked.select(F.col("key").alias("query"), "agent", "given", "family").distinct())
+    found = asked.select("br", "agent", F.col("key").alias("query")).join(found, ["query", "agent"])
+    return _first_by_resource(found.select(F.col("agent").alias("owner"), "br", F.col("orcid").alias("literal")), V.ORCID)
+
+
+def enriched_viaf(provider: L.LookupProvider, authors: DataFrame) -> DataFrame:
+    """owner (agent), scheme, literal: the only record for the author's name and the title of a resource.
+
+    authors: br, agent, given, family, title; one without any name isn't asked for.
+    """
+    named = authors.where("coalesce(given, '') <> '' or coalesce(family, '') <> ''")
+    asked = named.select(F.col("agent").alias("owner"), "br", L.viaf_key(F.col("given"), F.col("family"), F.col("title")).alias("key"))
+    found = L.lookup(provider, asked, "viaf", "search").select("owner", "br", L.viaf_id(F.col("body")).alias("literal")).where("literal is not null")
+    return _first_by_resource(found, V.VIAF)
+
+
+#: Identifiers of agents by which their Wikidata items are found.
+AGENT_SCHEMES = {V.ORCID: "orcid", V.VIAF: "viaf"}
+
+
 class GraphEnricher:
     """Adds missing identifiers to a graph. ``enrich`` returns nothing; ``graph``, ``provenance`` and ``new_ids`` hold the result.
 
@@ -148,7 +187,7 @@ class GraphEnricher:
         self._add(enriched_publishers(self.provider, roles, ordered_identifiers(self.graph, "ra"), dois), "ra")
         after = entity_states(self.graph)
         none = self.graph.br.sparkSession.createDataFrame([], "from_uri string, to_uri string")
-        self.provenance = staged(provenance_diff(before, after, none), "provenance")
+        self.provenance = staged(snapshots(provenance_diff(before, after, none), 1, "citeweave"), "provenance")
         if self.storage is not None:
             self.storage.save(self.graph, self.provenance)
 
@@ -166,23 +205,10 @@ class GraphEnricher:
 
     def _enrich_authors(self) -> None:
         if self.use_orcid:
-            authors = self._authors(V.ORCID).where("family is not null")
-            dois = self._of_resources().where(F.col("scheme") == V.DOI).groupBy(F.col("owner").alias("br")).agg(F.array_sort(F.collect_set("literal")).alias("dois"))
-            asked = authors.join(dois, "br").select(F.col("br").alias("query"), "agent", "given", "family", orcid_search(F.array("family"), F.col("dois")).alias("key"))
-            hits = L.lookup(self.provider, asked.select("key").distinct(), "orcid", "search")
-            listed = F.from_json("body", "result array<struct<`orcid-identifier`:struct<path:string>>>")["result"]
-            hits = hits.select(F.col("key").alias("search"), F.posexplode(listed).alias("pos", "hit")).select("search", "pos", F.col("hit.orcid-identifier.path").alias("key"))
-            name = F.from_json("body", "name struct<`given-names`:struct<value:string>,`family-name`:struct<value:string>>")["name"]
-            details = L.lookup(self.provider, hits, "orcid", "details").select(F.col("search").alias("query"), "pos", F.col("key").alias("orcid"), name["given-names"]["value"].alias("given"), name["family-name"]["value"].alias("family"))
-            found = L.orcid_matches(details, asked.select(F.col("key").alias("query"), "agent", "given", "family").distinct())
-            self._add(found.groupBy(F.col("agent").alias("owner")).agg(F.min_by("orcid", "query").alias("literal")).select("owner", F.lit(V.ORCID).alias("scheme"), "literal"), "ra")
+            self._add(enriched_orcid(self.provider, self._authors(V.ORCID), self._of_resources()), "ra")
         if self.use_viaf:
-            authors = self._authors(V.VIAF).where("given is not null or family is not null")
-            key = url_quote(ascii_fold(F.concat_ws(" ", "given", "family", "title")))
-            rows = L.lookup(self.provider, authors.select(F.col("agent").alias("owner"), "br", key.alias("key")), "viaf", "search")
-            found = rows.select("owner", "br", L.viaf_id(F.col("body")).alias("literal")).where("literal is not null")
-            self._add(found.groupBy("owner").agg(F.min_by("literal", "br").alias("literal")).select("owner", F.lit(V.VIAF).alias("scheme"), "literal"), "ra")
+            self._add(enriched_viaf(self.provider, self._authors(V.VIAF)), "ra")
         if self.use_wikidata:
             authors = self._authors(V.WIKIDATA).select(F.col("agent").alias("owner")).distinct()
             held = ordered_identifiers(self.graph, "ra").join(authors, "owner", "left_semi")
-            self._add(enriched_wikidata(self.provider, staged(held, "held"), {V.ORCID: "orcid", V.VIAF: "viaf"}), "ra")
+            self._add(enriched_wikidata(self.provider, staged(held, "held"), AGENT_SCHEMES), "ra")

@@ -181,6 +181,13 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumn("similarity", X.name_similarity(F.col("a"), F.col("b"))).where("similarity > 0.5").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(with_views("role", "ra") + f"""SELECT * FROM (SELECT br, ar AS from_uri, min(ar) OVER (PARTITION BY br, role_type, given_name, family_name) AS to_uri
+FROM role JOIN ra ON uri = held_by WHERE role_type IN ('{V.AUTHOR}', '{V.EDITOR}') AND (given_name IS NOT NULL OR family_name IS NOT NULL)) WHERE from_uri <> to_uri""")
+def similar_name_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles that merge by their holders' given and family names; these are so short here that only equal ones are similar enough."""
+    return contributors.similar_name_redirects(projected(spark, sf_dir, "role").select("br", "ar", "role_type", "held_by"), projected(spark, sf_dir, "ra"))
+
+
 _CHAIN = """br AS (SELECT * FROM article UNION ALL SELECT * FROM container),
 chain AS (SELECT uri AS br, part_of AS ancestor, 1 AS depth FROM br WHERE part_of IS NOT NULL
   UNION ALL SELECT c.br, b.part_of, c.depth + 1 FROM chain c JOIN br b ON c.ancestor = b.uri WHERE b.part_of IS NOT NULL) """
@@ -245,6 +252,44 @@ def identifier_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redirects.rewritten(ids.select("owner", "id"), "id", sent).distinct()
 
 
+#: Triples of other predicates that point at agents' identifiers, or at something else.
+_POINTING = "SELECT concat('x/', p_partkey - p_partkey % 8) AS s, concat('http://example.org/p', p_size % 2) AS p, CASE WHEN p_partkey % 3 = 0 THEN concat('y/', p_partkey) ELSE concat('id/1', p_partkey) END AS o FROM {part}"
+
+
+@query(with_views("ra_id")[:-1] + f""", kept AS (SELECT id, min(id) OVER (PARTITION BY scheme, literal) AS survivor FROM ra_id WHERE scheme IS NOT NULL)
+SELECT DISTINCT s, p, coalesce(survivor, o) AS o FROM ({_POINTING.format(part='part')}) LEFT JOIN kept ON id = o""")
+def identifier_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References on any predicate follow merged identifiers, and those that become equal are one."""
+    ids = projected(spark, sf_dir, "ra_id")
+    pointing = spark.sql(_POINTING, part=spark.read.parquet(f"{sf_dir}/part.parquet")).select("s", "p", "o", F.lit("uri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    before = Graph.of(spark, ident=ids.select(F.col("id").alias("uri"), "scheme", "literal"), ent_id=ids.select(F.lit("ra").alias("owner_kind"), "owner", "id"), triples=pointing)
+    held = ids.where("scheme is not null").select("id", "scheme", "literal")
+    kept = clusters.identifier_groups(ids).select("scheme", "literal", F.col("survivor").alias("to_uri"))
+    sent = redirects.resolved(held.join(kept, ["scheme", "literal"]).select(F.col("id").alias("from_uri"), "to_uri"))
+    return redirects.merge_entities(before, "ident", sent).triples.select("s", "p", "o")
+
+
+#: Requested clusters of other kinds: empty ones, identifiers, and containers with what isn't like them.
+_OTHERS = f"""SELECT concat('ra/', p_partkey) AS survivor, CAST(NULL AS STRING) AS merged, CAST(0 AS INT) AS pos FROM {{part}} WHERE p_partkey % 50 = 0
+UNION ALL SELECT concat('id/1', p_partkey), concat('id/1', p_partkey + 1), CAST(0 AS INT) FROM {{part}} WHERE p_partkey % 4 = 1
+UNION ALL SELECT concat('id/2', p_partkey), concat('id/2', p_partkey + 1), CAST(0 AS INT) FROM {{part}} WHERE p_partkey % 4 = 1
+UNION ALL SELECT uri, min(other), CAST(0 AS INT) FROM (SELECT c.uri, concat('br/1', a.o_orderkey) AS other FROM {{container}} c JOIN {{orders}} a ON substr(c.uri, 5, 1) = substr(a.o_orderpriority, 1, 1)) AS t GROUP BY uri"""
+
+
+@query(with_views("ra_id", "container", "article")[:-1] + f""", asked AS ({_OTHERS.format(part='part', container='container', orders='orders')})
+SELECT survivor AS cluster, 'empty' AS rule, survivor AS offender FROM asked WHERE merged IS NULL
+UNION SELECT survivor, 'identifier_values', merged FROM asked JOIN ra_id a ON a.id = survivor JOIN ra_id b ON b.id = merged WHERE coalesce(a.scheme <> b.scheme OR a.literal <> b.literal, true)
+UNION SELECT survivor, 'container_types', merged FROM asked JOIN container ON uri = survivor WHERE merged IS NOT NULL
+  AND survivor IN (SELECT part_of FROM article WHERE part_of IS NOT NULL UNION SELECT part_of FROM container WHERE part_of IS NOT NULL)
+UNION SELECT survivor, 'missing', merged FROM asked WHERE survivor LIKE 'id/%' AND merged NOT IN (SELECT id FROM ra_id)
+UNION SELECT survivor, 'merged_twice', merged FROM asked WHERE merged IN (SELECT merged FROM asked GROUP BY merged HAVING count(DISTINCT survivor) > 1)""")
+def cluster_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules on empty clusters, identifiers' values and containers' types, which the other query doesn't meet."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "orders")}
+    asked = spark.sql(_OTHERS, container=projected(spark, sf_dir, "container"), **tables)
+    return manual.cluster_violations(asked, graph(spark, sf_dir))
+
+
 #: Requested clusters, some of which break a rule.
 _ASKED = """SELECT concat('ra/', p_partkey - p_partkey % 4) AS survivor, CASE WHEN p_partkey % 40 = 1 THEN concat('ra/', p_partkey - 1) WHEN p_partkey % 40 = 5 THEN concat('br/1', p_partkey)
 WHEN p_partkey % 40 = 9 THEN concat('ra/x', p_partkey) WHEN p_partkey % 40 = 13 THEN concat('ra/', p_partkey - 5) WHEN p_partkey % 40 = 17 THEN concat('ra/', p_partkey + 5) ELSE concat('ra/', p_partkey) END AS merged, CAST(0 AS INT) AS pos FROM {part} WHERE p_partkey % 4 > 0"""
@@ -369,11 +414,107 @@ def enriched_openalex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enriched_openalex(_provider(spark, sf_dir), _positioned(spark, sf_dir, "br"))
 
 
-@query(with_views("role", "br_id") + f"""SELECT held_by AS owner, '{V.CROSSREF}' AS scheme, substr(min(literal), 4, 2) AS literal FROM role JOIN br_id ON br = owner
-WHERE role_type = '{V.PUBLISHER}' AND held_by IS NOT NULL AND scheme = '{V.DOI}' AND literal LIKE '%-0%' GROUP BY held_by""")
+#: Agents that have a Crossref identifier already.
+_MEMBERS = f"SELECT concat('ra/', p_partkey) AS owner, concat('id/4', p_partkey) AS id, '{V.CROSSREF}' AS scheme, CAST(p_partkey AS STRING) AS literal FROM {{part}} WHERE p_partkey % 6 = 0"
+
+
+@query(with_views("role", "br_id")[:-1] + f""", member AS ({_MEMBERS.format(part='part')}),
+pub AS (SELECT br, ar, held_by, max(CASE WHEN held_by IN (SELECT owner FROM member) THEN 1 ELSE 0 END) OVER (PARTITION BY br ORDER BY ar ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM role WHERE role_type = '{V.PUBLISHER}' AND held_by IS NOT NULL)
+SELECT held_by AS owner, '{V.CROSSREF}' AS scheme, substr(min(literal), 4, 2) AS literal FROM pub JOIN br_id ON br = owner
+WHERE so_far = 0 AND scheme = '{V.DOI}' AND literal LIKE '%-0%' GROUP BY held_by""")
 def enriched_publisher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resource's publishers are asked for up to the first that has a Crossref identifier."""
     dois = filters.classify_resource_identifiers(_positioned(spark, sf_dir, "br")).where("doi is not null").select(F.col("owner").alias("br"), "doi")
-    return enrich.enriched_publishers(_provider(spark, sf_dir), projected(spark, sf_dir, "role"), projected(spark, sf_dir, "ra_id"), dois)
+    held = projected(spark, sf_dir, "ra_id").unionByName(spark.sql(_MEMBERS, part=spark.read.parquet(f"{sf_dir}/part.parquet")))
+    return enrich.enriched_publishers(_provider(spark, sf_dir), projected(spark, sf_dir, "role"), held, dois)
+
+
+def _authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """br, agent, given, family, title of the authors of articles."""
+    roles = projected(spark, sf_dir, "role").where((F.col("role_type") == V.AUTHOR) & F.col("held_by").isNotNull())
+    agents = projected(spark, sf_dir, "ra").select(F.col("uri").alias("held_by"), F.col("given_name").alias("given"), F.col("family_name").alias("family"))
+    titles = projected(spark, sf_dir, "article").select(F.col("uri").alias("br"), "title")
+    return roles.join(agents, "held_by").join(titles, "br").select("br", F.col("held_by").alias("agent"), "given", "family", "title")
+
+
+_AUTHORS = f"authors AS (SELECT DISTINCT br, held_by AS agent, given_name AS given, family_name AS family, title FROM role JOIN ra ON ra.uri = held_by JOIN article ON article.uri = br WHERE role_type = '{V.AUTHOR}') "
+
+
+@query(with_views("role", "ra", "article", "br_id")[:-1] + ", " + _AUTHORS + f"""SELECT agent AS owner, '{V.ORCID}' AS scheme, concat('0000-B', right(max(family), 1), coalesce(right(max(given), 1), 'X')) AS literal
+FROM authors JOIN br_id ON br = owner WHERE family IS NOT NULL AND scheme = '{V.DOI}' AND literal LIKE '%-0%' GROUP BY agent""")
+def enriched_orcid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by the DOIs of some months find two people, of whom only the second bears the author's name."""
+    authors, ids = _authors(spark, sf_dir), _positioned(spark, sf_dir, "br")
+    found = authors.where("family is not null").join(ids.where((F.col("scheme") == V.DOI) & F.col("literal").contains("-0")).select(F.col("owner").alias("br"), "scheme", "literal"), "br")
+    path = F.concat(F.lit("0000-b"), F.right("family", F.lit(1)), F.coalesce(F.right("given", F.lit(1)), F.lit("x")))
+    hit = lambda value: F.struct(F.struct(value.alias("path")).alias("orcid-identifier"))
+    body = F.to_json(F.struct(F.array(hit(F.lit("0000-a")), hit(path)).alias("result")))
+    key = X.orcid_search(F.col("given"), F.col("family"), F.array(F.struct("scheme", "literal")))
+    searches = found.select(F.lit("orcid").alias("source"), F.lit("search").alias("op"), key.alias("key"), body.alias("body"))
+    person = lambda given, family: F.to_json(F.struct(F.struct(F.struct(given.alias("value")).alias("given-names"), F.struct(family.alias("value")).alias("family-name")).alias("name")))
+    people = found.select(F.lit("orcid").alias("source"), F.lit("details").alias("op"), F.upper(path).alias("key"), person(F.concat(F.upper(F.coalesce("given", F.lit("any"))), F.lit(" M.")), F.concat(F.lit("Von "), "family")).alias("body"))
+    others = found.select(F.lit("orcid").alias("source"), F.lit("details").alias("op"), F.lit("0000-A").alias("key"), person(F.lit("No"), F.lit("Body")).alias("body"))
+    return enrich.enriched_orcid(lookups.TableLookups(searches.unionByName(people).unionByName(others)), authors, ids)
+
+
+@query(with_views("role", "ra", "article")[:-1] + ", " + _AUTHORS + f"""SELECT agent AS owner, '{V.VIAF}' AS scheme, arg_min(concat(length(coalesce(title, '')), length(trim(concat(coalesce(given, ''), ' ', coalesce(family, ''))))), br) AS literal
+FROM authors WHERE (given IS NOT NULL OR family IS NOT NULL) AND length(coalesce(title, '')) % 3 > 0 GROUP BY agent""")
+def enriched_viaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles whose length is a multiple of three have two records, others one; an agent takes the answer of its first resource."""
+    authors = _authors(spark, sf_dir)
+    title, name = F.coalesce("title", F.lit("")), F.trim(F.concat(F.coalesce("given", F.lit("")), F.lit(" "), F.coalesce("family", F.lit(""))))
+    number = F.concat(F.length(title).cast("string"), F.length(name).cast("string"))
+    cluster = F.struct(F.struct(number.alias("content")).alias("v:viafID")).alias("v:VIAFCluster")
+    count = F.when(F.length(title) % 3 > 0, "1").otherwise("2")
+    response = F.struct(F.struct(count.alias("content")).alias("numberOfRecords"), F.struct(F.struct(F.struct(cluster).alias("recordData")).alias("record")).alias("records"))
+    rows = authors.select(F.lit("viaf").alias("source"), F.lit("search").alias("op"), lookups.viaf_key(F.col("given"), F.col("family"), F.col("title")).alias("key"), F.to_json(F.struct(response.alias("searchRetrieveResponse"))).alias("body"))
+    return enrich.enriched_viaf(lookups.TableLookups(rows), authors)
+
+
+@query(with_views("ra_id") + f"""SELECT owner, '{V.WIKIDATA}' AS scheme, concat('Q', arg_min(length(literal), id)) AS literal FROM ra_id
+WHERE scheme = '{V.ORCID}' AND (literal LIKE '%-1' OR literal LIKE '%-2') OR scheme = '{V.VIAF}' AND literal NOT LIKE '%STEEL' GROUP BY owner""")
+def enriched_wikidata_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some ORCIDs resolve; agents whose doesn't are found by their VIAF identifier, if that does."""
+    ids = projected(spark, sf_dir, "ra_id").where("scheme is not null")
+    short = F.create_map(*[F.lit(x) for pair in enrich.AGENT_SCHEMES.items() for x in pair])[F.col("scheme")]
+    answered = ids.where(((F.col("scheme") == V.ORCID) & F.col("literal").rlike("-[12]$")) | ((F.col("scheme") == V.VIAF) & ~F.col("literal").endswith("STEEL")))
+    item = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("http://www.wikidata.org/entity/Q"), F.length("literal").cast("string")).alias("value")).alias("item"))).alias("bindings")).alias("results")))
+    rows = answered.select(F.lit("wikidata").alias("source"), F.lit("item").alias("op"), F.concat_ws(":", short, "literal").alias("key"), item.alias("body"))
+    return enrich.enriched_wikidata(lookups.TableLookups(rows), _positioned(spark, sf_dir, "ra"), enrich.AGENT_SCHEMES)
+
+
+#: Further ISSNs of journals and PMIDs of articles, after and before the identifiers that they have.
+_MORE = f"SELECT owner, concat('id/0', substr(id, 4)) AS id, CASE WHEN scheme = '{V.ISSN}' THEN scheme ELSE '{V.PMID}' END AS scheme, concat('p', literal) AS literal FROM {{ids}} WHERE length(owner) % 2 = 0 UNION ALL SELECT owner, concat('id/9', substr(id, 4)), scheme, concat('q', literal) FROM {{ids}} WHERE length(literal) % 2 = 0"
+
+
+def _several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = projected(spark, sf_dir, "br_id")
+    return ids.unionByName(spark.sql(_MORE, ids=ids)).withColumn("pos", F.row_number().over(W.partitionBy("owner").orderBy("id")))
+
+
+@query(with_views("br_id")[:-1] + f""", every AS (SELECT * FROM br_id UNION ALL {_MORE.format(ids='br_id')}),
+answered AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY id) AS k FROM every WHERE scheme IN ('{V.DOI}', '{V.PMID}') AND (literal LIKE '%-0%' AND scheme = '{V.DOI}' OR literal LIKE '%-1%' AND scheme = '{V.PMID}'))
+SELECT owner, '{V.WIKIDATA}' AS scheme, concat('Q', length(literal)) AS literal FROM answered WHERE k = 1""")
+def enriched_wikidata_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners have up to three identifiers; the first of them that resolves counts."""
+    ids = _several(spark, sf_dir)
+    answered = ids.where(((F.col("scheme") == V.DOI) & F.col("literal").contains("-0")) | ((F.col("scheme") == V.PMID) & F.col("literal").contains("-1")))
+    item = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("http://www.wikidata.org/entity/Q"), F.length("literal").cast("string")).alias("value")).alias("item"))).alias("bindings")).alias("results")))
+    short = F.when(F.col("scheme") == V.DOI, "doi").otherwise("pmid")
+    rows = answered.select(F.lit("wikidata").alias("source"), F.lit("item").alias("op"), lookups.wikidata_key(short, F.col("literal")).alias("key"), item.alias("body"))
+    return enrich.enriched_wikidata(lookups.TableLookups(rows), ids, V.RESOURCE_SCHEMES)
+
+
+@query(with_views("br_id")[:-1] + f""", every AS (SELECT * FROM br_id UNION ALL {_MORE.format(ids='br_id')}),
+answered AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY id) AS k FROM every WHERE scheme = '{V.ISSN}' AND literal NOT LIKE 'p%')
+SELECT owner, '{V.ISSN}' AS scheme, concat(literal, n) AS literal FROM answered, (VALUES ('Y'), ('Z')) AS t(n) WHERE k = 1""")
+def enriched_issn_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals have up to three ISSNs, of which the first has no answer for some; the next that has one supplies all others."""
+    ids = _several(spark, sf_dir)
+    issn = ids.where((F.col("scheme") == V.ISSN) & ~F.col("literal").startswith("p")).select("literal").distinct()
+    listed = F.to_json(F.struct(F.struct(F.array(F.concat("literal", F.lit("Y")), F.col("literal"), F.concat("literal", F.lit("Z"))).alias("ISSN")).alias("message")))
+    return enrich.enriched_issn(lookups.TableLookups(issn.select(F.lit("crossref").alias("source"), F.lit("journal").alias("op"), F.col("literal").alias("key"), listed.alias("body"))), ids)
 
 
 @query(with_views("br_id") + f"""SELECT scheme, count(*) AS n FROM (SELECT DISTINCT owner, '{V.ISSN}' AS scheme, concat(literal, 'X') FROM br_id WHERE scheme = '{V.ISSN}' AND literal NOT LIKE '0001%'

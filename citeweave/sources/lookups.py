@@ -8,16 +8,21 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
+from urllib.parse import quote, urlencode
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.functions.text import ascii_fold, author_score, clean_title, indel_ratio, strip_prefix, year_int, year_score
+from citeweave.staging import staged
 
 #: Fixed values of the lookups: attempts, first wait in seconds, answers worth another attempt, candidates and their threshold.
 ATTEMPTS, FIRST_WAIT, RETRIED, CANDIDATES, TITLE_THRESHOLD = 3, 1.0, (429, 500, 502, 503, 504), 4, 0.8
 ANSWERS = "source string, op string, key string, body string"
+#: Seconds that a catalogue may take, and the properties by which one finds an identifier.
+TIMEOUTS = {"crossref": 30.0, "orcid": 30.0, "viaf": 60.0, "wikidata": 60.0, "openalex": 60.0}
+WIKIDATA_PROPERTIES = {"doi": "P356", "issn": "P236", "orcid": "P496", "viaf": "P214", "pmid": "P698", "pmcid": "P932"}
 
 
 class LookupProvider(Protocol):
@@ -36,43 +41,51 @@ class TableLookups:
         return asked.join(self.table.where("body is not null").groupBy("source", "op", "key").agg(F.min("body").alias("body")), ["source", "op", "key"])
 
 
-class HttpLookups:
-    """Answers over HTTP, each distinct request once; urls: (source, op, key) -> url. Requests run in the tasks."""
-
-    def __init__(self, url_of: Callable[[str, str, str], str], timeout: float = 30.0, partitions: int = 8):
-        self.url_of, self.timeout, self.partitions = url_of, timeout, partitions
+class KeptLookups:
+    """Another provider's answers, kept in a table in the shared folder of ``path``: what it holds isn't asked again."""
 
-    def answers(self, requests: DataFrame) -> DataFrame:
-        url_of, timeout = self.url_of, self.timeout
+    def __init__(self, provider: LookupProvider, path: str):
+        self.provider, self.path = provider, path
 
-        def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                bodies = [fetch(url_of(*row), timeout) for row in frame[["source", "op", "key"]].itertuples(index=False)]
-                yield frame.assign(body=bodies).dropna(subset=["body"])
+    def _kept(self, spark: SparkSession) -> DataFrame:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        return spark.read.schema(ANSWERS).parquet(self.path) if held else spark.createDataFrame([], ANSWERS)
 
-        asked = requests.select("source", "op", "key").where("key is not null").distinct()
-        return asked.repartition(self.partitions).mapInPandas(ask, ANSWERS)
-
-
-def retry_waits(statuses: list[int | None], attempts: int = ATTEMPTS, first: float = FIRST_WAIT) -> tuple[int | None, list[float]]:
-    """Which attempt answers (None for none) and the waits before later ones; a status of None is a failed request."""
-    waits: list[float] = []
-    for k, status in enumerate(statuses[:attempts]):
-        if status == 200:
-            return k, waits
-        if status is not None and status not in RETRIED:
-            return None, waits
-        if k + 1 < attempts:
-            waits.append(first * 2**k)
-    return None, waits
+    def answers(self, requests: DataFrame) -> DataFrame:
+        key = ["source", "op", "key"]
+        asked = staged(requests.select(key).where("key is not null").distinct(), "asked")
+        known = staged(TableLookups(self._kept(requests.sparkSession)).answers(asked), "known")
+        fresh = staged(self.provider.answers(asked.join(known, key, "left_anti")).select(*key, "body"), "fresh")
+        fresh.write.mode("append").parquet(self.path)
+        return known.select(*key, "body").unionByName(fresh)
+
+
+def catalogue_url(source: str, op: str, key: str) -> str:
+    """Where a catalogue answers a request; names, titles and queries are percent encoded as its interface asks for."""
+    if source == "crossref":
+        return "https://api.crossref.org/" + {"journal": f"journals/{key}", "member": f"works/{key}", "works": f"works?{key}"}[op]
+    if source == "orcid":
+        return f"https://pub.orcid.org/v2.1/search?q={quote(key)}" if op == "search" else f"https://pub.orcid.org/v2.1/{key.upper()}/personal-details"
+    if source == "viaf":
+        asked = json.loads(key)
+        return f'http://www.viaf.org/viaf/search?local.title+all+"{quote(asked["title"])}"&query=local.names+all+"{quote(asked["name"])}"&sortKeys=holdingscount&recordSchema=BriefVIAF'
+    scheme, literal = key.split(":", 1)
+    if source == "wikidata":
+        prop = WIKIDATA_PROPERTIES[scheme]
+        return "https://query.wikidata.org/sparql?" + urlencode({"format": "json", "query": f'SELECT ?item WHERE {{ ?item p:{prop} ?x. ?x ps:{prop} "{literal}". }} LIMIT 1'})
+    if source == "openalex":
+        return f"https://api.openalex.org/{'sources' if scheme == 'issn' else 'works'}?filter={scheme}:{literal}&select=id"
+    raise ValueError(f"no catalogue {source}")
 
 
 def fetch(url: str, timeout: float, attempts: int = ATTEMPTS, wait: float = FIRST_WAIT) -> str | None:
-    """A response's text, with the waits of retry_waits()."""
+    """A response's text. Failed requests and the statuses RETRIED are tried again, after waits that double; others aren't."""
     seen: list[int | None] = []
+    request = urllib.request.Request(url.replace(" ", "%20"), headers={"Accept": "application/json", "User-Agent": "citeweave"})
     while len(seen) < attempts:
         try:
-            with urllib.request.urlopen(url, timeout=timeout) as response:
+            with urllib.request.urlopen(request, timeout=timeout) as response:
                 if response.status == 200:
                     return response.read().decode()
                 seen.append(response.status)
@@ -87,12 +100,41 @@ def fetch(url: str, timeout: float, attempts: int = ATTEMPTS, wait: float = FIRS
     return None
 
 
+class HttpLookups:
+    """Answers over HTTP, each distinct request once; url_of: (source, op, key) -> url. Requests run in the tasks."""
+
+    def __init__(self, url_of: Callable[[str, str, str], str] = catalogue_url, timeouts: dict[str, float] | None = None, partitions: int = 8):
+        self.url_of, self.timeouts, self.partitions = url_of, TIMEOUTS if timeouts is None else timeouts, partitions
+
+    def answers(self, requests: DataFrame) -> DataFrame:
+        url_of, timeouts = self.url_of, self.timeouts
+
+        def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                bodies = [fetch(url_of(*row), timeouts.get(row[0], 30.0)) for row in frame[["source", "op", "key"]].itertuples(index=False)]
+                yield frame.assign(body=bodies).dropna(subset=["body"])
+
+        asked = requests.select("source", "op", "key").where("key is not null").distinct()
+        return asked.repartition(self.partitions).mapInPandas(ask, ANSWERS)
+
+
 def lookup(provider: LookupProvider, requests: DataFrame, source: str, op: str) -> DataFrame:
     """The requests (with a column key) that have an answer, with its body; keys are asked once however many ask them."""
     named = requests.withColumns({"source": F.lit(source), "op": F.lit(op)})
     return named.join(provider.answers(named), ["source", "op", "key"]).drop("source", "op")
 
 
+def load_stop_words(spark: SparkSession, path: str) -> list[str]:
+    """The words of a text file, one to a line, without repetitions; for title searches."""
+    return sorted({r.value.strip() for r in spark.read.text(path).collect()} - {""})
+
+
+def viaf_key(given: Column, family: Column, title: Column) -> Column:
+    """A search for a title and a name, as two fields."""
+    name = F.trim(F.concat_ws(" ", F.coalesce(given, F.lit("")), F.coalesce(family, F.lit(""))))
+    return F.to_json(F.struct(F.coalesce(title, F.lit("")).alias("title"), name.alias("name")))
+
+
 def viaf_id(body: Column) -> Column:
     """The identifier, only if there is exactly one record."""
     record = F.from_json(body, "searchRetrieveResponse struct<numberOfRecords:struct<content:string>,records:string>")["searchRetrieveResponse"]
@@ -170,8 +212,3 @@ def orcid_matches(hits: DataFrame, authors: DataFrame) -> DataFrame:
     met = authors.where("family is not null").join(hits.select("query", "pos", "orcid", F.col("given").alias("g"), F.col("family").alias("f")), "query")
     fits = F.lower("f").contains(F.lower("family")) & (F.col("given").isNull() | F.lower("g").contains(F.lower("given")))
     return met.where(fits).groupBy("query", "agent").agg(F.upper(F.min_by("orcid", "pos")).alias("orcid"))
-
-
-def answer_body(**fields: object) -> str:
-    """A JSON body, for tables of answers made by hand."""
-    return json.dumps(fields)

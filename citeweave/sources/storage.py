@@ -18,8 +18,9 @@ def _written(triples: DataFrame, output_format: str) -> DataFrame:
     return triples.select(line_column()) if output_format == "nt" else triples
 
 
-def _save(df: DataFrame, path: str, output_format: str, compressed: bool, columns: list[str], mode: str = "overwrite") -> None:
+def _save(df: DataFrame, path: str, output_format: str, compressed: bool, columns: list[str], mode: str = "overwrite", only_touched: bool = False) -> None:
     writer = df.write.mode(mode).partitionBy(*columns) if columns else df.write.mode(mode)
+    writer = writer.option("partitionOverwriteMode", "dynamic" if only_touched else "static")
     if output_format == "parquet":
         writer.parquet(path)
     elif output_format == "json":
@@ -75,13 +76,7 @@ class DirectoryStorage:
             touched = modified.select("uri").withColumns(self.bucket_columns(F.col("uri"))).select(*names).distinct()
             placed = placed.join(touched, names, "left_semi")
         rows = placed.select(line_column(), *names) if self.output_format == "nt" else placed
-        spark = triples.sparkSession
-        previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic" if modified is not None else "static")
-        try:
-            _save(rows.repartition(*names), graph_dir, self.output_format, self.compressed, names)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+        _save(rows.repartition(*names), graph_dir, self.output_format, self.compressed, names, only_touched=modified is not None)
         if modified is not None:
             self._drop_emptied(touched, placed.select(*names).distinct(), graph_dir, names)
         if provenance is not None:

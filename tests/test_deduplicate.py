@@ -2,6 +2,8 @@ import pytest
 from graphs import B, build, golden, u
 
 from citeweave.functions import vocabulary as V
+from citeweave.operators.containers import part_of_chain
+from citeweave.operators.contributors import author_order, contributions, similar_name_redirects
 from citeweave.plans.deduplicate import GraphDeduplicator
 from citeweave.sources.ntriples import graph_of, line_column, read_triples, triples_of
 from citeweave.sources.storage import directory_storage, single_file_storage
@@ -171,3 +173,74 @@ def test_deleted_entities_vanish_from_files(spark, tmp_path):
     text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "o" / "graph")).collect())
     assert u("br", 2) + ">" not in text and u("br", 5000) + ">" in text
     assert (tmp_path / "o" / "graph" / "kind=br" / "prefix=_" / "dir_bucket=10000" / "file_bucket=5000").exists()
+
+
+def test_long_chains_of_containers_and_cycles(spark):
+    """Chains are followed to the root, 40 levels here, and a cycle ends where it began."""
+    deep = build(spark, br=[(n, V.VOLUME, None, None, n + 1 if n < 41 else None) for n in range(1, 42)])
+    found = {r["ancestor"]: r["depth"] for r in part_of_chain(deep.br, deep.br.where(f"uri = '{u('br', 1)}'")).collect()}
+    assert found == {u("br", n): n - 1 for n in range(2, 42)}
+    ring = build(spark, br=[(n, V.VOLUME, None, None, n % 3 + 1) for n in (1, 2, 3)])
+    assert values(part_of_chain(ring.br), "br", "ancestor", "depth") == sorted((u("br", n), u("br", (n + d - 1) % 3 + 1), d) for n in (1, 2, 3) for d in (1, 2))
+
+
+def test_containers_merge_until_nothing_changes(spark):
+    """Each volume shares an identifier with the next one only, so each round makes one more equal to the first."""
+    n = 11
+    volumes = [(k, V.VOLUME, f"volume {k}", None, None) for k in range(1, n + 1)]
+    articles = [(100 + k, V.ARTICLE, "a", None, k) for k in range(1, n + 1)]
+    ids = [(k, "br", 100 + k, "doi", "d") for k in range(1, n + 1)]
+    ids += [(100 + k, "br", k, "issn", f"s{k}") for k in range(1, n + 1)] + [(200 + k, "br", k, "issn", f"s{k - 1}") for k in range(2, n + 1)]
+    worker = GraphDeduplicator(build(spark, br=volumes + articles, ids=ids))
+    worker.deduplicate_bibliographic_resources()
+    assert values(worker.graph.br, "uri", "part_of") == sorted([(u("br", 1), None), (u("br", 101), u("br", 1))], key=lambda r: r[0])
+    assert {r["kind"] for r in worker.provenance.where("entity like '%/11'").collect()} == {"deletion"}
+
+
+def test_order_of_authors_in_a_cycle(spark):
+    links = [("b1", f"a{k}", f"a{k + 1}" if k < 4 else None) for k in range(5)] + [("b2", "c0", "c1"), ("b2", "c1", "c0"), ("b2", "c2", "c0"), ("b2", "d0", "d1"), ("b2", "d1", None)]
+    got = {r["ar"]: r["position"] for r in author_order(spark.createDataFrame(links, "br string, ar string, next string")).collect()}
+    assert got == {"a0": 0, "a1": 1, "a2": 2, "a3": 3, "a4": 4, "c0": None, "c1": None, "c2": None, "d0": 0, "d1": 1}
+
+
+def test_similar_names_are_compared_as_written_without_the_full_name(spark):
+    """The full name doesn't count, and neither case nor spaces are folded."""
+    names = [(1, "Same Name", "Jo", "Ann"), (2, "Same Name", "Max", "Moritz"), (3, None, "MAX", "MORITZ"), (4, "x", None, None), (5, "x", None, None), (6, None, "Max", "Moritz")]
+    g = build(spark, br=[(1, V.ARTICLE, "t", None, None)], ra=names, ar=[(k, 1, V.AUTHOR, k) for k in range(1, 7)])
+    assert values(similar_name_redirects(contributions(g), g.ra), "from_uri", "to_uri") == [(u("ar", 6), u("ar", 2))]
+
+
+def test_discarded_roles_are_spliced_and_shared_ones_stay(spark):
+    g = build(
+        spark,
+        br=[(1, V.ARTICLE, "a", None, None), (2, V.ARTICLE, "b", None, None), (3, V.ARTICLE, "c", None, None)],
+        ra=[(k, None, "n", f"f{k}") for k in range(1, 5)],
+        ar=[(1, 1, V.AUTHOR, 1), (2, 2, V.AUTHOR, 2, 3), (3, 2, V.AUTHOR, 3, 4), (4, 2, V.EDITOR, 4), (5, 3, V.AUTHOR, 2, 3)],
+    )
+    g = g.with_(br_ar=g.br_ar.union(spark.createDataFrame([(u("br", 3), u("ar", 2))], "br string, ar string")))
+    worker = GraphDeduplicator(g)
+    worker.merge_clusters({u("br", 1): [u("br", 2)]})
+    assert {r["uri"]: r["next"] for r in worker.graph.ar.collect()} == {u("ar", 1): None, u("ar", 2): u("ar", 4), u("ar", 4): None, u("ar", 5): u("ar", 4)}
+    assert values(worker.graph.br_ar, "br", "ar") == [(u("br", 1), u("ar", 1)), (u("br", 1), u("ar", 4)), (u("br", 3), u("ar", 2)), (u("br", 3), u("ar", 5))]
+
+
+def test_a_cluster_whose_member_an_earlier_one_merged_is_refused(spark):
+    """Identifiers go first, then resources by the depth of their containers; a cascade may take a later cluster's member."""
+    g = build(
+        spark,
+        br=[(1, V.JOURNAL, "J", None, None), (2, V.JOURNAL, "J", None, None), (3, V.ARTICLE, "a", None, None), (4, V.ARTICLE, "b", None, 2), (5, V.ARTICLE, "c", None, 1), (6, V.ARTICLE, "d", None, 2), (7, V.ARTICLE, "e", None, 5)],
+    )
+    worker = GraphDeduplicator(g)
+    worker.merge_clusters({u("br", 5): [u("br", 6)], u("br", 3): [u("br", 4)], u("br", 1): [u("br", 2)]})
+    assert values(worker.graph.br, "uri") == [u("br", n) for n in (1, 3, 5, 7)]
+    g = build(spark, br=[(1, V.VOLUME, None, None, None, "1"), (2, V.VOLUME, None, None, 9, "1"), (9, V.JOURNAL, "J", None, 10), (10, V.JOURNAL, "S", None, None), (3, V.ARTICLE, "a", None, 1), (4, V.ARTICLE, "b", None, 2), (8, V.VOLUME, None, None, None, "5")])
+    # the survivor of the volumes' cluster lies deeper than the articles, so their cascade merges it first
+    with pytest.raises(ValueError, match="is deleted"):
+        GraphDeduplicator(g).merge_clusters({u("br", 3): [u("br", 4)], u("br", 2): [u("br", 8)]})
+
+
+@pytest.mark.parametrize("mapping, text", [({"br/1": ["br/1"]}, "cannot be merged into itself"), ({"br/1": ["br/9"]}, "Entity not found"), ({"br/1": ["ra/1"]}, "mixes entity types"), ({"br/1": ["br/3"], "br/2": ["br/3"]}, "already assigned"), ({"br/1": ["br/2"], "br/2": ["br/3"]}, "cannot be both survivor and merged entity"), ({"br/1": ["br/4"]}, "incompatible types"), ({"id/1": ["id/2"]}, "different scheme/literal")])
+def test_what_is_said_of_rejected_clusters(spark, mapping, text):
+    g = build(spark, br=[(1, V.ARTICLE, "a", None, 4), (2, V.ARTICLE, "b", None, None), (3, V.ARTICLE, "c", None, None), (4, V.ISSUE, "i", None, None)], ra=[(1, "x", None, None)], ids=[(1, "br", 1, "doi", "d"), (2, "br", 2, "doi", "e")])
+    with pytest.raises(ValueError, match=text):
+        GraphDeduplicator(g).merge_clusters({B + k: [B + x for x in v] for k, v in mapping.items()})

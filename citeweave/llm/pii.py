@@ -35,7 +35,10 @@ TABLE = [
     "w w [phone:(999)999-9999] w", "w . [phone:999-9999] . w", "mobile [phone:0999 9999999] w w", "w w [phone:00 99 999 9999999] w",
     "w w [email:w@w] w w", "w w [email:w (at) w (dot) w] w w", "w mail [email:w at w dot w] w w", "w w [email:w [at] w [dot] w] w",
     "w w [email:w99 (at) w9.w.w] w", "mail : [email:w.w (at) w.w] w w", "w w [email:w at w9 dot w dot w] , w",
-    "w w [ip:999 . 99 . 99 . 999] w", "ip [ip:999,99,99,999] w w", "w w [ip:99-999-99-999] w", "w address [ip:999:99:99:999] w w", "w w [ip:999[.]99[.]99[.]999] w",
+    "w w [ip:999 . 99 . 99 . 999] w", "ip [ip:999,99,99,999] w w", "w ip [ip:99,9,9,9] w", "w w [ip:99-999-99-999] w", "w address [ip:999-99-9-99] w w", "w w [ip:999[.]99[.]99[.]999] w", "w host [ip:99,999,9,99] w", "w server [ip:99[.]9[.]9[.]9] , w", "w server [ip:9 . 99 . 999 . 9] w",
+    "tel [phone:9999 9999] , w w", "w phone [phone:9999 9999] w", "w fax [phone:9999 9999] w w", "mobile : [phone:9999 9999] w", "fax [phone:999-9999] w", "tel . [phone:9999 9999] w", "w w [phone:0999 999 9999] w w", "w : [phone:0999 999 9999] (w w) .",
+    "tel. [phone:999-9999] , w w", "w tel. [phone:9999 9999] , w", "[phone:999.999.9999] w w w", "w , w [phone:999.999.9999] w w", "w w w [phone:999.999.9999] , w", "[phone:0999 999 9999] w w w", "w w w [email:w at w dot w] w w", "[email:w at w dot w] w w w", "w , w [email:w at w dot w] w w", "w : [email:w at w dot w] (w w) .", "w [email:w99 (at) w.w.w] w w", "[email:w9 (at) w.w] w", "w : [email:w99 (at) w.w.w] (w w w) .",
+    "w : [email:w (at) w (dot) w] (w w w) .", "w [email:w [at] w [dot] w] (w w) .", "w w at w w dot (w w) .", "w at w dot (w) w", "w w w at w dot .",
     "w card [card:9999.9999.9999.9999] w", "w w [card:9999/9999/9999/9999] w w", "w w [card:9999_9999_9999_9999] w w", "card : [card:9999.999999.99999] w",
     "w w [phone:+9 (999) 999-9999] w w", "w w [email:w.99@w9.w.w] w w", "w w w [email:w@w.w] w", "w w [ip:999.99.99.999] w w", "w w [ip:9.999.9.99] w",
     "w w 9999999999999999 w w", "w . w 9999999999999999 9999999999999999 w w .", "w w | 9999999999999999 | w w |", "w w w w 9999 9999 9999 9999 w w",
@@ -45,6 +48,9 @@ TABLE = [
     "w , Version 9.9 .", "under CC w-w 9.9 .", "License , version 9 .", "w 9.99 w w", "w w 9,999.99 w", "99:99 w w", "w w 99:99:99 w", "w 9999-99-99 w w",
     "99/99/9999 w w", "w 99.99.9999 w", "token = \" 99w9w99ww999w9w99999w9w9 \" w", "key = \" w9w99w9w9999w99ww9w9w999 \" w w", "w9w w w", "w w w99 w w",
     "w 99 % w", "$ 99.99 w", "w # 99 w", "w @ w w", "w w @ 99 w", "@w w w", "w w at w w", "at w w w", "w ( 99 ) w", "w ( w ) w", "9 9 9 w", "w 99 w 99 w",
+    "ISBN 999-9-99-999999-9 w w", "w ISBN 999-9-9999-9999-9 , w", "isbn : 9-999-99999-9 w", "w ISBN 9999999999999 w", "ISSN 9999-9999 w", "IBAN XX99 9999 9999 9999 9999 99 w", "w XX99 9999 9999 9999 9999 w",
+    "w ratio 99:99:99:99 w", "w 999:999:99:99 w w", "w room 999-9999 w", "w order 9999-99999 w w", "invoice 999-9999-99 w", "w 9999-99-99 99:99:99 w", "w 99.99.9999 99:99 w", "w on 99-99-9999 w w",
+    "version 9.9.9-99 w", "w v9.99.999 w", "w 9, 9, 9, 9 w w", "w 99, 99, 99 w 99 w", "w 9,999,999 w", "w 99-99 , 99-99 w", "w 999 999 999 w", "w 99.999.999 w w", "w section 9.9.99 w", "w section 9.9.9 w 9.9 w",
     "w 999-999 w", "pp. 99-999 w", "w 9999-9999 w w", "w w 9 - 9 w", "| w | 99 | w |", "w *** 99 w ### 9 w", "w [w] 99 w", "w dot w w", "w w dot w at w",
 ]
 ROUNDS, STEPS, RATE, DECAY = 4, 150, 0.1, 1e-3
@@ -53,7 +59,7 @@ REACH = 2
 MARGIN = 40
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
 TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]| dot ", re.IGNORECASE)
-CUES = ("at", "dot", "call", "tel", "phone", "mobile", "mail", "ip", "address", "card", "token", "key", "version", "license")
+CUES = ("at", "dot", "call", "tel", "phone", "mobile", "fax", "mail", "ip", "host", "server", "address", "card", "token", "key", "version", "section", "license", "isbn", "issn", "iban", "room", "order", "invoice", "ratio", "on")
 
 
 def shape(token: str, spaced: bool) -> str:
@@ -242,16 +248,33 @@ def windows_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-ADDRESS = re.compile(r"@|\bat\b.*\bdot\b|[\[(]at[\])]", re.IGNORECASE)
+#: The forms of an address: a name, the at sign or its word, and a domain whose dots may be words too.
+ADDRESS = re.compile(r"[\w.%+-]+(\s*(@|[\[(]at[\])])\s*[\w-]+((\.|\s*[\[(]dot[\])]\s*|\sdot\s)[\w-]+)*|\sat\s[\w-]+((\.|\s*[\[(]dot[\])]\s*|\sdot\s)[\w-]+)+)", re.IGNORECASE)
+#: What makes a run of digits part of a longer one; and what a number too short to be whole must follow.
+GOES_ON, GOES_BEFORE = re.compile(r"[-./:,_]\s?[0-9]|\s[0-9]{2}|[-/]\s?[A-Za-z]"), re.compile(r"([0-9][-./:,_]|[0-9]{2}\s|[A-Za-z][-/])$")
+CALLED = re.compile(r"\b(call|tel|phone|mobile|fax|cell|telefon|handy|mobil|portable|móvil)\w*\W{0,4}$", re.IGNORECASE)
 
 
 def _plausible(kind: str, text: str, start: int, end: int) -> bool:
-    """What any span of the kind must hold; a span is never part of a longer word, and only addresses hold letters."""
+    """What any span of the kind must hold; a span is never part of a longer word or number, and only addresses hold letters.
+
+    Digits of an ip are four numbers up to 255 with one kind of separator; those of a card pass Luhn's check; a phone
+    number of under ten digits follows a word that announces it.
+    """
     span = text[start:end]
-    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum() or (kind != "email" and any(map(str.isalpha, span))):
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+        return False
+    if kind == "email":
+        return bool(ADDRESS.fullmatch(span))
+    if any(map(str.isalpha, span)) or GOES_ON.match(text, end) or GOES_BEFORE.search(text[max(0, start - 2) : start]):
         return False
-    digits = sum(c.isdigit() for c in span)
-    return {"email": bool(ADDRESS.search(span)), "ip": 4 <= digits <= 12, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
+    digits = re.sub(r"[^0-9]", "", span)
+    if kind == "ip":
+        parts = re.findall(r"[0-9]+", span)
+        return len(parts) == 4 and len(set(re.split(r"[0-9]+", span)[1:-1])) == 1 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 10 <= len(digits) <= 15 or (7 <= len(digits) and bool(CALLED.search(text[max(0, start - 24) : start])))
 
 
 #: Tokens decoded at a time; windows of like length are decoded together.

@@ -162,6 +162,94 @@ def test_quotation_is_told_from_abuse():
     abuse, near, quoted = (scanner.features(t) for t in ("you are a blargface , go away", "you are a blargfacs , go away", 'she said "blargface" is a word'))
     assert abuse[1] > 0 and near[2] > 0 and quoted[1] == 0 and quoted[3] > 0
     assert not any(scanner.features("nothing of the kind")[:4]) and not any(scanner.features("")[:4])
+    for text in ("every word you utter blargface", "you don’t get it blargface, it isn’t hard", "a 'fine' blargface and a 'real' one", "“yes” you blargface “no”"):
+        assert scanner.features(text)[1] > 0 and scanner.features(text)[3] == 0, text
+    for text in ("the word blargface hurts", "they wrote “you are a blargface” on the wall", "«quel blargface !»", "blargface is a slur", "He called me blargface", "a ‘blargface’ don’t help"):
+        assert scanner.features(text)[1] == 0 and scanner.features(text)[3] > 0, text
+
+
+def test_hits_are_counted_by_tokens():
+    scanner = toxicity.Scanner([("hate", False, 0)])
+    assert scanner.features("hate whatever whatever whatever whatever")[1] == np.log1p(1)
+    assert scanner.features("hate, hate hated hate")[1] == np.log1p(3)
+
+
+def plain_hits(text, lexicon):
+    """Unquoted hits by edit distances against every term; for words of letters only."""
+    found = 0
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        found += len(word) >= toxicity.SHORTEST and any(word.startswith(t) if stem else edits(word, t) <= k for t, stem, k in lexicon)
+    return found
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """The whole query on a small table: the lexicon's counts by dictionaries, hits by edit distances, the same weights."""
+    draw = np.random.default_rng(5)
+    common = ["".join(draw.choice(list("abcdefghij"), draw.integers(3, 8))) for _ in range(60)]
+    bad = ["zorkles", "wumpling", "quibberish"]
+    rows, marks = [], []
+    for k in range(400):
+        words = draw.choice(common, 12).tolist()
+        if toxic := k % 4 == 0:
+            words[3] = bad[k // 4 % 3]
+            words[7] = bad[(k // 4 + 1) % 3]
+        if k % 20 == 0:
+            words[7] = words[7][:4] + words[7][5:]
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    lexicon, weights = toxicity.learn(docs, labels)
+    held = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 == 2}
+    counts = defaultdict(lambda: [0, 0])
+    for (k, text), (_, toxic) in zip(rows, marks, strict=True):
+        if k not in held:
+            for word in set(text.split()):
+                counts[word][toxic] += 1
+    n = [sum(t == v for k, t in marks if k not in held) for v in (0, 1)]
+    telling = {w for w, (c, t) in counts.items() if len(w) >= 4 and t >= 4 and math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1)) >= 3.5}
+    assert {t for t, stem, _ in lexicon if not stem} == telling and set(bad) <= telling
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for k, text in rows:
+        hits = plain_hits(text, lexicon)
+        near = sum(not any(w.startswith(t) if stem else w == t for t, stem, _ in lexicon) for w in text.split() if plain_hits(w, lexicon))
+        x = [float(hits > 0), np.log1p(hits), np.log1p(near), 0.0, min(1.0, 20 * hits / 12)]
+        assert got[k]["score"] == pytest.approx(1 / (1 + np.exp(-(np.dot(x, weights[:-1]) + weights[-1]))), rel=1e-9) and got[k]["held_out"] == (k in held)
+        assert got[k]["predicted"] == marks[k][1] == (got[k]["score"] >= 0.3)
+
+
+def test_misspelled_rare_terms_are_found(spark):
+    """An insult in one abusive document of fifty allows edits as well as a common one."""
+    draw = np.random.default_rng(6)
+    common = ["".join(draw.choice(list("abcdefghij"), draw.integers(3, 8))) for _ in range(200)]
+    rows, marks = [], []
+    for k in range(3000):
+        words = draw.choice(common, 15).tolist()
+        if k % 5 == 0:
+            words[2] = "snorkwad" if k % 250 == 0 else "blargface"
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(k % 5 == 0)))
+    lexicon, _ = toxicity.learn(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert {(t, k) for t, stem, k in lexicon if not stem} == {("snorkwad", 1), ("blargface", 1)}
+    scanner = toxicity.Scanner(lexicon)
+    assert all(scanner.features(f"you utter {w} go")[1] > 0 for w in ("snorkwad", "snorkwod", "snorkwadd", "sorkwad", "blargfacs"))
+
+
+def test_ranking_against_plain_gradients_on_all_pairs():
+    """On a tiny table the learned order is that of plain gradient descent over every preference pair."""
+    draw = np.random.default_rng(2)
+    good = np.arange(40) % 2 == 0
+    x = draw.normal(size=(40, 3)) + np.where(good, 1.0, -0.4)[:, None] * [1.5, -0.8, 0.0]
+    ranking = quality.fit(x, good)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    pairs = np.array([a - b for a in z[good] for b in z[~good]])
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w -= 0.05 * (-(1 / (1 + np.exp(pairs @ w))) @ pairs / len(pairs) + quality.DECAY * w)
+    assert np.dot(w, ranking.weights) / np.linalg.norm(w) / np.linalg.norm(ranking.weights) > 0.98
+    scores = ranking.scores(x)
+    assert np.corrcoef(np.argsort(np.argsort(scores)), np.argsort(np.argsort(z @ w)))[0, 1] > 0.98
+    assert ((scores >= quality.ACCEPT) == good).mean() > 0.85
 
 
 # byte-level BPE
@@ -197,7 +285,6 @@ def test_encoding_of_odd_text():
 
 def plain_ids(texts):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
@@ -295,7 +382,7 @@ def test_personal_data_digests(docs):
 
 
 def test_field_finds_what_patterns_miss_and_leaves_text_alone():
-    finder = pii.Finder()
+    finder = pii._finder()
     for text, kind in (("please call (555) 123-4567 today", "phone"), ("write to jane (at) mail (dot) org soon", "email")):
         base, more = finder.find([text])
         assert not any(base[0]) and more[0][pii.KINDS.index(kind)]
@@ -303,8 +390,58 @@ def test_field_finds_what_patterns_miss_and_leaves_text_alone():
     assert not any(any(spans) for found in finder.find(plain) for spans in found)
 
 
+def held_out_rows():
+    """Sentences unlike those of the training table, with and without personal data: (text, kind, span's text)."""
+    draw = np.random.default_rng(77)
+    number = lambda pattern: re.sub("9", lambda m: str(draw.integers(10)), pattern)
+    byte = lambda: str(draw.integers(256))
+
+    def card(mark):
+        digits = "4" + "".join(str(d) for d in draw.integers(0, 10, 14))
+        digits = next(digits + str(d) for d in range(10) if pii.luhn(digits + str(d)))
+        return mark.join(digits[k : k + 4] for k in range(0, 16, 4))
+
+    said = ["My colleague told me yesterday that {} is the one to use, as far as anybody knows.", "Please note: {} (valid until spring).", "{} was written on the door", "If it fails, try {} or wait until the morning.", "Nous avons reçu {} hier soir"]
+    announced = ["reach us by phone {} on weekdays", "Our fax {} is always on.", "Tel. {}, ask for Anna", "mobile: {}"]
+    out = []
+    for k in range(60):
+        for kind, found, frames in (
+            ("phone", number(["(999) 999-9999", "999-999-9999", "999.999.9999", "0999 999 9999"][k % 4]), said),
+            ("phone", number(["999-9999", "9999 9999"][k % 2]), announced),
+            ("email", ["erika (at) post (dot) org", "jo at firma dot de", "max [at] web [dot] com", "info99 (at) shop.example.com"][k % 4], said),
+            ("ip", [",", "-", " . ", "[.]"][k % 4].join(byte() for _ in range(4)), ["server {} is down", "the ip {} was banned", "host {} answered", "address {} of the router"]),
+            ("card", card([".", "/", "_"][k % 3]), ["pay with card {} today", "card: {} expires", "Her card {} was refused"]),
+        ):
+            out.append((frames[int(draw.integers(len(frames)))].format(found), kind, found))
+        clean = ["ISBN 978-3-16-148410-0", "Room 101-2003", "IBAN DE89 3704 0044 0532 0130 00", "a mix of 100:200:50:25", number("99.99.2021"), number("2021-99-99 99:99:99"), number("99,999.99 euros"), number("9999 items"), "version 10.4.2-17", number("pages 999-999 and 999-999"), number("ISSN 9999-9999"), number("section 9.9.9"), "1, 2, 3, 4 and 5", number("order 9999-99999"), "@home", "he looked at the dot"]
+        out.append((said[k % len(said)].format(clean[k % len(clean)]), None, clean[k % len(clean)]))
+    return out
+
+
+def test_precision_and_recall_of_added_spans_on_held_out_sentences():
+    finder, rows = pii._finder(), held_out_rows()
+    bases, added = finder.find([t for t, _, _ in rows])
+    right, found, wanted = (dict.fromkeys(pii.KINDS, 0) for _ in range(3))
+    for (text, kind, span), base, more in zip(rows, bases, added, strict=True):
+        if kind and not any(base):
+            wanted[kind] += 1
+        for k, spans in zip(pii.KINDS, more, strict=True):
+            for a, b in spans:
+                found[k] += 1
+                right[k] += k == kind and text[a:b].strip() == span
+    figures = {k: (right[k] / max(found[k], 1), right[k] / max(wanted[k], 1)) for k in pii.KINDS}
+    print(figures)
+    assert all(precision >= 0.9 and recall >= 0.9 for precision, recall in figures.values()), figures
+
+
+@pytest.mark.parametrize("text", ["ISBN 978-3-16-148410-0", "Room 101-2003", "IBAN DE89 3704 0044 0532 0130 00", "mixed 100:200:50:25 by weight", "from 2020-01-01 12:30:45 on", "v10.4.2-17 of 01.02.2020"])
+def test_numbers_that_are_no_personal_data(text):
+    _, (more,) = pii._finder().find([text])
+    assert not any(more)
+
+
 def test_decoding_against_all_paths():
-    field = pii.Finder().field
+    field = pii._finder().field
     window = field.codes([s for _, _, s in pii.tokens_of("call 555-12", 0, 11)])
     padded, _ = field.padded([window])
     emission = field.scores(padded)[0]
@@ -341,7 +478,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(rows[2]) == {r[0] for r in brute_exact(list(rows[1].items())) if r[3]}
     assert set(rows[3]) == {r[0] for r in brute_components(list(rows[2].items()), 5, (80, 100)) if r[0] == r[2]}
     assert set(rows[4]) == set(rows[3])
-    finder = pii.Finder()
+    finder = pii._finder()
     for i, text in rows[3].items():
         (base,), (more,) = finder.find([text or ""])
         assert (rows[4][i] == text) == (not any(base) and not any(more))

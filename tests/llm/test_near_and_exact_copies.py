@@ -238,6 +238,21 @@ def test_anchor_with_more_fragments_than_a_block_holds(spark, monkeypatch):
     assert (block > 0).all() and np.bincount(block, length).max() < 400 + 76
 
 
+@pytest.mark.parametrize("hot", [2, 10**9])
+def test_passages_of_hot_anchors_and_long_texts(spark, monkeypatch, hot):
+    """Texts scanned in parts, and anchors that many hold dealt out by their fragments, lose the same bytes."""
+    for name, value in (("HOT", hot), ("SCAN_BYTES", 500), ("BLOCK_BYTES", 300)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    draw = np.random.default_rng(9)
+    own = lambda n: "".join(draw.choice(list("abcdefgh é"), n))
+    passage, long = own(130), own(2500)
+    rows = [(int(i), own(draw.integers(0, 40)) + passage[draw.integers(20) :] + own(30)) for i in draw.permutation(60)]
+    rows += [(100, long), (101, own(700) + long[300:1900] + own(40)), (102, "ab" * 900), (103, "b" + "ab" * 400), (3, long[:80]), (-5, passage)]
+    want = brute_passages([r for r in rows if r[0] != 3])
+    got = substring_dedup.repeated_passages(frame(spark, [r for r in rows if r[0] != 3])).collect()
+    assert sorted(map(tuple, got)) == want and sum(r[2] > 0 for r in want) > 60
+
+
 def test_suffix_array_against_sorting():
     draw = np.random.default_rng(2)
     for _ in range(300):
@@ -272,6 +287,33 @@ def test_embeddings_recall_and_no_false_links(spark):
     assert all(group[r["component_id"]] == group[r["vec_id"]] and r["component_id"] <= r["vec_id"] and r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_embeddings_just_above_the_threshold(spark):
+    """Recall of pairs between cosine 0.95 and 0.96."""
+    draw = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(draw.normal(size=(2000, 64)))
+    apart = draw.normal(size=base.shape)
+    apart = unit(apart - (apart * base).sum(1, keepdims=True) * base)
+    cosine = draw.uniform(0.951, 0.96, size=(len(base), 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * apart])
+    counts, _ = brute_links(list(range(len(x))), x)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert all(r["n_links"] <= counts[r["vec_id"]] for r in got)
+    assert sum(r["n_links"] for r in got) >= 0.99 * sum(counts.values()) >= 0.99 * 4000
+
+
+def test_equal_embeddings_are_counted_not_compared(spark):
+    """50,000 equal vectors, a few near them and others: exact counts."""
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=16)
+    near = base + 0.02 * draw.normal(size=(3, 16))
+    rows = [(k, base.tolist()) for k in range(50_000)] + [(60_000 + k, v.tolist()) for k, v in enumerate(near)] + [(70_000 + k, draw.normal(size=16).tolist()) for k in range(50)]
+    rows += [(80_000, [0.0] * 16), (80_001, [0.0] * 16)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows) and all(got[k]["n_links"] == 50_002 and got[k]["component_id"] == 0 for k in [*range(0, 50_000, 997), 60_000, 60_002])
+    assert got[80_000]["n_links"] == got[80_001]["n_links"] == 0 and got[80_001]["kept"]
+
+
 def test_embeddings_blocks_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 5)
     draw = np.random.default_rng(1)

@@ -24,7 +24,8 @@ from citeweave.llm.bpe import byte_letters
 from citeweave.llm.common import staged
 
 SEQUENCE, END_ID = 4096, 2
-MEMO_ENTRIES = 400_000
+#: Bytes that remembered words take at most, about, and bytes of an entry besides its word and ids.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 140
 TEXTS_AT_ONCE = 200
 RANK_BUCKETS = 1024
 
@@ -34,7 +35,7 @@ class WordTokenizer:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words. A word of
     letters, and marks after it, are pre-tokens of their own; the letters go to the merges without the library's
-    bookkeeping. All other words take the library's whole way.
+    bookkeeping. All other words take the library's whole way, which reads the names of special tokens as these.
     """
 
     #: Up to here lower-casing is letter by letter, and every letter is its own normal form.
@@ -43,10 +44,10 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.letters = dict(enumerate(byte_letters()))
         self.memo: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         #: Characters that str.split() treats as white space and the tokenizer may not.
         self.odd = regex.compile("[\x1c-\x1f\x85]")
 
@@ -64,6 +65,7 @@ class WordTokenizer:
         """A lower-case word of letters, or a run of marks."""
         if part not in self.parts:
             self.parts[part] = self._letters(part) if part[0] not in self.MARKS else self.encode(part)
+            self.held += ENTRY_BYTES + 5 * len(part)
         return self.parts[part]
 
     def encode_word(self, word: str) -> bytes:
@@ -74,10 +76,10 @@ class WordTokenizer:
         return self.encode(word)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
-        if len(self.parts) > MEMO_ENTRIES:
             self.parts.clear()
+            self.held = 0
         out = []
         for text in texts:
             if self.odd.search(text):
@@ -88,6 +90,7 @@ class WordTokenizer:
             if None in found:
                 for word in {w for w, f in zip(words, found, strict=True) if f is None}:
                     self.memo[word] = self.encode_word(word)
+                    self.held += ENTRY_BYTES + 5 * len(word)
                 found = list(map(self.memo.__getitem__, words))
             out.append(b"".join(found))
         return out

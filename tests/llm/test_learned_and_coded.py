@@ -283,9 +283,11 @@ def test_encoding_of_odd_text():
 # packing
 
 
+PLAIN = Tokenizer.from_file(WORDS)
+
+
 def plain_ids(texts):
-    tokenizer = Tokenizer.from_file(WORDS)
-    return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    return [[*PLAIN.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
 def check_packing(rows, pieces, sequence):

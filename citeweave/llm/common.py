@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from citeweave.staging import drop_staged, scratch, staged
 
-__all__ = ["documents", "drop_staged", "mix64", "scratch", "staged"]
+__all__ = ["documents", "drop_staged", "mix64", "positioned", "scratch", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,3 +26,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def positioned(df: DataFrame, order: list[Column], number: str, group: str | None = None) -> DataFrame:
+    """The rows with their position, from 0, in an order; with ``group``, a column that the order begins with, in each group.
+
+    Ranges of rows are sorted and counted apart, and each range's start is added up from the counts of those before it,
+    so no task ever holds a whole group. A null group is a group of its own. Rows equal in all of ``order`` lie in one
+    range: end the order with a column that tells them apart where there may be very many.
+    """
+    spread = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "spread")
+    by = [group] if group else []
+    ranges = spread.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range, not each row
+    starts = ranges.select(F.col("_part").alias("_range"), *[F.col(c).alias("_group") for c in by], "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    on = F.col("_part") == F.col("_range")
+    joined = spread.join(starts, on & F.col(group).eqNullSafe(F.col("_group")) if group else on)
+    return joined.select(*df.columns, (F.col("_start") + F.col("_at") - F.col("_first")).alias(number))

@@ -11,9 +11,12 @@ from citeweave.llm.bpe import encoding_digests
 from citeweave.llm.common import documents
 from citeweave.llm.embedding_dedup import near_duplicates
 from citeweave.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from citeweave.llm.importance_resampling import RESAMPLING_SQL, resampled
 from citeweave.llm.jaccard_join import similar_components
 from citeweave.llm.language_id import language_predictions
+from citeweave.llm.merkle import MERKLE_SQL, verified_manifest
 from citeweave.llm.packing import packed_documents
+from citeweave.llm.piece_codec import piece_digests
 from citeweave.llm.pii import personal_data
 from citeweave.llm.quality import quality_scores
 from citeweave.llm.substring_dedup import repeated_passages
@@ -64,10 +67,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_jaccard_join, op3_substring_dedup, op4_quality, op5_bpe_codec, op6_embedding_dedup, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii]
+    found = [op1_language_id, op2_jaccard_join, op3_substring_dedup, op4_quality, op5_bpe_codec, op6_embedding_dedup, op7_exact_dedup, op8_toxicity, op9_packing, op10_pii, op11_sentencepiece, op12_merkle_manifest, op13_importance_resampling]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op7_exact_dedup": EXACT_DEDUP_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_importance_resampling": RESAMPLING_SQL}

@@ -67,7 +67,10 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if names.where("shared").limit(1).count():
         unclear = names.where("shared").select("block", "name")
         by_content = blocks.select(*key, "pos", "block").distinct().join(unclear, "block").drop("block")
-        current = current.unionByName(occurrences.join(by_content, [*key, "pos"]))
+        by_content = by_content.select(F.col("doc_id").alias("_id"), *[c for c in by_content.columns if c != "doc_id"])
+        # a null id is an id of its own
+        met = occurrences.join(by_content, [*key[1:], "pos"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+        current = current.unionByName(met)
     current = staged(current.select(*key, "pos", "n_blocks", "text_sha256", "copies", "name"), "level")
     finished, level = [], 0
     while True:
@@ -97,8 +100,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty, and empty texts form one group. Of equal texts the row with the most code
     points, then the smallest id, stays; of rows repeated with the same id and text one stays. A null id sorts
-    after all others. Other columns of ``docs`` are ignored, whatever their names. An empty table gives an
-    empty result.
+    after all others, and rows without an id are rows of their own, also where fingerprints collide. A very long text is
+    many blocks, named level by level. Other columns of ``docs`` are ignored, whatever their names. An empty table gives
+    an empty result.
     """
     rows = staged(document_names(docs, id_col, text_col, block_bytes, marks), "identities")
     best = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id")))

@@ -178,6 +178,15 @@ def test_exact_dedup_by_small_blocks_and_colliding_fingerprints(spark):
     assert sorted(map(tuple, got)) == brute_exact(rows)
 
 
+def test_exact_dedup_without_ids_where_fingerprints_collide(spark):
+    from pyspark.sql import functions as F
+
+    constant = lambda data: (F.lit(1).cast("long"), F.lit(2).cast("long"))
+    rows = [(None, "aa"), (None, "bb"), (7, "b b"), (8, "cc")]
+    got = exact_dedup.exact_dedup(frame(spark, rows), marks=constant).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, None, 1, True), (None, 7, 2, False), (7, 7, 2, True), (8, 8, 1, True)]))
+
+
 def test_exact_dedup_repeated_rows_and_sql(spark):
     got = exact_dedup.exact_dedup(frame(spark, [(1, "a b"), (1, "a b"), (2, "ab"), (None, "ab"), (3, None), (4, "")])).select("doc_id", "keep_id", "group_size", "kept").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 1, 4, True), (1, 1, 4, False), (2, 1, 4, False), (None, 1, 4, False), (3, 3, 2, True), (4, 3, 2, False)]))

@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding of merge-type vocabularies by a score-ordered agenda.
 
 A text starts as single characters. All adjacent pairs whose join is a piece wait in an agenda, the best score first
-and the leftmost of equals; the pair taken becomes one symbol, and the pairs it makes with its neighbours are added. A
-pair one of whose symbols has since been merged is passed over. What no piece holds is spelled in byte pieces.
+and the leftmost of equals; the pair taken becomes one symbol, and the pairs it makes with its neighbours are added. What no piece holds is spelled in
+byte pieces. For words, which are short and many, the agendas of thousands are arrays from which each round takes every
+word's best pair; for what is long the agenda is a heap, where a pair one of whose symbols has since been merged is
+passed over.
 
 Where no piece holds two characters next to each other, no merge can cross, so texts are cut there into words, which
 are encoded one by one and remembered. The words that an Arrow batch brings are also encoded by the sentencepiece
@@ -18,6 +20,7 @@ from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -30,6 +33,8 @@ MARK = "▁"
 MERGES, NORMAL, UNKNOWN, CONTROL, BYTE = 2, 1, 2, 3, 6
 #: Bytes of words and their ids that a worker remembers, and of an entry besides these; longer words are never kept.
 MEMO_BYTES, ENTRY_BYTES, MEMO_WORD = 160 << 20, 260, 64
+#: The rank of pairs that are no piece.
+NO_PIECE = 1 << 30
 #: Characters of texts whose words are learned at once; a longer text is taken by itself.
 PART = 1 << 18
 
@@ -85,6 +90,7 @@ class PieceCodec:
         self.ids = {piece: i for i, (piece, _, kind) in enumerate(pieces) if kind == NORMAL}
         of_byte = {piece: i for i, (piece, _, kind) in enumerate(pieces) if kind == BYTE}
         self.byte_ids = [of_byte[f"<0x{b:02X}>"] for b in range(256)]
+        self._pair_tables()
         self.word = regex.compile(self._word_pattern())
         held = {c for piece in self.ranks for c in piece}
         #: A character that no piece holds: what follows it is encoded by the library as if nothing came before.
@@ -122,7 +128,7 @@ class PieceCodec:
         return f"{MARK}*(?:" + "|".join([*runs, f"[^{MARK}]"]) + f")|{MARK}+"
 
     def merged(self, word: str) -> list[str]:
-        """The symbols that the agenda leaves of a word."""
+        """The symbols that the agenda, a heap, leaves of a word."""
         ranks, symbols = self.ranks, list(word)
         last = len(symbols) - 1
         # an entry is the rank of a pair's score, the places of its symbols, and its length, which tells whether they still stand
@@ -153,6 +159,69 @@ class PieceCodec:
             found += [known] if known is not None else [self.byte_ids[b] for b in symbol.encode()]
         return found
 
+    def _pair_tables(self) -> None:
+        """Numbers for all symbols that may arise, and the adjacent pairs of them that are pieces, by number."""
+        symbols = {c: i for i, c in enumerate(dict.fromkeys([*self.ranks, *(c for piece in self.ranks for c in piece)]))}
+        self.of_char = np.full(0x110000, len(symbols), np.int64)
+        self.of_char[[ord(c) for c in symbols if len(c) == 1]] = [i for c, i in symbols.items() if len(c) == 1]
+        #: The id of each symbol; of one that is no piece, or of any other character, none.
+        self.id_of = np.array([*(self.ids.get(c, -1) for c in symbols), -1])
+        self.width = len(symbols) + 1
+        pairs = {}
+        for piece, rank in self.ranks.items():
+            for at in range(1, len(piece)):
+                left, right = symbols.get(piece[:at]), symbols.get(piece[at:])
+                if left is not None and right is not None:
+                    pairs[left * self.width + right] = (rank, symbols[piece])
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_rank = np.array([*(pairs[k][0] for k in self.pairs.tolist()), NO_PIECE], np.int64)
+        self.pair_symbol = np.array([*(pairs[k][1] for k in self.pairs.tolist()), 0], np.int64)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Numbers of pairs of symbols; the last number where they are no piece."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, at, len(self.pairs))
+
+    def all_word_ids(self, words: list[str]) -> list[list[int]]:
+        """word_ids() of many words at once: the agenda is an array of the words' pairs, of which each round takes every
+        word's best, and the leftmost of equals."""
+        if not words:
+            return []
+        sizes = np.array([len(w) for w in words])
+        symbol = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        pair = np.append(self._pair(symbol[:-1], symbol[1:]), len(self.pairs))
+        pair[np.cumsum(sizes) - 1] = len(self.pairs)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(owner):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            best = np.minimum.reduceat(self.pair_rank[pair] << 32 | np.arange(len(pair)), starts)
+            going = best >> 32 < NO_PIECE
+            open_ = np.repeat(going, np.diff(starts, append=len(owner)))
+            if not going.all():
+                done.append((owner[~open_], symbol[~open_]))
+            at = best[going] & 0xFFFFFFFF
+            symbol[at] = self.pair_symbol[pair[at]]
+            pair[at] = pair[at + 1]  # until the new neighbours' pairs are known
+            open_[at + 1] = False
+            place = np.cumsum(open_) - 1
+            owner, symbol, pair, at = owner[open_], symbol[open_], pair[open_], place[at]
+            if len(owner):
+                after, before = at[(at + 1 < len(owner))], at[at > 0]
+                after, before = after[owner[after] == owner[np.minimum(after + 1, len(owner) - 1)]], before[owner[before] == owner[before - 1]]
+                pair[after] = self._pair(symbol[after], symbol[after + 1])
+                pair[before - 1] = self._pair(symbol[before - 1], symbol[before])
+        owner, symbol = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+        order = np.argsort(owner, kind="stable")
+        ids, ends = self.id_of[symbol[order]], np.cumsum(np.bincount(owner, minlength=len(words)))
+        spelled = set(owner[order][ids < 0].tolist())  # in byte pieces
+        listed, begin, out = ids.tolist(), 0, []
+        for k, end in enumerate(ends.tolist()):
+            out.append(self.word_ids(words[k]) if k in spelled else listed[begin:end])
+            begin = end
+        return out
+
     def _words(self, text: str) -> list[str]:
         """The words of a text, which begins with a mark unless it is empty."""
         return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -164,8 +233,10 @@ class PieceCodec:
             self.memo_bytes = 0
         new, beside = [w for w in words if w not in self.memo], {}
         theirs = self.library.encode([self.stop + w for w in new], num_threads=1) if new else []
+        short = [w for w in new if len(w) <= MEMO_WORD]
+        found = dict(zip(short, self.all_word_ids(short), strict=True))
         for word, library in zip(new, theirs, strict=True):
-            ids = self.word_ids(word)
+            ids = found[word] if word in found else self.word_ids(word)
             if library[self.stop_ids :] != ids:
                 self.differing.add(word)
             entry = ",".join(map(str, ids)), ids

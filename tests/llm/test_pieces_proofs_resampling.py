@@ -67,8 +67,14 @@ def test_other_vocabularies_are_refused():
 
 def test_differing_words_are_told(library):
     codec = piece_codec.PieceCodec(open(MODEL, "rb").read())
-    del codec.ranks["▁the"]
-    assert [f[3] for f in codec.digests(["the other", "of"])] == [False, True]
+    codec.pair_rank[:] = piece_codec.NO_PIECE
+    assert [f[3] for f in codec.digests(["the other", "", "\n"])] == [False, True, True]
+
+
+def test_agendas_of_many_words_and_of_one_agree():
+    draw, codec = random.Random(6), piece_codec.PieceCodec(open(MODEL, "rb").read())
+    words = ["".join(draw.choices("▁thearoinsz'.é梦\n", k=draw.randrange(1, 30))) for _ in range(5000)]
+    assert codec.all_word_ids(words) == [codec.word_ids(w) for w in words]
 
 
 def brute_manifest(rows):

@@ -18,3 +18,9 @@ NAME, GIVEN, FAMILY = (f"http://xmlns.com/foaf/0.1/{x}" for x in ("name", "given
 DOI, ISSN, ISBN, PMID, PMCID, ORCID, VIAF, WIKIDATA, CROSSREF, OPENALEX = (DATACITE + x for x in ("doi", "issn", "isbn", "pmid", "pmcid", "orcid", "viaf", "wikidata", "crossref", "openalex"))
 #: Identifier schemes that the catalogues take for a resource.
 RESOURCE_SCHEMES = {DOI: "doi", ISSN: "issn", PMID: "pmid", PMCID: "pmcid"}
+
+#: Snapshots of entities.
+PROV = "http://www.w3.org/ns/prov#"
+SNAPSHOT, SNAPSHOT_OF, BEGAN, ENDED, DONE_BY, DERIVED_FROM = (PROV + x for x in ("Entity", "specializationOf", "generatedAtTime", "invalidatedAtTime", "wasAttributedTo", "wasDerivedFrom"))
+DESCRIPTION, UPDATE, LABEL = "http://purl.org/dc/terms/description", "https://w3id.org/oc/ontology/hasUpdateQuery", "http://www.w3.org/2000/01/rdf-schema#label"
+DATE_TIME = "http://www.w3.org/2001/XMLSchema#dateTime"

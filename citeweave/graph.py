@@ -45,9 +45,10 @@ class Graph:
     def with_(self, **tables: DataFrame) -> Graph:
         return dataclasses.replace(self, **tables)
 
-    def staged(self) -> Graph:
-        """The same graph read back from written tables."""
-        return Graph(**{f.name: staged(getattr(self, f.name), f.name) for f in dataclasses.fields(self)})
+    def staged(self, since: Graph | None = None) -> Graph:
+        """The same graph read back from written tables; tables that ``since`` holds too stay as they are."""
+        tables = {f.name: getattr(self, f.name) for f in dataclasses.fields(self)}
+        return Graph(**{n: t if since is not None and t is getattr(since, n) else staged(t, n) for n, t in tables.items()})
 
     def signatures(self, owner_kind: str) -> DataFrame:
         """uri, id, scheme, literal of the complete identifiers of the entities of a kind."""
@@ -67,3 +68,8 @@ def lookup_entities(graph: Graph, uris: DataFrame) -> DataFrame:
     if missing := found.where("kind is null").select("uri").orderBy("uri").take(3):
         raise ValueError("Entities not found: " + ", ".join(r.uri for r in missing))
     return found
+
+
+def last_number(graph: Graph) -> int:
+    """The greatest number that the uri of an identifier ends in; 0 if there is none."""
+    return graph.ident.select(F.max(F.regexp_extract("uri", r"/(?:0[1-9]+0)?(\d+)$", 1).try_cast("long"))).first()[0] or 0

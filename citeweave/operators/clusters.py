@@ -31,8 +31,3 @@ def identifier_groups(owned: DataFrame) -> DataFrame:
     held = owned.where("scheme is not null and literal is not null").select("id", "scheme", "literal").distinct()
     return held.groupBy("scheme", "literal").agg(F.min("id").alias("survivor"), F.count("*").alias("n")).where("n > 1")
 
-
-def id_references(triples: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """s and o of the triples of any predicate that point at an identifier."""
-    ids = identifiers.select(F.col("uri").alias("o"))
-    return triples.where("o_kind = 'uri'").join(ids, "o", "left_semi").select("s", "o").distinct()

@@ -15,22 +15,25 @@ from citeweave.staging import staged
 
 
 def part_of_chain(resources: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """br, ancestor, depth (1 is the container itself); an ancestor met before ends the walk, which else goes to the root."""
-    links = staged(resources.where("part_of is not null").select(F.col("uri").alias("at"), "part_of"), "links")
-    level = links.select(F.col("at").alias("br"), F.col("part_of").alias("ancestor"), F.array("at", "part_of").alias("seen")).where("br <> ancestor")
-    if starts is not None:
-        level = level.join(starts.select(F.col("uri").alias("br")).distinct(), "br", "left_semi")
-    levels = []
-    while (level := staged(level, "chain")).limit(1).count():
-        levels.append(level.select("br", "ancestor", F.lit(len(levels) + 1).alias("depth")))
-        further = level.join(links, F.col("ancestor") == F.col("at")).where(~F.array_contains("seen", F.col("part_of")))
-        level = further.select("br", F.col("part_of").alias("ancestor"), F.concat("seen", F.array("part_of")).alias("seen"))
-    if not levels:
-        return level.select("br", "ancestor", F.lit(0).alias("depth"))
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+    """br, ancestor, depth (1 is the container itself); an ancestor met before ends the walk, which else goes to the root.
+
+    Jumps from every resource double in each round, and what has been reached goes as far again, so the rounds, of one
+    written table each, grow with the logarithm of the depth. An ancestor counts at its least depth, and none is its own,
+    so in a cycle nothing new is reached after one turn.
+    """
+    links = resources.where("part_of is not null and part_of <> uri").select(F.col("uri").alias("br"), F.col("part_of").alias("ancestor"), F.lit(1).alias("depth"))
+    begun = links if starts is None else links.join(starts.select(F.col("uri").alias("br")).distinct(), "br", "left_semi")
+    walk, jump = F.lit(False).alias("jump"), F.lit(True).alias("jump")
+    state = staged(links.select(jump, "*").unionByName(begun.select(walk, "*")), "chain")
+    reached, before = state.where("not jump"), -1
+    while before < (now := reached.count()):
+        before = now
+        ahead = state.where("jump").select(F.col("br").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        on = state.join(ahead, "ancestor").select("jump", "br", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        walks = reached.unionByName(on.where("not jump and br <> ancestor")).groupBy("br", "ancestor").agg(F.min("depth").alias("depth"))
+        state = staged(on.where("jump").unionByName(walks.select(walk, "*")), "chain")
+        reached = state.where("not jump")
+    return reached.select("br", "ancestor", "depth")
 
 
 def container_equivalence(first: dict[str, Column], second: dict[str, Column]) -> Column:

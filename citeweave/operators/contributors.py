@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from citeweave.functions import vocabulary as V
-from citeweave.functions.text import agent_name
+from citeweave.functions.text import agent_name, name_similarity, normalized_text
 from citeweave.graph import Graph
 from citeweave.operators.filters import is_publisher
 from citeweave.operators.redirects import resolved, rewritten
 from citeweave.staging import staged
 
 NAME_THRESHOLD = 0.95
+#: Characters of the grams by which longer names meet.
+GRAM = 10
 
 
 def contributions(graph: Graph) -> DataFrame:
@@ -34,41 +36,72 @@ def same_agent_redirects(roles: DataFrame) -> DataFrame:
     return roles.join(kept, ["br", "held_by", "role_type"]).where("ar <> to_uri").select("br", F.col("ar").alias("from_uri"), "to_uri")
 
 
-def similar_name_redirects(roles: DataFrame, agents: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
+def similar_name_redirects(roles: DataFrame, agents: DataFrame, threshold: float = NAME_THRESHOLD, settled: DataFrame | None = None) -> DataFrame:
     """br, from_uri, to_uri of roles whose holders have nearly the same given and family name, by a greedy pass in uri order.
 
-    Names are compared as they are written, and a full name doesn't count. Which roles merge depends on the order, so each resource's roles of one type are compared in sequence; a
-    resource's contributor list bounds the group.
+    Names are compared in folded case and with white space collapsed; a full name doesn't count. Roles of one type in one
+    resource are compared, publishers and ``settled`` roles (uri) left out: each goes to the first role before it that stays
+    and is similar. Equal names are one from the start, as they share what they are similar to.
     """
-    named = agents.select(F.col("uri").alias("held_by"), agent_name(F.col("given_name"), F.col("family_name")).alias("full_name"))
+    named = agents.select(F.col("uri").alias("held_by"), normalized_text(agent_name(F.col("given_name"), F.col("family_name"))).alias("full_name"))
     compared = roles.where(~is_publisher(F.col("role_type")) & F.col("role_type").isNotNull()).join(named, "held_by").where("full_name <> ''")
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ar")
-        kept: list[tuple[str, str]] = []
-        merged = []
-        for br, ar, name in zip(frame["br"], frame["ar"], frame["full_name"], strict=True):
-            into = next((k for k, other in kept if _similar(name, other, threshold)), None)
-            if into is None:
-                kept.append((ar, name))
-            else:
-                merged.append((br, ar, into))
-        return pd.DataFrame(merged, columns=["br", "from_uri", "to_uri"])
-
-    return compared.select("br", "role_type", "ar", "full_name").groupBy("br", "role_type").applyInPandas(greedy, "br string, from_uri string, to_uri string")
-
-
-def _similar(a: str, b: str, threshold: float) -> bool:
-    """Whether one less the edit distance's share of the longer name is over the threshold."""
-    longest = max(len(a), len(b))
-    if not a or not b or abs(len(a) - len(b)) >= (1 - threshold) * longest:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return 1 - row[-1] / longest > threshold
+    if settled is not None:
+        compared = compared.join(settled.select(F.col("uri").alias("ar")).distinct(), "ar", "left_anti")
+    compared = staged(compared.select("br", "role_type", "ar", "full_name"), "compared")
+    names = compared.groupBy("br", "role_type", "full_name").agg(F.min("ar").alias("first"))
+    merged = first_standing(similar_name_pairs(staged(names, "names"), threshold))
+    of_names = names.join(merged.select("br", "role_type", F.col("later").alias("first"), F.col("earlier").alias("_into")), ["br", "role_type", "first"], "left")
+    targets = of_names.select("br", "role_type", "full_name", F.coalesce("_into", "first").alias("to_uri"))
+    return compared.join(targets, ["br", "role_type", "full_name"]).where("ar <> to_uri").select("br", F.col("ar").alias("from_uri"), "to_uri")
+
+
+def similar_name_pairs(names: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
+    """br, role_type, earlier, later of similar names in one resource and role type; names: br, role_type, full_name, first.
+
+    Names of so few characters that one edit is all they may differ by meet where they are equal after one character has
+    been left out. Of longer ones, disjoint grams outnumber the edits by more than one: the longer name shows as many of
+    its rarest ones as edits are allowed and one more, of which the other name holds one, a few places away at most.
+    """
+    share = 1 - threshold + 1e-9
+    edits = lambda n: F.floor(n * F.lit(share))
+    sized = names.select("*", F.length("full_name").alias("n"))
+    group = ["br", "role_type"]
+    bound = int(2 / share)  # shorter names differ by one edit at most
+    left_out = F.transform(F.sequence(F.lit(1), "n"), lambda i: F.concat(F.substring("full_name", F.lit(1), i - 1), F.substring("full_name", i + 1, F.col("n"))))
+    keys = sized.where((F.col("n") >= int(1 / share) - 1) & (F.col("n") <= bound)).select(*group, "full_name", "first", "n", F.explode(F.array_distinct(F.concat(F.array("full_name"), left_out))).alias("key"))
+    keys = keys.withColumn("key", F.xxhash64("key"))
+    other = lambda df: df.select(*group, "key", *[F.col(c).alias(f"_{c}") for c in ("full_name", "first", "n", "at") if c in df.columns])
+    short = keys.join(other(keys), [*group, "key"]).where("first < _first")
+    grams = F.transform(F.sequence(F.lit(1), F.col("n") - GRAM + 1), lambda i: F.struct(i.alias("at"), F.substring("full_name", i, F.lit(GRAM)).alias("key")))
+    shown = staged(sized.where(F.col("n") >= bound - 2).select(*group, "full_name", "first", "n", F.explode(grams).alias("g")).select(*group, "full_name", "first", "n", "g.at", "g.key"), "grams")
+    often = shown.groupBy(*group, "key").agg(F.count("*").alias("times"))
+    disjoint = shown.where((F.col("n") >= bound) & (F.pmod(F.col("at"), F.lit(GRAM)) == 1)).join(often, [*group, "key"])
+    rank = F.row_number().over(W.partitionBy(*group, "first").orderBy("times", "at"))  # a name's own grams
+    prefix = disjoint.withColumn("rank", rank).where(F.col("rank") <= edits(F.col("n")) + 1)
+    long = prefix.join(other(shown), [*group, "key"]).where((F.col("first") != F.col("_first")) & (F.col("_n") <= F.col("n")) & (F.abs(F.col("at") - F.col("_at")) <= edits(F.col("n"))))
+    met = short.select(*group, "full_name", "first", "_full_name", "_first").unionByName(long.select(*group, "full_name", "first", "_full_name", "_first"))
+    similar = met.where(name_similarity(F.col("full_name"), F.col("_full_name")) > threshold)
+    return similar.select(*group, F.least("first", "_first").alias("earlier"), F.greatest("first", "_first").alias("later")).distinct()
+
+
+def first_standing(pairs: DataFrame) -> DataFrame:
+    """br, role_type, later, earlier: where a greedy pass sends what it merges; pairs: br, role_type, earlier, later.
+
+    What has nothing before it that is still open stands, and merges all that it is paired with. Rounds settle these for
+    all groups at once, until no pair is open; each then goes to the first standing one.
+    """
+    group = ["br", "role_type"]
+    pairs = open_ = staged(pairs, "similar")
+    merged = []
+    while open_.limit(1).count():
+        behind = open_.select(*group, F.col("later").alias("earlier")).distinct()
+        now = staged(open_.join(behind, [*group, "earlier"], "left_anti").select(*group, "later").distinct(), "merged")
+        merged.append(now)
+        rest = open_.join(now, [*group, "later"], "left_anti").join(now.withColumnRenamed("later", "earlier"), [*group, "earlier"], "left_anti")
+        open_ = staged(rest.select(*group, "earlier", "later"), "open")
+    for gone in merged:
+        pairs = pairs.join(gone.withColumnRenamed("later", "earlier"), [*group, "earlier"], "left_anti")
+    return pairs.groupBy(*group, "later").agg(F.min("earlier").alias("earlier"))
 
 
 def unlinked_order(roles: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -115,22 +148,34 @@ def drop_unheld(graph: Graph, resources: DataFrame | None = None) -> Graph:
     return graph.with_(br_ar=kept)
 
 
-def merge_roles(graph: Graph, redirects: DataFrame) -> Graph:
-    """The graph with redirected roles (from_uri, to_uri) merged: spliced out of the order, and repointed elsewhere."""
+def merge_roles(graph: Graph, redirects: DataFrame, merges: list[DataFrame] | None = None) -> Graph:
+    """The graph with redirected roles (from_uri, to_uri) merged: spliced out of the order, and repointed elsewhere.
+
+    The redirects are also added to ``merges``.
+    """
     final = resolved(redirects)
+    if not final.limit(1).count():
+        return graph
+    if merges is not None:
+        merges.append(redirects.select("from_uri", "to_uri"))
     order = unlinked_order(graph.ar.select("uri", "next"), final).withColumnRenamed("next", "_next")
     roles = graph.ar.join(final.select(F.col("from_uri").alias("uri")), "uri", "left_anti").join(order, "uri").select("uri", "role_type", "held_by", F.col("_next").alias("next"))
     triples = rewritten(rewritten(graph.triples, "o", final), "s", final).distinct()
     return graph.with_(ar=roles, br_ar=rewritten(graph.br_ar, "ar", final).distinct(), triples=triples)
 
 
-def merge_contributors(graph: Graph, resources: DataFrame, similar_names: bool = False) -> Graph:
-    """Contributors of the given resources (uri) deduplicated by agent, then by similar names if asked, and unheld dropped."""
+def merge_contributors(graph: Graph, resources: DataFrame, similar_names: bool = False, merges: list[DataFrame] | None = None) -> Graph:
+    """Contributors of the given resources (uri) deduplicated by agent, then by similar names if asked, and unheld dropped.
+
+    Roles that are merged by their agent, and those they are merged into, aren't compared by name.
+    """
     chosen = resources.select(F.col("uri").alias("br")).distinct()
-    graph = merge_roles(graph, same_agent_redirects(contributions(graph).join(chosen, "br", "left_semi")).select("from_uri", "to_uri")).staged()
+    same = staged(same_agent_redirects(contributions(graph).join(chosen, "br", "left_semi")).select("from_uri", "to_uri"), "same")
+    graph = merge_roles(graph, same, merges).staged(graph)
     if similar_names:
         roles = contributions(graph).join(chosen, "br", "left_semi")
-        graph = merge_roles(graph, similar_name_redirects(roles, graph.ra).select("from_uri", "to_uri")).staged()
+        similar = similar_name_redirects(roles, graph.ra, settled=same.select(F.col("to_uri").alias("uri")))
+        graph = merge_roles(graph, staged(similar.select("from_uri", "to_uri"), "similar"), merges).staged(graph)
     return drop_unheld(graph, resources)
 
 

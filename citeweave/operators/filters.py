@@ -47,7 +47,7 @@ def classify_resource_identifiers(identifiers: DataFrame) -> DataFrame:
 
 def classify_agent_identifiers(identifiers: DataFrame) -> DataFrame:
     """owner, has_orcid, has_viaf, has_wikidata and the other literals in order; a scheme counts if it contains the IRI."""
-    held = lambda iri: F.max(F.col("scheme").contains(iri))
+    held = lambda iri: F.coalesce(F.max(F.col("scheme").contains(iri)), F.lit(False))
     others = F.when(~F.col("scheme").contains(V.WIKIDATA), F.struct("pos", "scheme", "literal"))
     return valid_identifiers(identifiers).groupBy("owner").agg(held(V.ORCID).alias("has_orcid"), held(V.VIAF).alias("has_viaf"), held(V.WIKIDATA).alias("has_wikidata"), F.array_sort(F.collect_list(others)).alias("lookups"))
 

@@ -16,7 +16,7 @@ def resolved(redirects: DataFrame) -> DataFrame:
     Rounds double the distance that a pointer covers; a cycle ends at its smallest member.
     """
     current = staged(redirects.where("from_uri <> to_uri").groupBy("from_uri").agg(F.min("to_uri").alias("to_uri")), "redirects")
-    for _ in range(64):
+    while current.join(current.select(F.col("from_uri").alias("to_uri")), "to_uri", "left_semi").limit(1).count():
         step = current.select(F.col("from_uri").alias("to_uri"), F.col("to_uri").alias("further"))
         new = staged(current.join(step, "to_uri", "left").select("from_uri", F.coalesce("further", "to_uri").alias("to_uri"), F.col("further").isNotNull().alias("moved")), "redirects")
         current = new.select("from_uri", "to_uri")
@@ -35,25 +35,32 @@ def drop_merged(table: DataFrame, redirects: DataFrame) -> DataFrame:
     return table.join(redirects.select(F.col("from_uri").alias("uri")), "uri", "left_anti")
 
 
-def merge_entities(graph: Graph, kind: str, redirects: DataFrame) -> Graph:
-    """The graph after the redirected entities of a kind have been merged: fields, edges and all triples follow."""
+def merge_entities(graph: Graph, kind: str, redirects: DataFrame, merges: list[DataFrame] | None = None) -> Graph:
+    """The graph after the redirected entities of a kind have been merged: fields, edges and all triples follow.
+
+    The redirects are also added to ``merges``, where steps gather what they merge.
+    """
+    if kind not in ("ra", "br", "ident"):
+        raise ValueError(f"cannot merge entities of kind {kind}")
+    if not redirects.limit(1).count():
+        return graph
+    if merges is not None:
+        merges.append(redirects.select("from_uri", "to_uri"))
     if kind == "ra":
         graph = graph.with_(ra=coalesced_fields(graph.ra, redirects, RA_FIELDS), ar=rewritten(graph.ar, "held_by", redirects), ent_id=rewritten(graph.ent_id, "owner", redirects).distinct())
     elif kind == "br":
         merged = rewritten(coalesced_fields(graph.br, redirects, BR_FIELDS), "part_of", redirects)
         merged = merged.withColumn("part_of", F.when(F.col("part_of") != F.col("uri"), F.col("part_of")))
         graph = graph.with_(br=merged, br_ar=rewritten(graph.br_ar, "br", redirects).distinct(), ent_id=rewritten(graph.ent_id, "owner", redirects).distinct())
-    elif kind == "ident":
-        graph = graph.with_(ident=drop_merged(graph.ident, redirects), ent_id=rewritten(graph.ent_id, "id", redirects).distinct())
     else:
-        raise ValueError(f"cannot merge entities of kind {kind}")
+        graph = graph.with_(ident=drop_merged(graph.ident, redirects), ent_id=rewritten(graph.ent_id, "id", redirects).distinct())
     return graph.with_(triples=rewritten(rewritten(graph.triples, "o", redirects), "s", redirects).distinct())
 
 
-def merge_owned_identifiers(graph: Graph, owners: DataFrame) -> Graph:
+def merge_owned_identifiers(graph: Graph, owners: DataFrame, merges: list[DataFrame] | None = None) -> Graph:
     """Identifiers that one of ``owners`` (uri) has twice, by scheme and literal, become one: the smallest uri."""
     owned = graph.ent_id.join(owners.select(F.col("uri").alias("owner")), "owner", "left_semi")
     held = owned.join(graph.ident.where("scheme is not null and literal is not null").withColumnRenamed("uri", "id"), "id")
     firsts = held.groupBy("owner", "scheme", "literal").agg(F.min("id").alias("to_uri"))
     redirects = resolved(held.join(firsts, ["owner", "scheme", "literal"]).select(F.col("id").alias("from_uri"), "to_uri"))
-    return merge_entities(graph, "ident", redirects)
+    return merge_entities(graph, "ident", redirects, merges)

@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.graph import Graph
+from citeweave.graph import Graph, last_number, lookup_entities
 from citeweave.operators.clusters import duplicate_clusters
 from citeweave.operators.containers import container_pairs, publisher_pairs
 from citeweave.operators.contributors import merge_contributors, merge_roles, unlinked_order
 from citeweave.operators.manual import BROKEN, cluster_order, cluster_violations, clusters_frame, discarded_roles
-from citeweave.operators.provenance import entity_states, provenance_diff, snapshots
+from citeweave.operators.provenance import delta_changes, snapshots, triple_delta, update_queries
 from citeweave.operators.redirects import merge_entities, merge_owned_identifiers, resolved, rewritten
 from citeweave.operators.survivors import cluster_redirects, surviving_entities
 from citeweave.staging import staged
 
 #: Who is responsible for what a step changes.
-AGENT = "citeweave"
+AGENT = "urn:citeweave"
 
 
-def merge_agents(graph: Graph, redirects: DataFrame, similar_names: bool = False) -> Graph:
+def merge_agents(graph: Graph, redirects: DataFrame, similar_names: bool = False, merges: list[DataFrame] | None = None) -> Graph:
     """Merged agents' roles are repointed; contributors are deduplicated in the resources that the merge touches."""
+    if not redirects.limit(1).count():
+        return graph
     ends = redirects.select(F.col("from_uri").alias("held_by")).unionByName(redirects.select(F.col("to_uri").alias("held_by"))).distinct()
     touched = graph.ar.join(ends, "held_by", "left_semi").select(F.col("uri").alias("ar"))
     affected = staged(graph.br_ar.join(touched, "ar", "left_semi").select(F.col("br").alias("uri")).distinct(), "affected")
-    graph = merge_entities(graph, "ra", redirects)
-    graph = merge_owned_identifiers(graph, redirects.select(F.col("to_uri").alias("uri")).distinct())
-    return merge_contributors(graph.staged(), affected, similar_names)
+    merged = merge_entities(graph, "ra", redirects, merges)
+    merged = merge_owned_identifiers(merged, redirects.select(F.col("to_uri").alias("uri")).distinct(), merges)
+    return merge_contributors(merged.staged(graph), affected, similar_names, merges)
 
 
 def container_redirects(graph: Graph, redirects: DataFrame) -> DataFrame:
@@ -41,33 +44,40 @@ def container_redirects(graph: Graph, redirects: DataFrame) -> DataFrame:
     members = members.unionByName(redirects.select(F.col("to_uri").alias("cluster"), F.col("to_uri").alias("uri"), F.lit(0).alias("place")).distinct())
     held = members.join(graph.br.where("part_of is not null").select("uri"), "uri", "left_semi")
     first = held.groupBy("cluster").agg(F.min(F.struct("place", "uri"))["uri"].alias("first_br"))
-    pairs = held.join(first, "cluster").where("uri <> first_br").select("first_br", F.col("uri").alias("second_br"))
-    found = container_pairs(graph.br, graph.signatures("br"), staged(pairs, "pairs")).where("merges")
+    pairs = staged(held.join(first, "cluster").where("uri <> first_br").select("first_br", F.col("uri").alias("second_br")), "pairs")
+    if not pairs.limit(1).count():
+        return pairs.select(F.col("second_br").alias("from_uri"), F.col("first_br").alias("to_uri"))
+    found = container_pairs(graph.br, graph.signatures("br"), pairs).where("merges")
     return resolved(found.select(F.col("second").alias("from_uri"), F.col("first").alias("to_uri")))
 
 
-def merge_resources(graph: Graph, redirects: DataFrame, similar_names: bool = False) -> tuple[Graph, DataFrame]:
-    """Merged resources with the containers and publishers that merge with them; also returns all redirects.
+def merge_resources(graph: Graph, redirects: DataFrame, similar_names: bool = False, merges: list[DataFrame] | None = None) -> Graph:
+    """Merged resources with the containers and publishers that merge with them; all redirects are added to ``merges``.
 
     Identifiers that containers gain may make further ones equivalent, so the containers that merged resources had are
     compared again until nothing more merges; every round merges at least one.
     """
-    everything = asked = redirects
+    asked = redirects
+    if not asked.limit(1).count():
+        return graph
     merged_rows = staged(graph.br.join(redirects.select(F.col("from_uri").alias("uri")), "uri", "left_semi"), "merged")
     more = container_redirects(graph, asked)
     while redirects.limit(1).count() or more.limit(1).count():
-        joint = resolved(redirects.unionByName(more))
+        direct = redirects.unionByName(more)
+        joint = resolved(direct)
         pairs = joint.select(F.col("to_uri").alias("first_br"), F.col("from_uri").alias("second_br"))
         publishers = publisher_pairs(graph, pairs).where("equivalent").select(F.col("second").alias("from_uri"), F.col("first").alias("to_uri"))
-        merged = merge_roles(graph, staged(publishers, "publishers"))
+        merged = merge_roles(graph, staged(publishers, "publishers"), merges)
         merged = merge_entities(merged, "br", joint)
+        if merges is not None:
+            merges.append(direct.select("from_uri", "to_uri"))
         survivors = staged(joint.select(F.col("to_uri").alias("uri")).distinct(), "survivors")
-        graph = merge_contributors(merge_owned_identifiers(merged, survivors).staged(), survivors, similar_names).staged()
-        everything = everything.unionByName(more)
+        merged = merge_owned_identifiers(merged, survivors, merges).staged(graph)
+        graph = merge_contributors(merged, survivors, similar_names, merges).staged(merged)
         merged_rows = staged(rewritten(merged_rows, "part_of", joint), "merged")
         redirects = redirects.limit(0)
         more = container_redirects(graph.with_(br=graph.br.unionByName(merged_rows)), asked)
-    return graph, resolved(everything)
+    return graph
 
 
 def _without_roles(graph: Graph, losing: DataFrame) -> Graph:
@@ -91,7 +101,10 @@ class GraphDeduplicator:
         self.similar_names = merge_similar_named_contributors
         spark = graph.br.sparkSession
         self.preferred = spark.createDataFrame([(u,) for u in sorted(set(preferred_survivors or ()))], "uri string")
+        #: What each step did to each entity; how its triples changed; who absorbed whom directly.
         self.provenance: DataFrame | None = None
+        self.deltas: DataFrame | None = None
+        self.merges: DataFrame | None = None
         self.steps = 0
 
     def deduplicate(self) -> None:
@@ -108,28 +121,38 @@ class GraphDeduplicator:
         clusters = staged(duplicate_clusters(self.graph.signatures(kind)), "clusters")
         return staged(cluster_redirects(clusters, surviving_entities(clusters, getattr(self.graph, kind), kind, self.preferred)), "redirects")
 
-    def _record(self, redirects: DataFrame, change: Callable[[], Graph]) -> None:
-        before = staged(entity_states(self.graph), "before")
-        self.graph = change().staged()
-        self._noted(provenance_diff(before, entity_states(self.graph), redirects))
-
-    def _noted(self, changes: DataFrame) -> None:
+    def _record(self, change: Callable[[Graph, list[DataFrame]], Graph]) -> None:
+        """Take a step: the change of the graph, what it merges, and the provenance of both."""
+        before, merges = self.graph, []
+        if before.ident.limit(1).count():
+            self._keep_numbers(before)
+        after = change(before, merges).staged(before)
         self.steps += 1
+        empty = before.br.select(F.col("uri").alias("from_uri"), F.col("uri").alias("to_uri")).limit(0)
+        direct = staged(functools.reduce(DataFrame.unionByName, merges, empty).where("from_uri <> to_uri").groupBy("from_uri").agg(F.min("to_uri").alias("to_uri")), "merges")
+        delta = staged(triple_delta(before, after), "delta")
+        changes = delta_changes(delta, before, after, resolved(direct)).join(update_queries(delta), "entity", "left")
         found = staged(snapshots(changes, self.steps, AGENT), "provenance")
-        self.provenance = found if self.provenance is None else self.provenance.unionByName(found)
+        self.graph = after
+        step = F.lit(self.steps).alias("step")
+        more = lambda held, new: new if held is None else held.unionByName(new)
+        self.provenance = more(self.provenance, found)
+        self.deltas = more(self.deltas, delta.select(step, "*"))
+        self.merges = more(self.merges, direct.select(step, "from_uri", "to_uri", F.current_timestamp().alias("time")))
+
+    def _keep_numbers(self, graph: Graph) -> None:
+        """Stored counters learn of identifiers that may be merged, so that their numbers aren't given again."""
+        counters = self.storage.counters(graph.br.sparkSession) if self.storage is not None else None
+        if counters is not None:
+            counters.reserve("id", self.storage.supplier_prefix, 0, last_number(graph))
 
     def deduplicate_responsible_agents(self) -> None:
         redirects = self._redirects("ra")
-        self._record(redirects, lambda: merge_agents(self.graph, redirects, self.similar_names))
+        self._record(lambda graph, merges: merge_agents(graph, redirects, self.similar_names, merges))
 
     def deduplicate_bibliographic_resources(self) -> None:
-        self._merge_resources(self._redirects("br"))
-
-    def _merge_resources(self, redirects: DataFrame) -> None:
-        before = staged(entity_states(self.graph), "before")
-        graph, everything = merge_resources(self.graph, redirects, self.similar_names)
-        self.graph = graph.staged()
-        self._noted(provenance_diff(before, entity_states(self.graph), everything))
+        redirects = self._redirects("br")
+        self._record(lambda graph, merges: merge_resources(graph, redirects, self.similar_names, merges))
 
     def deduplicate_identifiers(self) -> None:
         """Attached identifiers of one scheme and literal become one, on every predicate that points at them."""
@@ -137,7 +160,7 @@ class GraphDeduplicator:
         clusters = attached.groupBy("scheme", "literal").agg(F.min("id").alias("cluster"), F.count("*").alias("n")).where("n > 1")
         clusters = staged(attached.join(clusters, ["scheme", "literal"]).select(F.col("id").alias("uri"), "cluster"), "clusters")
         redirects = staged(cluster_redirects(clusters, surviving_entities(clusters, self.graph.ident, "ident", self.preferred)), "redirects")
-        self._record(redirects, lambda: merge_entities(self.graph, "ident", redirects))
+        self._record(lambda graph, merges: merge_entities(graph, "ident", redirects, merges))
 
     def merge_clusters(self, mapping: Mapping[str, Iterable[str]]) -> None:
         """Merge exactly the given clusters, after all checks; containers may follow, nothing else is discovered."""
@@ -145,24 +168,37 @@ class GraphDeduplicator:
         clusters = staged(clusters_frame(spark, mapping), "asked")
         if bad := cluster_violations(clusters, self.graph).orderBy("rule", "cluster", "offender").take(5):
             raise ValueError("; ".join(f"{r.rule}: {r.offender} {BROKEN[r.rule]} (cluster of {r.cluster})" for r in bad))
-        asked = clusters.where("merged is not null").join(self.graph.entities(), F.col("survivor") == F.col("uri")).select("survivor", "merged", "kind")
+        kinds = lookup_entities(self.graph, clusters.select(F.col("survivor").alias("uri"))).withColumnRenamed("uri", "survivor")
+        asked = clusters.where("merged is not null").join(kinds, "survivor").select("survivor", "merged", "kind")
         of = lambda kind: staged(asked.where(F.col("kind") == kind).select(F.col("merged").alias("from_uri"), F.col("survivor").alias("to_uri")), kind)
         identifiers, agents, resources = of("ident"), of("ra"), of("br")
         if identifiers.limit(1).count():
-            self._record(identifiers, lambda: merge_entities(self.graph, "ident", identifiers))
+            self._record(lambda graph, merges: merge_entities(graph, "ident", identifiers, merges))
         if agents.limit(1).count():
-            self._record(agents, lambda: merge_agents(self.graph, agents, self.similar_names))
+            self._record(lambda graph, merges: merge_agents(graph, agents, self.similar_names, merges))
         depths = cluster_order(resources.select(F.col("to_uri").alias("survivor")), self.graph).select(F.col("cluster").alias("to_uri"), "depth")
         ordered = staged(resources.join(depths, "to_uri"), "ordered")
         for depth in [r.depth for r in ordered.select("depth").distinct().orderBy("depth").collect()]:  # as many as containers nest
             resources = ordered.where(F.col("depth") == depth).select("from_uri", "to_uri")
-            named = resources.select(F.col("from_uri").alias("uri")).unionByName(resources.select(F.col("to_uri").alias("uri")))
-            if gone := named.join(self.graph.br, "uri", "left_anti").select("uri").distinct().orderBy("uri").take(5):
-                raise ValueError("; ".join(f"{r.uri} is deleted by the merge of an earlier cluster" for r in gone))
-            pairs = resources.unionByName(container_redirects(self.graph, resources)).select(F.col("to_uri").alias("survivor"), F.col("from_uri").alias("merged"))
-            losing = staged(discarded_roles(self.graph, pairs), "losing")
-            self.graph = _without_roles(self.graph, losing).staged()
-            self._merge_resources(resources)
+            self._refuse_deleted(resources)
+            self._record(lambda graph, merges, asked=resources: self._merge_asked(graph, asked, merges))
+
+    def _merge_asked(self, graph: Graph, redirects: DataFrame, merges: list[DataFrame]) -> Graph:
+        """Asked resources merged, after the roles that give way have been taken out."""
+        pairs = redirects.unionByName(container_redirects(graph, redirects)).select(F.col("to_uri").alias("survivor"), F.col("from_uri").alias("merged"))
+        losing = staged(discarded_roles(graph, pairs), "losing")
+        left = _without_roles(graph, losing).staged(graph) if losing.limit(1).count() else graph
+        return merge_resources(left, redirects, self.similar_names, merges)
+
+    def _refuse_deleted(self, redirects: DataFrame) -> None:
+        """ValueError for members that an earlier cluster's merge has deleted, which names what absorbed them."""
+        named = redirects.select("to_uri", F.col("from_uri").alias("uri")).unionByName(redirects.select("to_uri", F.col("to_uri").alias("uri")))
+        gone = named.join(self.graph.br, "uri", "left_anti").select("uri", F.col("to_uri").alias("cluster")).distinct()
+        if self.merges is not None:
+            gone = gone.join(self.merges.select(F.col("from_uri").alias("uri"), F.col("to_uri").alias("into")), "uri", "left")
+        if bad := gone.orderBy("uri", "cluster").take(5):
+            cause = lambda r: f"merged into {r['into']}" if "into" in r and r["into"] else "marked for deletion"
+            raise ValueError("; ".join(f"Entity {r.uri} is deleted ({cause(r)}) and cannot take part in the merge cluster of {r.cluster}" for r in bad))
 
     def merge_clusters_and_save(self, mapping: Mapping[str, Iterable[str]]) -> None:
         self._storage()

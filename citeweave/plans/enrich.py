@@ -6,42 +6,77 @@ staged by position, so that a later identifier of an owner is only asked when no
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from citeweave.functions import vocabulary as V
 from citeweave.functions.text import orcid_search, usable_title
-from citeweave.graph import Graph
+from citeweave.graph import Graph, last_number
 from citeweave.operators import filters
 from citeweave.operators.contributors import contributions
-from citeweave.operators.provenance import entity_states, provenance_diff, snapshots
+from citeweave.operators.provenance import delta_changes, snapshots, triple_delta, update_queries
 from citeweave.sources import lookups as L
+from citeweave.sources.counters import MemoryCounters
 from citeweave.staging import staged
 
 NEW = "owner_kind string, owner string, scheme string, literal string"
+NUMBERED = f"{NEW}, id string"
+#: Who is responsible for what is added.
+AGENT = "urn:citeweave"
 
 
-def added_identifiers(graph: Graph, new: DataFrame, base: str) -> Graph:
-    """The graph with new identifiers (owner_kind, owner, scheme, literal) that their owners lack, whatever the scheme.
+def numbered_identifiers(graph: Graph, new: DataFrame, base: str, counters=None, prefix: str = "") -> DataFrame:
+    """owner_kind, owner, scheme, literal, id of new identifiers (owner_kind, owner, scheme, literal) that their owners lack,
+    whatever the scheme.
 
-    Each gets the next free number; numbers follow the order of owner, scheme and literal, counted by partition so
-    that no task orders them all.
+    Each gets the next free number, of those that ``counters`` give, else above all of the graph; numbers follow the order
+    of owner, scheme and literal, counted by partition so that no task orders them all.
     """
     held = graph.ent_id.join(graph.ident.select(F.col("uri").alias("id"), "literal"), "id").select("owner", "literal")
     fresh = filters.absent(new.dropDuplicates(["owner", "literal"]), held)
-    last = graph.ident.select(F.max(F.regexp_extract("uri", r"(\d+)$", 1).try_cast("long"))).first()[0] or 0
     spread = staged(fresh.repartitionByRange("owner", "scheme", "literal").sortWithinPartitions("owner", "scheme", "literal").withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "fresh")
+    count = spread.count()
+    first = (counters or MemoryCounters()).reserve("id", prefix, count, last_number(graph)) if count else 0
     sizes = spread.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     # one row per partition, not per identifier
-    offsets = sizes.select("part", "first", (F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + last + 1).alias("start"))
-    numbered = staged(spread.join(offsets, "part").withColumn("id", F.concat(F.lit(base), (F.col("start") + F.col("row") - F.col("first")).cast("string"))), "numbered")
+    offsets = sizes.select("part", "first", (F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + first).alias("start"))
+    number = (F.col("start") + F.col("row") - F.col("first")).cast("string")
+    return staged(spread.join(offsets, "part").select("owner_kind", "owner", "scheme", "literal", F.concat(F.lit(base), number).alias("id")), "numbered")
+
+
+def with_identifiers(graph: Graph, numbered: DataFrame) -> Graph:
+    """The graph with numbered identifiers and their owners' edges to them."""
     return graph.with_(
         ident=graph.ident.unionByName(numbered.select(F.col("id").alias("uri"), "scheme", "literal")),
         ent_id=graph.ent_id.unionByName(numbered.select("owner_kind", "owner", "id")),
     )
 
 
+def added_identifiers(graph: Graph, new: DataFrame, base: str, counters=None) -> Graph:
+    """The graph with the new identifiers (owner_kind, owner, scheme, literal) that their owners lack."""
+    return with_identifiers(graph, numbered_identifiers(graph, new, base, counters))
+
+
+def first_found(asked: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """owner, pos, literal: what a search finds for each owner's first request for which it finds anything.
+
+    asked: owner, pos (from 1, without gaps) and what the search needs; search: requests -> owner, pos, literal. Owners
+    without a find ask again with as many requests as all their rounds before and one more, so requests after a find are
+    few, and rounds grow with the logarithm of an owner's requests.
+    """
+    left, found, upto = staged(asked, "asked"), None, 1
+    while left.where(F.col("pos") <= upto).limit(1).count():
+        hits = staged(search(left.where(F.col("pos") <= upto)).groupBy("owner").agg(F.min(F.struct("pos", "literal")).alias("h")).select("owner", "h.pos", "h.literal"), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        left = staged(left.where(F.col("pos") > upto).join(hits.select("owner"), "owner", "left_anti"), "asked")
+        upto = 2 * upto + 1
+    return found if found is not None else left.select("owner", "pos", F.lit(None).cast("string").alias("literal"))
+
+
 def first_answers(provider: L.LookupProvider, requests: DataFrame, source: str, op: str) -> DataFrame:
     """owner, pos, key, body of each owner's first request (owner, pos, key) with an answer; later ones aren't asked."""
     left, found = staged(requests, "requests"), None
@@ -105,39 +140,48 @@ def enriched_publishers(provider: L.LookupProvider, roles: DataFrame, identifier
     return rows.groupBy("owner").agg(F.min_by("literal", "key").alias("literal")).select("owner", F.lit(V.CROSSREF).alias("scheme"), "literal")
 
 
-def _first_by_resource(found: DataFrame, scheme: str) -> DataFrame:
-    """owner, scheme, literal: of an agent's answers (owner, br, literal) the one of the first resource."""
-    return found.groupBy("owner").agg(F.min_by("literal", "br").alias("literal")).select("owner", F.lit(scheme).alias("scheme"), "literal")
+def _by_resource(authors: DataFrame) -> DataFrame:
+    """The authors' rows with owner, and pos, the place of the resource among those of the agent."""
+    place = F.row_number().over(W.partitionBy("agent").orderBy("br"))  # the resources of one author
+    return authors.dropDuplicates(["agent", "br"]).withColumns({"owner": F.col("agent"), "pos": place})
 
 
 def enriched_orcid(provider: L.LookupProvider, authors: DataFrame, identifiers: DataFrame) -> DataFrame:
     """owner (agent), scheme, literal: the first hit of a search whose details match the author's names.
 
     authors: br, agent, given, family; identifiers: of resources (owner, pos, scheme, literal). Resources without any
-    identifier aren't searched for. Every distinct search, and every hit's details, are asked once.
+    identifier aren't searched for. An author's resources are searched for in order until one has a match; every distinct
+    search of a round, and its hits' details, are asked once.
     """
     of_br = identifiers.groupBy(F.col("owner").alias("br")).agg(F.array_sort(F.collect_list(F.struct("pos", "scheme", "literal"))).alias("ids"))
     asked = authors.join(of_br, "br").select("br", "agent", "given", "family", orcid_search(F.col("given"), F.col("family"), F.col("ids")).alias("key"))
-    asked = staged(asked.where("key is not null"), "asked")
-    hits = L.lookup(provider, asked.select("key").distinct(), "orcid", "search")
     listed = F.from_json("body", "result array<struct<`orcid-identifier`:struct<path:string>>>")["result"]
-    hits = staged(hits.select(F.col("key").alias("search"), F.posexplode(listed).alias("pos", "hit")).select("search", "pos", F.upper(F.col("hit.orcid-identifier.path")).alias("key")), "hits")
     name = F.from_json("body", "name struct<`given-names`:struct<value:string>,`family-name`:struct<value:string>>")["name"]
-    details = L.lookup(provider, hits, "orcid", "details").select(F.col("search").alias("query"), "pos", F.col("key").alias("orcid"), name["given-names"]["value"].alias("given"), name["family-name"]["value"].alias("family"))
-    found = L.orcid_matches(details, asked.select(F.col("key").alias("query"), "agent", "given", "family").distinct())
-    found = asked.select("br", "agent", F.col("key").alias("query")).join(found, ["query", "agent"])
-    return _first_by_resource(found.select(F.col("agent").alias("owner"), "br", F.col("orcid").alias("literal")), V.ORCID)
+
+    def search(now: DataFrame) -> DataFrame:
+        hits = L.lookup(provider, now.select("key").distinct(), "orcid", "search")
+        hits = staged(hits.select(F.col("key").alias("search"), F.posexplode(listed).alias("pos", "hit")).select("search", "pos", F.upper(F.col("hit.orcid-identifier.path")).alias("key")), "hits")
+        details = L.lookup(provider, hits, "orcid", "details").select(F.col("search").alias("query"), "pos", F.col("key").alias("orcid"), name["given-names"]["value"].alias("given"), name["family-name"]["value"].alias("family"))
+        found = L.orcid_matches(details, now.select(F.col("key").alias("query"), "agent", "given", "family").distinct())
+        return now.select("owner", "pos", "agent", F.col("key").alias("query")).join(found, ["query", "agent"]).select("owner", "pos", F.col("orcid").alias("literal"))
+
+    found = first_found(_by_resource(asked.where("key is not null")), search)
+    return found.select("owner", F.lit(V.ORCID).alias("scheme"), "literal")
 
 
 def enriched_viaf(provider: L.LookupProvider, authors: DataFrame) -> DataFrame:
     """owner (agent), scheme, literal: the only record for the author's name and the title of a resource.
 
-    authors: br, agent, given, family, title; one without any name isn't asked for.
+    authors: br, agent, given, family, title; one without any name isn't asked for. Resources are asked for in order until
+    one has a record.
     """
     named = authors.where("coalesce(given, '') <> '' or coalesce(family, '') <> ''")
-    asked = named.select(F.col("agent").alias("owner"), "br", L.viaf_key(F.col("given"), F.col("family"), F.col("title")).alias("key"))
-    found = L.lookup(provider, asked, "viaf", "search").select("owner", "br", L.viaf_id(F.col("body")).alias("literal")).where("literal is not null")
-    return _first_by_resource(found, V.VIAF)
+
+    def search(now: DataFrame) -> DataFrame:
+        asked = now.select("owner", "pos", L.viaf_key(F.col("given"), F.col("family"), F.col("title")).alias("key"))
+        return L.lookup(provider, asked, "viaf", "search").select("owner", "pos", L.viaf_id(F.col("body")).alias("literal")).where("literal is not null")
+
+    return first_found(_by_resource(named), search).select("owner", F.lit(V.VIAF).alias("scheme"), "literal")
 
 
 #: Identifiers of agents by which their Wikidata items are found.
@@ -148,67 +192,114 @@ class GraphEnricher:
     """Adds missing identifiers to a graph. ``enrich`` returns nothing; ``graph``, ``provenance`` and ``new_ids`` hold the result.
 
     provider: where lookups are answered; stop_words: left out of title searches; base: what new identifiers' uris
-    begin with; checkpoint_interval: resources of which so many are processed are saved before going on.
+    begin with. With checkpoint_interval N, resources are treated in batches in the order of their uris, and the graph is
+    saved before each N-th one. resume_dir: a folder in which each batch's identifiers are kept once it is done; a run that
+    finds batches there takes them from there and asks for the others only.
     """
 
-    def __init__(self, graph: Graph, storage, *, provider: L.LookupProvider, stop_words: list[str] = (), base: str = "https://w3id.org/oc/meta/id/", debug: bool = False, checkpoint_interval: int | None = None, use_wikidata: bool = True, use_viaf: bool = True, use_orcid: bool = True):
+    def __init__(self, graph: Graph, storage, *, provider: L.LookupProvider, stop_words: list[str] = (), base: str = "https://w3id.org/oc/meta/id/", debug: bool = False, checkpoint_interval: int | None = None, use_wikidata: bool = True, use_viaf: bool = True, use_orcid: bool = True, resume_dir: str | None = None):
         if checkpoint_interval is not None and checkpoint_interval <= 0:
             raise ValueError("checkpoint_interval must be positive")
         self.graph, self.storage, self.provider, self.base = graph, storage, provider, base
         self.stop_words, self.debug, self.checkpoint_interval = list(stop_words), debug, checkpoint_interval
         self.use_wikidata, self.use_viaf, self.use_orcid = use_wikidata, use_viaf, use_orcid
+        self.resume_dir = resume_dir
+        stored = storage.counters(graph.br.sparkSession) if storage is not None else None
+        self.counters, self.prefix = stored or MemoryCounters(), storage.supplier_prefix if storage is not None else ""
         self.provenance: DataFrame | None = None
         self.new_ids = 0
+        self._batch: DataFrame | None = None
+        self._added: list[DataFrame] = []
 
     def _add(self, new: DataFrame, owner_kind: str) -> None:
-        before = self.graph.ident.count()
-        self.graph = added_identifiers(self.graph, new.withColumn("owner_kind", F.lit(owner_kind)), self.base).staged()
-        self.new_ids += self.graph.ident.count() - before
+        numbered = numbered_identifiers(self.graph, new.withColumn("owner_kind", F.lit(owner_kind)), self.base, self.counters, self.prefix)
+        if count := numbered.count():
+            self.graph = with_identifiers(self.graph, numbered)
+            self.new_ids += count
+            self._added.append(numbered)
 
     def _resources(self) -> DataFrame:
-        return filters.enrichable(self.graph.br)
+        chosen = filters.enrichable(self.graph.br)
+        return chosen if self._batch is None else chosen.join(self._batch, "uri", "left_semi")
 
     def _of_resources(self) -> DataFrame:
         chosen = self._resources().select(F.col("uri").alias("owner"))
         return staged(ordered_identifiers(self.graph, "br").join(chosen, "owner", "left_semi"), "identifiers")
 
     def enrich(self) -> None:
-        before = staged(entity_states(self.graph), "before")
+        before = self.graph
+        for number, batch in enumerate(self._batches()):
+            if number and self.storage is not None:
+                self.storage.save_graph(self.graph)
+            self._batch, self._added, start = batch, [], self.graph
+            if (kept := self._kept(number)) is not None:
+                self.graph = with_identifiers(self.graph, kept).staged(start)
+                self.new_ids += kept.count()
+                continue
+            self._treat()
+            self.graph = self.graph.staged(start)
+            self._keep(number)
+        self._batch = None
+        none = before.br.select(F.col("uri").alias("from_uri"), F.col("uri").alias("to_uri")).limit(0)
+        delta = staged(triple_delta(before, self.graph), "delta")
+        changes = delta_changes(delta, before, self.graph, none).join(update_queries(delta), "entity", "left")
+        self.provenance = staged(snapshots(changes, 1, AGENT), "provenance")
+        if self.storage is not None:
+            self.storage.save(self.graph, self.provenance)
+
+    def _treat(self) -> None:
+        """All lookups for the batch's resources and their authors and publishers."""
         self._add(enriched_issn(self.provider, self._of_resources()), "br")
         self._add(enriched_doi(self.provider, self._resources(), self._of_resources(), self.stop_words), "br")
-        self._checkpoint()
         if self.use_wikidata:
             self._add(enriched_wikidata(self.provider, self._of_resources(), V.RESOURCE_SCHEMES), "br")
         self._add(enriched_openalex(self.provider, self._of_resources()), "br")
-        self._checkpoint()
         self._enrich_authors()
         roles = contributions(self.graph).join(self._resources().select(F.col("uri").alias("br")), "br", "left_semi")
         dois = filters.classify_resource_identifiers(self._of_resources()).where("doi is not null").select(F.col("owner").alias("br"), "doi")
         self._add(enriched_publishers(self.provider, roles, ordered_identifiers(self.graph, "ra"), dois), "ra")
-        after = entity_states(self.graph)
-        none = self.graph.br.sparkSession.createDataFrame([], "from_uri string, to_uri string")
-        self.provenance = staged(snapshots(provenance_diff(before, after, none), 1, "citeweave"), "provenance")
-        if self.storage is not None:
-            self.storage.save(self.graph, self.provenance)
 
-    def _checkpoint(self) -> None:
-        """Set-based steps treat all resources at once, so a save falls between steps once enough have been treated."""
-        if self.checkpoint_interval is not None and self.storage is not None and self._resources().limit(self.checkpoint_interval).count() >= self.checkpoint_interval:
-            self.storage.save_graph(self.graph)
+    def _batches(self) -> list[DataFrame | None]:
+        """The uris of each batch, of which all but the first begin with an N-th resource; one of all without an interval."""
+        if self.checkpoint_interval is None:
+            return [None]
+        spread = staged(self.graph.br.select("uri").repartitionByRange("uri").sortWithinPartitions("uri").withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "order")
+        sizes = spread.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+        before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+        place = spread.join(sizes.select("part", "first", before.alias("before")), "part")
+        numbered = staged(place.select("uri", F.floor((F.col("before") + F.col("row") - F.col("first") + 1) / self.checkpoint_interval).alias("batch")), "batches")
+        numbers = [r["batch"] for r in numbered.select("batch").distinct().orderBy("batch").collect()]  # as many as saves
+        return [numbered.where(F.col("batch") == n).select("uri") for n in numbers]
+
+    def _keep(self, number: int) -> None:
+        """Write what a batch added; the table's success marker, which comes last, says that the batch is done."""
+        if self.resume_dir is not None:
+            spark = self.graph.br.sparkSession
+            found = functools.reduce(DataFrame.unionByName, self._added) if self._added else spark.createDataFrame([], NUMBERED)
+            found.write.mode("overwrite").parquet(f"{self.resume_dir}/batch-{number:09d}")
+
+    def _kept(self, number: int) -> DataFrame | None:
+        if self.resume_dir is None:
+            return None
+        spark = self.graph.br.sparkSession
+        path = f"{self.resume_dir}/batch-{number:09d}"
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        done = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+        return spark.read.schema(NUMBERED).parquet(path) if done else None
 
     def _authors(self, lacking: str) -> DataFrame:
-        """br, agent, given, family, title of the authors without an identifier of a scheme."""
+        """br, agent, given, family, title of the authors without an identifier of a catalogue (orcid, viaf, wikidata)."""
         roles = contributions(self.graph).where(F.col("role_type") == V.AUTHOR).join(self._resources().select(F.col("uri").alias("br"), "title"), "br")
-        held = ordered_identifiers(self.graph, "ra").where(F.col("scheme").contains(lacking)).select(F.col("owner").alias("held_by"))
+        held = filters.classify_agent_identifiers(ordered_identifiers(self.graph, "ra")).where(f"has_{lacking}").select(F.col("owner").alias("held_by"))
         agents = self.graph.ra.select(F.col("uri").alias("held_by"), F.col("given_name").alias("given"), F.col("family_name").alias("family"))
         return roles.join(held, "held_by", "left_anti").join(agents, "held_by").select("br", F.col("held_by").alias("agent"), "given", "family", "title")
 
     def _enrich_authors(self) -> None:
         if self.use_orcid:
-            self._add(enriched_orcid(self.provider, self._authors(V.ORCID), self._of_resources()), "ra")
+            self._add(enriched_orcid(self.provider, self._authors("orcid"), self._of_resources()), "ra")
         if self.use_viaf:
-            self._add(enriched_viaf(self.provider, self._authors(V.VIAF)), "ra")
+            self._add(enriched_viaf(self.provider, self._authors("viaf")), "ra")
         if self.use_wikidata:
-            authors = self._authors(V.WIKIDATA).select(F.col("agent").alias("owner")).distinct()
+            authors = self._authors("wikidata").select(F.col("agent").alias("owner")).distinct()
             held = ordered_identifiers(self.graph, "ra").join(authors, "owner", "left_semi")
             self._add(enriched_wikidata(self.provider, staged(held, "held"), AGENT_SCHEMES), "ra")

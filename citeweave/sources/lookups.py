@@ -20,9 +20,11 @@ from citeweave.staging import staged
 #: Fixed values of the lookups: attempts, first wait in seconds, answers worth another attempt, candidates and their threshold.
 ATTEMPTS, FIRST_WAIT, RETRIED, CANDIDATES, TITLE_THRESHOLD = 3, 1.0, (429, 500, 502, 503, 504), 4, 0.8
 ANSWERS = "source string, op string, key string, body string"
+KEPT = f"{ANSWERS}, time timestamp"
 #: Seconds that a catalogue may take, and the properties by which one finds an identifier.
 TIMEOUTS = {"crossref": 30.0, "orcid": 30.0, "viaf": 60.0, "wikidata": 60.0, "openalex": 60.0}
 WIKIDATA_PROPERTIES = {"doi": "P356", "issn": "P236", "orcid": "P496", "viaf": "P214", "pmid": "P698", "pmcid": "P932"}
+OPENALEX_SCHEMES = ("doi", "issn", "pmid", "pmcid")
 
 
 class LookupProvider(Protocol):
@@ -42,27 +44,55 @@ class TableLookups:
 
 
 class KeptLookups:
-    """Another provider's answers, kept in a table in the shared folder of ``path``: what it holds isn't asked again."""
+    """Another provider's answers, kept in a table in the shared folder of ``path``: what it holds isn't asked again.
 
-    def __init__(self, provider: LookupProvider, path: str):
-        self.provider, self.path = provider, path
+    A request without an answer is kept too, with a null body, and asked again once it is older than ``expiry`` seconds;
+    answers are as well if ``answers_expire``. Runs append rows, and of a key's rows the newest counts, an answer before
+    none at one time, so runs at once don't disturb each other; compact() leaves one row a key.
+    """
+
+    def __init__(self, provider: LookupProvider, path: str, expiry: float = 30 * 86_400.0, answers_expire: bool = False):
+        self.provider, self.path, self.expiry, self.answers_expire = provider, path, expiry, answers_expire
 
-    def _kept(self, spark: SparkSession) -> DataFrame:
+    def _table(self, spark: SparkSession) -> DataFrame:
         folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        return spark.read.schema(ANSWERS).parquet(self.path) if held else spark.createDataFrame([], ANSWERS)
+        return spark.read.schema(KEPT).parquet(self.path) if held else spark.createDataFrame([], KEPT)
+
+    @staticmethod
+    def newest(table: DataFrame) -> DataFrame:
+        """source, op, key, body, time: of each key the newest row, an answer before none, then the smaller answer."""
+        order = F.struct((-F.unix_micros("time")).alias("age"), F.col("body").isNull().alias("none"), "body")
+        return table.groupBy("source", "op", "key").agg(F.min(order).alias("o"), F.max("time").alias("time")).select("source", "op", "key", F.col("o.body").alias("body"), "time")
+
+    def _known(self, spark: SparkSession) -> DataFrame:
+        """The newest rows that haven't expired; the clock is the driver's."""
+        since = F.timestamp_micros(F.lit(int((time.time() - self.expiry) * 1e6)))
+        lasting = F.col("time") > since
+        return self.newest(self._table(spark)).where(lasting if self.answers_expire else lasting | F.col("body").isNotNull())
 
     def answers(self, requests: DataFrame) -> DataFrame:
         key = ["source", "op", "key"]
         asked = staged(requests.select(key).where("key is not null").distinct(), "asked")
-        known = staged(TableLookups(self._kept(requests.sparkSession)).answers(asked), "known")
-        fresh = staged(self.provider.answers(asked.join(known, key, "left_anti")).select(*key, "body"), "fresh")
-        fresh.write.mode("append").parquet(self.path)
-        return known.select(*key, "body").unionByName(fresh)
+        known = staged(asked.join(self._known(requests.sparkSession), key).select(*key, "body"), "known")
+        open_ = staged(asked.join(known, key, "left_anti"), "open")
+        fresh = staged(open_.join(self.provider.answers(open_).select(*key, "body"), key, "left").groupBy(*key).agg(F.min("body").alias("body")), "fresh")
+        now = F.timestamp_micros(F.lit(int(time.time() * 1e6)))
+        fresh.withColumn("time", now).write.mode("append").parquet(self.path)
+        return known.unionByName(fresh).where("body is not null")
+
+    def compact(self, spark: SparkSession) -> None:
+        """Rewrite the table with the newest row of each key. No run may append meanwhile: its rows could be lost."""
+        table = staged(self.newest(self._table(spark)), "kept")
+        table.write.mode("overwrite").parquet(self.path)
+
 
+#: Where catalogues answer, and how they are asked, by source and op.
+def catalogue_url(source: str, op: str, key: str) -> str | None:
+    """Where a catalogue answers a request; names, titles and queries are percent encoded as its interface asks for.
 
-def catalogue_url(source: str, op: str, key: str) -> str:
-    """Where a catalogue answers a request; names, titles and queries are percent encoded as its interface asks for."""
+    None for identifiers of schemes that the catalogue doesn't know.
+    """
     if source == "crossref":
         return "https://api.crossref.org/" + {"journal": f"journals/{key}", "member": f"works/{key}", "works": f"works?{key}"}[op]
     if source == "orcid":
@@ -72,10 +102,11 @@ def catalogue_url(source: str, op: str, key: str) -> str:
         return f'http://www.viaf.org/viaf/search?local.title+all+"{quote(asked["title"])}"&query=local.names+all+"{quote(asked["name"])}"&sortKeys=holdingscount&recordSchema=BriefVIAF'
     scheme, literal = key.split(":", 1)
     if source == "wikidata":
-        prop = WIKIDATA_PROPERTIES[scheme]
+        if (prop := WIKIDATA_PROPERTIES.get(scheme)) is None:
+            return None
         return "https://query.wikidata.org/sparql?" + urlencode({"format": "json", "query": f'SELECT ?item WHERE {{ ?item p:{prop} ?x. ?x ps:{prop} "{literal}". }} LIMIT 1'})
     if source == "openalex":
-        return f"https://api.openalex.org/{'sources' if scheme == 'issn' else 'works'}?filter={scheme}:{literal}&select=id"
+        return None if scheme not in OPENALEX_SCHEMES else f"https://api.openalex.org/{'sources' if scheme == 'issn' else 'works'}?filter={scheme}:{literal}&select=id"
     raise ValueError(f"no catalogue {source}")
 
 
@@ -101,17 +132,26 @@ def fetch(url: str, timeout: float, attempts: int = ATTEMPTS, wait: float = FIRS
 
 
 class HttpLookups:
-    """Answers over HTTP, each distinct request once; url_of: (source, op, key) -> url. Requests run in the tasks."""
+    """Answers over HTTP, each distinct request once; url_of: (source, op, key) -> url, or None for no answer.
 
-    def __init__(self, url_of: Callable[[str, str, str], str] = catalogue_url, timeouts: dict[str, float] | None = None, partitions: int = 8):
-        self.url_of, self.timeouts, self.partitions = url_of, TIMEOUTS if timeouts is None else timeouts, partitions
+    Requests run in ``partitions`` tasks at most, as many as the catalogues bear at once, each ``pause`` seconds apart.
+    """
+
+    def __init__(self, url_of: Callable[[str, str, str], str | None] = catalogue_url, timeouts: dict[str, float] | None = None, partitions: int = 8, pause: float = 0.0):
+        self.url_of, self.timeouts, self.partitions, self.pause = url_of, TIMEOUTS if timeouts is None else timeouts, partitions, pause
 
     def answers(self, requests: DataFrame) -> DataFrame:
-        url_of, timeouts = self.url_of, self.timeouts
+        url_of, timeouts, pause = self.url_of, self.timeouts, self.pause
+
+        def one(source: str, op: str, key: str) -> str | None:
+            if (url := url_of(source, op, key)) is None:
+                return None
+            time.sleep(pause)
+            return fetch(url, timeouts.get(source, 30.0))
 
         def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                bodies = [fetch(url_of(*row), timeouts.get(row[0], 30.0)) for row in frame[["source", "op", "key"]].itertuples(index=False)]
+                bodies = [one(*row) for row in frame[["source", "op", "key"]].itertuples(index=False)]
                 yield frame.assign(body=bodies).dropna(subset=["body"])
 
         asked = requests.select("source", "op", "key").where("key is not null").distinct()

@@ -181,11 +181,21 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumn("similarity", X.name_similarity(F.col("a"), F.col("b"))).where("similarity > 0.5").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query(with_views("role", "ra") + f"""SELECT * FROM (SELECT br, ar AS from_uri, min(ar) OVER (PARTITION BY br, role_type, given_name, family_name) AS to_uri
-FROM role JOIN ra ON uri = held_by WHERE role_type IN ('{V.AUTHOR}', '{V.EDITOR}') AND (given_name IS NOT NULL OR family_name IS NOT NULL)) WHERE from_uri <> to_uri""")
+#: Agents with names so long that one letter may differ, in mixed case and with odd spaces.
+_LONG_NAMES = """SELECT uri, CASE WHEN length(uri) % 2 = 0 THEN upper(concat('Maximiliane  Josephine ', coalesce(given_name, ''))) ELSE concat('Maximiliane Josephine ', coalesce(given_name, '')) END AS given_name, family_name FROM {ra}"""
+
+
+@query(with_views("role", "ra")[:-1] + f""", long_named AS (SELECT uri, lower(regexp_replace(trim(concat_ws(' ', given_name, family_name)), ' +', ' ', 'g')) AS name FROM ({_LONG_NAMES.format(ra='ra')})),
+o AS (SELECT br, role_type, ar, name, row_number() OVER (PARTITION BY br, role_type ORDER BY ar) AS k FROM role JOIN long_named ON uri = held_by WHERE role_type IN ('{V.AUTHOR}', '{V.EDITOR}')),
+step AS (SELECT DISTINCT br, role_type, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(ar VARCHAR, name VARCHAR)[]) AS kept, CAST(NULL AS VARCHAR) AS from_uri, CAST(NULL AS VARCHAR) AS to_uri FROM o
+  UNION ALL SELECT br, role_type, k, CASE WHEN into_uri IS NULL THEN list_append(kept, {{'ar': ar, 'name': name}}) ELSE kept END, CASE WHEN into_uri IS NOT NULL THEN ar END, into_uri
+  FROM (SELECT o.*, s.kept, list_filter(s.kept, lambda l: 1 - levenshtein(l.name, o.name) / greatest(length(l.name), length(o.name)) > 0.95)[1].ar AS into_uri
+    FROM step s JOIN o ON o.br = s.br AND o.role_type = s.role_type AND o.k = s.k + 1))
+SELECT br, from_uri, to_uri FROM step WHERE to_uri IS NOT NULL""")
 def similar_name_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles that merge by their holders' given and family names; these are so short here that only equal ones are similar enough."""
-    return contributors.similar_name_redirects(projected(spark, sf_dir, "role").select("br", "ar", "role_type", "held_by"), projected(spark, sf_dir, "ra"))
+    """Roles that merge by their holders' given and family names, which differ in case, in spaces, and in letters."""
+    agents = spark.sql(_LONG_NAMES, ra=projected(spark, sf_dir, "ra"))
+    return contributors.similar_name_redirects(projected(spark, sf_dir, "role").select("br", "ar", "role_type", "held_by"), agents)
 
 
 _CHAIN = """br AS (SELECT * FROM article UNION ALL SELECT * FROM container),

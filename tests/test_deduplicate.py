@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from graphs import B, build, golden, u
+from pyspark.sql import functions as F
 
 from citeweave.functions import vocabulary as V
+from citeweave.operators import containers
 from citeweave.operators.containers import part_of_chain
 from citeweave.operators.contributors import author_order, contributions, similar_name_redirects
 from citeweave.plans.deduplicate import GraphDeduplicator
@@ -256,3 +260,63 @@ def test_what_is_said_of_rejected_clusters(spark, mapping, text):
     g = build(spark, br=[(1, V.ARTICLE, "a", None, 4), (2, V.ARTICLE, "b", None, None), (3, V.ARTICLE, "c", None, None), (4, V.ISSUE, "i", None, None)], ra=[(1, "x", None, None)], ids=[(1, "br", 1, "doi", "d"), (2, "br", 2, "doi", "e")])
     with pytest.raises(ValueError, match=text):
         GraphDeduplicator(g).merge_clusters({B + k: [B + x for x in v] for k, v in mapping.items()})
+
+
+def edited(draw, name, times):
+    """The name after so many random edits of a letter."""
+    letters = list(name)
+    for _ in range(times):
+        at = draw.randrange(len(letters))
+        letters[at : at + draw.choice([0, 1])] = draw.choice(["", "a", "b", " c"])
+    return "".join(letters)
+
+
+def test_similar_names_equal_the_plain_greedy_pass(spark):
+    """Names of all lengths around the bounds, each with near and far neighbours."""
+    draw, names = random.Random(1), []
+    for size in (5, 19, 20, 21, 38, 39, 40, 41, 59, 60, 61, 80, 150):
+        for _ in range(3):
+            base = "".join(draw.choices("abcdefgh ", k=size)).strip() or "x"
+            names += [edited(draw, base, k) for k in (0, 0, 1, 1, 2, 3, 4)] + [base.upper(), base.replace(" ", "  ")]
+    draw.shuffle(names)
+    roles = [(f"b{k % 2}", f"ar/{k:05d}", V.AUTHOR if k % 3 else V.EDITOR, f"ra/{k}") for k in range(len(names))]
+    agents = [(f"ra/{k}", n if k % 2 else None, None if k % 2 else n) for k, n in enumerate(names)]
+    want, kept = [], {}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    for (br, ar, kind, _), name in zip(roles, names, strict=True):
+        name = " ".join(name.casefold().split())
+        held = kept.setdefault((br, kind), [])
+        into = next((k for k, other in held if abs(len(other) - len(name)) < 9 and 1 - distance(name, other) / max(len(name), len(other)) > 0.95), None)
+        if into is None:
+            held.append((ar, name))
+        else:
+            want.append((br, ar, into))
+    found = similar_name_redirects(spark.createDataFrame(roles, "br string, ar string, role_type string, held_by string"), spark.createDataFrame(agents, "uri string, given_name string, family_name string"))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_fifty_thousand_contributors_of_one_resource(spark):
+    """A shared given name makes nobody similar; each tenth contributor has a namesake of one letter's difference."""
+    n = 50_000
+    ids = spark.range(n).withColumn("name", F.concat(F.lit("Family "), F.sha2(F.floor(F.col("id") - F.when(F.col("id") % 10 == 1, 1).otherwise(0)).cast("string"), 256).substr(1, 12), F.when(F.col("id") % 10 == 1, "x").otherwise("")))
+    agents = ids.select(F.format_string("ra/%06d", "id").alias("uri"), F.lit("Maximiliane").alias("given_name"), F.col("name").alias("family_name"))
+    roles = ids.select(F.lit("b").alias("br"), F.format_string("ar/%06d", "id").alias("ar"), F.lit(V.AUTHOR).alias("role_type"), F.format_string("ra/%06d", "id").alias("held_by"))
+    found = {(r["from_uri"], r["to_uri"]) for r in similar_name_redirects(roles, agents).collect()}
+    assert found == {(f"ar/{k + 1:06d}", f"ar/{k:06d}") for k in range(0, n, 10)}
+
+
+def test_a_deep_chain_in_few_written_tables(spark, monkeypatch):
+    deep = spark.range(1, 1001).select(F.format_string("br/%d", "id").alias("uri"), F.when(F.col("id") < 1000, F.format_string("br/%d", F.col("id") + 1)).alias("part_of"))
+    written = []
+    real = containers.staged
+    monkeypatch.setattr(containers, "staged", lambda df, label: (written.append(label), real(df, label))[1])
+    found = containers.part_of_chain(deep, deep.where("uri = 'br/1'").select("uri"))
+    assert {r["depth"] for r in found.collect()} == set(range(1, 1000)) and len(written) <= 12

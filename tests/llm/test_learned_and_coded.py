@@ -527,3 +527,27 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert P.pack_sequences(spark, docs, "").where("start = 0").count() == len(rows)
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_trees_of_a_hundred_languages_stay_small():
+    """Sparse rows and the dense table give the same code lengths; a hundred languages take little memory."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    parts = []
+    for k in range(100):
+        letters = draw.choice(np.arange(33, 250), 40, replace=False)
+        data = letters[np.minimum(draw.geometric(0.1, 30_000) - 1, 39)].astype(np.int64)
+        found, n = np.unique(data[3:] | data[2:-1] << 8 | data[1:-2] << 16 | data[:-3] << 24, return_counts=True)
+        parts.append(pd.DataFrame({"lang": f"l{k:03d}", "gram": found, "n": n}))
+    few = pd.concat(parts[:3], ignore_index=True)
+    texts = [bytes(draw.integers(1, 255, size).astype(np.uint8)) for size in (1, 2, 3, 50, 4000)] + [b"", b"zz"][1:]
+    dense, sparse = language_id.ContextTrees(few, 1 << 40), language_id.ContextTrees(few, 0)
+    assert dense.dense and not sparse.dense
+    assert np.allclose(dense.text_costs(texts), sparse.text_costs(texts), rtol=1e-5)
+    tracemalloc.start()
+    many = language_id.ContextTrees(pd.concat(parts, ignore_index=True))
+    costs = many.text_costs([t * 20 for t in texts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not many.dense and costs.shape == (len(texts), 100) and peak < 500 << 20

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,13 +12,25 @@ from pyspark.sql import Window as W
 
 from citeweave.staging import drop_staged, scratch, staged
 
-__all__ = ["documents", "drop_staged", "mix64", "positioned", "scratch", "staged"]
+__all__ = ["arrow_rows", "documents", "drop_staged", "mix64", "positioned", "scratch", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for the plans that are run inside, so that texts of any usual length stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit integers (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from citeweave.llm.common import drop_staged, mix64, staged
+from citeweave.llm.common import arrow_rows, drop_staged, mix64, staged
 from citeweave.operators.components import components
 
 #: Words of a shingle, and the threshold as a fraction: links have SHARE[1] * intersection >= SHARE[0] * union.
@@ -48,6 +48,8 @@ ID_BUCKETS = 1 << 20
 #: Lists up to this length are compared by shifts of the whole partition instead of one by one.
 SHORT_LIST = 24
 TEXTS_BYTES = 4 << 20
+#: Rows of an Arrow batch, which a task holds as texts and as sets.
+BATCH_ROWS = 2000
 #: Words up to so many bytes are hashed by eight bytes at a time, all words together.
 LONG_WORD = 128
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -503,10 +505,13 @@ def _candidate_links(reps: DataFrame, share: tuple[int, int]) -> DataFrame:
     # each row of a list with the shingle before: sets that have that in common too meet in its list
     prior = lambda items, at: F.when(at == 0, F.lit(0)).otherwise(F.element_at(items, F.greatest(at, F.lit(1)))).alias("before")
     before = F.transform("prefix", lambda x, i: F.struct(x.alias("shingle"), prior("prefix", i)))
-    rare = reps.select("doc_id", F.explode(before).alias("p")).select("doc_id", "p.shingle", "p.before")
-    per_list = W.partitionBy("shingle")
+    rare = reps.select("doc_id", "n", F.explode(before).alias("p")).select("doc_id", "n", "p.shingle", "p.before")
+    by_size = W.partitionBy("shingle").orderBy("n")  # a list that isn't frequent
+    per_list = by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     mixed = (F.min("before").over(per_list) != F.max("before").over(per_list)) | (F.min("before").over(per_list) == 0)
-    rare = rare.withColumn("rows", F.count("*").over(per_list)).withColumn("mixed", mixed).where("rows > 1 and mixed").drop("mixed")
+    # rows without a size near theirs in the list go before the histograms are joined, as most lists hold strangers
+    near = (share[1] * F.lag("n").over(by_size) >= share[0] * F.col("n")) | (share[1] * F.col("n") >= share[0] * F.lead("n").over(by_size))
+    rare = rare.withColumns({"rows": F.count("*").over(per_list), "mixed": mixed, "near": F.coalesce(near, F.lit(False))}).where("rows > 1 and mixed and near")
     whole, offset = F.concat("prefix", "often"), F.size("prefix")
     often = F.transform("often", lambda x, i: F.struct(x.alias("shingle"), prior(whole, offset + i)))
     common = staged(reps.select("doc_id", F.explode(often).alias("p")).select("doc_id", "p.shingle", "p.before"), "common")
@@ -545,7 +550,7 @@ def _across(left: DataFrame, right: DataFrame) -> DataFrame:
 def _exact_links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) of the sets (doc_id, n, shingles) of each candidate group, with their block (place) of so many (blocks)."""
     join = _join_groups(share)
-    shingles = sets.select("doc_id", "shingles")
+    shingles = sets.select("doc_id", "shingles").hint("merge")  # what joins them grows with the data: never broadcast
     inside = sets.select("group", "place", "doc_id", "shingles", F.col("doc_id").alias("known"))
     links = staged(inside.groupBy("group", "place").applyInPandas(join, "a long, b long"), "links")
     large = sets.where("blocks > 1").select("group", "doc_id", "n")
@@ -577,6 +582,12 @@ def similar_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     A text of any length is one set, in one task. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(rows, words, share)
+
+
+def _components(rows: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """similar_components() of rows (doc_id, text)."""
     n = rows.count()
     described = staged(_described(rows, _frequent(rows, n, words), words, share), "described")
     # a class of equal sets is represented by its smallest document

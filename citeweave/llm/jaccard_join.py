@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from citeweave.llm.common import arrow_rows, drop_staged, mix64, staged
+from citeweave.llm.common import arrow_rows, drop_staged, mix64, scratch, staged
 from citeweave.operators.components import components
 
 #: Words of a shingle, and the threshold as a fraction: links have SHARE[1] * intersection >= SHARE[0] * union.
@@ -589,33 +589,41 @@ def similar_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
 def _components(rows: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """similar_components() of rows (doc_id, text)."""
     n = rows.count()
-    described = staged(_described(rows, _frequent(rows, n, words), words, share), "described")
+    spark = rows.sparkSession
+    wide = staged(_described(rows, _frequent(rows, n, words), words, share), "described")
+    described = staged(wide.select("doc_id", "n", "f1", "f2"), "sizes")
     # a class of equal sets is represented by its smallest document
     sets = described.where("n > 0 and doc_id is not null")
     classes = staged(sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     key = ["doc_id", "n", "f1", "f2"]
     own = classes.withColumnRenamed("rep", "doc_id")
-    reps = staged(sets.join(own, key).dropDuplicates(key).select("doc_id", "n", "histogram", "prefix", "often"), "reps")
-    candidates = staged(_candidate_links(reps, share), "candidates")
-    groups = staged(components(candidates), "groups")
+    reps = staged(wide.where("n > 0 and doc_id is not null").join(own, key).dropDuplicates(key).select("doc_id", "n", "histogram", "prefix", "often"), "reps")
+    drop_staged(wide)
+    with scratch(spark) as keep:
+        candidates = keep(_candidate_links(reps, share), "candidates")
+    with scratch(spark) as keep:
+        groups = keep(components(candidates), "groups")
 
     # the exact join inside candidate groups, whose texts are read again
     sizes = reps.groupBy("doc_id").agg(F.sum("n").alias("n"))
-    members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")).join(sizes, "doc_id")
-    placed = staged(_cut(staged(members, "members")).select("doc_id", "group", "place", "blocks"), "placed")
+    members = staged(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")).join(sizes, "doc_id"), "members")
+    drop_staged(reps, candidates)
+    placed = staged(_cut(members).select("doc_id", "group", "place", "blocks"), "placed")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int")
     chosen = rows.where("doc_id is not null").withColumn("bucket", bucket).join(F.broadcast(placed.select(bucket.alias("bucket")).distinct()), "bucket")
     grouped = _shingled(chosen.select("doc_id", "text").join(placed.hint("merge"), "doc_id"), words).where("n > 0")
     n_ids = described.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     grouped = staged(grouped if n_ids[0] == n_ids[1] else grouped.dropDuplicates(key), "grouped")
-    links = staged(_exact_links(grouped, share), "links")
+    with scratch(spark) as keep:
+        links = keep(_exact_links(grouped, share), "links")
+    drop_staged(groups, members, placed, grouped)
 
     # every document takes the component of its class; classes that one id has texts of are one
     member = staged(sets.join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct(), "member")
     first = staged(member.groupBy("doc_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")), "first")
     both = member.join(first.where("first <> last"), "doc_id").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     linked = staged(components(links.unionByName(both)), "linked")
-    drop_staged(classes, reps, candidates, groups, placed, grouped, links, member)
+    drop_staged(classes, links, member)
     of_document = first.join(linked, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     out = described.select("doc_id", F.col("n").alias("n_shingles")).join(of_document, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

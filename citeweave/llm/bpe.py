@@ -19,7 +19,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 800_000
+#: Bytes that remembered words take at most, about, bytes of an entry besides its contents, and characters of the longest word.
+MEMO_BYTES, ENTRY_BYTES, LONGEST_WORD = 256 << 20, 250, 1000
 TEXTS_AT_ONCE = 200
 #: Bytes that stand for themselves in a piece; the others take the code points from 256 on, in order.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -72,14 +73,20 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encodes pre-tokens and decodes ids; remembers what up to MEMO_ENTRIES words encode to."""
+    """Encodes pre-tokens and decodes ids; remembers what words encode to, up to MEMO_BYTES.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    ``spaced`` promises that the pattern joins a space to what follows it, unless the space is followed by another or
+    ends the text, so that a text can be cut before its spaces. Without it every text is encoded as a whole.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = sorted(ranks, key=ranks.get)
         self.letters = byte_letters()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
+        self.spaced = spaced
         self.memo: dict[str, tuple[str, bytes]] = {}
+        self.held = 0
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         data = [p.encode() for p in pieces]
@@ -98,14 +105,11 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def words(self, text: str) -> tuple[str, list[str]] | None:
-        """The text up to its first space, and the words after each space; None where spaces don't end pre-tokens.
-
-        The pattern joins a space to what follows it, unless the space is followed by another or ends the text.
-        """
-        if "  " in text or text.endswith(" "):
+        """The text up to its first space, and the words after each space; None where spaces don't end pre-tokens, or a word is too long to be remembered."""
+        if not self.spaced or "  " in text or text.endswith(" "):
             return None
         first, *rest = text.split(" ")
-        return first, rest
+        return None if any(len(w) > LONGEST_WORD for w in rest) else (first, rest)
 
     def learn(self, words: set[str]) -> None:
         """Remember what a space and each of these words encode to."""
@@ -115,14 +119,17 @@ class Codec:
         ids_of = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
         for word, found in zip(ordered, split, strict=True):
             ids = [i for p in found for i in ids_of[p]]
-            self.memo[word] = (",".join(map(str, ids)), self.decode(ids))
+            joined, data = ",".join(map(str, ids)), self.decode(ids)
+            self.memo[word] = (joined, data)
+            self.held += ENTRY_BYTES + 2 * len(word) + len(joined) + len(data)
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of ids, sha256 of the ids joined by commas, sha256 of the bytes decoded from them."""
         split = [self.words(t) for t in texts]
         new = {w for found in split if found for w in found[1]}.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
             new = {w for found in split if found for w in found[1]}
         self.learn(new)
         for text, found in zip(texts, split, strict=True):
@@ -134,13 +141,13 @@ class Codec:
             yield joined.count(",") + bool(joined), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def _codec(cache: dict, path: str, pattern: str) -> Codec:
-    if (path, pattern) not in cache:
-        cache[path, pattern] = Codec(read_ranks(path), pattern)
-    return cache[path, pattern]
+def _codec(cache: dict, path: str, pattern: str, spaced: bool = False) -> Codec:
+    if (path, pattern, spaced) not in cache:
+        cache[path, pattern, spaced] = Codec(read_ranks(path), pattern, spaced)
+    return cache[path, pattern, spaced]
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, bool], Codec] = {}
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,15 +176,17 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, data binary")
 
 
-def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", spaced: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Each match of ``pattern`` is encoded on its own. Null text is empty: no ids, and both digests are those of
-    the empty string. Repeated rows give repeated rows; other columns are ignored; an empty table gives none.
+    Each match of ``pattern`` is encoded on its own; ``spaced`` is the promise of Codec about it, which makes long runs
+    of known words cheap. Null text is empty: no ids, and both digests are those of the empty string. Texts of any
+    length are encoded whole, in memory that grows with the texts of a batch only. Null ids are kept, repeated rows
+    give repeated rows; other columns are ignored; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(_CODECS, ranks_path, pattern)
+        codec = _codec(_CODECS, ranks_path, pattern, spaced)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = [f for at in range(0, len(texts), TEXTS_AT_ONCE) for f in codec.digests(texts[at : at + TEXTS_AT_ONCE])]

@@ -27,7 +27,8 @@ SEQUENCE, END_ID = 4096, 2
 #: Bytes that remembered words take at most, about, and bytes of an entry besides its word and ids.
 MEMO_BYTES, ENTRY_BYTES = 96 << 20, 140
 TEXTS_AT_ONCE = 200
-RANK_BUCKETS = 1024
+#: Buckets in which pieces of one length are ranked: this many, or one for so many pieces where there are more of them.
+RANK_BUCKETS, PIECES_PER_BUCKET = 1024, 1 << 14
 
 
 class WordTokenizer:
@@ -171,9 +172,9 @@ def pack(found: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """The pieces with their sequence_id and offset; ``found`` must be a written table, as it is read twice.
 
     Pieces are ranked among those of their length by a bucket of their document's hash, then document and start,
-    so a length that many pieces have is ranked in many tasks.
+    so a length that many pieces have is ranked in many tasks, whose size doesn't grow with the table.
     """
-    bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_BUCKETS)).cast("int"))
+    bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(RANK_BUCKETS, found.count() // PIECES_PER_BUCKET))))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     running = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = staged(sizes.withColumn("base", F.coalesce(F.sum("n").over(running), F.lit(0))), "bases")
@@ -199,7 +200,8 @@ def pack(found: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
 def packed_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone. Repeated rows are packed as often as they occur. Other columns are
-    ignored. An empty table gives an empty result.
+    Null and empty texts are the end id alone; a text of any length is cut into pieces of a whole sequence and a rest.
+    Null ids and repeated rows are packed as often as they occur; pieces alike in all their columns may change places.
+    Other columns are ignored. An empty table gives an empty result.
     """
     return pack(staged(pieces(docs, tokenizer_path, sequence, end_id, id_col, text_col), "pieces"), sequence)

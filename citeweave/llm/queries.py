@@ -44,7 +44,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, spaced=True)
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 The lexicon is learned from labelled documents: words, and stems shared by several words, that abusive documents
 hold far more often than others, by more than chance allows for so many words. Every word of a text runs through the
 automaton of its edits against the trie, so misspelled terms are found too; a term allows edits unless words that near
-it are common in clean documents. A hit's window tells a quotation (between an opening and a closing mark, or right beside
-a reporting word) from abuse, and the counts of both are turned into a probability with learned weights.
+it are common in clean documents. A hit's window tells a quotation (between an opening and a closing mark, or with a cue
+word near it) from abuse, and the counts of both are turned into a probability with learned weights. Cue words and the
+place in which they stand are learned too: words near hits in clean documents far more often than in abusive ones.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import drop_staged, staged
@@ -31,19 +32,21 @@ SHORTEST, LONGEST_STEM, LEAST_DOCS, LEAST_ODDS = 4, 9, 4, 3.5
 STEM_WORDS, SHORTEST_STEM = 4, 4
 #: Words from these lengths on allow one and two edits, unless words that near them are in over such a share of clean documents.
 ONE_EDIT, TWO_EDITS, NEAR_CLEAN = 5, 10, 0.001
-#: Characters on both sides of a hit in which quote marks are paired.
-WINDOW = 48
+#: Characters on both sides of a hit in which quote marks are paired and cue words are looked for, and words on each side.
+WINDOW, CUE_WORDS = 48, 3
+#: Terms beside which a cue word must be seen in clean documents, so that copies of one document teach none.
+CUE_TERMS = 3
 FLAGGED = 0.3
 #: Bytes that remembered tokens take at most, about, and bytes of an entry besides its characters.
 MEMO_BYTES, ENTRY_BYTES = 96 << 20, 160
+#: Bytes that remembered moves of an automaton take at most, about, and bytes of a pair in a state.
+MOVE_BYTES, PAIR_BYTES = 96 << 20, 120
 #: Characters read for the letters they resemble.
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
-#: Marks that may open and close a quotation, and words that report speech right before or after a term.
+#: Marks that may open and close a quotation.
 OPENING, CLOSING = "\"“„«‘'›‚", "\"”“»’'‹‘"
-BEFORE = re.compile(r"\b(said|says|wrote|writes|call(s|ed)?|quote[sd]?|quoting|word|words|term|slur|insult|dit|disait|mot|sagte|schrieb|wort|dijo|palabra)\b\W*(\w{1,4}\W+)?$", re.IGNORECASE)
-AFTER = re.compile(r"^\W*((is|was|as)\s+)?((a|an|the)\s+)?(word|term|slur|insult|mot|wort|palabra)\b", re.IGNORECASE)
 
-WORD, TOKEN = re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
+WORD, TOKEN, SENTENCE_END = re.compile(r"[^\W\d_]+"), re.compile(r"\S+"), re.compile(r"[.!?\n]")
 
 
 def _terms(text: str) -> set[tuple[str, bool]]:
@@ -111,6 +114,7 @@ class LexiconAutomaton:
         self.start = self._closed({0: 0})
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.accepts: dict[frozenset, tuple[int, int] | None] = {}
+        self.held = 0
 
     def _closed(self, spent: dict[int, int]) -> frozenset:
         """Add the states reached by skipping letters of terms; of two ways to a node the cheaper stays."""
@@ -144,7 +148,12 @@ class LexiconAutomaton:
             if (key := (state, letter)) in self.moves:
                 state = self.moves[key]
             else:
+                if self.held > MOVE_BYTES:
+                    self.moves.clear()
+                    self.accepts.clear()
+                    self.held = 0
                 state = self.moves[key] = self._move(state, letter)
+                self.held += PAIR_BYTES * (len(state) + 3)
             if not state:
                 return None
         if state not in self.accepts:
@@ -171,20 +180,28 @@ def _side(text: str, at: int) -> int:
     return -1 if text[at] in CLOSING and before.strip() and not after.isalnum() else 0
 
 
-def _quoted(text: str, start: int, end: int) -> bool:
-    """Whether the last mark before the term in its window opens and the next one after it closes, or a reporting word is right beside it."""
+def _beside(text: str, start: int, end: int) -> set[tuple[int, str]]:
+    """The words near a term in its sentence and window, and how many words after it, or before it (below zero), they stand."""
+    before = SENTENCE_END.split(text[max(0, start - WINDOW) : start])[-1]
+    after = SENTENCE_END.split(text[end : end + WINDOW])[0]
+    found = set(enumerate(WORD.findall(after.lower())[:CUE_WORDS], 1))
+    return found | {(-k, w) for k, w in enumerate(reversed(WORD.findall(before.lower())[-CUE_WORDS:]), 1)}
+
+
+def _quoted(text: str, start: int, end: int, cues: frozenset[tuple[int, str]] = frozenset()) -> bool:
+    """Whether the last mark before the term in its window opens and the next one after it closes, or a cue word is near it in its place."""
     before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    if BEFORE.search(before) or AFTER.search(after):
+    if cues and not cues.isdisjoint(_beside(text, start, end)):
         return True
     opened = next((side for at in range(start - 1, start - len(before) - 1, -1) if text[at] in OPENING + CLOSING and (side := _side(text, at))), 0)
     return opened == 1 and next((side for at in range(end, end + len(after)) if text[at] in OPENING + CLOSING and (side := _side(text, at))), 0) == -1
 
 
 class Scanner:
-    """Counts a text's hits: as spelled and misspelled, in abuse and in quotation."""
+    """Counts a text's hits: as spelled and misspelled, in abuse and in quotation, which cue words tell."""
 
-    def __init__(self, lexicon: list[tuple[str, bool, int]]):
-        self.automaton = LexiconAutomaton(lexicon)
+    def __init__(self, lexicon: list[tuple[str, bool, int]], cues: frozenset[tuple[int, str]] = frozenset()):
+        self.automaton, self.cues = LexiconAutomaton(lexicon), cues
         self.memo: dict[str, tuple[tuple[int, int, int], ...]] = {}
         self.held = 0
 
@@ -198,7 +215,8 @@ class Scanner:
             found = [(m.start(), m.end(), 1) for m in WORD.finditer(plain) if m.end() - m.start() >= ONE_EDIT and self.automaton.match(m.group()) == 0]
         return tuple(found)
 
-    def features(self, text: str) -> list[float]:
+    def found(self, text: str) -> tuple[int, list[tuple[int, int, int]]]:
+        """How many stretches without white space a text has, and (start, end, edits) of all its hits."""
         tokens = text.split()
         memo = self.memo
         if self.held > MEMO_BYTES:
@@ -207,17 +225,21 @@ class Scanner:
         for token in set(tokens).difference(memo):
             memo[token] = self.hits(token)
             self.held += ENTRY_BYTES + len(token)
+        if not any(memo[t] for t in tokens):
+            return len(tokens), []
+        return len(tokens), [(m.start() + start, m.start() + end, edits) for m in TOKEN.finditer(text) for start, end, edits in memo[m.group()]]
+
+    def features(self, text: str) -> list[float]:
+        n, hits = self.found(text)
         plain = near = quoted = 0
-        if any(memo[t] for t in tokens):
-            for m in TOKEN.finditer(text):
-                for start, end, edits in memo[m.group()]:
-                    if _quoted(text, m.start() + start, m.start() + end):
-                        quoted += 1
-                    elif edits:
-                        near += 1
-                    else:
-                        plain += 1
-        n = max(len(tokens), 1)
+        for start, end, edits in hits:
+            if _quoted(text, start, end, self.cues):
+                quoted += 1
+            elif edits:
+                near += 1
+            else:
+                plain += 1
+        n = max(n, 1)
         return [float(plain + near > 0), np.log1p(plain + near), np.log1p(near), np.log1p(quoted), min(1.0, 20 * (plain + near) / n)]
 
 
@@ -233,8 +255,46 @@ def fit_weights(x: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[list[tuple[str, bool, int]], np.ndarray]:
-    """The lexicon and the weights, from labels outside the held-out fold (crc32 of the id mod 4 is 2)."""
+def _part(n: Column, of: Column, p: float) -> Column:
+    """A label's part of a log likelihood ratio: n of so many documents have it, where p is its share of all."""
+    return F.when(n > 0, n * F.log(n / of / p)).otherwise(0.0)
+
+
+def learn_cues(sample: DataFrame, lexicon: list[tuple[str, bool, int]]) -> frozenset[tuple[int, str]]:
+    """(place, word), as of _beside(), of the words that tell quotation from abuse, from labelled documents: label, text.
+
+    A word is a cue where documents that have it near a hit are clean more often than all that have hits, by more than
+    chance allows for so many words, and if it is seen so near several terms. Without such words there are no cues.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(lexicon)
+        for batch in batches:
+            rows: list[tuple[int, str, str, int]] = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                hits = [(start, end, text[start:end].lower()) for start, end, _ in scanner.found(text)[1]]
+                near = {(place, word, term) for start, end, term in hits for place, word in _beside(text, start, end)}
+                rows += [(place, word, term, label) for place, word, term in near]
+                # a row without a word counts the document
+                rows += [(0, "", "", label)] if hits else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.string(), pa.int32()))], ["place", "word", "term", "label"])
+
+    clean, toxic = F.sum(1 - F.col("label")), F.sum("label")
+    seen = sample.mapInArrow(run, "place int, word string, term string, label int").groupBy("place", "word", "term").agg(clean.alias("clean"), toxic.alias("toxic"))
+    words = staged(seen.groupBy("place", "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count_if(F.col("clean") > 0).alias("terms")), "cues")
+    totals = words.where("word = ''").select("clean", "toxic").first()
+    if totals is None or not totals["clean"]:
+        return frozenset()
+    share, of = totals["clean"] / (totals["clean"] + totals["toxic"]), F.col("clean") + F.col("toxic")
+    likelihood = 2 * (_part(F.col("clean"), of, share) + _part(F.col("toxic"), of, max(1 - share, 1e-9)))
+    telling = words.where((F.col("word") != "") & (F.col("clean") > share * of) & (F.col("terms") >= CUE_TERMS) & (likelihood >= 2 * float(np.log(max(words.count(), 2)))))
+    cues = frozenset((r["place"], r["word"]) for r in telling.collect())
+    drop_staged(words)
+    return cues
+
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[list[tuple[str, bool, int]], frozenset[tuple[int, str]], np.ndarray]:
+    """The lexicon, the cue words and the weights, from labels outside the held-out fold (crc32 of the id mod 4 is 2)."""
     sample = labelled_sample(docs, labels, "toxic", 4, 2, bound)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
@@ -243,8 +303,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[li
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     # twice the log likelihood ratio against one rate for both kinds; chance alone takes it past 2 log n once in n words
     share = max(n_toxic, 1) / max(n_toxic + n_clean, 1)
-    part = lambda n, p: F.when(n > 0, n * F.log(n / (F.col("toxic") + F.col("clean")) / p)).otherwise(0.0)
-    likelihood = 2 * (part(F.col("toxic"), share) + part(F.col("clean"), max(1 - share, 1e-9)))
+    both = F.col("toxic") + F.col("clean")
+    likelihood = 2 * (_part(F.col("toxic"), both, share) + _part(F.col("clean"), both, max(1 - share, 1e-9)))
     telling = counted.where((odds >= LEAST_ODDS) & (F.col("toxic") >= LEAST_DOCS) & (likelihood >= 2 * float(np.log(max(counted.count(), 2)))))
     stems = F.explode(F.transform(F.sequence(F.lit(SHORTEST_STEM), F.least(F.length("term"), F.lit(LONGEST_STEM))), lambda k: F.substring(F.col("term"), F.lit(1), k)))
     kinds = counted.where("not stem and toxic > 0").select(stems.alias("term"), F.lit(True).alias("stem")).groupBy("term", "stem").agg(F.count("*").alias("kinds"))
@@ -260,9 +320,10 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[li
     refused = {r["term"] for r in near.groupBy("term").agg(F.sum("clean").alias("n")).where(F.col("n") > NEAR_CLEAN * n_clean).collect()}
     lexicon = [(t, stem, 0 if t in refused else edits) for t, stem, edits in lexicon]
     drop_staged(counted)
+    cues = learn_cues(sample, lexicon)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(lexicon)
+        scanner = Scanner(lexicon, cues)
         for batch in batches:
             x = [scanner.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
@@ -270,20 +331,22 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[li
     found = sample.mapInArrow(rows, "label int, x array<double>").toPandas()
     x = np.array(found["x"].tolist()) if len(found) else np.zeros((0, 5))
     order = np.lexsort(x.T) if len(x) else np.zeros(0, int)
-    return lexicon, fit_weights(x[order], found["label"].to_numpy(float)[order])
+    return lexicon, cues, fit_weights(x[order], found["label"].to_numpy(float)[order])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
-    Null text is empty. Labels that are null, repeated or of unknown documents do no harm; with none every document
-    scores one half or less by the empty model's intercept. Repeated rows give repeated rows; other columns are ignored.
+    Null text is empty, and a text of any length is read whole. Labels that are null, repeated or of unknown documents
+    do no harm; with none every document scores one half or less by the empty model's intercept. Null ids are kept and
+    in no fold, repeated rows give repeated rows; other columns are ignored; an empty table gives no row. Terms whose
+    letters are parted by spaces or marks, and repeated terms written as one word, are missed.
     """
-    lexicon, weights = learn(docs, labels, bound)
+    lexicon, cues, weights = learn(docs, labels, bound)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(lexicon)
+        scanner = Scanner(lexicon, cues)
         for column in texts:
             x = np.array([scanner.features(t or "") for t in column]).reshape(len(column), -1)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500))) if len(column) else [], dtype=float)

@@ -146,7 +146,9 @@ def edits(a, b):
     return row[-1]
 
 
-def test_automaton_against_edit_distance():
+@pytest.mark.parametrize("bound", [toxicity.MOVE_BYTES, 2000])
+def test_automaton_against_edit_distance(monkeypatch, bound):
+    monkeypatch.setattr(toxicity, "MOVE_BYTES", bound)
     draw = np.random.default_rng(9)
     terms = [("".join(draw.choice(list("abc"), draw.integers(3, 8))), int(draw.integers(0, 3))) for _ in range(12)]
     terms = list(dict(terms).items())
@@ -155,19 +157,50 @@ def test_automaton_against_edit_distance():
         word = "".join(draw.choice(list("abcz"), draw.integers(1, 9)))
         want = min((d for t, k in terms if (d := edits(word, t)) <= k), default=None)
         assert automaton.match(word) == (0 if word.startswith("zab") else want)
+    assert automaton.held < bound + 100 * toxicity.PAIR_BYTES
 
 
 def test_quotation_is_told_from_abuse():
-    scanner = toxicity.Scanner([("blargface", False, 1)])
+    scanner = toxicity.Scanner([("blargface", False, 1)], frozenset({(-1, "word"), (-1, "called"), (-2, "called"), (3, "slur")}))
     abuse, near, quoted = (scanner.features(t) for t in ("you are a blargface , go away", "you are a blargfacs , go away", 'she said "blargface" is a word'))
     assert abuse[1] > 0 and near[2] > 0 and quoted[1] == 0 and quoted[3] > 0
     assert not any(scanner.features("nothing of the kind")[:4]) and not any(scanner.features("")[:4])
-    for text in ("every word you utter blargface", "you don’t get it blargface, it isn’t hard", "a 'fine' blargface and a 'real' one", "“yes” you blargface “no”"):
+    for text in ("every word you utter blargface", "you don’t get it blargface, it isn’t hard", "a 'fine' blargface and a 'real' one", "“yes” you blargface “no”", "one word. You blargface", "blargface word", "a slur blargface"):
         assert scanner.features(text)[1] > 0 and scanner.features(text)[3] == 0, text
     for text in ("the word blargface hurts", "they wrote “you are a blargface” on the wall", "«quel blargface !»", "blargface is a slur", "He called me blargface", "a ‘blargface’ don’t help"):
         assert scanner.features(text)[1] == 0 and scanner.features(text)[3] > 0, text
 
 
+def test_cue_words_are_learned_from_labels(spark):
+    """Cues are words near quoted terms in clean documents; not words of abuse too, nor words of one copied document."""
+    draw = np.random.default_rng(8)
+    common = ["".join(draw.choice(list("abcdefghij"), draw.integers(3, 8))) for _ in range(200)]
+    bad = ["zorkles", "wumpling", "quibberish"]
+    rows, marks = [], []
+    for k in range(4000):
+        words, term, toxic = draw.choice(common, 15).tolist(), bad[k // 10 % 3], k % 10 == 0
+        words[10 + k % 2] = ["said", "begone"][k % 2]
+        if toxic:
+            words[4:6] = ["said", term] if k % 20 else ["begone", term]
+        elif k % 200 in (7, 33):
+            words[4:8] = ["utterance", "of", term, "reportedly"]
+        elif k % 400 == 51:
+            words[4:6] = ["said", term]
+        elif k % 500 == 77:
+            words = ["plonk", "zorkles", *common[:12], "begone"]
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    asked = ["it was an utterance of wumpling again", "quibberish reportedly hurts", "he said wumpling", "wumpling utterance", "plonk zorkles go"]
+    docs = frame(spark, rows + [(10_000 + k, t) for k, t in enumerate(asked)])
+    lexicon, cues, _ = toxicity.learn(docs, labels)
+    assert {t for t, stem, _ in lexicon if not stem} == set(bad)
+    assert {(-2, "utterance"), (1, "reportedly")} <= cues and not {(-1, "said"), (1, "utterance"), (-1, "plonk")} & cues
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert [got[10_000 + k] for k in range(4)] == [0, 0, 1, 1]
+    assert all(got[k] == toxic for k, toxic in marks if k % 10 == 0 or k % 200 in (7, 33))
+
+
 def test_hits_are_counted_by_tokens():
     scanner = toxicity.Scanner([("hate", False, 0)])
     assert scanner.features("hate whatever whatever whatever whatever")[1] == np.log1p(1)
@@ -199,7 +232,8 @@ def test_toxicity_query_against_brute_force(spark):
         marks.append((k, int(toxic)))
     labels = spark.createDataFrame(marks, "doc_id long, toxic int")
     docs = frame(spark, rows)
-    lexicon, weights = toxicity.learn(docs, labels)
+    lexicon, cues, weights = toxicity.learn(docs, labels)
+    assert not cues
     held = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 == 2}
     counts = defaultdict(lambda: [0, 0])
     for (k, text), (_, toxic) in zip(rows, marks, strict=True):
@@ -229,7 +263,7 @@ def test_misspelled_rare_terms_are_found(spark):
             words[2] = "snorkwad" if k % 250 == 0 else "blargface"
         rows.append((k, " ".join(words)))
         marks.append((k, int(k % 5 == 0)))
-    lexicon, _ = toxicity.learn(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    lexicon, _, _ = toxicity.learn(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
     assert {(t, k) for t, stem, k in lexicon if not stem} == {("snorkwad", 1), ("blargface", 1)}
     scanner = toxicity.Scanner(lexicon)
     assert all(scanner.features(f"you utter {w} go")[1] > 0 for w in ("snorkwad", "snorkwod", "snorkwadd", "sorkwad", "blargfacs"))
@@ -262,14 +296,17 @@ def test_encoding_against_tiktoken(docs):
     for i, t in texts:
         ids = whole.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    assert sorted(map(tuple, bpe.encoding_digests(docs, RANKS, public_tokenizers.PATTERN).collect())) == sorted(want)
+    for spaced in (True, False):
+        assert sorted(map(tuple, bpe.encoding_digests(docs, RANKS, public_tokenizers.PATTERN, spaced=spaced).collect())) == sorted(want)
     encoded = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
     back = bpe.decode_documents(encoded, RANKS, public_tokenizers.PATTERN).collect()
     assert sorted((r[0], bytes(r[1])) for r in back) == sorted((i, (t or "").encode()) for i, t in texts)
 
 
-def test_encoding_of_odd_text():
-    codec = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+@pytest.mark.parametrize("spaced, bound", [(False, 0), (True, 0), (True, bpe.MEMO_BYTES)])
+def test_encoding_of_odd_text(monkeypatch, spaced, bound):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", bound)
+    codec = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, spaced)
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     draw = np.random.default_rng(3)
     marks = list("aZé 	\n\r'’s0123.,!?　 漢字😀\x00\x1ćß<|>_-") + ["  ", " the", "n't", "<|endoftext|>", "▁", "ĠĊ"]
@@ -280,6 +317,27 @@ def test_encoding_of_odd_text():
         assert ids == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest() and decoded == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_patterns_that_do_not_join_spaces():
+    """Each match is encoded on its own by any pattern, also one by which a space stands alone."""
+    ranks = bpe.read_ranks(RANKS)
+    codec, whole = bpe.Codec(ranks, r"\S+|\s"), tiktoken.Encoding("own", pat_str=r"\S+|\s", mergeable_ranks=ranks, special_tokens={})
+    for text in ("the cat sat", " on the  mat ", ""):
+        want = ",".join(map(str, whole.encode_ordinary(text)))
+        assert next(codec.digests([text]))[1] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_memory_of_remembered_words_is_bounded(monkeypatch):
+    """By bytes, and words that are too long aren't remembered."""
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 200_000)
+    codec = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, True)
+    for k in range(20):
+        list(codec.digests([" ".join(f"w{k}x{i}" for i in range(200))]))
+        assert 0 < codec.held < 200_000 + 200 * 400
+    held = codec.held
+    list(codec.digests([f"long {k}" + "ab" * 10_000 for k in range(5)]))
+    assert codec.held <= held and all(len(w) <= bpe.LONGEST_WORD for w in codec.memo)
+
+
 # packing
 
 

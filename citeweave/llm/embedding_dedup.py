@@ -148,7 +148,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing. A shorter vector is
     compared as if filled up with zeros. Rows repeated with one id are one vector (the first of its values in order)
-    and give a row each. Pairs whose vectors share too few pivots are missed; the tests measure recall.
+    and give a row each; rows without an id link with nothing, have no component and stay. Other columns are ignored; an
+    empty table gives no rows. Pairs whose vectors share too few pivots are missed; the tests measure recall.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     single = rows.where("vec_id is not null and embedding is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))

@@ -344,8 +344,9 @@ def _finder() -> Finder:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256, spans for every row.
 
-    Positions are code points, ends exclusive. Null text is empty and has no spans. Repeated rows give repeated
-    rows; other columns are ignored; an empty table gives an empty result.
+    Positions are code points, ends exclusive. Null text is empty and has no spans; texts of any length are read whole.
+    Base spans of different kinds may overlap and all stay; a span that touches one of them is not added. Null ids are
+    kept, repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
     """
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 

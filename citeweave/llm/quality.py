@@ -2,14 +2,16 @@
 
 Documents are described by shares of character classes and by how much their words and lines repeat. Every
 preference pair takes a good and a bad labelled document, and the weights maximise the likelihood that the good
-one wins: logistic loss on the difference of the features. The cut between accepted and rejected scores is the
-quantile of the learned scores at the share of bad labels.
+one wins: logistic loss on the difference of the features, over all pairs of all labelled documents. A pair's loss
+depends on two scores only, so each Newton step counts the scores on a fine grid, folds the counts with the loss, and
+sums gradient and curvature over the documents. The cut between accepted and rejected scores is the quantile of the
+learned scores at the share of bad labels.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.llm.common import drop_staged, staged
 from citeweave.llm.language_id import in_fold
-from citeweave.llm.samples import labelled_sample
 
-#: Labelled documents and preference pairs that are fitted at most.
-LABELLED, PAIRS = 6000, 40_000
-PAIR_SEED, STEPS, RATE, DECAY = 11, 400, 0.05, 1e-3
+#: Newton steps at most, places of the grid of scores, and of the coarser one for what pairs share in the curvature.
+STEPS, GRID, COARSE, DECAY, ENOUGH = 25, 4096, 64, 1e-3, 1e-6
 ACCEPT = 0.5
 
 #: The characters of each class; upper, lower, digits and other bytes have classes besides.
@@ -76,39 +77,140 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(strength, -500, 500)))
 
 
-def fit(x: np.ndarray, good: np.ndarray) -> Ranking:
+#: Sums a function of some rows' features and of whether they are good over all labelled rows.
+Total = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
+def _counts(s: np.ndarray, low: float, high: float, places: int) -> np.ndarray:
+    """Scores counted on an even grid, each shared between the places beside it."""
+    at = np.clip((s - low) / (high - low), 0, 1) * (places - 1)
+    left = np.minimum(at.astype(np.int64), places - 2)
+    right = at - left
+    return np.bincount(left, 1 - right, places) + np.bincount(left + 1, right, places)
+
+
+def _folded(counts: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """At each place the sum over the counts of the kernel at the distance from them."""
+    return np.convolve(counts, kernel)[len(counts) - 1 : 2 * len(counts) - 1]
+
+
+def _ranked_scores(total: Total, score: Callable[[np.ndarray], np.ndarray], ranks: list[int], reach: float) -> list[float]:
+    """The scores of some ranks (from 0) in ascending order, by counts between bounds that close in."""
+    bounds = [(-reach, reach) for _ in ranks]
+    while bounds[0][1] - bounds[0][0] > 1e-9:
+        now = bounds
+
+        def inside(x: np.ndarray, good: np.ndarray, now=now) -> np.ndarray:
+            s = score(x)
+            return np.stack([np.bincount(np.searchsorted(np.linspace(low, high, GRID + 1)[1:-1], s, "right"), minlength=GRID) for low, high in now]).astype(float)
+
+        bounds = []
+        for (low, high), rank, counts in zip(now, ranks, total(inside), strict=True):
+            edges, k = np.linspace(low, high, GRID + 1), int(np.searchsorted(np.cumsum(counts), rank + 0.5))
+            bounds.append((float(edges[k]), float(edges[k + 1])))
+    return [low for low, _ in bounds]
+
+
+def _fit(total: Total, width: int) -> Ranking:
     """Fit the ranking; with labels of one kind only, every score is on that kind's side."""
-    width = x.shape[1]
-    if not len(x) or good.all() or not good.any():
-        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 1.0 if len(x) and not good.any() else -1.0)
-    middle, spread = x.mean(0), x.std(0) + 1e-6
-    z = np.clip((x - middle) / spread, -8, 8)
-    draw = np.random.default_rng(PAIR_SEED)
-    winners, losers = np.flatnonzero(good), np.flatnonzero(~good)
-    differences = z[draw.choice(winners, PAIRS)] - z[draw.choice(losers, PAIRS)]
-    w, slow, square = np.zeros(width), np.zeros(width), np.zeros(width)
-    for step in range(1, STEPS + 1):
-        loses = 1 / (1 + np.exp(np.clip(differences @ w, -50, 50)))
-        gradient = -(loses @ differences) / len(differences) + DECAY * w
-        slow, square = 0.9 * slow + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
-        w -= RATE * (slow / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    strengths = np.sort(z @ w)
-    at = int(round((~good).mean() * len(strengths)))
-    return Ranking(middle, spread, w, float(strengths[max(at - 1, 0) : at + 1].mean()))
+    sums = total(lambda x, good: np.concatenate([[good.sum(), (~good).sum()], x.sum(0), (x * x).sum(0)]))
+    wins, losses = sums[:2]
+    if not wins or not losses:
+        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 1.0 if losses else -1.0)
+    middle = np.round(sums[2 : 2 + width] / (wins + losses), 12)
+    spread = np.round(np.sqrt(np.maximum(sums[2 + width :] / (wins + losses) - middle**2, 0)), 9) + 1e-6
+    standard = lambda x: np.clip((x - middle) / spread, -8, 8)
+    reach_of = lambda w: max(8 * float(np.abs(w).sum()), 1.0)
+    pairs = wins * losses
+
+    def counted(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Both kinds' counts, the distances on the grid, and the loss."""
+        reach = reach_of(w)
+        both = total(lambda x, good: np.stack([_counts((s := standard(x) @ w)[k], -reach, reach, GRID) for k in (good, ~good)]))
+        gaps = np.clip(np.arange(1 - GRID, GRID) * (2 * reach / (GRID - 1)), -500, 500)
+        return both, gaps, float(both[0] @ _folded(both[1], np.logaddexp(0, -gaps)) / pairs + DECAY / 2 * w @ w)
+
+    w, step = np.zeros(width), np.zeros(width)
+    both, gaps, loss = counted(w)
+    for _ in range(STEPS):
+        reach, slope = reach_of(w), 1 / (1 + np.exp(-gaps))
+        grid, coarse = np.linspace(-reach, reach, GRID), np.linspace(-reach, reach, COARSE)
+        bend = slope * (1 - slope)
+        tables = [_folded(both[1], 1 - slope), _folded(both[0], slope), _folded(both[1], bend), _folded(both[0], bend)]
+
+        def moments(x: np.ndarray, good: np.ndarray, w=w, reach=reach, grid=grid, tables=tables) -> np.ndarray:
+            z = standard(x)
+            s = z @ w
+            of = lambda a, b: np.where(good, np.interp(s, grid, tables[a]), np.interp(s, grid, tables[b]))
+            place = np.rint((s + reach) / (2 * reach) * (COARSE - 1)).astype(np.int64) + np.where(good, 0, COARSE)
+            by_place = np.zeros((2 * COARSE, len(w)))
+            np.add.at(by_place, place, z)
+            return np.concatenate([[np.where(good, 1.0, -1.0) * of(0, 1) @ z], (z * of(2, 3)[:, None]).T @ z, by_place])
+
+        found = total(moments)
+        apart = 1 / (1 + np.exp(np.clip(coarse[None, :] - coarse[:, None], -500, 500)))
+        shared = found[1 + width : 1 + width + COARSE].T @ (apart * (1 - apart)) @ found[1 + width + COARSE :]
+        values, axes = np.linalg.eigh((found[1 : 1 + width] - shared - shared.T) / pairs)
+        step = axes @ ((axes.T @ (found[0] / pairs - DECAY * w)) / (np.maximum(values, 0) + DECAY))
+        held = loss
+        while True:
+            both, gaps, loss = counted(w + step)
+            if loss <= held + 1e-9 or np.abs(step).max() < ENOUGH:
+                break
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < ENOUGH or held - loss < 1e-8:
+            break
+    w = np.round(w, 6)
+    at = int(round(losses))
+    near = [k for k in (at - 1, at) if 0 <= k < wins + losses]
+    return Ranking(middle, spread, w, float(np.mean(_ranked_scores(total, lambda x: standard(x) @ w, near, reach_of(w)))))
+
+
+def fit(x: np.ndarray, good: np.ndarray) -> Ranking:
+    """The ranking of rows at hand."""
+    return _fit(lambda part: part(x, good), x.shape[1])
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = [features(t).tolist() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+        x = [features(t or "") for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Ranking:
-    """The ranking learned from labels outside the held-out fold (crc32 of the id mod 3 is 1)."""
-    found = labelled_sample(docs, labels, "quality", 3, 1, bound).mapInArrow(_feature_rows, "label int, x array<double>").toPandas()
-    x = np.array(found["x"].tolist()) if len(found) else np.zeros((0, len(features(""))))
-    order = np.lexsort(x.T) if len(x) else []
-    return fit(x[order], found["label"].to_numpy()[order] == 1 if len(x) else np.zeros(0, bool))
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """label (0 or 1), x: the features of every labelled document outside the held-out fold (crc32 of the id mod 3 is 1).
+
+    Features meet labels, not texts. Of contradicting labels of one document the smaller counts.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 3, 1))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    texts = docs.where(F.col("doc_id").isNotNull() & ~in_fold("doc_id", 3, 1)).select("doc_id", "text")
+    return texts.mapInArrow(_feature_rows, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, x array<double>").join(known, "doc_id").select("label", "x")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """The ranking learned from all labels outside the held-out fold; each pass brings one sum of each task to the driver."""
+    rows, width = staged(labelled_features(docs, labels), "features"), len(features(""))
+    few = rows.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+
+    def total(part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if len(batch):
+                    more = part(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width), batch.column("label").to_numpy(zero_copy_only=False) == 1)
+                    held = more if held is None else held + more
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([held.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        shape = part(np.zeros((0, width)), np.zeros(0, bool)).shape
+        found = [r["sums"] for r in few.mapInArrow(run, "sums array<double>").collect()]  # a row a task
+        return np.sum(np.array(found), axis=0).reshape(shape) if found else np.zeros(shape)
+
+    ranking = _fit(total, width)
+    drop_staged(rows)
+    return ranking
 
 
 def score_documents(docs: DataFrame, ranking: Ranking, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -286,6 +286,16 @@ def test_ranking_against_plain_gradients_on_all_pairs():
     assert ((scores >= quality.ACCEPT) == good).mean() > 0.85
 
 
+def test_ranking_learns_from_all_labels(spark):
+    """More labelled documents than any bound of a sample: the ranking is that of all rows outside the held-out fold."""
+    texts = [(k, f"Word{k % 7} " * (1 + k % 5) + ("!" * (k % 3) if k % 2 else "and some more words.")) for k in range(9500)]
+    marks = [(k, int((k % 2 == 0) != (k % 11 == 0))) for k in range(9500)]
+    chosen = [k for k in range(9500) if zlib.crc32(str(k).encode()) % 3 != 1]
+    want = quality.fit(np.array([quality.features(texts[k][1]) for k in chosen]), np.array([marks[k][1] == 1 for k in chosen]))
+    found = quality.learn(frame(spark, texts), spark.createDataFrame(marks, "doc_id long, quality int"))
+    assert len(chosen) > 6000 and found.middle == pytest.approx(want.middle) and found.weights == pytest.approx(want.weights, abs=1e-4) and found.cut == pytest.approx(want.cut, abs=1e-3)
+
+
 # byte-level BPE
 
 

@@ -13,6 +13,7 @@ from citeweave.operators.containers import container_members, part_of_chain
 from citeweave.operators.contributors import contributions
 from citeweave.operators.filters import specific_types
 from citeweave.operators.survivors import richest_donors
+from citeweave.staging import staged
 
 CLUSTERS = "survivor string, merged string, pos int"
 #: What is wrong where a rule is broken.
@@ -45,10 +46,11 @@ def cluster_violations(clusters: DataFrame, graph: Graph, expression: str = V.EX
 
     empty, self_merge, survivor_is_merged, merged_twice, missing, mixed_kinds, container_types, identifier_values.
     """
-    asked = clusters.where("merged is not null").select("survivor", "merged")
+    clusters = staged(clusters.select("survivor", "merged"), "asked")
+    asked = clusters.where("merged is not null")
     survivors = clusters.select("survivor").distinct()
-    entities = graph.entities().where("kind <> 'ar'")
     named = survivors.select("survivor", F.col("survivor").alias("uri")).unionByName(asked.select("survivor", F.col("merged").alias("uri")))
+    kinds = staged(named.join(graph.entities().where("kind <> 'ar'"), "uri", "left"), "kinds")
     found = []
 
     def broken(rule: str, rows: DataFrame, offender: str) -> None:
@@ -60,16 +62,17 @@ def cluster_violations(clusters: DataFrame, graph: Graph, expression: str = V.EX
     broken("survivor_is_merged", others.join(survivors.select(F.col("survivor").alias("merged")), "merged", "left_semi"), "merged")
     twice = asked.groupBy("merged").agg(F.countDistinct("survivor").alias("n")).where("n > 1")
     broken("merged_twice", asked.join(twice, "merged", "left_semi"), "merged")
-    broken("missing", named.join(entities, "uri", "left_anti"), "uri")
-    kinds = named.join(entities, "uri")
-    own = kinds.where("uri = survivor").select("survivor", F.col("kind").alias("own")).distinct()
+    broken("missing", kinds.where("kind is null"), "uri")
+    own = kinds.where("uri = survivor and kind is not null").select("survivor", F.col("kind").alias("own")).distinct()
     broken("mixed_kinds", kinds.join(own, "survivor").where("kind <> own"), "uri")
-    containers = container_members(graph.br).withColumn("contains", F.lit(True))
-    typed = graph.br.select("uri", specific_types(F.col("types"), expression).alias("types")).join(containers, "uri", "left")
+    of_kind = lambda kind: kinds.where(F.col("kind") == kind).select("uri").distinct()
+    containers = container_members(graph.br.join(of_kind("br").select(F.col("uri").alias("part_of")), "part_of", "left_semi")).withColumn("contains", F.lit(True))
+    typed = staged(graph.br.join(of_kind("br"), "uri", "left_semi").select("uri", specific_types(F.col("types"), expression).alias("types")).join(containers, "uri", "left"), "typed")
     sides = others.join(typed.select(F.col("uri").alias("survivor"), F.col("types").alias("t1"), F.col("contains").alias("c1")), "survivor").join(typed.select(F.col("uri").alias("merged"), F.col("types").alias("t2"), F.col("contains").alias("c2")), "merged")
     disjoint = (F.size("t1") > 0) & (F.size("t2") > 0) & ~F.arrays_overlap("t1", "t2")
     broken("container_types", sides.where(disjoint & F.coalesce("c1", "c2", F.lit(False))), "merged")
-    values = others.join(graph.ident.select(F.col("uri").alias("survivor"), F.col("scheme").alias("s1"), F.col("literal").alias("l1")), "survivor").join(graph.ident.select(F.col("uri").alias("merged"), F.col("scheme").alias("s2"), F.col("literal").alias("l2")), "merged")
+    held = staged(graph.ident.join(of_kind("ident"), "uri", "left_semi").select("uri", "scheme", "literal"), "held")
+    values = others.join(held.select(F.col("uri").alias("survivor"), F.col("scheme").alias("s1"), F.col("literal").alias("l1")), "survivor").join(held.select(F.col("uri").alias("merged"), F.col("scheme").alias("s2"), F.col("literal").alias("l2")), "merged")
     broken("identifier_values", values.where("coalesce(s1 <> s2 or l1 <> l2, true)"), "merged")
     out = found[0]
     for more in found[1:]:

@@ -13,27 +13,36 @@ from citeweave.operators.contributors import first_publishers
 from citeweave.operators.filters import specific_types
 from citeweave.staging import staged
 
+#: Starts whose chains a task puts together.
+STARTS_A_TASK = 100_000
+
 
 def part_of_chain(resources: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """br, ancestor, depth (1 is the container itself); an ancestor met before ends the walk, which else goes to the root.
 
-    Jumps from every resource double in each round, and what has been reached goes as far again, so the rounds, of one
-    written table each, grow with the logarithm of the depth. An ancestor counts at its least depth, and none is its own,
-    so in a cycle nothing new is reached after one turn.
+    Jumps from every container double in each round, and walks from the starts' containers go as far again, so the rounds,
+    of one written table each, grow with the logarithm of the depth and not with what contains nothing. At the end the
+    starts take what their containers have reached. An ancestor counts at its least depth, and none is its own, so in a
+    cycle nothing new is reached after one turn.
     """
     links = resources.where("part_of is not null and part_of <> uri").select(F.col("uri").alias("br"), F.col("part_of").alias("ancestor"), F.lit(1).alias("depth"))
-    begun = links if starts is None else links.join(starts.select(F.col("uri").alias("br")).distinct(), "br", "left_semi")
-    walk, jump = F.lit(False).alias("jump"), F.lit(True).alias("jump")
-    state = staged(links.select(jump, "*").unionByName(begun.select(walk, "*")), "chain")
+    begun = staged(links if starts is None else links.join(starts.select(F.col("uri").alias("br")).distinct(), "br", "left_semi"), "begun")
+    firsts = begun.select(F.col("ancestor").alias("br")).distinct()
+    inner = links.join(links.select(F.col("ancestor").alias("br")).distinct(), "br", "left_semi").join(firsts.withColumn("walks", F.lit(True)), "br", "left")
+    state = staged(inner.select(F.explode(F.when(F.col("walks"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("jump"), "br", "ancestor", "depth"), "chain")
     reached, before = state.where("not jump"), -1
-    while before < (now := reached.count()):
+    while before < (now := reached.count()) and state.where("jump").limit(1).count():
         before = now
         ahead = state.where("jump").select(F.col("br").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
         on = state.join(ahead, "ancestor").select("jump", "br", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         walks = reached.unionByName(on.where("not jump and br <> ancestor")).groupBy("br", "ancestor").agg(F.min("depth").alias("depth"))
-        state = staged(on.where("jump").unionByName(walks.select(walk, "*")), "chain")
+        state = staged(on.where("jump").unionByName(walks.select(F.lit(False).alias("jump"), "*")), "chain")
         reached = state.where("not jump")
-    return reached.select("br", "ancestor", "depth")
+    above = firsts.select(F.col("br").alias("ancestor"), F.col("br").alias("further"), F.lit(0).alias("more"))
+    above = above.unionByName(reached.select(F.col("br").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more")))
+    met = begun.join(above, "ancestor").select("br", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+    parts = max(resources.sparkSession.sparkContext.defaultParallelism, begun.count() // STARTS_A_TASK + 1)
+    return met.where("br <> ancestor").repartition(parts, "br").groupBy("br", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def container_equivalence(first: dict[str, Column], second: dict[str, Column]) -> Column:
@@ -56,6 +65,7 @@ def container_pairs(resources: DataFrame, signatures: DataFrame, pairs: DataFram
     """
     ends = pairs.select(F.col("first_br").alias("uri")).unionByName(pairs.select(F.col("second_br").alias("uri")))
     chain = staged(part_of_chain(resources, ends), "chains")
+    resources = staged(resources.join(chain.select(F.col("ancestor").alias("uri")).distinct(), "uri", "left_semi"), "containers")
     typed = resources.select(F.col("uri").alias("ancestor"), F.posexplode(specific_types(F.col("types"), expression)).alias("type_pos", "type"))
     left = chain.join(typed, "ancestor").select(F.col("br").alias("first_br"), F.col("ancestor").alias("first"), F.col("depth").alias("level"), "type_pos", "type")
     right = chain.join(typed, "ancestor").groupBy(F.col("br").alias("second_br"), "type").agg(F.min_by("ancestor", F.struct("depth", "type_pos")).alias("second"))

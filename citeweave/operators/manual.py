@@ -82,8 +82,8 @@ def cluster_violations(clusters: DataFrame, graph: Graph, expression: str = V.EX
 
 def cluster_order(clusters: DataFrame, graph: Graph) -> DataFrame:
     """cluster, rank, depth: identifiers, then agents, then resources, those with shallow containers first."""
-    kinds = clusters.select(F.col("survivor").alias("uri")).distinct().join(graph.entities(), "uri")
-    depths = part_of_chain(graph.br, kinds).groupBy(F.col("br").alias("uri")).agg(F.max("depth").alias("depth"))
+    kinds = staged(clusters.select(F.col("survivor").alias("uri")).distinct().join(graph.entities().where(F.col("kind").isin(*RANK)), "uri"), "kinds")
+    depths = part_of_chain(graph.br, kinds.where("kind = 'br'")).groupBy(F.col("br").alias("uri")).agg(F.max("depth").alias("depth"))
     rank = F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair])[F.col("kind")]
     return kinds.join(depths, "uri", "left").select(F.col("uri").alias("cluster"), rank.alias("rank"), F.coalesce("depth", F.lit(0)).alias("depth"))
 

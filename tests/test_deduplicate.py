@@ -328,6 +328,25 @@ def test_fifty_thousand_contributors_of_one_resource(spark):
     assert found == {(f"ar/{k + 1:06d}", f"ar/{k:06d}") for k in range(0, n, 10)}
 
 
+def test_chains_of_what_contains_nothing_stay_out_of_the_rounds(spark, monkeypatch):
+    """Rounds write rows of containers only, also around a cycle and for a part of two wholes."""
+    up = {"i1": ["v1"], "v1": ["j"], "i2": ["v2"], "v2": ["i2"]} | {f"a{k}": ["i1"] if k % 2 else ["i2"] for k in range(50)} | {"both": ["i1", "v1"]}
+    rows = [(uri, whole) for uri, wholes in up.items() for whole in wholes]
+    written = []
+    real = containers.staged
+    monkeypatch.setattr(containers, "staged", lambda df, label: (written.append((label, out := real(df, label))), out)[1])
+    found = {tuple(r) for r in containers.part_of_chain(spark.createDataFrame(rows, "uri string, part_of string")).collect()}
+    want = set()
+    for start in up:
+        seen, now, depth = {start}, set(up[start]), 1
+        while now := now - seen:
+            want |= {(start, uri, depth) for uri in now}
+            seen |= now
+            now, depth = {w for uri in now for w in up.get(uri, [])}, depth + 1
+    assert found == want
+    assert all(df.count() < 20 for label, df in written if label == "chain")
+
+
 def test_a_deep_chain_in_few_written_tables(spark, monkeypatch):
     deep = spark.range(1, 1001).select(F.format_string("br/%d", "id").alias("uri"), F.when(F.col("id") < 1000, F.format_string("br/%d", F.col("id") + 1)).alias("part_of"))
     written = []

@@ -25,9 +25,22 @@ VIEWS = {
 VIEWS["linked"] = VIEWS["linked"].replace("{role}", VIEWS["role"])
 
 
+#: Bytes of a table's files that a task takes: of lineitem, whose roles are sorted, and of part, whose rows meet seven others.
+LINE_BYTES, PART_BYTES = 3_000_000, 200_000
+
+
+def tasks(spark: SparkSession, sf_dir: str, table: str, share: int = LINE_BYTES) -> int:
+    """So many tasks that each takes about ``share`` bytes of a table, however large it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(spark.sparkContext.defaultParallelism, size // share + 1)
+
+
 def projected(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     text = VIEWS[view]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
+    if "lineitem" in tables:  # the window over a resource's lines sorts them
+        tables["lineitem"] = tables["lineitem"].repartition(tasks(spark, sf_dir, "lineitem"), "l_orderkey")
     return spark.sql(text, **tables)
 
 

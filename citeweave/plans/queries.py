@@ -13,7 +13,7 @@ from citeweave.functions import vocabulary as V
 from citeweave.graph import Graph
 from citeweave.operators import clusters, containers, contributors, filters, manual, provenance, redirects, survivors
 from citeweave.plans import enrich
-from citeweave.plans.projection import graph, projected, resources, with_views
+from citeweave.plans.projection import PART_BYTES, graph, projected, resources, tasks, with_views
 from citeweave.sources import lookups
 from citeweave.staging import staged
 
@@ -361,7 +361,8 @@ FROM {part} a JOIN {part} b ON a.p_partkey - a.p_partkey % 8 = b.p_partkey - b.p
 best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY title_score DESC, author_score DESC, year_score DESC, pos DESC) AS k FROM c)
 SELECT query, doi, title_score, author_score, year_score FROM best WHERE k = 1 AND title_score > 0.6 AND (NOT has_author OR author_score >= 1)""")
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(_CANDIDATES, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = spark.sql(_CANDIDATES, part=part.repartition(tasks(spark, sf_dir, "part", PART_BYTES), F.col("p_partkey") - F.col("p_partkey") % 8))
     return lookups.best_candidate(rows.withColumn("title_score", F.round(X.name_similarity(F.col("wanted"), F.col("found")), 6)), threshold=0.6)
 
 

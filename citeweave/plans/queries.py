@@ -244,7 +244,8 @@ def publisher_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT literal AS cluster, role_type, br, count(*) AS n FROM br_id JOIN role ON owner = br WHERE scheme = '{V.DOI}' AND role_type IS NOT NULL GROUP BY ALL)) WHERE k = 1""")
 def richest_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = projected(spark, sf_dir, "br_id").where(F.col("scheme") == V.DOI).select(F.col("literal").alias("cluster"), F.col("owner").alias("br"))
-    return survivors.richest_donors(grouped.join(projected(spark, sf_dir, "role").where("role_type is not null"), "br"))
+    roles, n = projected(spark, sf_dir, "role").where("role_type is not null").select("br", "role_type"), tasks(spark, sf_dir, "lineitem")
+    return survivors.richest_donors(grouped.repartition(n, "br").join(roles.repartition(n, "br"), "br").repartition(n, "cluster"))
 
 
 @query(with_views("ra_id", "br_id") + """SELECT scheme, literal, min(id) AS survivor, count(*) AS n FROM (SELECT * FROM ra_id UNION ALL SELECT * FROM br_id)

@@ -148,7 +148,8 @@ WHERE held_by IS NOT NULL AND role_type IS NOT NULL GROUP BY ALL HAVING count(*)
 
 @query(with_views("role")[:-1] + ", " + _SAME + "SELECT * FROM same")
 def same_agent_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contributors.same_agent_roles(projected(spark, sf_dir, "role"))
+    roles = projected(spark, sf_dir, "role").select("br", "ar", "held_by", "role_type")
+    return contributors.same_agent_roles(roles.repartition(tasks(spark, sf_dir, "lineitem"), "br"))
 
 
 @query(with_views("role")[:-1] + ", " + _SAME + f""", left_over AS (SELECT r.* FROM role r LEFT JOIN same s ON r.br = s.br AND r.held_by = s.agent AND r.role_type = s.role_type

@@ -157,7 +157,7 @@ WHERE r.role_type = '{V.AUTHOR}' AND (s.kept_ar IS NULL OR s.kept_ar = r.ar))
 SELECT br, ar, lead(ar) OVER w AS next, CAST(row_number() OVER w - 1 AS INT) AS position FROM left_over WINDOW w AS (PARTITION BY br ORDER BY l_linenumber, n)""")
 def unlinked_author_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of authors after the surplus roles of an agent have been taken out."""
-    roles = projected(spark, sf_dir, "linked").where(F.col("role_type") == V.AUTHOR)
+    roles = staged(projected(spark, sf_dir, "linked").where(F.col("role_type") == V.AUTHOR).select("ar", "br", "role_type", "held_by", "next"), "roles")
     surplus = contributors.same_agent_redirects(roles.select("br", "ar", "role_type", "held_by"))
     order = contributors.unlinked_order(roles.select(F.col("ar").alias("uri"), "next"), staged(surplus, "surplus"))
     links = staged(roles.select("br", "ar").join(order.withColumnRenamed("uri", "ar"), "ar").select("br", "ar", "next"), "links")

@@ -451,7 +451,7 @@ def _authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = projected(spark, sf_dir, "role").where((F.col("role_type") == V.AUTHOR) & F.col("held_by").isNotNull())
     agents = projected(spark, sf_dir, "ra").select(F.col("uri").alias("held_by"), F.col("given_name").alias("given"), F.col("family_name").alias("family"))
     titles = projected(spark, sf_dir, "article").select(F.col("uri").alias("br"), "title")
-    return roles.join(agents, "held_by").join(titles, "br").select("br", F.col("held_by").alias("agent"), "given", "family", "title")
+    return staged(roles.join(agents, "held_by").join(titles, "br").select("br", F.col("held_by").alias("agent"), "given", "family", "title"), "authors")
 
 
 _AUTHORS = f"authors AS (SELECT DISTINCT br, held_by AS agent, given_name AS given, family_name AS family, title FROM role JOIN ra ON ra.uri = held_by JOIN article ON article.uri = br WHERE role_type = '{V.AUTHOR}') "
@@ -466,6 +466,7 @@ def enriched_orcid(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("0000-b"), F.right("family", F.lit(1)), F.coalesce(F.right("given", F.lit(1)), F.lit("x")))
     hit = lambda value: F.struct(F.struct(value.alias("path")).alias("orcid-identifier"))
     body = F.to_json(F.struct(F.array(hit(F.lit("0000-a")), hit(path)).alias("result")))
+    found = staged(found, "found")
     key = X.orcid_search(F.col("given"), F.col("family"), F.array(F.struct("scheme", "literal")))
     searches = found.select(F.lit("orcid").alias("source"), F.lit("search").alias("op"), key.alias("key"), body.alias("body"))
     person = lambda given, family: F.to_json(F.struct(F.struct(F.struct(given.alias("value")).alias("given-names"), F.struct(family.alias("value")).alias("family-name")).alias("name")))

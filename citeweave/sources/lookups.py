@@ -33,14 +33,20 @@ class LookupProvider(Protocol):
 
 
 class TableLookups:
-    """Answers from a table (source, op, key, body), for instance those kept of earlier runs."""
+    """Answers from a table (source, op, key, body), for instance those kept of earlier runs.
+
+    The table is read at the first request, and written as one row a key, so that rounds of requests don't make it anew.
+    """
 
     def __init__(self, table: DataFrame):
         self.table = table
+        self._kept: DataFrame | None = None
 
     def answers(self, requests: DataFrame) -> DataFrame:
+        if self._kept is None:
+            self._kept = staged(self.table.where("body is not null").groupBy("source", "op", "key").agg(F.min("body").alias("body")), "table")
         asked = requests.select("source", "op", "key").where("key is not null").distinct()
-        return asked.join(self.table.where("body is not null").groupBy("source", "op", "key").agg(F.min("body").alias("body")), ["source", "op", "key"])
+        return asked.join(self._kept, ["source", "op", "key"])
 
 
 class KeptLookups:

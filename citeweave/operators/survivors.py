@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 BR_FIELDS = ("title", "subtitle", "part_of", "pub_date", "number", "edition")
 RA_FIELDS = ("name", "given_name", "family_name")
 
+# Joins are hinted: files are many times smaller than their rows, and by their size alone millions of rows would pass through the driver.
+
 
 def _has(column: str) -> Column:
     return F.col(column).isNotNull().cast("int")
@@ -51,7 +53,7 @@ def surviving_entities(clusters: DataFrame, entities: DataFrame, kind: str, pref
     One aggregation by a struct, so clusters of any size are reduced before they are shuffled. Several preferred
     survivors in a cluster are refused before anything is merged.
     """
-    ranked = clusters.select("uri", "cluster").join(with_quality(entities, kind), "uri")
+    ranked = clusters.select("uri", "cluster").join(with_quality(entities, kind).hint("merge"), "uri")
     first = F.lit(1)
     if preferred is not None:
         if bad := conflicting_preferences(clusters, preferred).orderBy("cluster").take(3):
@@ -64,12 +66,12 @@ def surviving_entities(clusters: DataFrame, entities: DataFrame, kind: str, pref
 
 def cluster_redirects(clusters: DataFrame, survivors: DataFrame) -> DataFrame:
     """from_uri, to_uri of every merged entity."""
-    return clusters.join(survivors, "cluster").where("uri <> survivor").select(F.col("uri").alias("from_uri"), F.col("survivor").alias("to_uri"))
+    return clusters.join(survivors.hint("merge"), "cluster").where("uri <> survivor").select(F.col("uri").alias("from_uri"), F.col("survivor").alias("to_uri"))
 
 
 def coalesced_fields(entities: DataFrame, redirects: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """The survivors with each field from themselves or the first merged entity, by uri, that has it; types are united."""
-    moved = entities.join(redirects.select(F.col("from_uri").alias("uri"), "to_uri"), "uri", "left")
+    moved = entities.join(redirects.select(F.col("from_uri").alias("uri"), "to_uri").hint("merge"), "uri", "left")
     rank = F.struct(F.col("to_uri").isNotNull().alias("merged"), F.col("uri").alias("uri"))
     target = moved.withColumn("_to", F.coalesce("to_uri", "uri")).withColumn("_rank", rank)
     picked = [F.min(F.when(F.col(f).isNotNull(), F.struct("_rank", F.col(f).alias("v"))))["v"].alias(f) for f in fields]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.graph import Graph, last_number, lookup_entities
-from citeweave.operators.clusters import duplicate_clusters
+from citeweave.operators.clusters import cluster_members
 from citeweave.operators.containers import container_pairs, publisher_pairs
 from citeweave.operators.contributors import merge_contributors, merge_roles, unlinked_order
 from citeweave.operators.manual import BROKEN, cluster_order, cluster_violations, clusters_frame, discarded_roles
@@ -118,7 +118,7 @@ class GraphDeduplicator:
         self.save()
 
     def _redirects(self, kind: str) -> DataFrame:
-        clusters = staged(duplicate_clusters(self.graph.signatures(kind)), "clusters")
+        clusters = staged(cluster_members(self.graph.signatures(kind)), "clusters")
         return staged(cluster_redirects(clusters, surviving_entities(clusters, getattr(self.graph, kind), kind, self.preferred)), "redirects")
 
     def _record(self, change: Callable[[Graph, list[DataFrame]], Graph]) -> None:

@@ -93,7 +93,7 @@ def entity_quality_ra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(duplicate_clusters(spark, sf_dir), "clusters")
+    return staged(clusters.cluster_members(_signatures(spark, sf_dir, "ra")), "clusters")
 
 
 def _agent_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
+from citeweave.operators import clusters, components, survivors
 from citeweave.plans import projection, queries
 from citeweave.sources import lookups
 
@@ -46,3 +47,44 @@ def test_a_table_of_answers_is_made_once(spark, monkeypatch):
     for _ in range(2):
         assert [tuple(r) for r in provider.answers(asked.where(F.col("key") != "")).collect()] == [("s", "o", "k", "a")]
     assert [label for label, _ in written] == ["table"]
+
+
+def test_components_of_near_nodes_are_whole_at_once(spark, monkeypatch):
+    """Of agents numbered in turn, whose clusters lie near each other, hardly any are open after the first contraction."""
+    held = spark.range(8000).selectExpr("concat('ra/', id) AS uri", "'o' AS scheme", "concat(id - id % 8, '-', hash(id) % 3) AS literal")
+    held = held.unionByName(spark.range(8000).selectExpr("concat('ra/', id) AS uri", "'v' AS scheme", "concat(id - id % 8, '-', hash(id, 1) % 3) AS literal"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rounds, real = [], components.staged  # nodes that take part in a round; its tables are deleted after it
+    monkeypatch.setattr(components, "staged", lambda df, label: (out := real(df, label), label == "low" and rounds.append(out.count()))[0])
+    try:
+        found = {r["uri"]: r["cluster"] for r in clusters.duplicate_clusters(held).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) > 7000 and sum(rounds) < 400
+    by_key = {}
+    for r in held.collect():
+        by_key.setdefault((r["scheme"], r["literal"]), []).append(r["uri"])
+    assert {u for of in by_key.values() if len(of) > 1 for u in of} == set(found)
+    assert all(len({found[u] for u in of}) == 1 for of in by_key.values() if len(of) > 1) and all(c <= u and found[c] == c for u, c in found.items())
+
+
+def test_components_of_far_nodes(spark):
+    """Stars, chains and a ring whose nodes are dealt over the whole range."""
+    place = lambda k: (k * 7919) % 100_003
+    pairs = [(place(k), place(k + 1)) for k in range(300)] + [(place(5000), place(5000 + k)) for k in range(1, 50)] + [(place(9000 + k), place(9000 + (k + 1) % 30)) for k in range(30)]
+    pairs += [(place(20_000 + k), place(40_000 + k)) for k in range(500)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(tuple, components.near_components(edges).collect())) == sorted(map(tuple, components.components(edges).collect()))
+        assert components.near_components(edges.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_clusters_and_fields_are_not_broadcast(spark):
+    """However small the files are, of which a join is made."""
+    agents = projection.projected(spark, SF, "ra")
+    groups, sent = agents.selectExpr("uri", "uri AS cluster"), agents.selectExpr("uri AS from_uri", "concat(uri, 'x') AS to_uri")
+    tables = [queries.duplicate_edges(spark, SF), survivors.surviving_entities(groups, agents, "ra"), survivors.coalesced_fields(agents, sent, survivors.RA_FIELDS)]
+    assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in tables)

@@ -137,9 +137,11 @@ def redirect_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT agent AS survivor, count(*) AS n_roles, count(DISTINCT br) AS n_resources FROM moved WHERE agent IS NOT NULL GROUP BY agent""")
 def rewritten_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agents clustered by shared identifiers, the survivors chosen, roles repointed, and counted by agent."""
-    roles = projected(spark, sf_dir, "role").select("br", "ar", "held_by")
-    moved = redirects.rewritten(roles, "held_by", _agent_redirects(spark, sf_dir))
-    return moved.where("held_by is not null").groupBy(F.col("held_by").alias("survivor")).agg(F.count("*").alias("n_roles"), F.countDistinct("br").alias("n_resources"))
+    roles = projected(spark, sf_dir, "role", dealt=False).where("held_by is not null").select("br", "held_by")
+    moved = redirects.rewritten(roles, "held_by", _agent_redirects(spark, sf_dir)).select(F.col("held_by").alias("survivor"), "br")
+    # few roles are an agent's second in a resource: counting them before they are dealt would be lost work
+    dealt = moved.repartition(tasks(spark, sf_dir, "lineitem"), "survivor", "br")
+    return dealt.groupBy("survivor").agg(F.count("*").alias("n_roles"), F.countDistinct("br").alias("n_resources"))
 
 
 _SAME = """same AS (SELECT br, held_by AS agent, role_type, min(ar) AS kept_ar, count(*) - 1 AS n_merged FROM role

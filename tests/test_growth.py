@@ -88,3 +88,11 @@ def test_clusters_and_fields_are_not_broadcast(spark):
     groups, sent = agents.selectExpr("uri", "uri AS cluster"), agents.selectExpr("uri AS from_uri", "concat(uri, 'x') AS to_uri")
     tables = [queries.duplicate_edges(spark, SF), survivors.surviving_entities(groups, agents, "ra"), survivors.coalesced_fields(agents, sent, survivors.RA_FIELDS)]
     assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in tables)
+
+
+def test_roles_of_survivors_are_counted_where_they_are_dealt(spark, monkeypatch):
+    """No lines are sorted, and roles are dealt once by agent and resource, to tasks by the size of the table."""
+    monkeypatch.setattr(queries, "tasks", lambda *_: 37)
+    plan = queries.rewritten_roles(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "l_orderkey#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    assert [line for line in plan.splitlines() if "Exchange" in line and "37)" in line and "survivor" in line and "br" in line]

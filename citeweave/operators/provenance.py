@@ -50,7 +50,8 @@ def provenance_diff(before: DataFrame, after: DataFrame, redirects: DataFrame) -
         .when(F.col("absorbed").isNotNull(), "merge")
         .when(~F.col("old").eqNullSafe(F.col("new")), "modification")
     )
-    rows = both.join(absorbed, "uri", "left").join(gone, "uri", "left").withColumn("kind", kind).where("kind is not null")
+    # hinted, as all sides are dealt by uri anyway: by the size of the files, millions of rows would pass through the driver
+    rows = both.join(absorbed.hint("merge"), "uri", "left").join(gone.hint("merge"), "uri", "left").withColumn("kind", kind).where("kind is not null")
     sources = F.when(F.col("kind") == "creation", F.array().cast("array<string>")).otherwise(F.concat(F.array("uri"), F.coalesce("absorbed", F.array().cast("array<string>"))))
     return rows.select(F.col("uri").alias("entity"), "kind", sources.alias("derived_from"), F.when(F.col("kind") == "deletion", F.col("absorbed_by")).alias("absorbed_by"))
 

@@ -3,7 +3,7 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
-from citeweave.operators import clusters, components, survivors
+from citeweave.operators import clusters, components, provenance, survivors
 from citeweave.plans import projection, queries
 from citeweave.sources import lookups
 
@@ -96,3 +96,9 @@ def test_roles_of_survivors_are_counted_where_they_are_dealt(spark, monkeypatch)
     plan = queries.rewritten_roles(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "l_orderkey#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
     assert [line for line in plan.splitlines() if "Exchange" in line and "37)" in line and "survivor" in line and "br" in line]
+
+
+def test_provenance_is_not_broadcast(spark):
+    before = projection.projected(spark, SF, "ra")
+    sent = before.selectExpr("uri AS from_uri", "concat(uri, 'x') AS to_uri")
+    assert "Broadcast" not in provenance.provenance_diff(before, before, sent)._jdf.queryExecution().executedPlan().toString()

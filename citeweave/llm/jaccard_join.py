@@ -494,6 +494,12 @@ def _block(key: str, blocks: str) -> Column:
     return F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")
 
 
+def _sized(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows with the number of blocks of their key. Only keys of several blocks are broadcast, so they are few: each has hundreds of rows."""
+    several = rows.groupBy(key).agg(blocks.alias("blocks")).where("blocks > 1")
+    return rows.join(F.broadcast(several), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
 def _paired(rows: DataFrame) -> DataFrame:
     """Rows with (place, blocks) once for every pair of blocks (one, other) that theirs is in."""
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -516,7 +522,7 @@ def _candidate_links(reps: DataFrame, share: tuple[int, int]) -> DataFrame:
     often = F.transform("often", lambda x, i: F.struct(x.alias("shingle"), prior(whole, offset + i)))
     common = staged(reps.select("doc_id", F.explode(often).alias("p")).select("doc_id", "p.shingle", "p.before"), "common")
     lists = common.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("before").alias("least"), F.max("before").alias("most"))
-    lists = staged(lists.where("rows > 1 and (least <> most or least = 0)").select("shingle", "rows"), "lists")
+    lists = F.broadcast(lists.where("rows > 1 and (least <> most or least = 0)").select("shingle", "rows"))  # no more than _frequent() gives
     listed = rare.select("doc_id", "shingle", "before", "rows").unionByName(common.join(lists, "shingle").select("doc_id", "shingle", "before", "rows"))
 
     # blocks of lists; in a list of several blocks every row counts, since those it meets elsewhere may lie in another
@@ -526,25 +532,34 @@ def _candidate_links(reps: DataFrame, share: tuple[int, int]) -> DataFrame:
     found = staged(listed.select("block", "list", "several", "doc_id", "before", "n", "histogram").mapInPandas(_list_links(share), _LINKS), "candidates")
 
     leaders = found.where("b is null").select("a", "list", "low", "high", "floor", "ceiling")
-    blocks = staged(leaders.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks")), "blocks")
-    paired = _paired(leaders.join(blocks, "list").withColumn("place", _block("a", "blocks")))
+    paired = _paired(_sized(leaders, "list", F.ceil(F.count("*") / LIST_BLOCK).cast("int")).withColumn("place", _block("a", "blocks")))
     return found.where("b is not null").select("a", "b").unionByName(paired.groupBy("list", "one", "other").applyInPandas(_leader_links(share), "a long, b long"))
 
 
+def _blocks(counted: Column) -> Column:
+    """How many blocks the rows of a group that are counted make."""
+    shingles = F.coalesce(F.sum(F.when(counted, F.col("n"))), F.lit(0))
+    return F.greatest(F.ceil(F.count_if(counted) / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def _cut(rows: DataFrame) -> DataFrame:
     """Rows (group, doc_id, n, ...) with their block (place) of so many (blocks) of their group."""
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    return rows.join(staged(rows.groupBy("group").agg(blocks.alias("blocks")), "blocks"), "group").withColumn("place", _block("doc_id", "blocks"))
+    return _sized(rows, "group", _blocks(F.lit(True))).withColumn("place", _block("doc_id", "blocks"))
+
 
+def _across(rows: DataFrame, sides: list[tuple[Column, Column]]) -> DataFrame:
+    """Of rows (group, doc_id, n, known) of groups of several blocks, those of each pair of sides once for every pair of blocks (one, other)."""
+    sizes = [_blocks(side).alias(f"blocks{k}_{s}") for k, pair in enumerate(sides) for s, side in enumerate(pair)]
+    blocks = F.broadcast(rows.groupBy("group").agg(*sizes))  # one of each large group
 
-def _across(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows (group, doc_id, n, known) of both sides once for every pair of blocks (one, other) of a group."""
-    left, right = _cut(left), _cut(right)
-    columns = ["group", "one", "other", "doc_id", "known"]
-    counts = [side.select("group", F.col("blocks").alias("partners")).distinct() for side in (left, right)]
-    every = F.explode(F.sequence(F.lit(0), F.col("partners") - 1))
-    rows = left.withColumnRenamed("place", "one").join(counts[1], "group").withColumn("other", every).select(columns)
-    return rows.unionByName(right.withColumnRenamed("place", "other").join(counts[0], "group").withColumn("one", every).select(columns))
+    def places(k: int, s: int) -> Column:
+        """The pairs of blocks that a row of side ``s`` is in; none where the other side has no rows."""
+        place, partners = _block("doc_id", f"blocks{k}_{s}"), F.col(f"blocks{k}_{1 - s}")
+        pair = lambda partner: F.struct(F.lit(k).alias("pair"), (partner if s else place).alias("one"), (place if s else partner).alias("other"))
+        return F.when(sides[k][s] & (partners > 0), F.transform(F.sequence(F.lit(0), partners - 1), pair))
+
+    every = F.flatten(F.array_compact(F.array(*(places(k, s) for k in range(len(sides)) for s in (0, 1)))))
+    return rows.join(blocks, "group").select("group", "doc_id", "known", F.explode(every).alias("at")).select("group", "doc_id", "known", "at.*")
 
 
 def _exact_links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -558,20 +573,22 @@ def _exact_links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
         return links
 
     # the leaders of blocks
-    leaders = staged(large.join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "leaders")
-    among = _paired(_cut(leaders)).select("group", "one", "other", "doc_id", F.col("doc_id").alias("known")).join(shingles, "doc_id")
+    follows = links.select(F.col("b").alias("doc_id"))
+    leads, led = (large.join(follows, "doc_id", how).withColumn("leads", F.lit(how == "left_anti")) for how in ("left_anti", "left_semi"))
+    large = staged(leads.unionByName(led), "large")
+    among = _paired(_cut(large.where("leads"))).select("group", "one", "other", "doc_id", F.col("doc_id").alias("known")).join(shingles, "doc_id")
     links = staged(links.unionByName(among.groupBy("group", "one", "other").applyInPandas(join, "a long, b long")), "links")
 
     # what lies outside a group's largest component with all of the group, but for leaders with leaders
-    known = large.join(components(links), F.col("doc_id") == F.col("node"), "left").select("group", "doc_id", "n", F.coalesce("component", "doc_id").alias("known"))
-    known = staged(known.join(leaders.select("doc_id", F.lit(True).alias("leads")).distinct(), "doc_id", "left"), "known")
+    known = staged(large.join(components(links), F.col("doc_id") == F.col("node"), "left").select("group", "doc_id", "n", "leads", F.coalesce("component", "doc_id").alias("known")), "known")
     most = known.groupBy("group", "known").agg(F.count("*").alias("sets")).groupBy("group").agg(F.max(F.struct("sets", "known")).alias("most"))
-    outside = staged(known.join(staged(most.select("group", F.col("most.known").alias("largest")), "most"), "group").where("known <> largest").drop("largest"), "outside")
-    if not outside.limit(1).count():
+    most = F.broadcast(most.select("group", F.col("most.known").alias("largest")))  # one of each large group
+    known = staged(known.join(most, "group").withColumn("outside", F.expr("known <> largest")), "known")
+    if not known.where("outside").limit(1).count():
         return links
-    led = F.col("leads").isNull()
-    rest = _across(outside.where(led), known).unionByName(_across(outside.where(~led), known.where(led))).join(shingles, "doc_id")
-    return links.unionByName(rest.groupBy("group", "one", "other").applyInPandas(join, "a long, b long"))
+    outside, leads = F.col("outside"), F.col("leads")
+    rest = _across(known, [(outside & ~leads, F.lit(True)), (outside & leads, ~leads)]).join(shingles, "doc_id")
+    return links.unionByName(rest.groupBy("group", "pair", "one", "other").applyInPandas(join, "a long, b long"))
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -592,12 +609,15 @@ def _components(rows: DataFrame, words: int, share: tuple[int, int]) -> DataFram
     spark = rows.sparkSession
     wide = staged(_described(rows, _frequent(rows, n, words), words, share), "described")
     described = staged(wide.select("doc_id", "n", "f1", "f2"), "sizes")
+    n_ids = described.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    repeated = n_ids[0] != n_ids[1]
     # a class of equal sets is represented by its smallest document
     sets = described.where("n > 0 and doc_id is not null")
     classes = staged(sets.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     key = ["doc_id", "n", "f1", "f2"]
     own = classes.withColumnRenamed("rep", "doc_id")
-    reps = staged(wide.where("n > 0 and doc_id is not null").join(own, key).dropDuplicates(key).select("doc_id", "n", "histogram", "prefix", "often"), "reps")
+    reps = wide.where("n > 0 and doc_id is not null").join(own, key)
+    reps = staged((reps.dropDuplicates(key) if repeated else reps).select("doc_id", "n", "histogram", "prefix", "often"), "reps")
     drop_staged(wide)
     with scratch(spark) as keep:
         candidates = keep(_candidate_links(reps, share), "candidates")
@@ -605,20 +625,26 @@ def _components(rows: DataFrame, words: int, share: tuple[int, int]) -> DataFram
         groups = keep(components(candidates), "groups")
 
     # the exact join inside candidate groups, whose texts are read again
-    sizes = reps.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    sizes = reps.groupBy("doc_id").agg(F.sum("n").alias("n")) if repeated else reps.select("doc_id", "n")
     members = staged(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")).join(sizes, "doc_id"), "members")
     drop_staged(reps, candidates)
     placed = staged(_cut(members).select("doc_id", "group", "place", "blocks"), "placed")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int")
     chosen = rows.where("doc_id is not null").withColumn("bucket", bucket).join(F.broadcast(placed.select(bucket.alias("bucket")).distinct()), "bucket")
     grouped = _shingled(chosen.select("doc_id", "text").join(placed.hint("merge"), "doc_id"), words).where("n > 0")
-    n_ids = described.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    grouped = staged(grouped if n_ids[0] == n_ids[1] else grouped.dropDuplicates(key), "grouped")
+    grouped = staged(grouped.dropDuplicates(key) if repeated else grouped, "grouped")
     with scratch(spark) as keep:
         links = keep(_exact_links(grouped, share), "links")
     drop_staged(groups, members, placed, grouped)
 
-    # every document takes the component of its class; classes that one id has texts of are one
+    # every document takes the component of its class
+    if not repeated:
+        linked = staged(components(links), "linked")
+        drop_staged(links)
+        out = described.join(classes, ["n", "f1", "f2"], "left").join(linked, F.col("rep") == F.col("node"), "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+
+    # classes that one id has texts of are one
     member = staged(sets.join(classes, ["n", "f1", "f2"]).select("doc_id", "rep").distinct(), "member")
     first = staged(member.groupBy("doc_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")), "first")
     both = member.join(first.where("first <> last"), "doc_id").select(F.col("first").alias("a"), F.col("rep").alias("b"))

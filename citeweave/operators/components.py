@@ -12,6 +12,8 @@ from citeweave.staging import drop_staged, staged
 
 #: Nodes whose edges a task contracts at a time.
 NODES_AT_ONCE = 250_000
+#: So many contracted edges at most are finished by one task, within NODES_AT_ONCE; more go through rounds.
+EDGES_OF_ONE_TASK = 1 << 15
 
 
 def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,9 +43,14 @@ def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield stars()
 
 
-def _staged_edges(edges: DataFrame) -> DataFrame:
-    distinct = edges.where("a <> b").distinct()
-    return staged(distinct.mapInPandas(_contracted, distinct.schema), "edges")
+def _staged_edges(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The edges contracted where they lie, and whether one task has contracted what that left, so that all are stars."""
+    stars = staged(edges.where("a <> b").mapInPandas(_contracted, edges.schema), "edges")
+    if stars.count() > EDGES_OF_ONE_TASK:
+        return stars, False
+    whole = staged(stars.coalesce(1).mapInPandas(_contracted, edges.schema), "edges")
+    drop_staged(stars)
+    return whole.coalesce(1), True
 
 
 def _between_stars(edges: DataFrame) -> DataFrame:
@@ -61,12 +68,13 @@ def _all_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``edges`` (a, b); self edges are ignored.
 
-    Each partition's edges are contracted to stars. Then rounds of large-star and small-star steps link each node's
-    neighbours to the smallest of them, so the graph shrinks to stars in a number of rounds that grows with the logarithm
-    of the longest path. A node of any degree is only ever aggregated by its minimum, never collected.
+    Each partition's edges are contracted to stars; a task of bounded size finishes what is left if that is little, as
+    rounds over a few edges cost more in tasks than in work. Else rounds of large-star and small-star steps link each
+    node's neighbours to the smallest of them, so the graph shrinks to stars in a number of rounds that grows with the
+    logarithm of the longest path. There a node of any degree is only ever aggregated by its minimum, never collected.
     """
-    current = _staged_edges(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    while not _all_stars(current):
+    current, whole = _staged_edges(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    while not whole and not _all_stars(current):
         # large star: every neighbour above a node is linked to the node's smallest neighbour or itself
         out = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = staged(out.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "low")
@@ -74,7 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every node's smaller neighbours, and itself, are linked to the smallest of them
         least = staged(large.groupBy("b").agg(F.min("a").alias("low")), "least")
         joined = large.join(least, "b")
-        new = _staged_edges(joined.select(F.col("low").alias("a"), "b").unionByName(joined.select(F.col("low").alias("a"), F.col("a").alias("b"))))
+        new, whole = _staged_edges(joined.select(F.col("low").alias("a"), "b").unionByName(joined.select(F.col("low").alias("a"), F.col("a").alias("b"))))
         drop_staged(current, low, large, least)
         current = new
     return _members(current)

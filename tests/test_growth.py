@@ -3,6 +3,7 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
+from citeweave.llm import jaccard_join
 from citeweave.operators import clusters, components, provenance, survivors
 from citeweave.plans import projection, queries
 from citeweave.sources import lookups
@@ -102,3 +103,28 @@ def test_provenance_is_not_broadcast(spark):
     before = projection.projected(spark, SF, "ra")
     sent = before.selectExpr("uri AS from_uri", "concat(uri, 'x') AS to_uri")
     assert "Broadcast" not in provenance.provenance_diff(before, before, sent)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_edges_of_many_tasks_take_no_rounds(spark, monkeypatch):
+    """What little is left of many tasks' edges is finished by one task; beyond the bound, rounds find the same."""
+    pairs = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5, 5)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(40).cache()
+    want = sorted([(k, 0) for k in range(301)] + [(1000 + k, 1000) for k in range(200)])
+    written = noted(monkeypatch, components)
+    assert sorted(map(tuple, components.components(edges).collect())) == want
+    assert {label for label, _ in written} == {"edges"}
+    monkeypatch.setattr(components, "EDGES_OF_ONE_TASK", 0)
+    assert sorted(map(tuple, components.components(edges).collect())) == want
+    assert "low" in {label for label, _ in written}
+
+
+def test_near_copies_of_a_large_group_write_few_tables(spark, monkeypatch):
+    """Numbers of blocks, largest components and documents' classes are not written as tables of their own."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words, f"x{k}"]) for k in range(60)] + [" ".join(f"y{k}_{j}" for j in range(9)) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written = noted(monkeypatch, jaccard_join)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(docs).collect()}
+    assert got == {k: 0 if k < 60 else k for k in range(80)}
+    assert not {"blocks", "lists", "member", "first", "most"} & {label for label, _ in written}

@@ -1,8 +1,9 @@
 """N-gram Jaccard join with prefix trees.
 
 1. Every text becomes a set of shingles, named by 64-bit hashes; equal sets are one class from here on.
-2. Shingles get one global order: by hash, with frequent ones last. Sets that are similar enough share a shingle
-   among the first few of each, so inverted lists over these prefixes hold every link. Within a list, set sizes and
+2. Shingles get one global order: by hash, with frequent ones last. Sets that are similar enough share two shingles
+   that follow each other in both, among the first few of each, so inverted lists of such pairs hold every link. A
+   shingle alone meets strangers, the more the larger the corpus is; a pair hardly does. Within a list, set sizes and
    a histogram of the hashes bound the overlap from above; what remains are candidate groups.
 3. Within a candidate group the ordered sets are stored in a prefix tree. A set walks the tree with the overlap so
    far, shared by all sets below a node, and leaves a subtree when even its longest remainder can't reach the
@@ -107,9 +108,26 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
+def run_length(share: tuple[int, int] = SHARE) -> int:
+    """Shingles of a run, by which sets meet; where links may have less than half in common, only single ones are sure to be shared."""
+    return 2 if 2 * share[0] > share[1] else 1
+
+
 def prefix_length(n: int, share: tuple[int, int] = SHARE) -> int:
-    """Of two sets that link, each has a common shingle among its first so many in the global order."""
-    return n + (-n * share[0]) // share[1] + 1 if n else 0
+    """Of two sets that link, each has a common run that ends among its first so many shingles in the global order.
+
+    A shingle that only this set has breaks run_length() runs of it, one that only the other has breaks one run less. With
+    links of SHARE[0] / SHARE[1], of n shingles at most n * (1 - SHARE[0] / SHARE[1]) are its own, and most runs break then.
+    """
+    return run_length(share) * (share[1] - share[0]) * n // share[1] + 1 if n else 0
+
+
+def runs(ordered: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
+    """The name of the run that ends with each shingle; what comes before the first one is the same in all sets."""
+    if run_length(share) == 1:
+        return ordered
+    with np.errstate(over="ignore"):
+        return mix64(np.concatenate([np.zeros(min(1, len(ordered)), np.uint64), ordered[:-1]]) * _BASE + ordered)
 
 
 def tier_of(n: int) -> int:
@@ -158,7 +176,7 @@ def _frequent(docs: DataFrame, n: int, words: int) -> pd.DataFrame:
 
 
 def _described(docs: DataFrame, frequent: pd.DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Of every document: set size, set fingerprint, hash histogram, and its prefix with what is frequent in it."""
+    """Of every document: set size, set fingerprint, hash histogram, and the runs of its prefix, those that end with a frequent shingle apart."""
     table = frequent.sort_values("shingle")
     shared = docs.sparkSession.sparkContext.broadcast((table["shingle"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)))
 
@@ -179,7 +197,8 @@ def _described(docs: DataFrame, frequent: pd.DataFrame, words: int, share: tuple
                     late = hashes[known]
                     often = late[np.lexsort((late, counts[place[known]]))][: p - len(prefix)]
                 f1, f2 = set_fingerprint(hashes)
-                rows.append((n, f1, f2, histogram(hashes).tobytes(), prefix.astype(np.int64), often.astype(np.int64)))
+                names = runs(np.concatenate([prefix, often]), share).view(np.int64)
+                rows.append((n, f1, f2, histogram(hashes).tobytes(), names[: len(prefix)], names[len(prefix) :]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             names = ["doc_id", "n", "f1", "f2", "histogram", "prefix", "often"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
@@ -248,7 +267,7 @@ def _list_links(share: tuple[int, int]):
             left.append(i)
             right.append(i + shift)
         for start, size in zip(starts[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True):
-            # along the sizes only a stretch can link; rows that came together elsewhere by the same shingle are skipped
+            # along the sizes only a stretch can link; rows that came together elsewhere by the same run are skipped
             order = start + np.argsort(n[start : start + size], kind="stable")
             ends = np.searchsorted(n[order], n[order] * share[1] // share[0], "right")
             for at in range(size):
@@ -508,26 +527,24 @@ def _paired(rows: DataFrame) -> DataFrame:
 
 def _candidate_links(reps: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) such that sets that link are connected by them: sets of one inverted list that may link by their bounds."""
-    # each row of a list with the shingle before: sets that have that in common too meet in its list
-    prior = lambda items, at: F.when(at == 0, F.lit(0)).otherwise(F.element_at(items, F.greatest(at, F.lit(1)))).alias("before")
-    before = F.transform("prefix", lambda x, i: F.struct(x.alias("shingle"), prior("prefix", i)))
-    rare = reps.select("doc_id", "n", F.explode(before).alias("p")).select("doc_id", "n", "p.shingle", "p.before")
-    by_size = W.partitionBy("shingle").orderBy("n")  # a list that isn't frequent
-    per_list = by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    mixed = (F.min("before").over(per_list) != F.max("before").over(per_list)) | (F.min("before").over(per_list) == 0)
-    # rows without a size near theirs in the list go before the histograms are joined, as most lists hold strangers
-    near = (share[1] * F.lag("n").over(by_size) >= share[0] * F.col("n")) | (share[1] * F.col("n") >= share[0] * F.lead("n").over(by_size))
-    rare = rare.withColumns({"rows": F.count("*").over(per_list), "mixed": mixed, "near": F.coalesce(near, F.lit(False))}).where("rows > 1 and mixed and near")
-    whole, offset = F.concat("prefix", "often"), F.size("prefix")
-    often = F.transform("often", lambda x, i: F.struct(x.alias("shingle"), prior(whole, offset + i)))
-    common = staged(reps.select("doc_id", F.explode(often).alias("p")).select("doc_id", "p.shingle", "p.before"), "common")
-    lists = common.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("before").alias("least"), F.max("before").alias("most"))
-    lists = F.broadcast(lists.where("rows > 1 and (least <> most or least = 0)").select("shingle", "rows"))  # no more than _frequent() gives
-    listed = rare.select("doc_id", "shingle", "before", "rows").unionByName(common.join(lists, "shingle").select("doc_id", "shingle", "before", "rows"))
+    # most runs are in one set, and go first; only a run that doesn't end with a frequent shingle is counted in one task
+    met = reps.select("doc_id", F.posexplode("prefix").alias("at", "list")).withColumn("rows", F.count("*").over(W.partitionBy("list"))).where("rows > 1").drop("rows")
+    often = reps.select("doc_id", F.size("prefix").alias("first"), F.posexplode("often").alias("at", "list")).select("doc_id", (F.col("first") + F.col("at")).alias("at"), "list")
+    met = staged(met.unionByName(often), "met")
+    # each row of a list with the run before: sets that have that in common too meet in its list; one that went has no others
+    earlier = W.partitionBy("doc_id").orderBy("at")
+    before = F.when(F.lag("at").over(earlier) == F.col("at") - 1, F.lag("list").over(earlier))
+    listed = staged(met.select("doc_id", "list", F.coalesce(before, F.lit(0)).alias("before")), "listed")
+    drop_staged(met)
+    sums = {"rows": F.count("*"), "least": F.min("before"), "most": F.max("before")}
+    long = staged(listed.groupBy("list").agg(*(c.alias(k) for k, c in sums.items())).where(F.col("rows") > LIST_BLOCK), "long")
+    listed = listed.join(F.broadcast(long), "list", "left")  # one of more than LIST_BLOCK rows
+    short = listed.where("rows is null").withColumns({k: c.over(W.partitionBy("list")) for k, c in sums.items()})
+    listed = short.unionByName(listed.where("rows is not null")).where("rows > 1 and (least <> most or least = 0)")
 
     # blocks of lists; in a list of several blocks every row counts, since those it meets elsewhere may lie in another
     listed = listed.withColumn("blocks", F.ceil(F.col("rows") / LIST_BLOCK).cast("int")).withColumn("several", F.col("blocks") > 1)
-    listed = listed.select("doc_id", "several", F.when(F.col("several"), F.lit(0)).otherwise(F.col("before")).alias("before"), F.col("shingle").alias("list"), F.xxhash64("shingle", _block("doc_id", "blocks")).alias("block"))
+    listed = listed.select("doc_id", "several", F.when(F.col("several"), F.lit(0)).otherwise(F.col("before")).alias("before"), "list", F.xxhash64("list", _block("doc_id", "blocks")).alias("block"))
     listed = listed.join(reps.select("doc_id", "n", "histogram"), "doc_id").repartition("block").sortWithinPartitions("block")
     found = staged(listed.select("block", "list", "several", "doc_id", "before", "n", "histogram").mapInPandas(_list_links(share), _LINKS), "candidates")
 

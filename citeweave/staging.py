@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this set, the files of a query's shuffles go when it ends, and don't wait until the driver collects its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Used only where the master is local, so that driver and executor are one process.
 LOCAL_DIR = "/tmp/checkpoints/citeweave"
 
@@ -39,7 +41,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")  # nothing reads them again: the table is read instead
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

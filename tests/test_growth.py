@@ -1,8 +1,13 @@
 """What a task holds, and how often a table is made, as tables grow."""
 
+import os
+
+import numpy as np
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from citeweave import staging
 from citeweave.llm import jaccard_join
 from citeweave.operators import clusters, components, provenance, survivors
 from citeweave.plans import projection, queries
@@ -132,3 +137,55 @@ def test_near_copies_of_a_large_group_write_few_tables(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(docs).collect()}
     assert got == {k: 0 if k < 60 else k for k in range(80)}
     assert not {"blocks", "lists", "member", "first", "most"} & {label for label, _ in written}
+
+
+def test_strangers_meet_in_no_lists(spark, monkeypatch, tmp_path):
+    """Texts of few words, whose shingles are all in other texts too: only near copies come to the lists, however many texts there are."""
+    real = jaccard_join._list_links
+
+    def noting(share):
+        links = real(share)
+
+        def run(frames):
+            def passed():
+                for k, frame in enumerate(frames):
+                    with open(f"{tmp_path}/{os.getpid()}-{frame['doc_id'].iloc[0]}-{k}", "w") as f:
+                        f.write(str(len(frame)))
+                    yield frame
+
+            yield from links(passed())
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "_list_links", noting)
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in draw.integers(20, size=100)) for _ in range(1500)]
+    texts += [t + " end" for t in texts[:20]]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: k if k < 1500 else k - 1500 for k in range(1520)}
+    assert 40 <= sum(int(f.read_text()) for f in tmp_path.iterdir()) < 1000
+
+
+@pytest.mark.parametrize("share", [(85, 100), (80, 100), (51, 100), (1, 2), (3, 10)])
+def test_sets_that_link_share_a_run_of_their_prefixes(share):
+    draw, linked = np.random.default_rng(6), 0
+    for _ in range(4000):
+        one = np.sort(draw.choice(60, draw.integers(1, 40), replace=False))
+        other = np.union1d(one[draw.random(len(one)) > draw.random() / 3], draw.choice(60, draw.integers(len(one) // 4 + 1), replace=False))
+        common = len(np.intersect1d(one, other))
+        if common and share[1] * common >= share[0] * (len(one) + len(other) - common):
+            linked += 1
+            names = [jaccard_join.runs(x.astype(np.uint64), share)[: jaccard_join.prefix_length(len(x), share)] for x in (one, other)]
+            assert len(np.intersect1d(*names))
+    assert linked > 300
+
+
+def test_shuffles_go_with_the_step(spark):
+    """A staged table is read from its own files, so those of its shuffles are deleted at once."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for folder in folders for _, _, names in os.walk(folder) for f in names if f.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = spark.range(1000)
+    out = staging.staged(rows.repartition("id").groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    assert sum(r["count"] for r in out.collect()) == 1000
+    assert not files() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting

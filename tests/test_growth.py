@@ -2,6 +2,7 @@
 
 import os
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import SF
@@ -180,12 +181,25 @@ def test_sets_that_link_share_a_run_of_their_prefixes(share):
     assert linked > 300
 
 
+def shuffled(spark):
+    """The files of shuffles that are there, with their bytes."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    return {f: os.path.getsize(f"{folder}/{f}") for top in folders for folder, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+
 def test_shuffles_go_with_the_step(spark):
     """A staged table is read from its own files, so those of its shuffles are deleted at once."""
-    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
-    files = lambda: {f for folder in folders for _, _, names in os.walk(folder) for f in names if f.startswith("shuffle_")}
-    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
-    rows = spark.range(1000)
-    out = staging.staged(rows.repartition("id").groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = set(shuffled(spark)), spark.conf.get(name)
+    out = staging.staged(spark.range(1000).repartition("id").groupBy((F.col("id") % 7).alias("k")).count(), "sums")
     assert sum(r["count"] for r in out.collect()) == 1000
-    assert not files() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert not set(shuffled(spark)) - before and spark.conf.get(name) == setting
+
+
+def test_near_copies_leave_hardly_any_shuffles(spark, monkeypatch):
+    """After each table that the pipeline's stage writes, there are files of its few counts only, not those of the table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before, left, real = set(shuffled(spark)), [], jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, label: (real(df, label), left.append(sum(size for f, size in shuffled(spark).items() if f not in before)))[0])
+    assert 0 < corpus_pipeline.drop_near_copies(spark, docs, SF).count() <= docs.count()
+    assert len(left) > 9 and max(left) < 0.1 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
